@@ -58,7 +58,7 @@ def with_python_columns(
         raise ValueError(f"no such columns: {missing}")
     schema = T.StructType([f for f in df.schema if f.name in keep])
     for name, kind in new.items():
-        schema = schema.add(name, kind)
+        schema = schema.add(name, T.StructType.fromDDL(f"c {kind}")[0].dataType)
     kinds = [_ARROW[k] for k in new.values()]
 
     def run(batches):
