@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, mixing, quality_rules
+from . import bpe, chat, fingerprints, mixing, neardup, quality_rules
 from .common import documents
 
 
@@ -66,8 +66,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir).select("doc_id", "source"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir), words=2, percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op3_chat_format, op4_token_counts, op5_fingerprints, op6_quality_rules, op9_mixing)}
+    return {f.__name__: f for f in (op2_bpe, op3_chat_format, op4_token_counts, op5_fingerprints, op6_quality_rules, op9_mixing, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
