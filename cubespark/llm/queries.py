@@ -8,8 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, mixing, neardup, quality_rules
+from . import bpe, chat, fingerprints, langid, mixing, neardup, quality_classifier, quality_rules, toxicity
 from .common import documents
+from .sampling import id_modulo
+
+
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(id_modulo("doc_id", 3) == 1, F.lit(False))
+    model = langid.train(docs.filter(~held_out).select("doc_id", "text", "lang"))
+    done = langid.identify(docs.select("doc_id", "text"), model)
+    return done.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +71,26 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "distance2")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels that may be learned from."""
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").filter(id_modulo("doc_id", 5) != 0)
+
+
+def _scored(scored: DataFrame, limit: float) -> DataFrame:
+    held_out = F.coalesce(id_modulo("doc_id", 5) == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= limit).cast("int").alias("predicted"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return _scored(toxicity.tag(docs, toxicity.train(docs, _labels(spark, sf_dir))), 0.5)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return _scored(quality_classifier.score(docs, quality_classifier.train(docs, _labels(spark, sf_dir))), 0.3)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir).select("doc_id", "source"))
 
@@ -70,8 +99,22 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir), words=2, percent=80)
 
 
+QUERIES = (
+    op1_language,
+    op2_bpe,
+    op3_chat_format,
+    op4_token_counts,
+    op5_fingerprints,
+    op6_quality_rules,
+    op7_toxicity,
+    op8_quality,
+    op9_mixing,
+    op10_near_duplicates,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op3_chat_format, op4_token_counts, op5_fingerprints, op6_quality_rules, op9_mixing, op10_near_duplicates)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
