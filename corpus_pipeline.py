@@ -1,10 +1,78 @@
-"""The corpus pipeline; its stages follow."""
+"""The corpus pipeline: quality rules, quality classifier, near-duplicate removal, source mixing, encoding.
+
+Each stage takes ``(spark, docs, sf_dir)`` and works on all documents that the one before kept. The two quality stages
+drop what they reject, the third keeps the smallest id of each group of near duplicates, the fourth keeps all documents
+and puts them in the order of the mix (files and rows ascend in it), the last encodes whole texts. All but the last
+return the columns of ``docs``, extra ones included; extra columns may have any names. Null texts fail the quality
+rules; empty tables give empty tables; rows of equal id count as one document and stay or go together.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cubespark.llm import bpe, mixing, neardup, quality_classifier, quality_rules
+from cubespark.llm.common import written
+from cubespark.llm.sampling import id_modulo
+
+BASE = ("doc_id", "text", "lang", "source", "n_chars")
+#: Least quality score of a document that stays.
+QUALITY = 0.3
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """The base columns, all others in one struct, so that no name clashes with an operator's."""
+    extra = [c for c in docs.columns if c not in BASE]
+    return docs.select(*[c for c in docs.columns if c in BASE], *([F.struct(*[F.col(f"`{c}`") for c in extra]).alias("_extra")] if extra else []))
+
+
+def _unpacked(df: DataFrame, docs: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c if c in BASE else f"_extra.`{c}`").alias(c) for c in docs.columns])
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _unpacked(quality_rules.judge(_packed(docs)).filter("kept"), docs)
+
+
+def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(id_modulo("doc_id", 5) != 0)
+    model = quality_classifier.train(docs.select("doc_id", "text"), labels)
+    return _unpacked(quality_classifier.score(_packed(docs), model).filter(F.col("score") >= QUALITY), docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(docs.select("doc_id", "text"))
+    gone = written(found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "copies")
+    return neardup.only(docs, gone, "doc_id", "left_anti")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_packed(docs))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return _unpacked(mixed.repartitionByRange(n, "position").sortWithinPartitions("position"), docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    done = bpe.encode_decode(docs.select("doc_id", "source", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return done.select(
+        "doc_id",
+        "source",
+        (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("token_ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
 
-STAGES: list = []
+STAGES = [
+    ("quality rules", rules),
+    ("quality classifier", classifier),
+    ("near duplicates", near_duplicates),
+    ("mixing", mix),
+    ("encoding", encode),
+]
+#: SQL can't fit the models; the tests hold the stages against brute force instead.
 ORACLE_SQL = None
 
 
@@ -12,4 +80,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if stage is not encode:
+            docs = written(docs, "stage")
     return docs
