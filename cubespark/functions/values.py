@@ -16,6 +16,11 @@ def convert_units(name: str, x: Column) -> Column:
     return x - 273.15 if name == "t2m" else x * 1000 if name == "tp" else x
 
 
+def invert_units(name: str, x: Column) -> Column:
+    """The inverse of ``convert_units``."""
+    return x + 273.15 if name == "t2m" else x / 1000 if name == "tp" else x
+
+
 def normalize(x: Column, mean: Column, std: Column, invert: bool = False, is_uncertainty: bool = False) -> Column:
     """(x - mean) / std and its inverse; uncertainties are only scaled."""
     shift = F.lit(0.0) if is_uncertainty else mean

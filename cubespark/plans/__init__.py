@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from . import cube
+from . import cube, explain, masks, samples, scores, spatial, tables
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "cube"]
+__all__ = ["QUERIES", "SQL", "cube", "explain", "masks", "samples", "scores", "spatial", "tables"]

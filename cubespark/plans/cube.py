@@ -12,7 +12,11 @@ from cubespark.plans.registry import query
 from cubespark.sources import adapters as a
 from cubespark.sources import files
 
-DAY = F.date_format("date", "yyyy-MM-dd").alias("date")
+
+def day():
+    return F.date_format("date", "yyyy-MM-dd").alias("date")
+
+
 TS = "yyyy-MM-dd HH:mm:ss"
 
 
@@ -50,7 +54,7 @@ def w1(spark, sf_dir):
 )
 def j1(spark, sf_dir):
     daily = a.cell_daily(spark, sf_dir).repartition(*CELL)
-    return season.msc_align(season.smooth_msc(season.msc_raw(daily)), daily).select(*CELL, DAY, "doy", r("v_msc", digits=8))
+    return season.msc_align(season.smooth_msc(season.msc_raw(daily)), daily).select(*CELL, day(), "doy", r("v_msc", digits=8))
 
 
 @query(
@@ -58,7 +62,7 @@ def j1(spark, sf_dir):
     "SELECT c.lat_idx, c.lon_idx, strftime(c.date, '%Y-%m-%d') AS date, round(c.v, 8) AS v, round(m.v_msc, 8) AS v_msc, round(c.v - m.v_msc, 8) AS v_ano FROM cell_daily c LEFT JOIN msc m ON m.lat_idx = c.lat_idx AND m.lon_idx = c.lon_idx AND m.doy = dayofyear(c.date)",
 )
 def j2(spark, sf_dir):
-    return season.anomaly(a.cell_daily(spark, sf_dir)).select(*CELL, DAY, r("v", digits=8), r("v_msc", digits=8), r("v_ano", digits=8))
+    return season.anomaly(a.cell_daily(spark, sf_dir)).select(*CELL, day(), r("v", digits=8), r("v_msc", digits=8), r("v_ano", digits=8))
 
 
 @query(
@@ -66,7 +70,7 @@ def j2(spark, sf_dir):
     "SELECT lat_idx, lon_idx, strftime(date, '%Y-%m-%d') AS date, hour, round(CASE WHEN rn = 1 THEN 0 WHEN hour = 0 THEN nx ELSE nx - acc END, 6) AS flux FROM (SELECT *, lead(acc) OVER w AS nx, row_number() OVER (PARTITION BY lat_idx, lon_idx ORDER BY date DESC, hour DESC) AS rn FROM cell_accum WINDOW w AS (PARTITION BY lat_idx, lon_idx ORDER BY date, hour))",
 )
 def w2(spark, sf_dir):
-    return season.cumulative_to_flux(accumulated(spark, sf_dir), "acc").select(*CELL, DAY, "hour", r("flux"))
+    return season.cumulative_to_flux(accumulated(spark, sf_dir), "acc").select(*CELL, day(), "hour", r("flux"))
 
 
 @query(
@@ -79,20 +83,20 @@ def w4(spark, sf_dir):
 
 @query(
     "s3_cube_spine",
-    "SELECT c.lat_idx, c.lon_idx, strftime(d.date, '%Y-%m-%d') AS date, h.hour FROM (SELECT DISTINCT lat_idx, lon_idx FROM cell_hourly) c CROSS JOIN (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS date) d CROSS JOIN (SELECT CAST(unnest(range(0, 24)) AS INTEGER) AS hour) h",
+    "SELECT c.lat_idx, c.lon_idx, strftime(d.date, '%Y-%m-%d') AS date, h.hour FROM (SELECT DISTINCT lat_idx, lon_idx FROM cell_hourly) c CROSS JOIN (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 day())) AS DATE) AS date) d CROSS JOIN (SELECT CAST(unnest(range(0, 24)) AS INTEGER) AS hour) h",
 )
 def s3(spark, sf_dir):
-    return files.cube_spine(a.cell_hourly(spark, sf_dir).select(*CELL).distinct(), "2024-01-01", "2024-01-31", hourly=True).select(*CELL, DAY, "hour")
+    return files.cube_spine(a.cell_hourly(spark, sf_dir).select(*CELL).distinct(), "2024-01-01", "2024-01-31", hourly=True).select(*CELL, day(), "hour")
 
 
 @query("j12_densify", "SELECT lat_idx, lon_idx, strftime(date, '%Y-%m-%d') AS date, hour, round(v, 6) AS v FROM hourly_dense")
 def j12(spark, sf_dir):
-    return dense(spark, sf_dir).select(*CELL, DAY, "hour", r("v"))
+    return dense(spark, sf_dir).select(*CELL, day(), "hour", r("v"))
 
 
 @query("s10_empty_like", "SELECT lat_idx, lon_idx, strftime(date, '%Y-%m-%d') AS date, CAST(NULL AS DOUBLE) AS v, CAST(NULL AS DOUBLE) AS v2 FROM cell_daily")
 def s10(spark, sf_dir):
-    return reshape.empty_like(a.cell_daily(spark, sf_dir), [*CELL, "date"]).select(*CELL, DAY, "v", "v2")
+    return reshape.empty_like(a.cell_daily(spark, sf_dir), [*CELL, "date"]).select(*CELL, day(), "v", "v2")
 
 
 @query("p1_rename", "SELECT p_partkey AS part, p_size AS size, p_brand FROM part")
@@ -109,7 +113,7 @@ def p2(spark, sf_dir):
 
 @query("p3_split_day_hour", "SELECT event_id, strftime(ts, '%Y-%m-%d') AS date, CAST(hour(ts) AS INTEGER) AS hour FROM events")
 def p3(spark, sf_dir):
-    return dates.split_day_hour(a.table(spark, sf_dir, "events")).select("event_id", DAY, "hour")
+    return dates.split_day_hour(a.table(spark, sf_dir, "events")).select("event_id", day(), "hour")
 
 
 @query("p4_stack_time", "SELECT lat_idx, lon_idx, strftime(date + to_hours(hour), '%Y-%m-%d %H:%M:%S') AS ts, round(v, 6) AS v FROM cell_hourly")
@@ -123,13 +127,13 @@ def p4(spark, sf_dir):
 )
 def p5(spark, sf_dir):
     out = reshape.stack_dims(a.cell_hourly(spark, sf_dir), ["date", "hour"], CELL, "step", start_at_zero=False)
-    return out.select(*CELL, DAY, "hour", F.col("step").cast("long").alias("step"))
+    return out.select(*CELL, day(), "hour", F.col("step").cast("long").alias("step"))
 
 
 @query("p6_msc_to_date", "SELECT lat_idx, lon_idx, strftime(DATE '2000-01-01' + CAST(doy - 1 AS INTEGER), '%Y-%m-%d') AS date, round(m, 6) AS m FROM msc_raw")
 def p6(spark, sf_dir):
     raw = season.msc_raw(a.cell_daily(spark, sf_dir))
-    return raw.withColumn("date", dates.msc_to_date(F.col("doy"))).select(*CELL, DAY, r("m"))
+    return raw.withColumn("date", dates.msc_to_date(F.col("doy"))).select(*CELL, day(), r("m"))
 
 
 @query("p8_layer_profile_mean", "SELECT lat_idx, lon_idx, round(((l0 + l1) / 2 * 5 + (l1 + l2) / 2 * 10 + (l2 + l3) / 2 * 15 + (l3 + l4) / 2 * 30 + (l4 + l5) / 2 * 40) / 100, 6) AS sandfrac FROM (SELECT lat_idx, lon_idx, " + ", ".join(f"max(CASE WHEN layer = {i} THEN sndppt END) AS l{i}" for i in range(6)) + " FROM layers GROUP BY 1, 2)")
@@ -147,7 +151,7 @@ def p9(spark, sf_dir):
 def p10(spark, sf_dir):
     packed = reshape.pack_channels(a.cell_daily(spark, sf_dir), ["v", "v2"])
     wide = reshape.unpack_channels(packed, ["v", "v2"])
-    return reshape.to_long(wide, [*CELL, "date"], ["v", "v2"]).select(*CELL, DAY, "variable", r("value"))
+    return reshape.to_long(wide, [*CELL, "date"], ["v", "v2"]).select(*CELL, day(), "variable", r("value"))
 
 
 @query("p12_rename_suffix", "SELECT lat_idx, lon_idx, round(avg(v), 6) AS v_hat, round(avg(v2), 6) AS v2_hat FROM cell_daily GROUP BY 1, 2")
@@ -188,7 +192,7 @@ def p17(spark, sf_dir):
 
 @query("f1_bbox", "SELECT lat_idx, lon_idx, strftime(date, '%Y-%m-%d') AS date, round(v, 6) AS v FROM cell_daily WHERE lon_idx BETWEEN 2 AND 6 AND lat_idx BETWEEN 1 AND 5")
 def f1(spark, sf_dir):
-    return grid.bbox(a.cell_daily(spark, sf_dir), -74.3, -73.9, 76.0, 76.4).select(*CELL, DAY, r("v"))
+    return grid.bbox(a.cell_daily(spark, sf_dir), -74.3, -73.9, 76.0, 76.4).select(*CELL, day(), r("v"))
 
 
 @query("f2_region_rules", "SELECT id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM (SELECT id, lat * 2 AS lat, lon - 30 AS lon FROM points) WHERE lon > -25 AND (lat <= 16.5 OR lat > 32.5) AND (lat < 60 OR lon > 0)")
@@ -199,12 +203,12 @@ def f2(spark, sf_dir):
 
 @query("f3_time_slice", "SELECT lat_idx, lon_idx, strftime(date, '%Y-%m-%d') AS date, round(v, 6) AS v FROM cell_daily WHERE date BETWEEN DATE '1996-03-01' AND DATE '1997-12-31'")
 def f3(spark, sf_dir):
-    return dates.time_slice(a.cell_daily(spark, sf_dir), "1996-03-01", "1997").select(*CELL, DAY, r("v"))
+    return dates.time_slice(a.cell_daily(spark, sf_dir), "1996-03-01", "1997").select(*CELL, day(), r("v"))
 
 
 @query("f7_last_n", "SELECT lat_idx, lon_idx, strftime(date, '%Y-%m-%d') AS date, round(v, 6) AS v FROM (SELECT *, row_number() OVER (PARTITION BY lat_idx, lon_idx ORDER BY date DESC) AS rn FROM cell_daily) WHERE rn <= 30")
 def f7(spark, sf_dir):
-    return reshape.last_n(a.cell_daily(spark, sf_dir), 30, CELL, "date").select(*CELL, DAY, r("v"))
+    return reshape.last_n(a.cell_daily(spark, sf_dir), 30, CELL, "date").select(*CELL, day(), r("v"))
 
 
 @query("f8_abs_threshold", "SELECT c_custkey, c_acctbal FROM customer WHERE abs(c_acctbal) > 500")
@@ -237,7 +241,7 @@ def f11(spark, sf_dir):
 def f12(spark, sf_dir):
     hourly = a.cell_hourly(spark, sf_dir)
     frames = hourly.select("date", "hour").distinct().orderBy("date", "hour").limit(48)
-    return hourly.join(F.broadcast(frames), ["date", "hour"], "left_semi").select(*CELL, DAY, "hour", r("v"))
+    return hourly.join(F.broadcast(frames), ["date", "hour"], "left_semi").select(*CELL, day(), "hour", r("v"))
 
 
 @query("f13_finite", "SELECT sample, step, target FROM pred_obs WHERE target IS NOT NULL AND isfinite(target)")
@@ -264,4 +268,4 @@ def a24(spark, sf_dir):
 def p11(spark, sf_dir):
     rows = a.cell_daily(spark, sf_dir).filter(F.year("date") == 1996).withColumn("context_offset", F.explode(F.sequence(F.lit(-2), F.lit(0))))
     at = F.date_format(dates.context_to_date(F.col("date"), F.col("context_offset")), "yyyy-MM-dd")
-    return rows.select(*CELL, DAY, "context_offset", at.alias("context_date"))
+    return rows.select(*CELL, day(), "context_offset", at.alias("context_date"))

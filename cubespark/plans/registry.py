@@ -38,4 +38,6 @@ def with_views(sql: str) -> str:
 
     visit(sql)
     views = ", ".join(f"{n} AS ({CTES[n]})" for n in order)
-    return f"WITH {views} {sql}" if views else sql
+    if not views:
+        return sql
+    return f"WITH {views}, {sql[5:]}" if sql.startswith("WITH ") else f"WITH {views} {sql}"
