@@ -50,7 +50,8 @@ def drop_value(df: DataFrame, x: str, v: float, out: str = "kept") -> DataFrame:
     """Entries equal to v become 0, the others are scaled by n / n_kept; no entry kept is an error."""
     sums = df.agg(F.count(x).alias("_n"), F.count_if(F.col(x) != v).alias("_k"))
     factor = F.when(F.col("_k") > 0, F.col("_n") / F.col("_k")).otherwise(F.raise_error(F.lit("no value is kept")).cast("double"))
-    return df.crossJoin(F.broadcast(sums)).withColumn(out, F.when(F.col(x) == v, 0.0).otherwise(F.col(x) * factor)).drop("_n", "_k")
+    scale = sums.select(factor.alias("_s")).filter(F.col("_s").isNotNull())
+    return df.join(F.broadcast(scale)).withColumn(out, F.when(F.col(x) == v, 0.0).otherwise(F.col(x) * F.col("_s"))).drop("_s")
 
 
 def avg_pool_time(df: DataFrame, k: int, keys: list[str], order: list[str], value: str) -> DataFrame:
