@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -14,6 +10,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from cubespark.sources.scratch import new_path
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Rows that a task turns into Python objects at a time; bounds its memory whatever Arrow's batch size is.
@@ -73,25 +71,11 @@ def with_python_columns(
     return df.mapInArrow(run, schema)
 
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests on one machine), a temporary one."""
-    if at := spark.conf.get("spark.checkpoint.dir", None):
-        return at
-    if "dir" not in _OWN:
-        _OWN["dir"] = tempfile.mkdtemp(prefix="spark-")
-        atexit.register(shutil.rmtree, _OWN["dir"], ignore_errors=True)
-    return f"file://{_OWN['dir']}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here, on any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cubespark/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ Tokens are runs of anything but white space, read by their letters. Labels exist
 labels tokens: a token of a toxic document is toxic if a beginning of it (``PREFIXES`` letters, or the whole word)
 stands in enough toxic documents and hardly ever in others. A two-state chain (clean, toxic) learns from these tokens;
 its features are the whole word, its beginnings and its endings, hashed, so unseen forms of a known stem score too.
-Forward-backward gives each token's marginal; a document's score is a logistic function of their sum and their largest.
+Forward-backward gives each token's marginal; a document's score is a logistic function of their largest and of the sum
+of those of at least ``COUNTED``, so that the many small ones of a long clean text don't add up.
 ``spans`` are the offsets of tokens whose marginal is at least one half, neighbours joined.
 
 Chains start anew every ``CHAIN`` tokens, in training and in scoring alike, so that texts of any length are read whole
@@ -34,7 +35,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BITS, SAMPLE, CHAIN, PREFIXES, SUFFIXES, STEPS, RIDGE, MEMORY = 17, 8000, 128, (4, 5, 6), (3, 4), 150, 1e-4, 300_000
 DIMENSIONS = 1 << BITS
-LEAST_SUPPORT, LEAST_SHARE, MOST_CLEAN = 4, 0.004, 0.03
+LEAST_SUPPORT, LEAST_SHARE, MOST_CLEAN, COUNTED = 4, 0.004, 0.03, 0.2
 _NO_LETTER = re.compile(r"[\W\d_]+")
 
 
@@ -160,14 +161,14 @@ def fit(texts: list[str], labels: list[int]) -> dict[str, np.ndarray]:
 
 
 def summaries(texts: list[str | None], emissions: dict, move: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(log of the expected number of toxic tokens, largest marginal) of each text, and all marginals."""
+    """(log of the expected number of toxic tokens that count, largest marginal) of each text, and all marginals."""
     tokens = [(t or "").split() for t in texts]
     lengths = list(map(len, tokens))
     flat = np.array([v for ts in tokens for v in map(emissions.__getitem__, ts)], float)
     score, real = chains(flat, lengths)
     p = marginals(score, real, move)[0][real]
     each = np.split(p, np.cumsum(lengths)[:-1])
-    return np.array([[np.log1p(e.sum()), e.max() if len(e) else 0.0] for e in each]).reshape(-1, 2), each
+    return np.array([[np.log1p(e[e >= COUNTED].sum()), e.max() if len(e) else 0.0] for e in each]).reshape(-1, 2), each
 
 
 def spans_of(text: str, p: np.ndarray) -> list[tuple[int, int, float]]:
