@@ -62,12 +62,12 @@ def a11(spark, sf_dir):
 
 @query(
     "a12_step_losses",
-    "WITH t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC) AS rn FROM lineitem) WHERE rn <= 3), e AS (SELECT 'ts' AS kind, abs(l_extendedprice / 2000 - l_quantity) AS e FROM t UNION ALL SELECT 'msc', abs(l_tax * 100 - l_discount * 100) FROM t), m AS (SELECT kind, avg(e) AS loss FROM e GROUP BY 1) SELECT kind, round(loss, 6) AS loss FROM m UNION ALL SELECT 'sum', round(sum(loss), 6) FROM m",
+    "WITH t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC, l_extendedprice DESC) AS rn FROM lineitem) WHERE rn <= 3), e AS (SELECT 'ts' AS kind, abs(l_extendedprice / 2000 - l_quantity) AS e FROM t UNION ALL SELECT 'msc', abs(l_tax * 100 - l_discount * 100) FROM t), m AS (SELECT kind, avg(e) AS loss FROM e GROUP BY 1) SELECT kind, round(loss, 6) AS loss FROM m UNION ALL SELECT 'sum', round(sum(loss), 6) FROM m",
 )
 def a12(spark, sf_dir):
     df = a.table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("sample"),
-        F.struct("l_linenumber", "l_partkey").alias("step"),
+        F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("step"),
         (F.col("l_extendedprice") / 2000).alias("ts_hat"),
         F.col("l_quantity").alias("ts"),
         (F.col("l_tax") * 100).alias("msc_hat"),

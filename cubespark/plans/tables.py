@@ -63,7 +63,7 @@ def s5(spark, sf_dir):
 
 @query(
     "s6_write_predictions",
-    "WITH t AS (SELECT avg(v) AS mean, stddev_pop(v) AS std FROM cell_daily), l AS (SELECT lat_idx, lon_idx, date, v FROM (SELECT *, row_number() OVER (PARTITION BY lat_idx, lon_idx ORDER BY date DESC) AS rn FROM cell_daily WHERE year(date) = 1998) WHERE rn <= 30) SELECT c.lat_idx, c.lon_idx, strftime(d.date, '%Y-%m-%d') AS date, round(l.v * t.std + t.mean, 6) AS v_hat FROM (SELECT DISTINCT lat_idx, lon_idx FROM cell_daily) c CROSS JOIN (SELECT CAST(unnest(generate_series(DATE '1998-01-01', DATE '1998-12-31', INTERVAL 1 day())) AS DATE) AS date) d CROSS JOIN t LEFT JOIN l ON l.lat_idx = c.lat_idx AND l.lon_idx = c.lon_idx AND l.date = d.date",
+    "WITH t AS (SELECT avg(v) AS mean, stddev_pop(v) AS std FROM cell_daily), l AS (SELECT lat_idx, lon_idx, date, v FROM (SELECT *, row_number() OVER (PARTITION BY lat_idx, lon_idx ORDER BY date DESC) AS rn FROM cell_daily WHERE year(date) = 1998) WHERE rn <= 30) SELECT c.lat_idx, c.lon_idx, strftime(d.date, '%Y-%m-%d') AS date, round(l.v * t.std + t.mean, 6) AS v_hat FROM (SELECT DISTINCT lat_idx, lon_idx FROM cell_daily) c CROSS JOIN (SELECT CAST(unnest(generate_series(DATE '1998-01-01', DATE '1998-12-31', INTERVAL 1 DAY)) AS DATE) AS date) d CROSS JOIN t LEFT JOIN l ON l.lat_idx = c.lat_idx AND l.lon_idx = c.lon_idx AND l.date = d.date",
 )
 def s6(spark, sf_dir):
     daily = a.cell_daily(spark, sf_dir)
