@@ -200,9 +200,15 @@ def _checked(pairs: DataFrame, reps: DataFrame, texts: DataFrame, words: int, pe
 
 
 def _blocks(rows: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links in large buckets. rows: (band, cid, comp, main, m); all that is outside ``main`` meets all members."""
-    strays = rows.filter("comp <> main").groupBy("band").agg(F.count("*").alias("s"))
-    rows = rows.join(strays, "band").withColumn("mb", F.ceil(F.col("m") / BLOCK)).withColumn("sb", F.ceil(F.col("s") / BLOCK))
+    """Links in large buckets. rows: (band, cid, comp, m); all that is outside the main component meets all members.
+
+    What is known of each bucket is a small table of its own, joined without dealing the members out by bucket.
+    """
+    sizes = rows.groupBy("band", "m", "comp").agg(F.count("*").alias("n"))
+    known = sizes.groupBy("band", "m").agg(F.max_by("comp", "n").alias("main"), F.max("n").alias("most"))
+    known = known.select("band", "main", F.ceil(F.col("m") / BLOCK).alias("mb"), F.ceil((F.col("m") - F.col("most")) / BLOCK).alias("sb"))
+    known = written(known, "large-buckets")
+    rows = rows.drop("m").join(F.broadcast(known) if known.count() <= BROADCAST_IDS else known, "band")
     place = lambda n: F.pmod(F.xxhash64("cid", "band"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     keep = ["band", "cid", "comp"]
@@ -259,8 +265,7 @@ def near_duplicates(
     one, two = (open_.filter(F.col("m") <= SMALL).select("band", F.col("cid").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
     pairs = one.join(two, "band").filter("a < b AND ca <> cb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     large = open_.filter(F.col("m") > SMALL)
-    sizes = large.groupBy("band", "comp").count().groupBy("band").agg(F.max_by("comp", "count").alias("main"))
-    more = _checked(pairs, reps, texts, words, percent).union(_blocks(large.join(sizes, "band"), texts, words, percent))
+    more = _checked(pairs, reps, texts, words, percent).union(_blocks(large, texts, words, percent))
     more = written(more.distinct(), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
