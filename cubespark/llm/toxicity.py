@@ -116,7 +116,9 @@ def label_stems(docs: list[list[str]], labels: list[int]) -> set[str]:
 
 def fit(texts: list[str], labels: list[int]) -> dict[str, np.ndarray]:
     rows = sorted(zip(texts, labels, strict=True))
-    docs, labels = [[letters(t) for t in text.split()] for text, _ in rows], [y for _, y in rows]
+    read: dict[str, str] = {}  # one string object for each word, however often it stands
+    docs = [[read.setdefault(t, letters(t)) if t not in read else read[t] for t in text.split()] for text, _ in rows]
+    labels = [y for _, y in rows]
     prior = (1 + sum(labels)) / (2 + len(labels))
     model = {"weights": np.zeros(DIMENSIONS), "bias": np.array(0.0), "move": np.zeros((3, 2)), "curve": np.array([0.0, 0.0, np.log(prior / (1 - prior))])}
     if len(set(labels)) < 2:
