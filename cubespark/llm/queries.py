@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, chat, fingerprints, langid, mixing, neardup, quality_classifier, quality_rules, toxicity
 from .common import documents
+from .oracles import SQL
 from .sampling import id_modulo
 
 
@@ -118,4 +119,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
