@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
 from cubespark.operators.masks import CHUNK_KEYS, mask_chunks, with_chunks
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def chunk_apply(df: DataFrame, fn: Callable[..., pd.DataFrame], schema: str, size: int, mask: DataFrame | None = None, args: tuple = ()) -> DataFrame:
     """``fn(pandas frame of a chunk, *args)`` on each chunk; with a mask, on chunks with a valid cell only.
