@@ -34,9 +34,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
 
 
 def sample_of_each(rows: DataFrame, key: str, order: Column, bound: int) -> DataFrame:
-    """At most ``bound`` rows of each key, the first by ``order``; each task of the scan sends no more than these."""
-    w = Window.partitionBy(key).orderBy(order)
-    return rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= bound).drop("_n")
+    """At most ``bound`` rows of each key, the first by ``order``.
+
+    First of each of 16 parts of a key, then of the key: no task gets more than 16 times the bound of one key, however
+    many rows and tasks there are.
+    """
+    rows = rows.withColumn("_order", order).withColumn("_part", F.pmod(F.xxhash64("_order"), F.lit(16)))
+    for keys in ([key, "_part"], [key]):
+        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_order"))).filter(F.col("_n") <= bound)
+    return rows.drop("_n", "_order", "_part")
 
 
 def fit_once(sample: DataFrame, columns: list[str], fit: Callable[..., dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
@@ -50,6 +56,8 @@ def fit_once(sample: DataFrame, columns: list[str], fit: Callable[..., dict[str,
         yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["model"])
 
     found = written(sample.select(*columns).repartition(1).mapInArrow(run, "model binary"), "model").first()
+    if found is None:  # nothing to learn from
+        return fit(*([] for _ in columns))
     with np.load(io.BytesIO(found["model"])) as got:
         return {k: got[k] for k in got.files}
 
