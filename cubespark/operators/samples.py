@@ -153,7 +153,3 @@ def cells_for_samples(df: DataFrame, lat: list[int], lon: list[int]) -> DataFram
     """The cells (lat[i], lon[i])."""
     wanted = df.sparkSession.createDataFrame(list(zip(lat, lon, strict=True)), "lat_idx int, lon_idx int")
     return df.join(F.broadcast(wanted), CELL, "left_semi")
-
-
-def scaled(x: Column, stats_mean: Column, stats_std: Column) -> Column:
-    return (x - stats_mean) / stats_std
