@@ -14,7 +14,6 @@ length are encoded whole: pieces between white space are handled one at a time a
 
 from __future__ import annotations
 
-import gc
 import json
 import re
 import struct
@@ -32,7 +31,7 @@ from .common import per_worker, with_python_columns
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Pieces that a task remembers at most; later ones are worked out each time (results stay the same).
-MEMORY_ENTRIES = 500_000
+MEMORY_ENTRIES = 400_000
 #: White space as Unicode has it. Python's own classes also hold the separators U+001C to U+001F.
 WS = r"\t\n\x0b\x0c\r\x20\x85\xa0  -     　"
 SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -290,7 +289,6 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids")
     """Add the ids of the whole text as little-endian unsigned 32-bit integers in one binary value."""
 
     def make():
-        gc.disable()  # the tables hold no cycles
         bpe = per_worker(WordBpe, path)
         return lambda texts: [[bpe.encode(t or "") for t in texts]]
 
@@ -318,7 +316,6 @@ def encode_decode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``encode`` and ``decode`` in one pass over the table: columns ``token_ids`` and ``decoded``."""
 
     def make():
-        gc.disable()  # the tables hold no cycles
         bpe = per_worker(WordBpe, path)
         one = _decode(bpe.decode_words())
 
@@ -335,7 +332,6 @@ def count_tokens(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Add ``n_bytes`` (of UTF-8) and ``n_tokens`` of the whole text."""
 
     def make():
-        gc.disable()  # the tables hold no cycles
         bpe = per_worker(TextBpe, path)
         return lambda texts: [[len((t or "").encode()) for t in texts], [bpe.count(t or "") for t in texts]]
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 from collections.abc import Callable
 
@@ -33,14 +34,21 @@ _ARROW = {
 
 
 def per_worker(make: Callable, *args):
-    """``make(*args)``, once for each Python worker process, which runs many tasks."""
+    """``make(*args)``, once for each Python worker process, which runs many tasks; only the latest is kept."""
     kept = sys.__dict__.setdefault("_cubespark_kept", {})
     key = (make.__module__, make.__qualname__, args)
     if key not in kept:
+        kept.clear()
         kept[key] = make(*args)
     return kept[key]
 
 
+def fresh_task() -> None:
+    """Collect what earlier tasks of this worker left, then hold collection off: a task's own tables have no cycles."""
+    gc.collect()
+    gc.disable()
+
+
 def with_python_columns(
     df: DataFrame, inputs: list[str], new: dict[str, str], make: Callable[[], Callable]
 ) -> DataFrame:
@@ -60,6 +68,7 @@ def with_python_columns(
     kinds = [_ARROW[k] for k in new.values()]
 
     def run(batches):
+        fresh_task()
         fn = make()
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):

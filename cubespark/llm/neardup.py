@@ -18,7 +18,6 @@ document, rows of null id are linked with nothing. Empty tables give empty table
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import sys
 
@@ -41,7 +40,7 @@ SMALL, BLOCK = 32, 256
 #: Ids that are broadcast (8 bytes each); beyond that they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Word hashes that a worker remembers.
-MEMORY = 400_000
+MEMORY = 250_000
 
 
 class WordHashes(dict):
@@ -131,7 +130,6 @@ def sketches(df: DataFrame, words: int, text: str = "text") -> DataFrame:
     """Add ``n_shingles``, ``digest`` of the set, ``bands`` and ``regs`` (null where there are no shingles)."""
 
     def make():
-        gc.disable()
         hashes, sketcher = per_worker(WordHashes), Sketcher()
 
         def one(t):
@@ -186,7 +184,6 @@ def _checked(pairs: DataFrame, reps: DataFrame, texts: DataFrame, words: int, pe
     likely = written(likely, "likely")
 
     def confirm():
-        gc.disable()
         hashes = per_worker(WordHashes)
 
         def run(ta, tb):

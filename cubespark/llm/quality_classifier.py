@@ -12,7 +12,6 @@ of label 1.
 
 from __future__ import annotations
 
-import gc
 import re
 import sys
 
@@ -26,7 +25,7 @@ from .sampling import fit_once, labelled_sample, logistic, probability
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BITS, SAMPLE, COST, EPOCHS, SMOOTH, MEMORY = 18, 8000, 1.0, 12, 1.0, 300_000
+BITS, SAMPLE, COST, EPOCHS, SMOOTH, MEMORY = 18, 8000, 1.0, 12, 1.0, 200_000
 DIMENSIONS = 1 << BITS
 _UPPER, _LETTERS, _DIGITS, _RUN = (re.compile(p) for p in (r"[A-ZÀ-ÖØ-Þ]{2,}", r"[^\W\d_U]+", r"\d+", r"([^\w\s])\1+"))
 
@@ -37,10 +36,10 @@ def shape(word: str) -> str:
 
 
 class Words(dict):
-    """Word -> (hash of the word in lower case, hash of its shape), packed as an index into two arrays' values."""
+    """Word -> the 32-bit hash of it in lower case, then that of its shape, in one integer."""
 
-    def __missing__(self, word: str) -> tuple[int, int]:
-        value = (xxhash.xxh32_intdigest(word.lower()), xxhash.xxh32_intdigest(shape(word), seed=1))
+    def __missing__(self, word: str) -> int:
+        value = xxhash.xxh32_intdigest(word.lower()) << 32 | xxhash.xxh32_intdigest(shape(word), seed=1)
         if len(self) < MEMORY:
             self[word] = value
         return value
@@ -51,8 +50,8 @@ def features(text: str | None, words: dict) -> np.ndarray:
     tokens = (text or "").split()
     if not tokens:
         return np.zeros(0, np.int64)
-    both = np.array(list(map(words.__getitem__, tokens)), np.uint64)
-    w, s = both[:, 0], both[:, 1].copy()
+    both = np.fromiter(map(words.__getitem__, tokens), np.uint64, len(tokens))
+    w, s = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
     s[1:] += np.uint64(77) * (w[1:] == w[:-1]).astype(np.uint64)
     m = np.uint64(0x9E3779B97F4A7C15)
     grams = [w, s + np.uint64(1 << 33)]
@@ -120,7 +119,6 @@ def score(df: DataFrame, model: dict[str, np.ndarray], text: str = "text") -> Da
     """Add ``score``, 0 to 1."""
 
     def make():
-        gc.disable()
         words = per_worker(Words)
         w, ratio, curve = model["w"], model["ratio"], model["curve"]
 

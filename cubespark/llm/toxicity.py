@@ -16,7 +16,6 @@ are the smoothed share of label 1.
 
 from __future__ import annotations
 
-import gc
 import re
 import sys
 from collections import Counter
@@ -28,12 +27,12 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import SLICE_ROWS
+from .common import SLICE_ROWS, fresh_task
 from .sampling import fit_once, labelled_sample, logistic, probability
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BITS, SAMPLE, CHAIN, PREFIXES, SUFFIXES, STEPS, RIDGE, MEMORY = 17, 8000, 128, (4, 5, 6), (3, 4), 150, 1e-4, 300_000
+BITS, SAMPLE, CHAIN, PREFIXES, SUFFIXES, STEPS, RIDGE, MEMORY = 17, 8000, 128, (4, 5, 6), (3, 4), 150, 1e-4, 200_000
 DIMENSIONS = 1 << BITS
 LEAST_SUPPORT, LEAST_SHARE, MOST_CLEAN, COUNTED = 4, 0.004, 0.03, 0.2
 _NO_LETTER = re.compile(r"[\W\d_]+")
@@ -198,7 +197,7 @@ def tag(df: DataFrame, model: dict[str, np.ndarray], text: str = "text") -> Data
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches):
-        gc.disable()
+        fresh_task()
         emissions, move = Emissions(model["weights"], float(model["bias"])), model["move"]
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
