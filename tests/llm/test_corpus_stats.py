@@ -259,6 +259,23 @@ def test_mixing_deviation_with_weights(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_classifier_stage_rejects_junk_that_passes_the_rules(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    say = lambda words: " ".join(rng.choice(words) for _ in range(rng.randint(80, 200)))
+    good, spam = ([f"{p}{a}{b}" for a in "aeiou" for b in "klmnprst" for p in ps] for ps in (("tor", "bel", "sa"), ("wug", "zax", "qi")))
+    texts = [say(good) for _ in range(300)] + [say(spam).replace(" ", " ### ") for _ in range(60)] + [say(spam) for _ in range(20)]
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 300)) for i in [*range(200), *range(300, 360)]], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    passed = corpus_pipeline.rules(spark, df, str(tmp_path))
+    ids = {r["doc_id"] for r in passed.collect()}
+    assert ids >= set(range(360, 380)) and ids.isdisjoint(range(300, 360))
+    kept = {r["doc_id"] for r in corpus_pipeline.classifier(spark, passed, str(tmp_path)).collect()}
+    assert kept == ids - set(range(360, 380))
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline
 
