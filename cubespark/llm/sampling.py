@@ -33,6 +33,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
     return found.groupBy(doc_id).agg(F.min("text").alias("text"), F.min("label").alias("label")).select("text", "label")
 
 
+def class_bounds(n0: int, n1: int, bound: int) -> tuple[int, int]:
+    """How many of n0 and n1 rows a sample of ``bound`` takes: in proportion, but of each at least an eighth of it or all."""
+    least = bound // 8
+    k1 = min(n1, max(least, bound * n1 // max(1, n0 + n1)), bound - min(n0, least))
+    k0 = min(n0, bound - k1)
+    return k0, min(n1, bound - k0)
+
+
+def sample_by_class(docs: DataFrame, labels: DataFrame, label: str, bound: int, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, float]:
+    """As ``labelled_sample``, filled by ``class_bounds``, and the log odds of label 1 in all less those in the sample."""
+    rows = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(label).alias("label"))
+    rows = written(rows.join(docs.select(doc_id), doc_id, "left_semi"), "sample-labels")
+    n0, n1 = rows.agg(F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1)).first()
+    bounds = class_bounds(n0, n1, bound)
+    order = [F.md5(F.col(doc_id).cast("string")), doc_id]
+    first = written(rows.filter("label = 0").orderBy(*order).limit(bounds[0]).union(rows.filter("label = 1").orderBy(*order).limit(bounds[1])), "sample-ids")
+    more = float(np.log(n1 / bounds[1]) - np.log(n0 / bounds[0])) if min(bounds) else 0.0
+    return labelled_sample(docs, first, "label", bound, doc_id, text), more
+
+
 def sample_of_each(rows: DataFrame, key: str, order: Column, bound: int) -> DataFrame:
     """At most ``bound`` rows of each key, the first by ``order``.
 

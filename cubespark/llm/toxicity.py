@@ -2,14 +2,15 @@
 
 Tokens are runs of anything but white space, read by their letters. Labels exist for documents only, so ``fit`` first
 labels tokens: a token of a toxic document is toxic if a beginning of it (``PREFIXES`` letters, or the whole word)
-stands in enough toxic documents and hardly ever in others. A two-state chain (clean, toxic) learns from these tokens;
+stands in more toxic documents than chance explains and hardly ever in others. A two-state chain (clean, toxic) learns from these tokens;
 its features are the whole word, its beginnings and its endings, hashed, so unseen forms of a known stem score too.
 Forward-backward gives each token's marginal; a document's score is a logistic function of their largest and of the sum
 of those of at least ``COUNTED``, so that the many small ones of a long clean text don't add up.
 ``spans`` are the offsets of tokens whose marginal is at least one half, neighbours joined.
 
 Chains start anew every ``CHAIN`` tokens, in training and in scoring alike, so that texts of any length are read whole
-in bounded memory. The model is fitted on at most ``SAMPLE`` labelled documents. Null and empty texts have no tokens and
+in bounded memory. The model is fitted on at most ``SAMPLE`` labelled documents, at least an eighth of them of each
+label where there are so many; the curve is set back to the share of toxic ones among all. Null and empty texts have no tokens and
 score as the curve's value at nothing. Labels other than 0 and 1 are left out; with no label of one class, all scores
 are the smoothed share of label 1.
 """
@@ -28,13 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import SLICE_ROWS, fresh_task
-from .sampling import fit_once, labelled_sample, logistic, probability
+from .sampling import fit_once, logistic, probability, sample_by_class
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BITS, SAMPLE, CHAIN, PREFIXES, SUFFIXES, STEPS, RIDGE, MEMORY = 17, 8000, 128, (4, 5, 6), (3, 4), 150, 1e-4, 200_000
 DIMENSIONS = 1 << BITS
-LEAST_SUPPORT, LEAST_SHARE, MOST_CLEAN, COUNTED = 4, 0.004, 0.03, 0.2
+LEAST_SUPPORT, CHANCE, MOST_CLEAN, COUNTED = 4, 1e-6, 0.03, 0.2
 _NO_LETTER = re.compile(r"[\W\d_]+")
 
 
@@ -108,7 +109,8 @@ def label_stems(docs: list[list[str]], labels: list[int]) -> set[str]:
     seen = (Counter(), Counter())
     for words, label in zip(docs, labels, strict=True):
         seen[label].update(set().union(*map(beginnings, set(words))) if words else ())
-    least = max(LEAST_SUPPORT, LEAST_SHARE * len(docs))
+    # So many documents are all toxic with a chance of at most CHANCE, if the stem has nothing to do with it.
+    least = max(LEAST_SUPPORT, np.log(CHANCE) / np.log(min(0.99, max(1, sum(labels)) / max(2, len(labels)))))
     share = max(1, sum(labels)) / max(1, len(labels) - sum(labels))
     return {s for s, n in seen[1].items() if n >= least and seen[0][s] * share <= MOST_CLEAN * n}
 
@@ -186,7 +188,9 @@ def spans_of(text: str, p: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> dict[str, np.ndarray]:
-    return fit_once(labelled_sample(docs, labels, label, SAMPLE), ["text", "label"], fit)
+    sample, more = sample_by_class(docs, labels, label, SAMPLE)
+    model = fit_once(sample, ["text", "label"], fit)
+    return model | {"curve": model["curve"] + np.array([0.0, 0.0, more])}
 
 
 def tag(df: DataFrame, model: dict[str, np.ndarray], text: str = "text") -> DataFrame:

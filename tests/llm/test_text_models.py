@@ -163,6 +163,33 @@ def test_toxic_spans_and_edges(spark):
     assert toxicity.tag(rows.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize(("n", "toxic"), [(9000, 45), (20_000, 100)])
+def test_rare_toxicity_with_a_wide_lexicon(spark, n, toxic):
+    rng = random.Random(5)
+    plain, bad = ([p + a + b + c for a in "aeiou" for b in "klmnprst" for c in ("a", "o", "in", "et")] for p in ("d", "g"))
+    text = lambda i: " ".join(rng.choices(plain, k=30) + (rng.sample(bad, 12) if i % (n // toxic) == 0 else []))
+    docs = spark.createDataFrame([(i, text(i)) for i in range(n)], "doc_id bigint, text string")
+    labels = docs.selectExpr("doc_id", f"int(doc_id % {n // toxic} = 0) as toxic")
+    model = toxicity.train(docs, labels)
+    fresh = spark.createDataFrame([(i, text(i // 20 * (n // toxic) + i % 20)) for i in range(1000)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in toxicity.tag(fresh, model).collect()}
+    assert all((got[i]["score"] >= 0.5) == (i % 20 == 0) for i in got)
+    assert all(len(got[i]["spans"]) > 0 for i in got if i % 20 == 0)
+
+
+def test_samples_fill_by_class(spark):
+    from cubespark.llm.sampling import class_bounds, sample_by_class
+
+    assert class_bounds(900, 100, 2000) == (900, 100) and class_bounds(90_000, 10_000, 8000) == (7000, 1000)
+    assert class_bounds(99_500, 500, 8000) == (7500, 500) and class_bounds(50, 90_000, 8000) == (50, 7950)
+    assert class_bounds(0, 9000, 8000) == (0, 8000) and class_bounds(60_000, 40_000, 8000) == (4800, 3200)
+    docs = spark.range(4000).selectExpr("id as doc_id", "'a' as text")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 200 = 0) as toxic")
+    sample, more = sample_by_class(docs, labels, "toxic", 400)
+    counts = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    assert counts == {0: 380, 1: 20} and more == pytest.approx(-2.349, abs=1e-3)
+
+
 def test_forward_backward_is_exact():
     import itertools
 
