@@ -2,7 +2,8 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all documents that the one before kept. The two quality stages
 drop what they reject, the third keeps the smallest id of each group of near duplicates, the fourth keeps all documents
-and puts them in the order of the mix (files and rows ascend in it), the last encodes whole texts. All but the last
+and puts them in the order of the mix (files and rows ascend in it), the last encodes whole texts and gives each its
+``position`` in that order, as reading files back promises none. All but the last
 return the columns of ``docs``, extra ones included; extra columns may have any names. Null texts fail the quality
 rules; empty tables give empty tables; rows of equal id count as one document and stay or go together.
 """
@@ -58,13 +59,16 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     done = bpe.encode_decode(docs.select("doc_id", "source", "text"), public_tokenizers.path("word_bpe_49k.json"))
-    return done.select(
+    done = done.select(
         "doc_id",
         "source",
         (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
     )
+    # The schedule depends on ids and sources alone, so these small rows get the places of the mixing stage.
+    mixed = mixing.mix(written(done, "encoded"))
+    return mixed.select(*done.columns, "position")
 
 
 STAGES = [

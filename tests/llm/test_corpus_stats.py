@@ -276,6 +276,17 @@ def test_classifier_stage_rejects_junk_that_passes_the_rules(spark, tmp_path):
     assert kept == ids - set(range(360, 380))
 
 
+def test_encoding_carries_the_mix(spark, docs):
+    import corpus_pipeline
+
+    base = spark.read.parquet(f"{SF}/documents.parquet")
+    mixed = corpus_pipeline.mix(spark, base, SF)
+    order = [r["doc_id"] for r in mixed.select("doc_id").collect()]
+    got = {r["doc_id"]: r["position"] for r in corpus_pipeline.encode(spark, mixed.repartition(3, "doc_id"), SF).collect()}
+    want = {r["doc_id"]: r["position"] for r in queries.op9_mixing(spark, SF).collect()}
+    assert got == want and sorted(got, key=got.get) == order and len(order) == len(docs)
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline
 
