@@ -22,7 +22,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, with_python_columns
+from .common import slices, with_python_columns
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -150,8 +150,7 @@ def read_back(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
 
         for batch in batches:
             types = batch.schema.field(conv).type
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
+            for part in slices(batch, ["segment"]):
                 cols = [part.column(c).to_pylist() for c in (conv, "segment", "loss_start", "loss_end")]
                 for c, segment, a, b in zip(*cols, strict=True):
                     if now is none or c != now:

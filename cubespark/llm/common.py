@@ -4,19 +4,27 @@ from __future__ import annotations
 
 import gc
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from types import ModuleType
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cubespark.sources.scratch import new_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Rows that a task turns into Python objects at a time; bounds its memory whatever Arrow's batch size is.
-SLICE_ROWS = 256
+#: Rows, and bytes of text, that a task turns into Python objects at a time; a longer text is a slice of its own.
+SLICE_ROWS, SLICE_BYTES = 256, 2_000_000
+#: Rows of one key beyond which a join deals the key out to several tasks.
+HOT_ROWS = 10_000
+#: Keys that are broadcast (up to 40 bytes each); beyond that they are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 #: ASCII white space, the only characters that separate words here.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -34,19 +42,44 @@ _ARROW = {
 
 
 def per_worker(make: Callable, *args):
-    """``make(*args)``, once for each Python worker process, which runs many tasks; only the latest is kept."""
-    kept = sys.__dict__.setdefault("_cubespark_kept", {})
+    """``make(*args)``, once for each Python worker process, which runs many tasks; only the latest is kept.
+
+    The code of this module travels with the tasks, so what a worker keeps stands in a module of its own.
+    """
+    kept = sys.modules.setdefault("cubespark_worker", ModuleType("cubespark_worker")).__dict__
     key = (make.__module__, make.__qualname__, args)
-    if key not in kept:
-        kept.clear()
-        kept[key] = make(*args)
-    return kept[key]
+    if kept.get("key") != key:
+        kept.pop("value", None)
+        kept.update(key=key, value=make(*args))
+    return kept["value"]
 
 
-def fresh_task() -> None:
+@contextmanager
+def no_collection():
     """Collect what earlier tasks of this worker left, then hold collection off: a task's own tables have no cycles."""
     gc.collect()
     gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
+def slices(batch: pa.RecordBatch, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most SLICE_ROWS rows and, beyond one row, SLICE_BYTES of text in these columns."""
+    sizes = [0] * batch.num_rows
+    for c in columns:
+        column = batch.column(c)
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            sizes = [a + (b or 0) for a, b in zip(sizes, pc.binary_length(column).to_pylist(), strict=True)]
+    start, held = 0, 0
+    for at, size in enumerate(sizes):
+        if at > start and (at - start == SLICE_ROWS or held + size > SLICE_BYTES):
+            yield batch.slice(start, at - start)
+            start, held = at, 0
+        held += size
+    if start < batch.num_rows:
+        yield batch.slice(start)
 
 
 def with_python_columns(
@@ -68,14 +101,13 @@ def with_python_columns(
     kinds = [_ARROW[k] for k in new.values()]
 
     def run(batches):
-        fresh_task()
-        fn = make()
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
-                got = fn(*(part.column(c).to_pylist() for c in inputs))
-                made = [pa.array(v, type=t) for v, t in zip(got, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + made, names=[*keep, *new])
+        with no_collection():
+            fn = make()
+            for batch in batches:
+                for part in slices(batch, inputs):
+                    got = fn(*(part.column(c).to_pylist() for c in inputs))
+                    made = [pa.array(v, type=t) for v, t in zip(got, kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + made, names=[*keep, *new])
 
     return df.mapInArrow(run, schema)
 
@@ -87,5 +119,41 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame, inner: dict[str, Column], new: tuple[str, ...]) -> DataFrame:
+    """The columns ``inner`` beside ``_row``, a struct of the caller's columns: no name of theirs can clash with an operator's.
+
+    Columns named like a ``new`` one (in any case) are left out, as the operator's own takes their place.
+    """
+    clash = {n.lower() for n in new}
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in clash])
+    return df.select(*[c.alias(name) for name, c in inner.items()], row.alias("_row"))
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Broadcast a written table of keys if it has at most BROADCAST_KEYS rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+
+
+def hot_keys(many: DataFrame, on: str) -> DataFrame | None:
+    """(on, _parts): keys of a written table with over HOT_ROWS rows, and to how many tasks each is dealt; None if there are none."""
+    counts = many.groupBy(on).agg(F.count("*").alias("_n"))
+    if (counts.agg(F.max("_n")).first()[0] or 0) <= HOT_ROWS:
+        return None
+    return small(written(counts.filter(F.col("_n") > HOT_ROWS).select(on, F.ceil(F.col("_n") / HOT_ROWS).alias("_parts")), "hot"))
+
+
+def salted_join(many: DataFrame, one: DataFrame, on: str, deal: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """Join where ``many`` may hold very many rows of the ``hot`` keys, and ``one`` holds one row of each key.
+
+    Rows of a hot key are dealt to several tasks by a hash of column ``deal``; the key's row of ``one`` goes to each.
+    """
+    if hot is None:
+        return many.join(one, on, how)
+    dealt = many.join(hot, on, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(deal), F.col("_parts")), F.lit(0))).drop("_parts")
+    parts = F.sequence(F.lit(0).cast("bigint"), F.coalesce("_parts", F.lit(1)) - 1)
+    copies = one.join(hot, on, "left").withColumn("_part", F.explode(parts)).drop("_parts")
+    return dealt.join(copies, [on, "_part"], how).drop("_part")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

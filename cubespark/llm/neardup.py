@@ -6,14 +6,18 @@ first filled one in an order of its own. ``BANDS`` bands of ``ROWS`` registers p
 0.8 escapes all of them with a chance of 3e-6); a Jaccard estimate from the registers, corrected for chance collisions
 of registers, drops those that are clearly below; the rest are compared on their full shingle sets.
 
-No group is expanded into pairs. Equal sets are one class first. In each band bucket the members are compared with one
-centre, and links give components. Only buckets that still hold several components go on: small ones compare
-members of different components, large ones compare, block by block, what is outside their main component with all
-members. So every candidate pair is either compared or already joined by confirmed links.
+No group is expanded into pairs. Equal sets are one class first, which has a number and one text. In each band bucket the
+members are compared with one centre, and links give components. Only buckets that still hold several components go on:
+small ones compare members of different components; in large ones what is outside the main component meets all members,
+block by block, by registers only, first each stray with its likeliest partner of each component, then with all that the
+estimate lets through. Texts are read for those pairs alone. So every candidate pair is either ruled out by its sizes or
+registers, compared in full, or already joined by confirmed links.
 
 A null text, or one without words, has no shingles and is linked with nothing. A text with fewer words than a shingle
-has its whole sequence as its only shingle. Rows are told apart by ``doc_id``, an integer; rows of equal id count as one
-document, rows of null id are linked with nothing. Empty tables give empty tables.
+has its whole sequence as its only shingle. Texts of any length count whole. ``doc_id`` has any type that sorts; rows of
+equal id count as one document whether or not their texts are equal (but one without words stays alone), rows of null id are linked with nothing (null
+component, not kept). ``component_id`` is the smallest id of a component; no other tie can arise. Columns other than id
+and text aren't read, so their names don't matter. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_worker, with_python_columns, written
+from .common import HOT_ROWS, hot_keys, per_worker, salted_join, small, with_python_columns, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -37,10 +41,8 @@ BUCKETS, BANDS, ROWS, MANTISSA = 256, 42, 6, 10
 MARGIN = 5.0
 #: Members of a band bucket that are compared pair by pair; beyond, in blocks of BLOCK.
 SMALL, BLOCK = 32, 256
-#: Ids that are broadcast (8 bytes each); beyond that they are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
-#: Word hashes that a worker remembers.
-MEMORY = 250_000
+#: Hashes of words of up to 64 bytes that a worker remembers.
+MEMORY, MEMORY_LENGTH = 250_000, 64
 
 
 class WordHashes(dict):
@@ -48,7 +50,7 @@ class WordHashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh64_intdigest(word)
-        if len(self) < MEMORY:
+        if len(self) < MEMORY and len(word) <= MEMORY_LENGTH:
             self[word] = value
         return value
 
@@ -145,30 +147,25 @@ def sketches(df: DataFrame, words: int, text: str = "text") -> DataFrame:
     return with_python_columns(df, [text], kinds, make)
 
 
-def only(df: DataFrame, ids: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
-    """Rows of ``df`` whose id is (or, with ``left_anti``, isn't) in a written table of ids."""
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
-
-
 def components(links: DataFrame) -> DataFrame:
-    """(cid, comp): the smallest id that each linked id reaches; least labels with pointer jumping."""
+    """(cid, comp): the smallest number that each linked class reaches; least labels with pointer jumping."""
     edges = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
+    hubs = hot_keys(edges, "b")
     labels = written(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")).withColumnRenamed("a", "v"), "labels")
     while True:
-        near = edges.join(labels.withColumnRenamed("v", "b"), "b").groupBy("a").agg(F.min("l").alias("m"))
+        near = salted_join(edges, labels.withColumnRenamed("v", "b"), "b", "a", hubs).groupBy("a").agg(F.min("l").alias("m"))
         moved = labels.join(near.withColumnRenamed("a", "v"), "v").select("v", F.col("l").alias("old"), F.least("l", "m").alias("l"))
         jumps = labels.select(F.col("v").alias("l"), F.col("l").alias("to"))
-        moved = written(moved.join(jumps, "l").select("v", "old", F.least("l", "to").alias("l")), "labels")
+        moved = written(moved, "moved")
+        moved = written(salted_join(moved, jumps, "l", "v", hot_keys(moved, "l")).select("v", "old", F.least("l", "to").alias("l")), "labels")
         labels = moved.select("v", "l")
         if moved.filter("old <> l").isEmpty():
             return labels.select(F.col("v").alias("cid"), F.col("l").alias("comp"))
 
 
-def _checked(pairs: DataFrame, reps: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) that are linked: sizes, then registers, then full sets."""
-    side = lambda x: reps.select(F.col("cid").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
-    known = pairs.join(side("a"), "a").join(side("b"), "b")
-    known = known.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+def _likely(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows whose sizes na, nb and registers ra, rb allow a link."""
+    rows = rows.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
 
     def estimate():
         def run(na, nb, ra, rb):
@@ -180,8 +177,16 @@ def _checked(pairs: DataFrame, reps: DataFrame, texts: DataFrame, words: int, pe
 
         return run
 
-    likely = with_python_columns(known, ["na", "nb", "ra", "rb"], {"likely": "boolean"}, estimate).filter("likely").select("a", "b")
-    likely = written(likely, "likely")
+    return with_python_columns(rows, ["na", "nb", "ra", "rb"], {"likely": "boolean"}, estimate).filter("likely").select("a", "b")
+
+
+def _with_both(pairs: DataFrame, side) -> DataFrame:
+    """Distinct pairs with the columns of both sides; a class that stands in very many pairs is dealt to several tasks."""
+    return salted_join(salted_join(pairs, side("a"), "a", "b", hot_keys(pairs, "a")), side("b"), "b", "a", hot_keys(pairs, "b"))
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those of the written, distinct pairs (a, b) whose full sets are linked."""
 
     def confirm():
         hashes = per_worker(WordHashes)
@@ -191,89 +196,124 @@ def _checked(pairs: DataFrame, reps: DataFrame, texts: DataFrame, words: int, pe
 
         return run
 
-    text = lambda x: texts.select(F.col("cid").alias(x), F.col("text").alias(f"t{x}"))
-    full = likely.join(text("a"), "a").join(text("b"), "b")
+    full = _with_both(pairs, lambda x: texts.select(F.col("cid").alias(x), F.col("text").alias(f"t{x}")))
     return with_python_columns(full, ["ta", "tb"], {"same": "boolean"}, confirm).filter("same").select("a", "b")
 
 
-def _blocks(rows: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links in large buckets. rows: (band, cid, comp, m); all that is outside the main component meets all members.
+def _checked(pairs: DataFrame, reps: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those of the written, distinct pairs (a, b) that are linked: sizes, then registers, then full sets."""
+    side = lambda x: reps.select(F.col("cid").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
+    likely = written(_likely(_with_both(pairs, side), percent), "likely")
+    return _confirmed(likely, texts, words, percent)
+
+
+def _blocks(rows: DataFrame, reps: DataFrame, percent: int, first: bool) -> DataFrame:
+    """Candidate pairs (a, b) in large buckets, by registers. rows: (band, cid, comp, m).
 
-    What is known of each bucket is a small table of its own, joined without dealing the members out by bucket.
+    All that is outside the main component of a bucket meets all members, block by block; ``first`` gives each stray its
+    likeliest partner of each other component in a block, otherwise all that may be linked come. What is known of each
+    bucket is a small table of its own, joined without dealing the members out by bucket.
     """
     sizes = rows.groupBy("band", "m", "comp").agg(F.count("*").alias("n"))
-    known = sizes.groupBy("band", "m").agg(F.max_by("comp", "n").alias("main"), F.max("n").alias("most"))
+    known = sizes.groupBy("band", "m").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("most"))
     known = known.select("band", "main", F.ceil(F.col("m") / BLOCK).alias("mb"), F.ceil((F.col("m") - F.col("most")) / BLOCK).alias("sb"))
-    known = written(known, "large-buckets")
-    rows = rows.drop("m").join(F.broadcast(known) if known.count() <= BROADCAST_IDS else known, "band")
+    rows = rows.drop("m").join(small(written(known, "large-buckets")), "band")
     place = lambda n: F.pmod(F.xxhash64("cid", "band"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    keep = ["band", "cid", "comp"]
+    rows = rows.join(reps.select("cid", "n_shingles", "regs"), "cid")  # a class stands in at most BANDS buckets
+    keep = ["band", "cid", "comp", "n_shingles", "regs"]
     members = rows.select(*keep, F.lit(False).alias("stray"), place("mb").alias("x"), every("sb").alias("y"))
     outside = rows.filter("comp <> main").select(*keep, F.lit(True).alias("stray"), every("mb").alias("x"), place("sb").alias("y"))
-    met = members.union(outside).join(texts, "cid")
 
     def run(table: pa.Table) -> pa.Table:
-        hashes, sketcher = per_worker(WordHashes), Sketcher()
-        cids, comps, stray = (table.column(c).to_pylist() for c in ("cid", "comp", "stray"))
-        sets: dict[int, np.ndarray] = {}
-        for c, t in zip(cids, table.column("text"), strict=True):
-            if c not in sets:
-                sets[c] = shingle_set(t.as_py(), words, hashes)
-        regs = {c: sketcher.registers(s) for c, s in sets.items()}
-        many = [i for i, s in enumerate(stray) if not s]
-        matrix = np.stack([regs[cids[i]] for i in many]) if many else np.zeros((0, BUCKETS), np.uint16)
-        sizes = np.array([len(sets[cids[i]]) for i in many])
-        found = []
-        for i in (i for i, s in enumerate(stray) if s):
-            own, done = sets[cids[i]], {comps[i]}
-            fine = may_link((matrix == regs[cids[i]]).mean(axis=1), sizes, np.full(len(many), len(own)), percent)
-            for j in np.flatnonzero(fine):
-                k = many[j]
-                if comps[k] not in done and linked(own, sets[cids[k]], percent):
-                    done.add(comps[k])
-                    found.append((min(cids[i], cids[k]), max(cids[i], cids[k])))
-        a, b = zip(*found, strict=True) if found else ((), ())
+        get = lambda c: np.array(table.column(c).to_pylist())
+        cid, comp, size, stray = map(get, ("cid", "comp", "n_shingles", "stray"))
+        regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+        many = np.flatnonzero(~stray)
+        pairs = []
+        for i in np.flatnonzero(stray):
+            share = (regs[many] == regs[i]).mean(axis=1)
+            n, other = size[many], size[i]
+            fine = may_link(share, n, np.full(len(many), other), percent) & (comp[many] != comp[i])
+            fine &= 100 * np.minimum(n, other) >= percent * np.maximum(n, other)
+            found = np.flatnonzero(fine)
+            if first:  # the best of each component
+                found = found[np.argsort(-share[found], kind="stable")]
+                found = found[np.unique(comp[many[found]], return_index=True)[1]]
+            pairs += [(min(cid[i], c), max(cid[i], c)) for c in cid[many[found]]]
+        a, b = zip(*pairs, strict=True) if pairs else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return met.groupBy("band", "x", "y").applyInArrow(run, "a bigint, b bigint")
+    return members.union(outside).groupBy("band", "x", "y").applyInArrow(run, "a bigint, b bigint").distinct()
+
+
+def classes(sk: DataFrame) -> DataFrame:
+    """One row for each distinct set: its number ``cid``, digest, size, bands, registers, smallest id and a row with its text."""
+    some = sk.filter(F.col("digest").isNotNull() & F.col("id").isNotNull())
+    first = some.groupBy("digest").agg(F.min_by(F.struct("n_shingles", "bands", "regs"), F.struct("id", "mark")).alias("r"), F.min(F.struct("id", "mark")).alias("at"), F.count("*").alias("n"))
+    return written(first.select(F.monotonically_increasing_id().alias("cid"), "digest", "n", "at.id", "at.mark", "r.*"), "classes")
+
+
+def _same_id(sk: DataFrame, reps: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Links between classes that share an id: a row of one id with a text of another set."""
+    pairs = sk.join(repeated.filter("low <> high").select("id", "low"), "id").filter("digest <> low").select("low", "digest").distinct()
+    number = lambda name, digest: reps.select(F.col("cid").alias(name), F.col("digest").alias(digest))
+    return pairs.join(number("a", "low"), "low").join(number("b", "digest"), "digest").select("a", "b")
 
 
 def near_duplicates(
     df: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row: kept is the smallest id of each component."""
-    slim = df.select(F.col(doc_id).cast("long").alias("cid"), F.col(text).alias("text"))
+    slim = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
     sk = written(sketches(slim, words).drop("text"), "sketches")
-    some = sk.filter(F.col("digest").isNotNull() & F.col("cid").isNotNull())
-    first = some.groupBy("digest").agg(F.min_by(F.struct("n_shingles", "bands", "regs"), "cid").alias("r"), F.min("cid").alias("cid"))
-    reps = written(first.select("digest", "cid", "r.*"), "classes")
+    reps = classes(sk)
     buckets = reps.select("cid", F.explode("bands").alias("band"))
     centres = buckets.groupBy("band").agg(F.count("*").alias("m"), F.min("cid").alias("centre")).filter("m > 1")
     multi = written(buckets.join(centres, "band"), "buckets")
-    ids = written(multi.select("cid").distinct(), "candidates")
-    texts = written(only(slim, ids, "cid").dropDuplicates(["cid"]) if _repeats(slim) else only(slim, ids, "cid"), "texts")
+    found = written(multi.select("cid").distinct().join(reps.select("cid", "id", "mark"), "cid"), "candidates")
+    ids = sk.filter(F.col("id").isNotNull()).groupBy("id").agg(F.count("*").alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high"))
+    repeated = written(ids.filter("n > 1"), "repeated")
+    texts = slim.join(small(found), ["id", "mark"]).select("cid", "text")
+    texts = written(texts if repeated.isEmpty() else texts.groupBy("cid").agg(F.min("text").alias("text")), "texts")
     tried = written(multi.filter("cid <> centre").select(F.col("centre").alias("a"), F.col("cid").alias("b")).distinct(), "pairs")
-    links = written(_checked(tried, reps, texts, words, percent), "links")
+    links = written(_checked(tried, reps, texts, words, percent).union(_same_id(sk, reps, repeated)), "links")
     labels = components(links)
-    named = multi.join(labels, "cid", "left").select("band", "m", "cid", F.coalesce("comp", "cid").alias("comp"))
-    split = named.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("band")
-    open_ = written(named.join(split, "band"), "open")
-    one, two = (open_.filter(F.col("m") <= SMALL).select("band", F.col("cid").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
+
+    def still_open(labels: DataFrame) -> DataFrame:
+        """(band, cid, comp, m) of buckets that hold several components."""
+        named = multi.join(labels, "cid", "left").select("band", "m", "cid", F.coalesce("comp", "cid").alias("comp"))
+        split = named.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("band")
+        return written(named.join(split, "band"), "open")
+
+    def join_in(links: DataFrame, labels: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+        more = written(more, "links")
+        return (links, labels) if more.isEmpty() else (links.union(more), components(links.union(more)))
+
+    opened = still_open(labels)
+    if opened.isEmpty():
+        return _named(sk, reps, labels)
+    one, two = (opened.filter(F.col("m") <= SMALL).select("band", F.col("cid").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
     pairs = one.join(two, "band").filter("a < b AND ca <> cb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    large = open_.filter(F.col("m") > SMALL)
-    more = _checked(pairs, reps, texts, words, percent).union(_blocks(large, texts, words, percent))
-    more = written(more.distinct(), "links")
-    if not more.isEmpty():
-        labels = components(links.union(more))
-    classes = reps.select("digest", F.col("cid").alias("class")).join(labels.select(F.col("cid").alias("class"), "comp"), "class", "left")
-    done = sk.select("cid", "n_shingles", "digest").join(classes.select("digest", F.coalesce("comp", "class").alias("comp")), "digest", "left")
-    comp = F.when(F.col("cid").isNotNull(), F.coalesce("comp", "cid"))
-    return done.select(
-        F.col("cid").alias("doc_id"), "n_shingles", comp.alias("component_id"), F.coalesce(comp == F.col("cid"), F.lit(False)).alias("kept")
-    )
-
-
-def _repeats(slim: DataFrame) -> bool:
-    """Whether an id occurs twice."""
-    return not slim.groupBy("cid").count().filter("count > 1").isEmpty()
+    more = _checked(written(pairs, "pairs"), reps, texts, words, percent)
+    large = opened.filter(F.col("m") > SMALL)
+    if large.isEmpty():
+        return _named(sk, reps, join_in(links, labels, more)[1])
+    best = written(_blocks(large, reps, percent, first=True).join(tried, ["a", "b"], "left_anti"), "best")
+    links, labels = join_in(links, labels, more.union(_confirmed(best, texts, words, percent)).distinct())
+    large = still_open(labels).filter(F.col("m") > SMALL)
+    if not best.isEmpty() and not large.isEmpty():
+        rest = _blocks(large, reps, percent, first=False).join(tried.union(best), ["a", "b"], "left_anti")
+        labels = join_in(links, labels, _confirmed(written(rest, "rest"), texts, words, percent))[1]
+    return _named(sk, reps, labels)
+
+
+def _named(sk: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
+    """The component of each row, by its smallest id."""
+    known = written(reps.select("cid", "digest", "n", "id").join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")), "named")
+    least = known.groupBy("comp").agg(F.min("id").alias("component_id"))
+    sets = salted_join(known, least, "comp", "cid", hot_keys(known, "comp")).select("digest", "component_id")
+    hot = written(reps.filter(F.col("n") > HOT_ROWS).select("digest", F.ceil(F.col("n") / HOT_ROWS).alias("_parts")), "hot")
+    done = salted_join(sk.select("id", "n_shingles", "digest"), sets, "digest", "id", None if hot.isEmpty() else small(hot), how="left")
+    comp = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
+    return done.select(F.col("id").alias("doc_id"), "n_shingles", comp.alias("component_id"), F.coalesce(comp == F.col("id"), F.lit(False)).alias("kept"))

@@ -69,12 +69,35 @@ def near_rows(rng, groups, size, length):
 def test_large_near_group_loses_no_link(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SMALL", 8)
     monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "ROWS", 1)  # buckets of whole groups, and of texts that aren't linked
     rows = near_rows(random.Random(6), 3, 70, 60)
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df, words=2).collect()}
     assert got == brute_components(rows, 2)
 
 
+def test_unequal_texts_of_one_id_keep_their_links(spark):
+    rows = [(1, "a b c d e f"), (1, "p q r s t u"), (2, "a b c d e f"), (3, "p q r s t u"), (4, "p q r s t u v"), (5, "k l m")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(df, words=2).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 5)}
+    named = df.selectExpr("concat('d', doc_id) AS doc_id", "text").filter("doc_id <> 'd1'")
+    got = {(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(named, words=2).collect()}
+    assert got == {("d2", "d2"), ("d3", "d3"), ("d4", "d3"), ("d5", "d5")}
+
+
+def test_hot_keys_are_dealt_out(spark, monkeypatch):
+    from cubespark.llm import common
+
+    for module in (common, neardup):
+        monkeypatch.setattr(module, "HOT_ROWS", 7)
+    rows = near_rows(random.Random(8), 2, 40, 60)
+    rows += [(100 + i, rows[3][1]) for i in range(50)] + [(200 + i, f"{rows[5][1]} y{i % 9}") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df, words=2).collect()}
+    assert got == brute_components(rows, 2)
+
+
 def test_near_duplicate_edges(spark):
     long = " ".join(f"v{i % 7919}" for i in range(60_000))
     rows = [(1, None), (2, ""), (3, " \n"), (4, "one"), (5, "ONE"), (6, "a b"), (7, "a  b"), (8, long), (9, long + " end"), (9, long + " end"), (None, "a b")]
