@@ -7,7 +7,9 @@ Nyström map; one-versus-rest kernel ridge regression on at most ``TRAIN`` texts
 map and the weights fold into one matrix, so scoring is two matrix products for a batch of texts.
 
 A null text, or one without a letter, is ``und`` with score 0. Ties go to the language that sorts first. If nothing can
-be learned (no labelled text), every text is ``und``.
+be learned (no labelled text), every text is ``und``. Texts of any length are read whole. Repeated rows get equal results
+and count once in the sample; rows without an id aren't learned from. An empty table gives an empty table. Columns of the
+input named like a new one are replaced, all others pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import with_python_columns
-from .sampling import fit_once, sample_of_each
+from .sampling import first_of_each, fit_once
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -29,7 +31,6 @@ UNKNOWN = "und"
 FOLD = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
 
-
 def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
@@ -78,13 +79,12 @@ def fit(texts: list[str], langs: list[str]) -> dict[str, np.ndarray]:
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> dict[str, np.ndarray]:
     """A model from the documents with a text and a language; ``doc_id`` only orders the sample."""
-    known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    some = sample_of_each(known.select(lang, doc_id), lang, F.md5(F.col(doc_id).cast("string")), TRAIN).filter(F.col(doc_id).isNotNull())
-    some = some.withColumnsRenamed({lang: "_lang", doc_id: "_id"})
-    picked = known.select(lang, doc_id, text).join(F.broadcast(some), (F.col(doc_id) == F.col("_id")) & (F.col(lang) == F.col("_lang")))
-    picked = picked.groupBy(doc_id, lang).agg(F.min(text).alias("text")).orderBy(F.md5(F.col(doc_id).cast("string")))
-    model = fit_once(picked.select("text", F.col(lang).alias("label")), ["text", "label"], _fit_ordered)
-    return model
+    known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull())
+    known = known.select(F.col(lang).alias("label"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    sizes = known.groupBy("label").agg(F.count("*").alias("n")).withColumn("bound", F.lit(TRAIN))
+    first = first_of_each(known, "label", "id", sizes)  # at most TRAIN rows of each language
+    picked = known.join(F.broadcast(first.distinct()), ["id", "label"]).groupBy("id", "label").agg(F.min("text").alias("text"))
+    return fit_once(picked, ["text", "label"], _fit_ordered)
 
 
 def _fit_ordered(texts: list[str], langs: list[str]) -> dict[str, np.ndarray]:

@@ -5,9 +5,11 @@ how a word is cased, which kinds of other characters it holds, and whether it re
 scaled by the log-count ratio of the two classes, rows have unit length, and dual coordinate descent fits a linear
 hinge-loss model. A logistic curve, fitted on rows held back from it, turns margins into scores.
 
-The model is fitted on at most ``SAMPLE`` labelled documents. Null and empty texts have no features and get the score
+The model is fitted on at most ``SAMPLE`` labelled documents, at least an eighth of them of each label where there are so
+many, and set back to the share of label 1 among all. Null and empty texts have no features and get the score
 of the intercept alone. Labels other than 0 and 1 are left out; with no label of one class, all scores are the smoothed share
-of label 1.
+of label 1. Texts of any length are read whole. Repeated rows get equal scores (no ties to break) and count once in the
+sample. An empty table gives an empty table. Columns named ``score`` are replaced, all others pass through.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ _UPPER, _LETTERS, _DIGITS, _RUN = (re.compile(p) for p in (r"[A-ZÀ-ÖØ-Þ]{2,}
 
 def shape(word: str) -> str:
     """``Word,`` -> ``w,``; ``WORD!!`` -> ``U!+``; ``word$$$`` -> ``w$+``; ``1.2`` -> ``9.9``."""
-    return _RUN.sub(r"\1+", _DIGITS.sub("9", _LETTERS.sub("w", _UPPER.sub("U", word))))[:12]
+    return _RUN.sub(r"\1+", _DIGITS.sub("9", _LETTERS.sub("w", _UPPER.sub("U", word))))
 
 
 class Words(dict):
@@ -40,7 +42,7 @@ class Words(dict):
 
     def __missing__(self, word: str) -> int:
         value = xxhash.xxh32_intdigest(word.lower()) << 32 | xxhash.xxh32_intdigest(shape(word), seed=1)
-        if len(self) < MEMORY:
+        if len(self) < MEMORY and len(word) <= 64:
             self[word] = value
         return value
 
@@ -112,7 +114,10 @@ def fit(texts: list[str], labels: list[int]) -> dict[str, np.ndarray]:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> dict[str, np.ndarray]:
-    return fit_once(labelled_sample(docs, labels, label, SAMPLE), ["text", "label"], fit)
+    """A model from at most SAMPLE labelled documents, set back to the share of label 1 among all."""
+    sample, more = labelled_sample(docs, labels, label, SAMPLE)
+    model = fit_once(sample, ["text", "label"], fit)
+    return model | {"curve": model["curve"] + np.array([0.0, more])}
 
 
 def score(df: DataFrame, model: dict[str, np.ndarray], text: str = "text") -> DataFrame:

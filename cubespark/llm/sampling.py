@@ -22,17 +22,6 @@ def id_modulo(doc_id: str, n: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % n
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(text, label) of at most ``bound`` labelled documents, the first by a hash of their ids.
-
-    Labels other than 0 and 1 are left out; of repeated ids one label (the largest) and one row count.
-    """
-    rows = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(label).alias("label"))
-    first = written(rows.orderBy(F.md5(F.col(doc_id).cast("string")), doc_id).limit(bound), "sample-ids")
-    found = docs.select(doc_id, F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(first), doc_id)
-    return found.groupBy(doc_id).agg(F.min("text").alias("text"), F.min("label").alias("label")).select("text", "label")
-
-
 def class_bounds(n0: int, n1: int, bound: int) -> tuple[int, int]:
     """How many of n0 and n1 rows a sample of ``bound`` takes: in proportion, but of each at least an eighth of it or all."""
     least = bound // 8
@@ -41,28 +30,42 @@ def class_bounds(n0: int, n1: int, bound: int) -> tuple[int, int]:
     return k0, min(n1, bound - k0)
 
 
-def sample_by_class(docs: DataFrame, labels: DataFrame, label: str, bound: int, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, float]:
-    """As ``labelled_sample``, filled by ``class_bounds``, and the log odds of label 1 in all less those in the sample."""
-    rows = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(label).alias("label"))
-    rows = written(rows.join(docs.select(doc_id), doc_id, "left_semi"), "sample-labels")
-    n0, n1 = rows.agg(F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1)).first()
-    bounds = class_bounds(n0, n1, bound)
-    order = [F.md5(F.col(doc_id).cast("string")), doc_id]
-    first = written(rows.filter("label = 0").orderBy(*order).limit(bounds[0]).union(rows.filter("label = 1").orderBy(*order).limit(bounds[1])), "sample-ids")
-    more = float(np.log(n1 / bounds[1]) - np.log(n0 / bounds[0])) if min(bounds) else 0.0
-    return labelled_sample(docs, first, "label", bound, doc_id, text), more
+def first_of_each(rows: DataFrame, key: str, doc_id: str, bounds: DataFrame) -> DataFrame:
+    """(key, doc_id) of the first rows of each key by a hash of the id; bounds: (key, n, bound) with n rows of the key.
 
-
-def sample_of_each(rows: DataFrame, key: str, order: Column, bound: int) -> DataFrame:
-    """At most ``bound`` rows of each key, the first by ``order``.
-
-    First of each of 16 parts of a key, then of the key: no task gets more than 16 times the bound of one key, however
-    many rows and tasks there are.
+    Only rows whose hash is below a limit that about ``bound`` of n rows meet are ranked, so that few rows move and no
+    task gets many of one key, however many it has. A key that the limit left short gets one four times as high.
+    """
+    at = F.xxhash64(F.col(doc_id).cast("string"))
+    bounds = written(bounds.filter("bound > 0"), "bounds")
+    near, factor = None, 1
+    while near is None or not short.isEmpty():
+        limit = factor * (F.col("bound") + 6 * F.sqrt("bound") + 20) / F.col("n")
+        near = rows.select(key, doc_id, at.alias("_at")).join(F.broadcast(bounds), key)
+        near = written(near.filter(F.col("_at") / 2.0**64 + 0.5 <= limit).drop("n"), "near")
+        short = bounds.join(near.groupBy(key).agg(F.count("*").alias("got")), key, "left")
+        short = short.filter((F.coalesce("got", F.lit(0)) < F.least("n", "bound")) & (factor * F.col("bound") < F.col("n")))
+        factor *= 4
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("_at", doc_id))
+    return written(near.withColumn("_n", rank).filter(F.col("_n") <= F.col("bound")).select(key, doc_id), "sample-ids")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, float]:
+    """(text, label) of at most ``bound`` labelled documents, filled by ``class_bounds``, each class by a hash of its ids.
+
+    Also the log odds of label 1 among all labelled documents less those in the sample. Labels other than 0 and 1 are
+    left out; of repeated ids one label (the largest) and one text count.
     """
-    rows = rows.withColumn("_order", order).withColumn("_part", F.pmod(F.xxhash64("_order"), F.lit(16)))
-    for keys in ([key, "_part"], [key]):
-        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_order"))).filter(F.col("_n") <= bound)
-    return rows.drop("_n", "_order", "_part")
+    rows = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("label"))
+    rows = written(rows.join(docs.select(F.col(doc_id).alias("id")), "id", "left_semi"), "sample-labels")
+    n = rows.agg(F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1)).first()
+    bounds = class_bounds(*n, bound)
+    sizes = docs.sparkSession.createDataFrame([(i, n[i], bounds[i]) for i in (0, 1)], "label int, n bigint, bound bigint")
+    first = first_of_each(rows, "label", "id", sizes)  # at most ``bound`` rows
+    found = docs.select(F.col(doc_id).alias("id"), F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(first), "id")
+    sample = written(found.groupBy("id").agg(F.min("text").alias("text"), F.min("label").alias("label")).select("text", "label"), "sample")
+    more = float(np.log(n[1] / bounds[1]) - np.log(n[0] / bounds[0])) if min(bounds) else 0.0
+    return sample, more
 
 
 def fit_once(sample: DataFrame, columns: list[str], fit: Callable[..., dict[str, np.ndarray]]) -> dict[str, np.ndarray]:

@@ -1,6 +1,6 @@
 """Toxicity by a linear-chain conditional random field.
 
-Tokens are runs of anything but white space, read by their letters. Labels exist for documents only, so ``fit`` first
+Tokens are runs of anything but white space, read by their letters. Labels exist for documents only, so training first
 labels tokens: a token of a toxic document is toxic if a beginning of it (``PREFIXES`` letters, or the whole word)
 stands in more toxic documents than chance explains and hardly ever in others. A two-state chain (clean, toxic) learns from these tokens;
 its features are the whole word, its beginnings and its endings, hashed, so unseen forms of a known stem score too.
@@ -8,35 +8,41 @@ Forward-backward gives each token's marginal; a document's score is a logistic f
 of those of at least ``COUNTED``, so that the many small ones of a long clean text don't add up.
 ``spans`` are the offsets of tokens whose marginal is at least one half, neighbours joined.
 
-Chains start anew every ``CHAIN`` tokens, in training and in scoring alike, so that texts of any length are read whole
-in bounded memory. The model is fitted on at most ``SAMPLE`` labelled documents, at least an eighth of them of each
-label where there are so many; the curve is set back to the share of toxic ones among all. Null and empty texts have no tokens and
-score as the curve's value at nothing. Labels other than 0 and 1 are left out; with no label of one class, all scores
-are the smoothed share of label 1.
+Chains start anew every ``CHAIN`` tokens, in training and in scoring alike, and texts are read ``PIECE`` characters at a
+time, so that texts of any length are read whole in bounded memory. Training uses at most ``SAMPLE`` labelled documents, at
+least an eighth of them of each label where there are so many: their stems are counted and their chains cut by Spark, the
+chain model is fitted on at most ``CHAINS`` chains, and the curve on the summaries of all of them, set back to the share of
+toxic ones among all. Null and empty texts have no tokens and score as the curve's value at nothing. Labels other than 0
+and 1 are left out; with no label of one class, all scores are the smoothed share of label 1. Repeated rows get equal
+scores and count once in the sample; no ties arise. An empty table gives an empty table. Columns named ``score`` or
+``spans`` are replaced, all others pass through.
 """
 
 from __future__ import annotations
 
 import re
 import sys
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE_ROWS, fresh_task
-from .sampling import fit_once, logistic, probability, sample_by_class
+from .common import no_collection, slices, with_python_columns, written
+from .sampling import fit_once, labelled_sample, logistic, probability
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BITS, SAMPLE, CHAIN, PREFIXES, SUFFIXES, STEPS, RIDGE, MEMORY = 17, 8000, 128, (4, 5, 6), (3, 4), 150, 1e-4, 200_000
+BITS, SAMPLE, CHAINS, CHAIN, PREFIXES, SUFFIXES, STEPS, RIDGE = 17, 8000, 16_000, 128, (4, 5, 6), (3, 4), 150, 1e-4
+#: Characters read at a time; letters of a word that counts as a whole; tokens that a task remembers.
+PIECE, WORD, MEMORY = 1_000_000, 64, 200_000
 DIMENSIONS = 1 << BITS
 LEAST_SUPPORT, CHANCE, MOST_CLEAN, COUNTED = 4, 1e-6, 0.03, 0.2
-_NO_LETTER = re.compile(r"[\W\d_]+")
+_NO_LETTER, _TOKEN, _SPACE = re.compile(r"[\W\d_]+"), re.compile(r"\S+"), re.compile(r"\s")
 
 
 def letters(token: str) -> str:
@@ -44,7 +50,7 @@ def letters(token: str) -> str:
 
 
 def beginnings(word: str) -> set[str]:
-    return {word[:n] for n in PREFIXES if len(word) >= n} | {word + "$"}
+    return {word[:n] for n in PREFIXES if len(word) >= n} | ({word + "$"} if len(word) <= WORD else set())
 
 
 def feature_ids(word: str) -> list[int]:
@@ -52,8 +58,17 @@ def feature_ids(word: str) -> list[int]:
     return [xxhash.xxh32_intdigest(n) >> (32 - BITS) for n in names if word]
 
 
+def pieces(text: str | None) -> Iterator[tuple[int, str]]:
+    """The text with its offsets, cut at white space after every ``PIECE`` characters."""
+    text, at = text or "", 0
+    while len(text) - at > PIECE and (space := _SPACE.search(text, at + PIECE)):
+        yield at, text[at : space.start()]
+        at = space.start()
+    yield at, text[at:]
+
+
 def chains(values: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of CHAIN values, each from one document, and which of them are real."""
+    """Columns of CHAIN values, each from one document, and which of them are real."""
     n = np.array(lengths, np.int64)
     rows = -(-n // CHAIN)
     out, real = np.zeros((rows.sum(), CHAIN)), np.zeros((rows.sum(), CHAIN), bool)
@@ -63,31 +78,34 @@ def chains(values: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarr
     return out, real
 
 
-def marginals(score: np.ndarray, real: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Chance of the toxic state for each token, and the expected transitions summed over all chains.
+def marginals(score: np.ndarray, real: np.ndarray, move: np.ndarray, with_moves: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """Chance of the toxic state for each token and, if asked for, the expected transitions summed over all chains.
 
     score: log-potential of toxic against clean; move: log-potentials of transitions, row 2 those of the first token.
+    With two states, a message is one number: what it says of toxic over what it says of clean.
     """
-    up, t = np.exp(np.clip(score, -30, 30)), np.exp(move)
-    n = score.shape[1]
-    ahead, back = np.empty((*score.shape, 2)), np.ones((*score.shape, 2))
-    ahead[:, 0] = t[2] * np.stack([np.ones(len(up)), up[:, 0]], 1)
-    ahead[:, 0] /= ahead[:, 0].sum(axis=1, keepdims=True)
-    for i in range(1, n):
-        a = (ahead[:, i - 1] @ t[:2]) * np.stack([np.ones(len(up)), up[:, i]], 1)
-        ahead[:, i] = a / a.sum(axis=1, keepdims=True)
-    for i in range(n - 2, -1, -1):
-        b = (back[:, i + 1] * np.stack([np.ones(len(up)), up[:, i + 1]], 1)) @ t[:2].T
-        back[:, i] = np.where(real[:, i + 1, None], b / b.sum(axis=1, keepdims=True), 1.0)
+    up, t = np.exp(np.clip(score.T, -30, 30)), np.exp(move)
+    on = np.ascontiguousarray(real.T)
+    ahead, back = np.empty_like(up), np.ones_like(up)
+    if not score.size:
+        return np.zeros_like(score), np.zeros((3, 2))
+    ahead[0] = up[0] * (t[2, 1] / t[2, 0])
+    for i in range(1, len(up)):
+        ahead[i] = up[i] * (t[0, 1] + ahead[i - 1] * t[1, 1]) / (t[0, 0] + ahead[i - 1] * t[1, 0])
+    for i in range(len(up) - 2, -1, -1):
+        b = back[i + 1] * up[i + 1]
+        back[i] = np.where(on[i + 1], (t[1, 0] + b * t[1, 1]) / (t[0, 0] + b * t[0, 1]), 1.0)
     both = ahead * back
-    p = np.where(real, both[..., 1] / both.sum(axis=2), 0.0)
+    p = np.where(on, both / (1 + both), 0.0)
+    if not with_moves:
+        return p.T, None
     moves = np.zeros((3, 2))
-    if len(score):
-        moves[2] = [(1 - p[:, 0])[real[:, 0]].sum(), p[:, 0].sum()]
-        pair = ahead[:, :-1, :, None] * t[None, None, :2, :] * (back[:, 1:] * np.stack([np.ones_like(up[:, 1:]), up[:, 1:]], 2))[:, :, None, :]
-        pair /= pair.sum(axis=(2, 3), keepdims=True)
-        moves[:2] = (pair * real[:, 1:, None, None]).sum(axis=(0, 1))
-    return p, moves
+    moves[2] = [(1 - p[0])[on[0]].sum(), p[0].sum()]
+    b, a = back[1:] * up[1:], ahead[:-1]
+    each = [np.full_like(a, t[0, 0]), t[0, 1] * b, t[1, 0] * a, t[1, 1] * a * b]
+    scale = on[1:] / sum(each)
+    moves[:2] = np.array([(e * scale).sum() for e in each]).reshape(2, 2)
+    return p.T, moves
 
 
 class Emissions(dict):
@@ -99,58 +117,80 @@ class Emissions(dict):
 
     def __missing__(self, token: str) -> float:
         value = float(self.weights[feature_ids(letters(token))].sum() + self.bias)
-        if len(self) < MEMORY:
+        if len(self) < MEMORY and len(token) <= WORD:
             self[token] = value
         return value
 
 
-def label_stems(docs: list[list[str]], labels: list[int]) -> set[str]:
-    """Beginnings that mark a word as toxic."""
-    seen = (Counter(), Counter())
-    for words, label in zip(docs, labels, strict=True):
-        seen[label].update(set().union(*map(beginnings, set(words))) if words else ())
-    # So many documents are all toxic with a chance of at most CHANCE, if the stem has nothing to do with it.
-    least = max(LEAST_SUPPORT, np.log(CHANCE) / np.log(min(0.99, max(1, sum(labels)) / max(2, len(labels)))))
-    share = max(1, sum(labels)) / max(1, len(labels) - sum(labels))
-    return {s for s, n in seen[1].items() if n >= least and seen[0][s] * share <= MOST_CLEAN * n}
-
-
-def fit(texts: list[str], labels: list[int]) -> dict[str, np.ndarray]:
-    rows = sorted(zip(texts, labels, strict=True))
-    read: dict[str, str] = {}  # one string object for each word, however often it stands
-    docs = [[read.setdefault(t, letters(t)) if t not in read else read[t] for t in text.split()] for text, _ in rows]
-    labels = [y for _, y in rows]
-    prior = (1 + sum(labels)) / (2 + len(labels))
-    model = {"weights": np.zeros(DIMENSIONS), "bias": np.array(0.0), "move": np.zeros((3, 2)), "curve": np.array([0.0, 0.0, np.log(prior / (1 - prior))])}
-    if len(set(labels)) < 2:
-        return model
-    stems = label_stems(docs, labels)
-    kept, truth = [], []  # chains with a toxic token, and about as many others from either class
-    rng = np.random.default_rng(2)
-    share = min(1.0, 4 * sum(labels) / max(1, sum(-(-len(d) // CHAIN) for d in docs)))
-    for words, label in zip(docs, labels, strict=True):
-        for i in range(0, len(words), CHAIN):
-            part = words[i : i + CHAIN]
-            tags = [bool(label and w and not stems.isdisjoint(beginnings(w))) for w in part]
-            if any(tags) or rng.random() < share:
-                kept.append(part)
-                truth += tags
-    vocab = {w: i for i, w in enumerate(sorted({w for p in kept for w in p}))}
-    ids = np.array([vocab[w] for p in kept for w in p])
+def least_support(labelled: int, toxic: int) -> float:
+    """Toxic documents that a stem must stand in: so many are all toxic by chance with a probability of at most CHANCE."""
+    return max(LEAST_SUPPORT, float(np.log(CHANCE) / np.log(min(0.99, max(1, toxic) / max(2, labelled)))))
+
+
+def toxic_stems(sample: DataFrame, n0: int, n1: int) -> set[str]:
+    """Beginnings that mark a word as toxic, from the (text, label) rows of a bounded sample."""
+
+    def run(batches):
+        with no_collection():
+            for batch in batches:
+                for part in slices(batch, ["text"]):
+                    for text, label in zip(part.column("text").to_pylist(), part.column("label").to_pylist(), strict=True):
+                        found: set[str] = set()
+                        for _, piece in pieces(text):
+                            found = found.union(*(beginnings(w) for w in map(letters, set(piece.split())) if w))
+                        stems = pa.array(sorted(found), pa.string())
+                        yield pa.RecordBatch.from_arrays([stems, pa.array([label] * len(stems), pa.int32())], names=["stem", "label"])
+
+    counts = sample.mapInArrow(run, "stem string, label int").groupBy("stem")
+    counts = counts.agg(F.count_if(F.col("label") == 1).alias("n1"), F.count_if(F.col("label") == 0).alias("n0"))
+    good = (F.col("n1") >= least_support(n0 + n1, n1)) & (F.col("n0") * (n1 / n0) <= MOST_CLEAN * F.col("n1"))
+    # Part of the model: stems of a few thousand toxic documents that each stands in several of.
+    return {r["stem"] for r in written(counts.filter(good).select("stem"), "stems").collect()}
+
+
+def labelled_chains(sample: DataFrame, stems: set[str]) -> DataFrame:
+    """(tokens, tags, any, mark): the chains of a sample, with one tag byte for each token and a hash that orders chains."""
+
+    def run(batches):
+        with no_collection():
+            for batch in batches:
+                for part in slices(batch, ["text"]):
+                    out = []
+                    for text, label in zip(part.column("text").to_pylist(), part.column("label").to_pylist(), strict=True):
+                        for _, piece in pieces(text):
+                            words = list(map(letters, piece.split()))
+                            for i in range(0, len(words), CHAIN):
+                                chain = words[i : i + CHAIN]
+                                tags = bytes(bool(label and w and not stems.isdisjoint(beginnings(w))) for w in chain)
+                                line = " ".join(chain)
+                                out.append((line, tags, any(tags), xxhash.xxh64_intdigest(line) >> 1))
+                    kinds = (pa.string(), pa.binary(), pa.bool_(), pa.int64())
+                    cols = zip(*out, strict=True) if out else ([] for _ in kinds)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["tokens", "tags", "any", "mark"])
+
+    return written(sample.mapInArrow(run, "tokens string, tags binary, any boolean, mark bigint"), "chains")
+
+
+def fit(tokens: list[str], tags: list[bytes]) -> dict[str, np.ndarray]:
+    """Weights of a chain model from chains of letters and the tags of their tokens."""
+    rows = sorted(zip(tokens, tags, strict=True))
+    kept = [t.split(" ") for t, _ in rows]
     lengths = [len(p) for p in kept]
+    vocab = {w: i for i, w in enumerate(sorted({w for p in kept for w in p}))}
+    ids = np.array([vocab[w] for p in kept for w in p], np.int64)
     of = [feature_ids(w) for w in vocab]
     word_of, feature = np.repeat(np.arange(len(of)), [len(f) for f in of]), np.array([x for f in of for x in f], np.int64)
-    tags, real = chains(np.array(truth, float), lengths)
+    truth, real = chains(np.frombuffer(b"".join(t for _, t in rows), np.uint8).astype(float), lengths)
     gold = np.zeros((3, 2))
-    np.add.at(gold, (tags[:, :-1][real[:, 1:]].astype(int), tags[:, 1:][real[:, 1:]].astype(int)), 1)
-    np.add.at(gold[2], tags[:, 0][real[:, 0]].astype(int), 1)
+    np.add.at(gold, (truth[:, :-1][real[:, 1:]].astype(int), truth[:, 1:][real[:, 1:]].astype(int)), 1)
+    np.add.at(gold[2], truth[:, 0][real[:, 0]].astype(int), 1)
     weights, bias, move = np.zeros(DIMENSIONS), 0.0, np.zeros((3, 2))
     scale, bias_scale, move_scale = np.full(DIMENSIONS, 1e-3), 1e-3, np.full((3, 2), 1e-3)
-    for _ in range(STEPS):
+    for _ in range(STEPS if rows else 0):
         per_word = np.bincount(word_of, weights[feature], minlength=len(of)) + bias
         score, _ = chains(per_word[ids], lengths)
         p, moves = marginals(score, real, move)
-        off = np.bincount(ids, (tags - p)[real], minlength=len(of))
+        off = np.bincount(ids, (truth - p)[real], minlength=len(of))
         up = np.bincount(feature, off[word_of], minlength=DIMENSIONS) - RIDGE * len(kept) * weights
         scale += up**2
         bias_scale += off.sum() ** 2
@@ -158,26 +198,35 @@ def fit(texts: list[str], labels: list[int]) -> dict[str, np.ndarray]:
         weights += 0.5 * up / np.sqrt(scale)
         bias += 0.5 * off.sum() / np.sqrt(bias_scale)
         move += 0.2 * (gold - moves) / np.sqrt(move_scale)
-    model |= {"weights": weights, "bias": np.array(bias), "move": move}
-    found = summaries([t for t, _ in rows], Emissions(weights, bias), move)[0]
-    return model | {"curve": logistic(found, np.array(labels, float), ridge=1e-2)}
+    return {"weights": weights, "bias": np.array(bias), "move": move}
 
 
-def summaries(texts: list[str | None], emissions: dict, move: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(log of the expected number of toxic tokens that count, largest marginal) of each text, and all marginals."""
-    tokens = [(t or "").split() for t in texts]
+def token_marginals(texts: list[str], emissions: dict, move: np.ndarray) -> list[np.ndarray]:
+    """The toxic marginals of the tokens of each text."""
+    tokens = [t.split() for t in texts]
     lengths = list(map(len, tokens))
-    flat = np.array([v for ts in tokens for v in map(emissions.__getitem__, ts)], float)
-    score, real = chains(flat, lengths)
-    p = marginals(score, real, move)[0][real]
-    each = np.split(p, np.cumsum(lengths)[:-1])
-    return np.array([[np.log1p(e[e >= COUNTED].sum()), e.max() if len(e) else 0.0] for e in each]).reshape(-1, 2), each
+    score, real = chains(np.array([v for ts in tokens for v in map(emissions.__getitem__, ts)], float), lengths)
+    return np.split(marginals(score, real, move, with_moves=False)[0][real], np.cumsum(lengths)[:-1])
+
+
+def read_texts(texts: list[str | None], emissions: dict, move: np.ndarray) -> Iterator[tuple[float, float, list[tuple[int, int, float]]]]:
+    """For each text: log of the expected number of toxic tokens that count, largest marginal, and spans."""
+    short = [t or "" if len(t or "") <= PIECE else "" for t in texts]
+    for text, p in zip(texts, token_marginals(short, emissions, move), strict=True):
+        parts = [(0, text or "", p)] if len(text or "") <= PIECE else [(at, x, token_marginals([x], emissions, move)[0]) for at, x in pieces(text)]
+        total, top, spans = 0.0, 0.0, []
+        for at, piece, q in parts:
+            if len(q):
+                total, top = total + q[q >= COUNTED].sum(), max(top, float(q.max()))
+                if q.max() >= 0.5:
+                    spans += [(a + at, b + at, s) for a, b, s in spans_of(piece, q)]
+        yield float(np.log1p(total)), top, spans
 
 
 def spans_of(text: str, p: np.ndarray) -> list[tuple[int, int, float]]:
     out: list[tuple[int, int, float]] = []
     last = -2
-    for i, m in enumerate(re.finditer(r"\S+", text)):
+    for i, m in enumerate(_TOKEN.finditer(text)):
         if p[i] >= 0.5:
             if last == i - 1:
                 out[-1] = (out[-1][0], m.end(), max(out[-1][2], float(p[i])))
@@ -188,9 +237,24 @@ def spans_of(text: str, p: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> dict[str, np.ndarray]:
-    sample, more = sample_by_class(docs, labels, label, SAMPLE)
-    model = fit_once(sample, ["text", "label"], fit)
-    return model | {"curve": model["curve"] + np.array([0.0, 0.0, more])}
+    sample, more = labelled_sample(docs, labels, label, SAMPLE)
+    n0, n1 = sample.agg(F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1)).first()
+    prior = (1 + n1) / (2 + n0 + n1)
+    nothing = {"weights": np.zeros(DIMENSIONS), "bias": np.array(0.0), "move": np.zeros((3, 2)), "curve": np.array([0.0, 0.0, np.log(prior / (1 - prior))])}
+    if not n0 or not n1:
+        return nothing
+    found = labelled_chains(sample, toxic_stems(sample, n0, n1))
+    toxic = found.filter("any").orderBy("mark", "tokens").limit(CHAINS // 2)
+    others = found.filter("NOT any").orderBy("mark", "tokens").limit(min(CHAINS // 2, 4 * n1))
+    model = fit_once(toxic.union(others), ["tokens", "tags"], fit)
+
+    def summary():
+        emissions = Emissions(model["weights"], float(model["bias"]))
+        return lambda texts: zip(*[x[:2] for x in read_texts(texts, emissions, model["move"])], strict=True)
+
+    rows = with_python_columns(sample, ["text"], {"total": "double", "top": "double"}, summary).select("total", "top", "label")
+    curve = fit_once(rows, ["total", "top", "label"], lambda a, b, y: {"curve": logistic(np.array([a, b]).T, np.array(y, float), ridge=1e-2)})
+    return model | {"curve": curve["curve"] + np.array([0.0, 0.0, more])}
 
 
 def tag(df: DataFrame, model: dict[str, np.ndarray], text: str = "text") -> DataFrame:
@@ -201,16 +265,14 @@ def tag(df: DataFrame, model: dict[str, np.ndarray], text: str = "text") -> Data
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches):
-        fresh_task()
-        emissions, move = Emissions(model["weights"], float(model["bias"])), model["move"]
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
-                texts = part.column(text).to_pylist()
-                found, each = summaries(texts, emissions, move)
-                spans = [spans_of(t or "", p) if f[1] >= 0.5 else [] for t, p, f in zip(texts, each, found, strict=True)]
-                spans = [[dict(zip(("start", "end", "score"), s, strict=True)) for s in x] for x in spans]
-                made = [pa.array(probability(found, model["curve"]), pa.float64()), pa.array(spans, span)]
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + made, names=[*keep, "score", "spans"])
+        with no_collection():
+            emissions, move = Emissions(model["weights"], float(model["bias"])), model["move"]
+            for batch in batches:
+                for part in slices(batch, [text]):
+                    read = list(read_texts(part.column(text).to_pylist(), emissions, move))
+                    score = probability(np.array([x[:2] for x in read]).reshape(-1, 2), model["curve"])
+                    spans = [[dict(zip(("start", "end", "score"), s, strict=True)) for s in x[2]] for x in read]
+                    made = [pa.array(score, pa.float64()), pa.array(spans, span)]
+                    yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + made, names=[*keep, "score", "spans"])
 
     return df.mapInArrow(run, schema)

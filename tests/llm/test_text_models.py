@@ -178,14 +178,14 @@ def test_rare_toxicity_with_a_wide_lexicon(spark, n, toxic):
 
 
 def test_samples_fill_by_class(spark):
-    from cubespark.llm.sampling import class_bounds, sample_by_class
+    from cubespark.llm.sampling import class_bounds, labelled_sample
 
     assert class_bounds(900, 100, 2000) == (900, 100) and class_bounds(90_000, 10_000, 8000) == (7000, 1000)
     assert class_bounds(99_500, 500, 8000) == (7500, 500) and class_bounds(50, 90_000, 8000) == (50, 7950)
     assert class_bounds(0, 9000, 8000) == (0, 8000) and class_bounds(60_000, 40_000, 8000) == (4800, 3200)
     docs = spark.range(4000).selectExpr("id as doc_id", "'a' as text")
     labels = docs.selectExpr("doc_id", "int(doc_id % 200 = 0) as toxic")
-    sample, more = sample_by_class(docs, labels, "toxic", 400)
+    sample, more = labelled_sample(docs, labels, "toxic", 400)
     counts = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     assert counts == {0: 380, 1: 20} and more == pytest.approx(-2.349, abs=1e-3)
 
@@ -222,8 +222,15 @@ def test_quality_edges(spark):
 
 
 def test_samples_are_bounded(spark):
-    from cubespark.llm.sampling import labelled_sample, sample_of_each
+    from cubespark.llm.sampling import first_of_each, labelled_sample
 
     docs, labels = labelled(spark)
-    assert labelled_sample(docs, labels, "toxic", 10).count() == 10
-    assert sample_of_each(labels.filter("toxic is not null"), "toxic", F.col("doc_id"), 4).count() == 8
+    assert labelled_sample(docs, labels, "toxic", 10)[0].count() == 10
+    rows = spark.range(30_000).selectExpr("id", "if(id % 3 = 0, 'few', 'many') as k").filter("k = 'many' or id < 90")
+    rows = rows.union(rows.filter("id = 7").crossJoin(spark.range(500)).selectExpr("7L", "'many'"))
+    sizes = rows.groupBy("k").count().withColumnRenamed("count", "n").withColumn("bound", F.lit(100))
+    got = first_of_each(rows, "k", "id", sizes).collect()
+    hashed = rows.withColumn("h", F.xxhash64(F.col("id").cast("string"))).collect()
+    for key, n in (("few", 30), ("many", 100)):
+        want = [r["id"] for r in sorted((r for r in hashed if r["k"] == key), key=lambda r: (r["h"], r["id"]))[:n]]
+        assert sorted(r["id"] for r in got if r["k"] == key) == sorted(want)
