@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubespark.llm import bpe, mixing, neardup, quality_classifier, quality_rules
-from cubespark.llm.common import written
+from cubespark.llm.common import small, written
 from cubespark.llm.sampling import id_modulo
 
 BASE = ("doc_id", "text", "lang", "source", "n_chars")
@@ -48,7 +48,7 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(docs.select("doc_id", "text"))
     gone = written(found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "copies")
-    return neardup.only(docs, gone, "doc_id", "left_anti")
+    return docs.join(small(gone), "doc_id", "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
