@@ -8,8 +8,9 @@ position is entered twice, so the work is linear in the length, and the result e
 ``count_tokens`` uses the whole-token shortcut: vocabulary strings that this encoder proves to come out as one token are
 counted by a set lookup; only other pre-tokens are merged.
 
-Nulls: a null text counts as an empty text, which has no tokens. Repeated rows are independent rows. Texts of any
-length are encoded whole: pieces between white space are handled one at a time and remembered in a bounded table.
+Nulls: a null text counts as an empty text, which has no tokens. Repeated rows are independent rows; no ties arise. Texts
+of any length are encoded whole: pieces between white space are handled one at a time and remembered in a bounded table.
+An empty table gives an empty table. Input columns named like a new one are replaced, all others pass through.
 """
 
 from __future__ import annotations
@@ -30,14 +31,48 @@ from .common import per_worker, with_python_columns
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Pieces that a task remembers at most; later ones are worked out each time (results stay the same).
-MEMORY_ENTRIES = 400_000
+#: Pieces that a task remembers at most, and their characters; others are worked out each time (results stay the same).
+MEMORY_ENTRIES, MEMORY_LENGTH = 400_000, 64
 #: White space as Unicode has it. Python's own classes also hold the separators U+001C to U+001F.
 WS = r"\t\n\x0b\x0c\r\x20\x85\xa0  -     　"
 SEPARATORS = re.compile("[\x1c-\x1f]")
 END = "￿"
 
 
+
+# Where the Unicode tables of Python and of ``regex`` are not those of the vocabularies' library.
+#: Letters and numbers of later Unicode versions, which ``regex`` knows and the library does not.
+LATER = (
+    "\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d"
+    "\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb"
+    "\U00011de0-\U00011de9\U00011df1\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ea0-\U00016eb8"
+    "\U00016ebb-\U00016ed3\U00016ff2-\U00016ff6\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20"
+    "\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6"
+    "\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de"
+    "\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff"
+    "\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
+)
+#: Marks that Python's NFC reorders or composes and the library's, of an earlier version, leaves where they are.
+LEFT = (
+    "\u07fd\u0898-\u089f\u08ca-\u08d3\u09fe\u0c3c\u0d3b-\u0d3c\u0eba\u1715\u1abf-\u1ace\u1df6-\u1dfa\ua82c"
+    "\U00010d24-\U00010d27\U00010eab-\U00010eac\U00010efd-\U00010eff\U00010f46-\U00010f50\U00010f82-\U00010f85\U00011070"
+    "\U0001133b\U0001145e\U00011839-\U0001183a\U00011930\U00011938\U0001193d-\U0001193e\U00011943\U000119e0\U00011a34"
+    "\U00011a47\U00011a99\U00011d42\U00011d44-\U00011d45\U00011d97\U00011f41-\U00011f42\U00016ff0-\U00016ff1\U0001e08f"
+    "\U0001e130-\U0001e136\U0001e2ae\U0001e2ec-\U0001e2ef\U0001e4ec-\U0001e4ef"
+)
+#: Lower case of letters whose case Python does not know yet.
+LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B}
+LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+#: Characters that need these tables, or may need them.
+RARE = re.compile("[" + re.sub("[\U00010000-\U0010ffff]-?", "", LATER + LEFT) + "\u1c89\ua7cb-\ua7dc\U00010000-\U0010ffff]").search
+LETTER, NUMBER, OTHER = rf"[\p{{L}}--[{LATER}]]", rf"[\p{{N}}--[{LATER}]]", rf"[[^{WS}\p{{L}}\p{{N}}]||[{LATER}]]"
+
+
+def nfc(text: str) -> str:
+    """NFC as the library has it."""
+    return "".join(p if i % 2 else unicodedata.normalize("NFC", p) for i, p in enumerate(re.split(f"([{LEFT}])", text)))
+
+
 def byte_alphabet() -> dict[int, str]:
     """The printable stand-in of each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -54,7 +89,7 @@ class Memory(dict):
 
     def __missing__(self, key):
         value = self.make(key)
-        if len(self) < MEMORY_ENTRIES:
+        if len(self) < MEMORY_ENTRIES and len(key) <= MEMORY_LENGTH:
             self[key] = value
         return value
 
@@ -184,6 +219,7 @@ class WordBpe(Bpe):
     def __init__(self, path: str):
         super().__init__(path)
         self.find_words = regex.compile(self.PATTERN).findall
+        self.find_rare = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{LETTER}+|{NUMBER}|{OTHER}+", regex.V1).findall
         self.cut = regex.compile(rf"[^{WS}]+").findall
         self.pieces = Memory(self._piece)
 
@@ -194,7 +230,13 @@ class WordBpe(Bpe):
             return self.pieces[piece[:-1]] + self.pieces[piece[-1]]
         return b"".join(array("I", self.merge(w)).tobytes() for w in self.find_words(piece))
 
+    def _rare(self, text: str) -> bytes:
+        text = nfc(text).replace("Σ", "σ").translate(LOWER).lower()
+        return b"".join(array("I", self.merge(w)).tobytes() for w in self.find_rare(text))
+
     def _plain(self, text: str) -> bytes:
+        if not text.isascii() and RARE(text):
+            return self._rare(text)
         text = unicodedata.normalize("NFC", text)
         if "Σ" in text:
             text = text.replace("Σ", "σ")  # each character alone: no final sigma
@@ -220,6 +262,8 @@ class TextBpe(Bpe):
     def __init__(self, path: str):
         super().__init__(path)
         self.find_words = regex.compile(self.PATTERN).findall
+        rare = rf"'s|'t|'re|'ve|'m|'ll|'d| ?{LETTER}+| ?{NUMBER}+| ?{OTHER}+|[{WS}]+(?![^{WS}])|[{WS}]+"
+        self.find_rare = regex.compile(rare, regex.V1).findall
         self.double = re.compile(r"\s(?:\s|\Z)").search
         self.border = regex.compile(rf"(?<=[^{WS}]) (?=[^{WS}])")
         self.whole = self.one_token_strings()
@@ -265,6 +309,8 @@ class TextBpe(Bpe):
         """A space between two other characters starts a new pre-token, so pieces count on their own."""
         if not text:
             return 0
+        if not text.isascii() and RARE(text):
+            return sum(map(self._word, self.find_rare(text)))
         pieces = self.border.split(text) if text[0].isspace() or self.double(text) else text.split(" ")
         return sum(map(self._word, self.find_words(pieces[0]))) + sum(map(self.later.__getitem__, pieces[1:]))
 
@@ -277,7 +323,8 @@ class TextBpe(Bpe):
     def encode(self, text: str) -> list[int]:
         out, at = [], 0
         for m in [*self.special_re.finditer(text), None]:
-            for w in self.find_words(text[at : m.start() if m else len(text)]):
+            part = text[at : m.start() if m else len(text)]
+            for w in (self.find_rare if RARE(part) else self.find_words)(part):
                 out += self.merge(w)
             if m:
                 out.append(self.special[m[0]])

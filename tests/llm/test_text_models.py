@@ -83,6 +83,24 @@ RECORDS = [
 ]
 
 
+def test_every_kind_of_character_encodes_as_in_the_library():
+    from tokenizers import Tokenizer
+
+    alike = [range(0x3400, 0xA000), range(0xAC00, 0xE000), range(0xE000, 0xF900), range(0x17000, 0x18CD6)]
+    points = [c for c in range(0x20000) if not any(c in r for r in alike)]
+    points += [c for lo in (0x2B720, 0x2CEA0, 0x323A0, 0x33470, 0x3CFF0, 0xE0100) for c in range(lo, lo + 40)] + [0x3400, 0xAC01, 0xE000, 0x17000]
+    for name, make in (("word_bpe_49k.json", bpe.WordBpe), ("byte_bpe_50k.json", bpe.TextBpe)):
+        path = public_tokenizers.path(name)
+        library, own = Tokenizer.from_file(path), make(path)
+        texts = [x for c in points for x in (f"a{chr(c)}b {chr(c)} Q1{chr(c)}{chr(c)}", f"a\u0301{chr(c)}\u0323\u0304")]
+        want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        if make is bpe.WordBpe:
+            off = [ascii(t) for t, w in zip(texts, want, strict=True) if list(memoryview(own.encode(t)).cast("I")) != w]
+        else:
+            off = [ascii(t) for t, w in zip(texts, want, strict=True) if own.count(t) != len(w) or own.encode(t) != w]
+        assert not off, off[:5]
+
+
 def test_layouts(spark):
     df = spark.createDataFrame([(i, json.dumps(r) if r is not None else None) for i, (r, _, _) in enumerate(RECORDS)] + [(99, "{bad")], "i int, record string")
     got = {r["i"]: r for r in chat.canonical_turns(df).collect()}
