@@ -119,14 +119,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def packed(df: DataFrame, inner: dict[str, Column], new: tuple[str, ...]) -> DataFrame:
-    """The columns ``inner`` beside ``_row``, a struct of the caller's columns: no name of theirs can clash with an operator's.
+def packed(df: DataFrame, inner: dict[str, str], new: tuple[str, ...]) -> DataFrame:
+    """The columns that an operator reads, named as in ``inner``, beside all others in one struct ``_row``.
 
-    Columns named like a ``new`` one (in any case) are left out, as the operator's own takes their place.
+    So no name of the caller's can clash with one inside the operator. Columns named like a ``new`` one (in any case) are
+    left out, as the operator's own takes their place. ``unpacked`` is the way back.
     """
-    clash = {n.lower() for n in new}
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in clash])
-    return df.select(*[c.alias(name) for name, c in inner.items()], row.alias("_row"))
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in inner.values() and c.lower() not in new]
+    return df.select(*[F.col(f"`{c}`").alias(n) for n, c in inner.items()], F.struct(*(rest or [F.lit(0).alias("none")])).alias("_row"))
+
+
+def unpacked(df: DataFrame, like: DataFrame, inner: dict[str, str], new: tuple[str, ...]) -> DataFrame:
+    """The columns of ``like`` in their order, then the ``new`` ones."""
+    names = {c: n for n, c in inner.items()}
+    old = [F.col(names[c]).alias(c) if c in names else F.col(f"_row.`{c}`").alias(c) for c in like.columns if c.lower() not in new]
+    return df.select(*old, *new)
 
 
 def small(df: DataFrame) -> DataFrame:

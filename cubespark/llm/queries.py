@@ -68,7 +68,7 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = quality_rules.judge(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
+    done = quality_rules.judge(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"), with_text=False)
     return done.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "distance2")
 
 

@@ -225,13 +225,54 @@ def test_concentration_finds_the_centre(spark):
     n = 600
     rows = [(i, "en", "s", int(w), int(w * m), int(s), 0, 0, False) for i, (w, m, s) in enumerate(zip(rng.integers(60, 900, n), rng.normal(5, 0.4, n), np.where(np.arange(n) < 90, 3000, rng.integers(0, 4, n)), strict=True))]
     df = spark.createDataFrame(rows, "i int, lang string, source string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean")
-    params, _ = quality_rules.fit(df)
-    mu = params.first()["mu"]
+    mu = quality_rules.fit(df).first()["mu"]
     good = [r for r in rows if r[5] < 3000]
     assert mu[0] == pytest.approx(np.mean([math.log(r[4] / r[3]) for r in good]), abs=0.03)
     assert mu[1] < 2
 
 
+def test_the_determinant_is_the_least_of_all_subsets(spark, monkeypatch):
+    """Small groups against every subset of three quarters of their rows."""
+    import itertools
+
+    monkeypatch.setattr(quality_rules, "MIN_GROUP", 5)
+    rng = np.random.default_rng(4)
+    rows, n, h, p = [], 12, 9, quality_rules.P
+    for g in range(6):
+        bad = 0 if g % 2 else 3
+        for i in range(n):
+            words, mean = int(rng.integers(60, 900)), rng.normal(5, 0.3)
+            symbols, repeats = (int(rng.integers(900, 2000)), words // 2) if i < bad else (int(rng.integers(0, 9)), int(words * rng.uniform(0, 0.1)))
+            rows.append((100 * g + i, "en", f"s{g}", words, int(words * mean), symbols, int(rng.integers(0, 3)), repeats, False))
+    df = spark.createDataFrame(rows, "doc_id int, lang string, source string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean")
+    stats = df.select("doc_id", *[s.alias(x) for s, x in zip(quality_rules.statistics(), quality_rules.XS, strict=True)]).toPandas().set_index("doc_id")
+    cut = quality_rules.chi2_quantile(quality_rules.SUBSET, p)
+    factor = quality_rules.SUBSET / quality_rules.chi2_below(cut, p + 2)
+    found = {r["fine"][-2:]: r for r in quality_rules.fit(df).collect()}
+    limit, exact = quality_rules.chi2_quantile(1 - quality_rules.TAIL, p), 0
+    far = lambda x, mu, inv: np.einsum("ni,ij,nj->n", x - mu, inv, x - mu) > limit
+    for g in range(6):
+        x = stats.loc[100 * g : 100 * g + n - 1].to_numpy()
+        best, members = min((quality_rules.regularised(np.cov(x[list(c)].T, bias=True), factor)[1], c) for c in itertools.combinations(range(n), h))
+        mu, inv = x[list(members)].mean(axis=0), quality_rules.regularised(np.cov(x[list(members)].T, bias=True), factor)[0]
+        got = np.array(found[f"s{g}"]["mu"]), np.reshape(found[f"s{g}"]["inv"], (p, p))
+        assert best - 1e-6 <= -np.linalg.slogdet(got[1])[1] <= best + 0.1  # steps may end in a subset that is nearly as good
+        exact += np.allclose(got[0], mu, atol=1e-6) and np.allclose(got[1], inv, rtol=1e-4, atol=1e-4)
+        assert (far(x, *got) == far(x, mu, inv)).all() and far(x, *got).any() == (g % 2 == 0)
+    assert exact >= 4
+
+
+def test_half_repeated_documents_are_outliers(spark):
+    rng = random.Random(9)
+    clean = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(60, 400))) for _ in range(200)]
+    line = " ".join(f"zq{i}" for i in range(24))
+    rows = [(i, t, "en", "a", 1, 2, 3, "t") for i, t in enumerate(clean)] + [(1000 + i, f"{line} {' '.join(f'u{i}x{j}' for j in range(54))} {line}", "en", "a", 1, 2, 3, "t") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, mu int, inv int, fine int, `x0.y` string")
+    got = quality_rules.judge(df)
+    assert got.columns[:8] == df.columns and got.columns[8:] == list(quality_rules.NEW)
+    assert {r["doc_id"] for r in got.collect() if r["kept"]} == set(range(200)) and {(r["mu"], r["inv"], r["fine"], r["x0.y"]) for r in got.collect()} == {(1, 2, 3, "t")}
+
+
 def brute_schedule(q, slots):
     """Earliest deadline first over one period."""
     done, order = dict.fromkeys(q, 0), []
