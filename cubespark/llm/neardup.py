@@ -9,8 +9,9 @@ of registers, drops those that are clearly below; the rest are compared on their
 No group is expanded into pairs. Equal sets are one class first, which has a number and one text. In each band bucket the
 members are compared with one centre, and links give components. Only buckets that still hold several components go on:
 small ones compare members of different components; in large ones what is outside the main component meets all members,
-block by block, by registers only, first each stray with its likeliest partner of each component, then with all that the
-estimate lets through. Texts are read for those pairs alone. So every candidate pair is either ruled out by its sizes or
+block by block, by registers. First each stray is compared with its likeliest partner of each component; then, in buckets
+that are still open, the texts of rows that can have a link at all meet in their block, until one link joins two
+components there. So every candidate pair is either ruled out by its sizes or
 registers, compared in full, or already joined by confirmed links.
 
 A null text, or one without words, has no shingles and is linked with nothing. A text with fewer words than a shingle
@@ -207,12 +208,11 @@ def _checked(pairs: DataFrame, reps: DataFrame, texts: DataFrame, words: int, pe
     return _confirmed(likely, texts, words, percent)
 
 
-def _blocks(rows: DataFrame, reps: DataFrame, percent: int, first: bool) -> DataFrame:
-    """Candidate pairs (a, b) in large buckets, by registers. rows: (band, cid, comp, m).
+def _blocks(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """Large buckets cut into blocks: all that is outside the main component of a bucket meets all members, by registers.
 
-    All that is outside the main component of a bucket meets all members, block by block; ``first`` gives each stray its
-    likeliest partner of each other component in a block, otherwise all that may be linked come. What is known of each
-    bucket is a small table of its own, joined without dealing the members out by bucket.
+    rows: (band, cid, comp, m). What is known of each bucket is a small table of its own, joined without dealing the
+    members out by bucket.
     """
     sizes = rows.groupBy("band", "m", "comp").agg(F.count("*").alias("n"))
     known = sizes.groupBy("band", "m").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("most"))
@@ -224,27 +224,71 @@ def _blocks(rows: DataFrame, reps: DataFrame, percent: int, first: bool) -> Data
     keep = ["band", "cid", "comp", "n_shingles", "regs"]
     members = rows.select(*keep, F.lit(False).alias("stray"), place("mb").alias("x"), every("sb").alias("y"))
     outside = rows.filter("comp <> main").select(*keep, F.lit(True).alias("stray"), every("mb").alias("x"), place("sb").alias("y"))
+    return members.union(outside)
+
+
+def _partners(table: pa.Table, percent: int):
+    """For each stray of a block its row, those of members that it may be linked to, and their shares of equal registers."""
+    comp, size, stray = (np.array(table.column(c).to_pylist()) for c in ("comp", "n_shingles", "stray"))
+    regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+    many = np.flatnonzero(~stray)
+    for i in np.flatnonzero(stray):
+        share = (regs[many] == regs[i]).mean(axis=1)
+        fine = may_link(share, size[many], np.full(len(many), size[i]), percent) & (comp[many] != comp[i])
+        fine &= 100 * np.minimum(size[many], size[i]) >= percent * np.maximum(size[many], size[i])
+        yield i, many[fine], share[fine]
+
+
+def _best(blocks: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b): each stray with its likeliest partner of each other component in its block."""
 
     def run(table: pa.Table) -> pa.Table:
-        get = lambda c: np.array(table.column(c).to_pylist())
-        cid, comp, size, stray = map(get, ("cid", "comp", "n_shingles", "stray"))
-        regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, BUCKETS)
-        many = np.flatnonzero(~stray)
+        cid, comp = (np.array(table.column(c).to_pylist()) for c in ("cid", "comp"))
         pairs = []
-        for i in np.flatnonzero(stray):
-            share = (regs[many] == regs[i]).mean(axis=1)
-            n, other = size[many], size[i]
-            fine = may_link(share, n, np.full(len(many), other), percent) & (comp[many] != comp[i])
-            fine &= 100 * np.minimum(n, other) >= percent * np.maximum(n, other)
-            found = np.flatnonzero(fine)
-            if first:  # the best of each component
-                found = found[np.argsort(-share[found], kind="stable")]
-                found = found[np.unique(comp[many[found]], return_index=True)[1]]
-            pairs += [(min(cid[i], c), max(cid[i], c)) for c in cid[many[found]]]
+        for i, found, share in _partners(table, percent):
+            found = found[np.argsort(-share, kind="stable")]
+            found = found[np.unique(comp[found], return_index=True)[1]]
+            pairs += [(min(cid[i], c), max(cid[i], c)) for c in cid[found]]
         a, b = zip(*pairs, strict=True) if pairs else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return members.union(outside).groupBy("band", "x", "y").applyInArrow(run, "a bigint, b bigint").distinct()
+    return blocks.groupBy("band", "x", "y").applyInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _rest(blocks: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) in blocks, one at least between any two components that have some there.
+
+    Registers say which rows of a block can have a link at all; the texts of these meet again in their block.
+    """
+    kept = ["band", "x", "y", "cid", "comp", "stray"]
+
+    def able(table: pa.Table) -> pa.Table:
+        rows: set[int] = set()
+        for i, found, _ in _partners(table, percent):
+            if len(found):
+                rows |= {int(i), *found.tolist()}
+        return table.select(kept).take(pa.array(sorted(rows), pa.int64()))
+
+    kinds = "band bigint, x bigint, y bigint, cid bigint, comp bigint, stray boolean"
+    full = written(blocks.groupBy("band", "x", "y").applyInArrow(able, kinds), "able").join(texts, "cid")
+
+    def run(table: pa.Table) -> pa.Table:
+        hashes, sketcher = per_worker(WordHashes), Sketcher()
+        cids, comps = (table.column(c).to_pylist() for c in ("cid", "comp"))
+        sets = [shingle_set(t.as_py(), words, hashes) for t in table.column("text")]
+        regs = pa.array([sketcher.registers(s).tobytes() for s in sets], pa.binary())
+        table = table.append_column("regs", regs).append_column("n_shingles", pa.array(list(map(len, sets)), pa.int64()))
+        links = []
+        for i, found, _ in _partners(table, percent):
+            done = set()
+            for k in found.tolist():
+                if comps[k] not in done and linked(sets[i], sets[k], percent):
+                    done.add(comps[k])
+                    links.append((min(cids[i], cids[k]), max(cids[i], cids[k])))
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return full.groupBy("band", "x", "y").applyInArrow(run, "a bigint, b bigint").distinct()
 
 
 def classes(sk: DataFrame) -> DataFrame:
@@ -299,12 +343,11 @@ def near_duplicates(
     large = opened.filter(F.col("m") > SMALL)
     if large.isEmpty():
         return _named(sk, reps, join_in(links, labels, more)[1])
-    best = written(_blocks(large, reps, percent, first=True).join(tried, ["a", "b"], "left_anti"), "best")
+    best = written(_best(_blocks(large, reps), percent).join(tried, ["a", "b"], "left_anti"), "best")
     links, labels = join_in(links, labels, more.union(_confirmed(best, texts, words, percent)).distinct())
     large = still_open(labels).filter(F.col("m") > SMALL)
     if not best.isEmpty() and not large.isEmpty():
-        rest = _blocks(large, reps, percent, first=False).join(tried.union(best), ["a", "b"], "left_anti")
-        labels = join_in(links, labels, _confirmed(written(rest, "rest"), texts, words, percent))[1]
+        labels = join_in(links, labels, _rest(_blocks(large, reps), texts, words, percent))[1]
     return _named(sk, reps, labels)
 
 

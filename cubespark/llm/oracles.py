@@ -24,34 +24,49 @@ WITH RECURSIVE docs AS (
 ), placed AS (
   SELECT *, row_number() OVER (PARTITION BY key ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) - 1 AS at_ FROM docs
 ), sizes AS (
-  SELECT key, count(*) AS n, power(count(*), 0.7) AS weight, count(*) OVER () AS sources,
-    greatest(1000, 10 * count(*) OVER ()) AS slots FROM docs GROUP BY 1
+  SELECT key, CAST(ceil(count(*) / 2) AS HUGEINT) AS parts, power(count(*), 0.7) AS weight FROM docs GROUP BY 1
+), whole AS (
+  SELECT key, parts, CAST(greatest(1, round(weight / max(weight) OVER () * 2147483648)) AS HUGEINT) AS w FROM sizes
+), ordered AS (
+  SELECT *, row_number() OVER o AS i, sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest_w,
+    sum(parts) OVER o - parts AS gone FROM whole WINDOW o AS (ORDER BY CAST(parts AS DOUBLE) / CAST(w AS DOUBLE), key)
+), ends AS (
+  SELECT *, CAST(gone + parts * rest_w // w AS BIGINT) AS until, i * 648056 % 1048576 AS u FROM ordered
+), total AS (
+  SELECT CAST(sum(parts) AS BIGINT) AS slots FROM whole
+), marks AS (
+  SELECT unnest(range(0, slots, 256)) AS at_ FROM total UNION SELECT slots FROM total UNION SELECT until FROM ends, total WHERE until < slots
+), spans AS (
+  SELECT at_ AS start_, lead(at_) OVER (ORDER BY at_) - at_ AS n FROM marks QUALIFY n IS NOT NULL
 ), shares AS (
-  SELECT *, weight / sum(weight) OVER () * (slots - sources) AS share FROM sizes
-), counts AS (
-  SELECT key, n, slots, CAST(1 + floor(share) + CASE WHEN row_number() OVER (ORDER BY share - floor(share) DESC, key)
-    <= slots - sum(1 + floor(share)) OVER () THEN 1 ELSE 0 END AS BIGINT) AS q FROM shares
+  SELECT at_, CAST(0 AS BIGINT) AS i, CAST(at_ AS HUGEINT) AS rest, CAST(0 AS HUGEINT) AS got FROM marks
+  UNION ALL
+  SELECT s.at_, o.i, s.rest - least(o.parts, (s.rest * o.w * 1048576 + o.u * o.rest_w) // (o.rest_w * 1048576)),
+    least(o.parts, (s.rest * o.w * 1048576 + o.u * o.rest_w) // (o.rest_w * 1048576))
+  FROM shares s JOIN ends o ON o.i = s.i + 1
+), active AS (
+  SELECT p.start_, p.n, o.key, CAST(a.got AS BIGINT) AS before_, CAST(b.got - a.got AS BIGINT) AS q
+  FROM spans p JOIN shares a ON a.at_ = p.start_ JOIN shares b ON b.at_ = p.start_ + p.n AND b.i = a.i JOIN ordered o ON o.i = a.i
+  WHERE b.got > a.got
 ), lists AS (
-  SELECT list(q ORDER BY key) AS qs, list(key ORDER BY key) AS ks, any_value(slots) AS slots FROM counts
+  SELECT start_, n, list(key ORDER BY key) AS ks, list(q ORDER BY key) AS qs, list(before_ ORDER BY key) AS bs FROM active GROUP BY 1, 2
 ), edf AS (
-  SELECT -1 AS slot, CAST(0 AS BIGINT) AS pick, [CAST(0 AS BIGINT) FOR x IN ks] AS done FROM lists
+  SELECT start_, CAST(-1 AS BIGINT) AS t, CAST(0 AS BIGINT) AS pick, [CAST(0 AS BIGINT) FOR x IN ks] AS done FROM lists
   UNION ALL
-  SELECT slot, pick, [done[i] + CASE WHEN i = pick THEN 1 ELSE 0 END FOR i IN range(1, len(qs) + 1)] FROM (
-    SELECT e.slot + 1 AS slot, e.done, l.qs, list_min([CAST(ceil((e.done[i] + 1) * l.slots / l.qs[i]) AS BIGINT) * 100000 + i
-      FOR i IN range(1, len(l.qs) + 1) IF e.done[i] < l.qs[i] AND floor(e.done[i] * l.slots / l.qs[i]) <= e.slot + 1]) % 100000 AS pick
-    FROM edf e, lists l WHERE e.slot + 1 < l.slots)
+  SELECT start_, t, pick, [done[i] + CASE WHEN i = pick THEN 1 ELSE 0 END FOR i IN range(1, len(qs) + 1)] FROM (
+    SELECT e.start_, e.t + 1 AS t, e.done, l.qs, list_min([CAST(ceil((e.done[i] + 1) * l.n / l.qs[i]) AS BIGINT) * 100000 + i
+      FOR i IN range(1, len(l.qs) + 1) IF e.done[i] < l.qs[i] AND floor(e.done[i] * l.n / l.qs[i]) <= e.t + 1]) % 100000 AS pick
+    FROM edf e JOIN lists l USING (start_) WHERE e.t + 1 < l.n)
 ), plan AS (
-  SELECT l.ks[pick] AS key, slot, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS nth FROM edf, lists l WHERE slot >= 0
-), ends AS (
-  SELECT min(floor(ceil(n / 8) * slots / q)) AS horizon FROM counts
-), found AS (
-  SELECT p.doc_id, p.source, p.at_ // 8 AS block, p.at_, c.q, c.slots, (p.at_ // 8 // c.q) * c.slots + s.slot AS slot
-  FROM placed p JOIN counts c USING (key) JOIN plan s ON s.key = p.key AND s.nth = p.at_ // 8 % c.q
+  SELECT start_, l.ks[pick] AS key, l.bs[pick] + done[pick] - 1 AS part, done[pick] - 1 AS nth, l.qs[pick] AS q, l.n, start_ + t AS slot
+  FROM edf JOIN lists l USING (start_) WHERE t >= 0
+), horizon AS (
+  SELECT until AS horizon FROM ends WHERE i = 1
 )
-SELECT doc_id, source, CAST(block AS BIGINT) AS block, CAST(floor(block * slots / q) AS BIGINT) AS release,
-  CAST(ceil((block + 1) * slots / q) AS BIGINT) AS deadline, CAST(slot AS BIGINT) AS slot,
-  CAST(slot * 8 + at_ % 8 AS BIGINT) AS position, slot < horizon AS within_target
-FROM found, ends
+SELECT p.doc_id, p.source, CAST(p.at_ // 8 AS BIGINT) AS block, CAST(p.at_ // 2 AS BIGINT) AS part,
+  CAST(s.start_ + floor(s.nth * s.n / s.q) AS BIGINT) AS release, CAST(s.start_ + ceil((s.nth + 1) * s.n / s.q) AS BIGINT) AS deadline,
+  CAST(s.slot AS BIGINT) AS slot, CAST(s.slot * 2 + p.at_ % 2 AS BIGINT) AS position, s.slot < horizon AS within_target
+FROM placed p JOIN plan s ON s.key = p.key AND s.part = p.at_ // 2, horizon
 """
 
 OP10 = r"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -233,8 +234,6 @@ def test_concentration_finds_the_centre(spark):
 
 def test_the_determinant_is_the_least_of_all_subsets(spark, monkeypatch):
     """Small groups against every subset of three quarters of their rows."""
-    import itertools
-
     monkeypatch.setattr(quality_rules, "MIN_GROUP", 5)
     rng = np.random.default_rng(4)
     rows, n, h, p = [], 12, 9, quality_rules.P
@@ -284,19 +283,59 @@ def brute_schedule(q, slots):
     return order
 
 
-@pytest.mark.parametrize("weights", [{"a": 5.0, "b": 3.0, "c": 2.0}, {"a": 90.0, "b": 7.3, "c": 1.1, "d": 0.2}, {"a": 1.0}])
-def test_schedule(spark, weights):
-    rows = spark.createDataFrame(list(weights.items()), "key string, weight double")
-    counts = mixing.slot_counts(rows, 60)
-    q = {r["key"]: r["q"] for r in counts.collect()}
-    assert sum(q.values()) == 60 and min(q.values()) >= 1
-    plan = sorted((r["slot"], r["key"], r["nth"]) for r in mixing.period(counts, 60).collect())
-    assert [k for _, k, _ in plan] == brute_schedule(q, 60)
-    seen = Counter()
-    for slot, key, nth in plan:
-        assert nth == seen[key]
+def shares_of(parts, w, order, at):
+    """Parts of each source after so many slots."""
+    got, rest, left = {}, at, sum(w.values())
+    for i, k in enumerate(order):
+        offset = (i + 1) * mixing.GOLDEN % mixing.FINE
+        got[k] = min(parts[k], (rest * w[k] * mixing.FINE + offset * left) // (left * mixing.FINE))
+        rest, left = rest - got[k], left - w[k]
+    assert rest == 0
+    return got
+
+
+SOURCES = [
+    {"a": (800, 5.0), "b": (700, 3.0), "c": (400, 2.0)},
+    {"a": (3000, 90.0), "b": (90, 7.3), "c": (31, 1.1), "d": (1, 0.2)},
+    {"a": (77, 1.0)},
+    {f"s{i:04}": (3 + i % 40, (1 + i % 40) ** 0.7) for i in range(600)} | {"hot": (9000, 900.0)},
+]
+
+
+@pytest.mark.parametrize("sources", SOURCES)
+def test_schedule(spark, sources):
+    rows = spark.createDataFrame([(k, n, w) for k, (n, w) in sources.items()], "key string, n bigint, weight double")
+    got = sorted((r["slot"], r["key"], r["part"], r["release"], r["deadline"], r["within_target"]) for r in mixing.schedule(rows).collect())
+    most = max(w for _, w in sources.values())
+    parts = {k: -(-n // mixing.PART_ROWS) for k, (n, _) in sources.items()}
+    w = {k: round(x / most * 2**31) for k, (_, x) in sources.items()}
+    order = sorted(parts, key=lambda k: (parts[k] / w[k], k))
+    total, left, ends, gone = sum(parts.values()), sum(w.values()), [], 0
+    for k in order:
+        ends.append(gone + parts[k] * left // w[k])
+        gone, left = gone + parts[k], left - w[k]
+    marks = sorted({*range(0, total, mixing.SLOTS), total, *(x for x in ends if x < total)})
+    want = []
+    for begin, end in itertools.pairwise(marks):
+        n = end - begin
+        low, high = (shares_of(parts, w, order, x) for x in (begin, end))
+        q = {k: high[k] - low[k] for k in sorted(parts) if high[k] > low[k]}
+        assert min(high[k] - low[k] for k in parts) >= 0
+        seen = dict(low)
+        for t, k in enumerate(brute_schedule(q, n)):
+            nth = seen[k] - low[k]
+            want.append((begin + t, k, seen[k], begin + nth * n // q[k], begin - (-(nth + 1) * n // q[k])))
+            seen[k] += 1
+    assert [g[:5] for g in got] == want
+    assert all(r <= s < d for s, _, _, r, d in want)
+    # Against the unrounded target, for as long as no source has run out.
+    seen, share = Counter(), {k: x / sum(x for _, x in sources.values()) for k, (_, x) in sources.items()}
+    inside = [(s, k) for s, k, *_, within in got if within]
+    for slot, key in inside:
         seen[key] += 1
-        assert all(abs(seen[k] - q[k] * (slot + 1) / 60) < 1 for k in q)
+        for k in (key, order[0], order[-1]):
+            assert abs(seen[k] - share[k] * (slot + 1)) * mixing.PART_ROWS < mixing.BLOCK_ROWS
+    assert len(inside) == ends[0]
 
 
 def test_op9_places_every_document_once(spark, docs):
@@ -306,20 +345,18 @@ def test_op9_places_every_document_once(spark, docs):
     assert all(r["release"] <= r["slot"] < r["deadline"] for r in got)
 
 
-def test_mixing_deviation_with_weights(spark):
-    rows = [(i, "hot" if i % 3 else ("b" if i % 2 else None)) for i in range(1200)] + [(0, "hot")]
-    df = spark.createDataFrame([(*r, 5) for r in rows], "doc_id bigint, source string, slot int")
-    out = mixing.mix(df, {"hot": 2.0, "b": 1.0}, block_rows=4, slots=100).collect()
-    assert len(out) == len(rows) and len({r["position"] for r in out}) == len(rows)
-    first = {}
-    for r in out:
-        first.setdefault(r["slot"], r["source"])
-    inside = [r["slot"] for r in out if r["within_target"]]
-    share = {"hot": 0.5, "b": 0.25, None: 0.25}
-    seen = Counter()
-    for slot in range(max(inside) + 1):
-        seen[first[slot]] += 1
-        assert all(abs(seen[s] - w * (slot + 1)) < 1 + 0.03 * (slot + 1) for s, w in share.items())
+def test_mixing_edges(spark):
+    rows = [(i, "hot" if i % 3 else ("b" if i % 2 else None)) for i in range(1200)] + [(0, "hot"), (None, "hot"), (7, "hot"), (7, "hot")]
+    df = spark.createDataFrame([(*r, 5, "x", 1, 2) for r in rows], "doc_id bigint, source string, Slot int, _key string, `hash` int, `a.b` int")
+    out = mixing.mix(df, {"hot": 2.0, "b": 1.0})
+    assert out.columns == ["doc_id", "source", "_key", "hash", "a.b", *mixing.NEW]
+    got = out.collect()
+    assert Counter((r["doc_id"], r["source"]) for r in got) == Counter(rows) and len({r["position"] for r in got}) == len(rows)
+    first = sorted((r["position"], r["source"]) for r in got)[:400]
+    assert abs(sum(s == "hot" for _, s in first) - 200) <= 8 and abs(sum(s is None for _, s in first) - 100) <= 8
+    assert {(r["_key"], r["hash"], r["a.b"]) for r in got} == {("x", 1, 2)}
+    many = spark.range(6000).selectExpr("id as doc_id", "concat('s', id % 5500) as source")
+    assert mixing.mix(many).select("position").distinct().count() == 6000
     assert mixing.mix(df.limit(0)).count() == 0
 
 
