@@ -10,6 +10,8 @@ rules; empty tables give empty tables; rows of equal id count as one document an
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,18 +25,16 @@ BASE = ("doc_id", "text", "lang", "source", "n_chars")
 QUALITY = 0.3
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """The base columns, all others in one struct, so that no name clashes with an operator's."""
-    extra = [c for c in docs.columns if c not in BASE]
-    return docs.select(*[c for c in docs.columns if c in BASE], *([F.struct(*[F.col(f"`{c}`") for c in extra]).alias("_extra")] if extra else []))
-
-
-def _unpacked(df: DataFrame, docs: DataFrame) -> DataFrame:
-    return df.select(*[F.col(c if c in BASE else f"_extra.`{c}`").alias(c) for c in docs.columns])
+def _filtered(docs: DataFrame, verdict: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of ``docs`` that a verdict on their base columns keeps; all others travel in a struct, whatever their names."""
+    base = [c for c in docs.columns if c in BASE]
+    extra = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in BASE] or [F.lit(0).alias("none")]).alias("_extra")
+    kept = verdict(docs.select(*base, extra))
+    return kept.select(*[F.col(c if c in BASE else f"_extra.`{c}`").alias(c) for c in docs.columns])
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _unpacked(quality_rules.judge(_packed(docs)).filter("kept"), docs)
+    return _filtered(docs, lambda d: quality_rules.judge(d).filter("kept"))
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # The rules leave hardly any document of quality 0, so it learns from all labelled ones, as op8 does.
     whole = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = quality_classifier.train(whole, labels)
-    return _unpacked(quality_classifier.score(_packed(docs), model).filter(F.col("score") >= QUALITY), docs)
+    return _filtered(docs, lambda d: quality_classifier.score(d, model).filter(F.col("score") >= QUALITY))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +52,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(_packed(docs))
+    # The schedule is worked out on ids and sources; texts move once to their place and once into order.
+    places = mixing.mix(docs.select("doc_id", "source")).groupBy(F.col("doc_id").alias("_id")).agg(F.min("position").alias("_position"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    placed = packed.join(small(written(places, "places")), F.col("_row.doc_id").eqNullSafe(F.col("_id")))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return _unpacked(mixed.repartitionByRange(n, "position").sortWithinPartitions("position"), docs)
+    return placed.repartitionByRange(n, "_position").sortWithinPartitions("_position").select("_row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
