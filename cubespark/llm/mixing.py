@@ -2,7 +2,7 @@
 
 Documents of a source, in the order of a hash of their ids, form blocks of ``BLOCK_ROWS``, which are scheduled in parts of
 ``PART_ROWS``, one for each slot. Weights are whole multiples of 2^-31 of the largest. Periods of at most ``SLOTS`` slots,
-cut where a source runs out, are worked out in parallel. What each source has got where a period starts follows from the
+cut where another 1/64 of the weight runs out, are worked out in parallel. What each source has got where a period starts follows from the
 weights in closed form: sources are taken in the order in which they run out, and each gets its share of what those before
 it leave, rounded down after an offset of its own is added. So shares add up to the slots, never fall, and stand still where
 a source is used up, while the others share its slots; the offsets are spread evenly (multiples of the golden ratio), so
@@ -65,11 +65,13 @@ def in_order(totals: DataFrame) -> DataFrame:
     # One row for each source, so these windows span a small table.
     order = Window.partitionBy(F.lit(0)).orderBy("ends", "key")
     onward = order.rowsBetween(0, Window.unboundedFollowing)
-    rows = rows.withColumns({"before": F.sum("parts").over(order) - F.col("parts"), "all": F.sum("w").over(onward), "turn": F.row_number().over(order)})
+    rows = rows.withColumns({"before": F.sum("parts").over(order) - F.col("parts"), "all": F.sum("w").over(onward), "total": F.sum("w").over(Window.partitionBy(F.lit(0))), "turn": F.row_number().over(order)})
     wide = lambda c: c.cast("decimal(20,0)")
     until = F.expr("before + cast(parts as decimal(20,0)) * cast(all as decimal(17,0)) div w")
+    # Where the weight left passes a multiple of a 64th of all, or falls by a 64th of itself.
+    cut = F.expr("w * 64 >= all OR all * 64 div total != (all - w) * 64 div total")
     offset = (F.col("turn").cast("bigint") * GOLDEN % FINE).cast("decimal(7,0)") * F.col("all").cast("decimal(17,0)")
-    each = F.struct("turn", "key", "parts", (F.col("w") * FINE).cast("decimal(17,0)").alias("weight"), wide(offset).alias("offset"), (wide(F.col("all")) * FINE).cast("decimal(25,0)").alias("left"), until.alias("until"))
+    each = F.struct("turn", "key", "parts", (F.col("w") * FINE).cast("decimal(17,0)").alias("weight"), wide(offset).alias("offset"), (wide(F.col("all")) * FINE).cast("decimal(25,0)").alias("left"), until.alias("until"), cut.alias("cut"))
     row = rows.agg(F.sort_array(F.collect_list(each)).alias("sources"), F.sum("parts").alias("slots")).filter("slots > 0")
     return row.select("sources", "slots", F.col("sources")[0]["until"].alias("horizon"))
 
@@ -101,7 +103,7 @@ def schedule(totals: DataFrame, periods_per_task: int = 64) -> DataFrame:
     plan = written(in_order(totals), "mix-sources")
     found = plan.select(F.ceil(F.col("slots") / SLOTS)).first()
     periods = plan.sparkSession.range(0, found[0] if found else 0, 1, max(1, (found[0] if found else 0) // periods_per_task))
-    ends = plan.select(F.explode("sources.until").alias("at")).groupBy(F.floor(F.col("at") / SLOTS).alias("id")).agg(F.collect_set("at").alias("ends"))
+    ends = plan.select(F.explode(F.filter("sources", lambda x: x["cut"])["until"]).alias("at")).groupBy(F.floor(F.col("at") / SLOTS).alias("id")).agg(F.collect_set("at").alias("ends"))
     rows = periods.join(small(written(ends, "mix-ends")), "id", "left").crossJoin(F.broadcast(plan))  # one row of sources
     begin, none = F.col("id") * SLOTS, F.array().cast("array<bigint>")
     marks = F.array_union(F.array(begin, F.least(begin + SLOTS, "slots")), F.filter(F.coalesce("ends", none), lambda x: x < F.col("slots")))

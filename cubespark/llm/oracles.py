@@ -29,13 +29,14 @@ WITH RECURSIVE docs AS (
   SELECT key, parts, CAST(greatest(1, round(weight / max(weight) OVER () * 2147483648)) AS HUGEINT) AS w FROM sizes
 ), ordered AS (
   SELECT *, row_number() OVER o AS i, sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest_w,
-    sum(parts) OVER o - parts AS gone FROM whole WINDOW o AS (ORDER BY CAST(parts AS DOUBLE) / CAST(w AS DOUBLE), key)
+    sum(parts) OVER o - parts AS gone, sum(w) OVER () AS all_w FROM whole WINDOW o AS (ORDER BY CAST(parts AS DOUBLE) / CAST(w AS DOUBLE), key)
 ), ends AS (
   SELECT *, CAST(gone + parts * rest_w // w AS BIGINT) AS until, i * 648056 % 1048576 AS u FROM ordered
 ), total AS (
   SELECT CAST(sum(parts) AS BIGINT) AS slots FROM whole
 ), marks AS (
   SELECT unnest(range(0, slots, 256)) AS at_ FROM total UNION SELECT slots FROM total UNION SELECT until FROM ends, total WHERE until < slots
+    AND (w * 64 >= rest_w OR rest_w * 64 // all_w <> (rest_w - w) * 64 // all_w)
 ), spans AS (
   SELECT at_ AS start_, lead(at_) OVER (ORDER BY at_) - at_ AS n FROM marks QUALIFY n IS NOT NULL
 ), shares AS (
