@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cubespark.functions.values import count_upto
+
 CELL = ["lat_idx", "lon_idx"]
 LON0, LAT0, STEP, N_LON, N_LAT, CHUNK = -74.5, 76.5, 0.1, 1460, 1140, 20
 
@@ -45,14 +47,20 @@ def nearest_index(x: Column, zero: float, step: float) -> Column:
     return F.floor((x - zero) / step + 0.5).cast("int")
 
 
-def nearest_label(df: DataFrame, axis: DataFrame, x: str, label: str) -> DataFrame:
-    """F10 on an irregular axis (a few thousand labels at most): add the nearest label, the smaller one on ties.
+def nearest_label(df: DataFrame, axis: DataFrame, x: str, label: str, longest: int = 1 << 20) -> DataFrame:
+    """F10 on an irregular axis of at most ``longest`` labels: add the nearest label, the smaller one on ties.
 
-    The sorted labels travel as one literal row; each row finds its neighbour by comparing array elements.
+    The sorted labels are one value; each row finds its neighbours in it by bisection.
     """
-    labels = axis.agg(F.sort_array(F.collect_set(label)).alias("_labels"))
-    best = F.array_min(F.transform("_labels", lambda v: F.struct(F.abs(v - F.col(x)).alias("d"), v.alias("v"))))["v"]
-    return df.crossJoin(F.broadcast(labels)).withColumn(f"nearest_{label}", best).drop("_labels")
+    labels = axis.agg(F.sort_array(F.collect_set(label))).scalar()
+
+    def best(ends: Column) -> Column:
+        low, high = F.coalesce(ends["low"], ends["high"]), F.coalesce(ends["high"], ends["low"])
+        return F.when(F.abs(high - F.col(x)) < F.abs(low - F.col(x)), high).otherwise(low)
+
+    upto = count_upto(F.col("_labels"), F.col(x), longest)
+    ends = F.transform(F.array(upto), lambda n: F.struct(F.get("_labels", n - 1).alias("low"), F.get("_labels", n).alias("high")))
+    return df.withColumn("_labels", labels).withColumn(f"nearest_{label}", F.transform(ends, best)[0]).drop("_labels")
 
 
 def roi_from_anchor(df: DataFrame, lon: float, lat: float, n_lon: int, n_lat: int, chunk: int = CHUNK) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -58,6 +59,18 @@ def context_index(df: DataFrame, end: Column, length: int, first: str, last: str
     return df.withColumns({out[0]: checked, out[1]: F.datediff(end, zero), out[2]: start})
 
 
+def attribution_span(df: DataFrame, start: Column, end: Column, context: int, window_start: Column, window_end: Column, days: Column) -> DataFrame:
+    """Where an attribution from ``start`` to ``end`` lies in data of ``days`` days up to ``window_end``.
+
+    Adds the dates data_start and context_start and, counted from data_start, start_index and end_index. A start outside
+    the window, or a context that begins before the data, is an error.
+    """
+    data_start, context_start = F.date_sub(window_end, days - 1), F.date_sub(start, context - 1)
+    bad = F.when((start < window_start) | (start > window_end), "the start is out of the window").when(context_start < data_start, "the context is too large")
+    index = F.when(bad.isNotNull(), F.raise_error(bad).cast("int")).otherwise(F.datediff(start, data_start))
+    return df.withColumns({"data_start": data_start, "context_start": context_start, "start_index": index, "end_index": F.datediff(end, data_start)})
+
+
 def attr_daily(df: DataFrame, keys: list[str], feature: str = "feature", value: str = "attr") -> DataFrame:
     """Mean attribution over the hours of each context day."""
     return df.groupBy(*keys, "time", "context", feature).agg(F.avg(value).alias(value))
@@ -72,21 +85,39 @@ def attribution_days(df: DataFrame, targets: DataFrame, score, features: list[st
     return long.withColumn("feature", F.regexp_replace("feature", "^attr_", ""))
 
 
-def fit_predict_cv(df: DataFrame, x: str, y: str, k: int, fold: str = "fold_mask") -> DataFrame:
-    """Least squares on the train folds of each iteration, predictions for its test fold (or rows of all folds).
+def fit_predict_cv(df: DataFrame, x: str | list[str], y: str, k: int, fold: str = "fold_mask", all_folds: bool = False) -> DataFrame:
+    """Least squares on the train folds of each iteration; predictions ``<y>_hat`` for its test fold, or rows of all folds.
 
-    Sufficient statistics of each fold add up to those of any set of folds, so the data is read once to fit all.
+    Sums of products of each fold add up to those of any set of folds, so the data is read once to fit all. The k small
+    systems (one unknown for each feature and the intercept) are solved on the driver. A row with a missing value isn't
+    learned from; with a missing feature, its prediction is null. Of collinear features the shortest solution counts.
     """
+    names = [x] if isinstance(x, str) else list(x)
     ok = df.filter(F.col(fold) > 0)
-    both = F.col(x).isNotNull() & F.col(y).isNotNull()
-    sums = ok.filter(both).groupBy(F.col(fold).alias("_f")).agg(F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(F.col(x) * F.col(x)).alias("sxx"), F.sum(F.col(x) * F.col(y)).alias("sxy"))
-    turn = sums.sparkSession.range(k).select(F.col("id").cast("int").alias("fold_id"))
-    val, test = F.col("fold_id") % k + 1, (F.col("fold_id") + 1) % k + 1
-    train = turn.crossJoin(sums).filter((F.col("_f") != val) & (F.col("_f") != test)).groupBy("fold_id").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "sxy")])
-    slope = (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / (F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"))
-    model = train.withColumn("slope", slope).withColumn("intercept", (F.col("sy") - F.col("slope") * F.col("sx")) / F.col("n"))
-    model = model.select(test.cast("int").alias(fold), "fold_id", "slope", "intercept")
-    return ok.join(F.broadcast(model), fold).withColumn(f"{y}_hat", F.col("slope") * F.col(x) + F.col("intercept"))
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*names, y]])
+    terms = [F.lit(1.0), *[F.col(c).cast("double") for c in [*names, y]]]
+    pairs = [(i, j) for i in range(len(terms)) for j in range(i, len(terms))]
+    sums = ok.filter(whole).groupBy(fold).agg(*[F.sum(terms[i] * terms[j]).alias(f"s{i}_{j}") for i, j in pairs]).collect()  # one row a fold
+    p, rows = len(names) + 1, []
+    for i in range(k):
+        m = np.zeros((p + 1, p + 1))
+        for r in sums:
+            if r[fold] not in (i % k + 1, (i + 1) % k + 1):
+                for a, b in pairs:
+                    m[a, b] += r[f"s{a}_{b}"]
+        m = np.triu(m) + np.triu(m, 1).T
+        if m[0, 0]:
+            scale = np.sqrt(np.maximum(np.diag(m)[:p], 1e-300))
+            beta = np.linalg.lstsq(m[:p, :p] / np.outer(scale, scale), m[:p, p] / scale, rcond=1e-13)[0] / scale
+            rows.append(((i + 1) % k + 1, i, [float(b) for b in beta]))
+    model = df.sparkSession.createDataFrame(rows, "_test int, fold_id int, _beta array<double>")
+    hat = sum((F.col("_beta")[i + 1] * F.col(c) for i, c in enumerate(names)), F.col("_beta")[0])
+    if all_folds:  # k rows of coefficients for each row
+        models = model.agg(F.sort_array(F.collect_list(F.struct("fold_id", "_beta")))).scalar()
+        out = ok.withColumn("_m", F.explode(models)).select(*df.columns, "_m.fold_id", "_m._beta")
+    else:
+        out = ok.join(F.broadcast(model), F.col(fold) == F.col("_test")).drop("_test")
+    return out.withColumn(f"{y}_hat", hat).drop("_beta")
 
 
 def align_three(obs: DataFrame, msc: DataFrame, attr: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,18 +9,30 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
+from cubespark.functions.grid import CELL
 from cubespark.operators.masks import CHUNK_KEYS, mask_chunks, with_chunks
+from cubespark.operators.reshape import densify
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def chunk_apply(df: DataFrame, fn: Callable[..., pd.DataFrame], schema: str, size: int, mask: DataFrame | None = None, args: tuple = ()) -> DataFrame:
+def chunk_apply(
+    df: DataFrame, fn: Callable[..., pd.DataFrame], schema: str, size: int, mask: DataFrame | None = None, args: tuple = (), combine: DataFrame | None = None, keys: list[str] = CELL
+) -> DataFrame:
     """``fn(pandas frame of a chunk, *args)`` on each chunk; with a mask, on chunks with a valid cell only.
 
-    A chunk has a fixed number of cells, so a group holds the series of at most ``size * size`` cells.
+    Results are listed by chunk (columns chunk_lat, chunk_lon come first); with ``combine``, a spine of ``keys``, they form one
+    dataset on it, null where no chunk gave a row. A chunk has a fixed number of cells, so a group holds the series of at
+    most ``size * size`` cells.
     """
     rows = with_chunks(df, size) if mask is None else mask_chunks(df, mask, size)
-    return rows.groupBy(*CHUNK_KEYS).applyInPandas(lambda pdf: fn(pdf, *args), schema)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = fn(pdf, *args)
+        return pd.concat([pd.DataFrame({c: [k] * len(out) for c, k in zip(CHUNK_KEYS, key, strict=True)}, index=out.index), out], axis=1)
+
+    out = rows.groupBy(*CHUNK_KEYS).applyInPandas(run, f"chunk_lat int, chunk_lon int, {schema}")
+    return out if combine is None else densify(out.drop(*CHUNK_KEYS), combine, keys)
 
 
 def chunk_complete(saved: DataFrame, expected: DataFrame, flush: bool = False) -> DataFrame:

@@ -113,6 +113,12 @@ def fold_roles(df: DataFrame, fold_id: int, k: int = 10, fold: str = "fold_mask"
     return df.withColumn("role", role)
 
 
+def prediction_set(df: DataFrame, fold_id: int, k: int = 10, fold: str = "fold_mask", all_folds: bool = False) -> DataFrame:
+    """The rows that iteration ``fold_id`` predicts: those of its test fold, or of all folds."""
+    roles = fold_roles(df, fold_id, k, fold)
+    return roles.filter(F.col("role").isNotNull() if all_folds else F.col("role") == "test")
+
+
 def split_chunks(mask: DataFrame, size: int, n: int, i: int) -> DataFrame:
     """Cells of the i-th of n runs of valid chunks in row-major order; all others are masked."""
     if not 0 <= i < n:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cubespark.functions.dates import leap_years
 from cubespark.functions.grid import CELL
+from cubespark.sources.scratch import numbered
 
 
 def year_windows(years: DataFrame, context: int, window: int) -> DataFrame:
@@ -110,14 +111,14 @@ def assign_batches(samples: DataFrame, batch_size: int, buffer: int, seed: int,
 
 
 def merge_partial_batches(parts: list[DataFrame], batch_size: int, order: list[str], drop_last: bool = False) -> DataFrame:
-    """U4: leftovers of several frames (fewer than a batch each) renumbered into batches."""
+    """U4: leftovers of several frames renumbered into batches in one order, range by range."""
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    rows = rows.withColumn("_at", F.row_number().over(Window.orderBy(*order)) - 1).withColumn("batch_id", F.floor(F.col("_at") / batch_size))
+    rows = numbered(rows, order, "_at").withColumn("batch_id", F.floor(F.col("_at") / batch_size))
     if drop_last:
-        rows = rows.withColumn("_n", F.count("*").over(Window.partitionBy("batch_id"))).filter(F.col("_n") == batch_size).drop("_n")
-    return rows.drop("_at")
+        rows = rows.filter(F.col("batch_id") < F.floor(F.col("_at_all") / batch_size))
+    return rows.drop("_at", "_at_all")
 
 
 def build_samples(df: DataFrame, msc: DataFrame, static: DataFrame, windows: DataFrame, stats: DataFrame, value: str = "v") -> DataFrame:
@@ -125,10 +126,11 @@ def build_samples(df: DataFrame, msc: DataFrame, static: DataFrame, windows: Dat
 
     Days run from the start of the context to the end of the window; ``num_days`` of them are scored.
     """
-    rows = df.withColumn("doy", F.dayofyear("date")).join(msc, [*CELL, "doy"], "left").join(
-        F.broadcast(windows), F.col("date").between(F.col("start_context_date"), F.col("end_window_date"))
-    )
-    rows = rows.crossJoin(F.broadcast(stats))
+    # Windows, one for each year at most, come with the statistics and meet a date by its year.
+    years = F.sequence(F.year("start_context_date"), F.year("end_window_date"))
+    spans = windows.withColumns({"mean": stats.select("mean").scalar(), "std": stats.select("std").scalar()}).withColumn("_year", F.explode(years))
+    rows = df.withColumns({"doy": F.dayofyear("date"), "_year": F.year("date")}).join(F.broadcast(spans), "_year")
+    rows = rows.filter(F.col("date").between(F.col("start_context_date"), F.col("end_window_date"))).join(msc, [*CELL, "doy"], "left")
     scaled = lambda c: (c - F.col("mean")) / F.col("std")
     step = F.struct(
         "date",

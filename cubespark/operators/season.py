@@ -13,19 +13,27 @@ def msc_raw(df: DataFrame, value: str = "v", keys: list[str] = CELL, out: str =
     return df.groupBy(*keys, F.dayofyear("date").alias("doy")).agg(F.avg(value).alias(out))
 
 
+def _smoothed(days: Column, half: int, least: int) -> Column:
+    """An array of 366 circular means from a map of days to values; null below ``least`` values."""
+    year = F.transform(F.sequence(F.lit(1), F.lit(366)), lambda d: F.element_at(days, d))
+    padded = F.concat(F.slice(year, 367 - half, half), year, F.slice(year, 1, half))
+
+    def mean(near: Column) -> Column:
+        total = F.aggregate(near, F.lit(0.0), lambda s, v: s + v)
+        return F.when(F.size(near) >= least, total / F.size(near))
+
+    around = lambda p: F.transform(F.sequence(F.lit(1), F.lit(366)), lambda d: F.filter(F.slice(p, d, 2 * half + 1), lambda v: v.isNotNull()))
+    return F.transform(F.transform(F.array(padded), around)[0], mean)
+
+
 def smooth_msc(raw: DataFrame, value: str = "m", keys: list[str] = CELL, out: str = "v_msc", half: int = 8, least: int = 5) -> DataFrame:
     """Circular centered mean over 2 * half + 1 days of 1..366, null below ``least`` values; all 366 days appear.
 
-    The year is padded on both sides by shifted copies of the days near its ends, then a range frame does the rest.
+    The days of a cell (at most 366) are one row. Rows dealt by cell before (``df.repartition(*keys)``) aren't moved again.
     """
-    shift = F.when(F.col("doy") <= half, F.array(F.lit(0), F.lit(366))).when(F.col("doy") > 366 - half, F.array(F.lit(-366), F.lit(0))).otherwise(F.array(F.lit(0)))
-    seen = raw.select(*keys, F.explode(shift).alias("_s"), "doy", value).select(*keys, (F.col("doy") + F.col("_s")).alias("doy"), value)
-    cells = raw.select(*keys).distinct()
-    spine = cells.select(*keys, F.explode(F.sequence(F.lit(1), F.lit(366))).alias("doy"), F.lit(None).cast("double").alias(value), F.lit(True).alias("_day"))
-    rows = seen.withColumn("_day", F.lit(False)).unionByName(spine)
-    w = Window.partitionBy(*keys).orderBy("doy").rangeBetween(-half, half)
-    smooth = F.when(F.count(value).over(w) >= least, F.avg(value).over(w))
-    return rows.withColumn(out, smooth).filter("_day").select(*keys, "doy", out)
+    days = raw.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("doy", value))).alias("_days"))
+    rows = days.select(*keys, F.posexplode(_smoothed(F.col("_days"), half, least)).alias("_at", out))
+    return rows.select(*keys, (F.col("_at") + 1).alias("doy"), out)
 
 
 def msc_align(msc: DataFrame, ref: DataFrame, keys: list[str] = CELL) -> DataFrame:
@@ -35,10 +43,21 @@ def msc_align(msc: DataFrame, ref: DataFrame, keys: list[str] = CELL) -> DataFra
     return ref.withColumn("doy", F.dayofyear("date")).join(msc, [*keys, "doy"], "left")
 
 
-def anomaly(df: DataFrame, value: str = "v", keys: list[str] = CELL) -> DataFrame:
-    """Value minus the smoothed seasonal cycle of its day. One exchange by cell serves grouping, window and join."""
-    df = df.repartition(*keys)
-    return msc_align(smooth_msc(msc_raw(df, value, keys), keys=keys, out=f"{value}_msc"), df, keys).withColumn(f"{value}_ano", F.col(value) - F.col(f"{value}_msc"))
+def anomaly(df: DataFrame, value: str = "v", keys: list[str] = CELL, half: int = 8, least: int = 5) -> DataFrame:
+    """Value minus the smoothed seasonal cycle of its day.
+
+    The table is read and dealt by cell once: the rows of a seasonal day travel with its mean, those of a cell (its series,
+    which time bounds) with its cycle.
+    """
+    rows = df.repartition(*keys).withColumn("doy", F.dayofyear("date")).groupBy(*keys, "doy")
+    rows = rows.agg(F.avg(value).alias("_m"), F.collect_list(F.struct(*[c for c in df.columns if c not in keys])).alias("_rows"))
+    cells = rows.groupBy(*keys).agg(F.collect_list(F.struct("doy", "_m", "_rows")).alias("_days"))
+    means = F.map_from_entries(F.transform("_days", lambda d: F.struct(d["doy"], d["_m"])))
+    cells = cells.select(*keys, "_days", _smoothed(means, half, least).alias("_msc"))
+    days = cells.select(*keys, F.explode(F.transform("_days", lambda d: F.struct(d["doy"].alias("doy"), d["_rows"].alias("rows"), F.get("_msc", d["doy"] - 1).alias("msc")))).alias("_d"))
+    out = days.select(*keys, "_d.doy", F.col("_d.msc").alias(f"{value}_msc"), F.explode("_d.rows").alias("_r"))
+    old = [F.col(c) if c in keys else F.col(f"_r.{c}").alias(c) for c in df.columns]
+    return out.select(*old, "doy", f"{value}_msc", (F.col(f"_r.{value}") - F.col(f"{value}_msc")).alias(f"{value}_ano"))
 
 
 def cumulative_to_flux(df: DataFrame, value: str, keys: list[str] = CELL, out: str = "flux") -> DataFrame:

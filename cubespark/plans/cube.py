@@ -45,7 +45,8 @@ def a1(spark, sf_dir):
 
 @query("w1_smooth_msc", "SELECT lat_idx, lon_idx, CAST(doy AS INTEGER) AS doy, round(v_msc, 8) AS v_msc FROM msc")
 def w1(spark, sf_dir):
-    return season.smooth_msc(season.msc_raw(a.cell_daily(spark, sf_dir))).select(*CELL, "doy", r("v_msc", digits=8))
+    daily = a.cell_daily(spark, sf_dir).repartition(*CELL)  # one exchange serves means and windows
+    return season.smooth_msc(season.msc_raw(daily)).select(*CELL, "doy", r("v_msc", digits=8))
 
 
 @query(
@@ -264,8 +265,8 @@ def a24(spark, sf_dir):
     return reshape.avg_pool_time(a.cell_daily(spark, sf_dir), 7, CELL, ["date"], "v").select(*CELL, "block", r("mean"))
 
 
-@query("p11_context_to_date", "SELECT lat_idx, lon_idx, strftime(date, '%Y-%m-%d') AS date, c AS context_offset, strftime(date + CAST(c AS INTEGER), '%Y-%m-%d') AS context_date FROM cell_daily CROSS JOIN (SELECT CAST(unnest(range(-2, 1)) AS INTEGER) AS c) WHERE year(date) = 1996")
+@query("p11_context_to_date", "SELECT lat_idx, lon_idx, strftime(date, '%Y-%m-%d') AS date, c AS context_offset, strftime(date + CAST(c AS INTEGER), '%Y-%m-%d') AS context_date FROM cell_daily CROSS JOIN (SELECT CAST(unnest(range(-2, 1)) AS INTEGER) AS c)")
 def p11(spark, sf_dir):
-    rows = a.cell_daily(spark, sf_dir).filter(F.year("date") == 1996).withColumn("context_offset", F.explode(F.sequence(F.lit(-2), F.lit(0))))
+    rows = a.cell_daily(spark, sf_dir).withColumn("context_offset", F.explode(F.sequence(F.lit(-2), F.lit(0))))
     at = F.date_format(dates.context_to_date(F.col("date"), F.col("context_offset")), "yyyy-MM-dd")
     return rows.select(*CELL, day(), "context_offset", at.alias("context_date"))

@@ -66,10 +66,20 @@ def a25(spark, sf_dir):
     return at.attr_daily(rows, CELL).select(*CELL, iso("time"), "context", "feature", r("attr"))
 
 
-@query("w8_context_index", "SELECT lat_idx, lon_idx, strftime(date, '%Y-%m-%d') AS date, CAST(date - 29 - DATE '1995-01-01' AS INTEGER) AS start_index, CAST(date - DATE '1995-01-01' AS INTEGER) AS end_index, strftime(date - 29, '%Y-%m-%d') AS context_start FROM cell_daily WHERE date >= DATE '1996-01-01'")
+@query("w8_context_index", "SELECT lat_idx, lon_idx, strftime(date, '%Y-%m-%d') AS date, CAST(date - 29 - DATE '1994-12-01' AS INTEGER) AS start_index, CAST(date - DATE '1994-12-01' AS INTEGER) AS end_index, strftime(date - 29, '%Y-%m-%d') AS context_start FROM cell_daily")
 def w8(spark, sf_dir):
-    rows = a.cell_daily(spark, sf_dir).filter("date >= DATE'1996-01-01'")
-    return at.context_index(rows, F.col("date"), 30, "1995-01-01", "2001-12-31").select(*CELL, day(), "start_index", "end_index", iso("context_start"))
+    return at.context_index(a.cell_daily(spark, sf_dir), F.col("date"), 30, "1994-12-01", "2001-12-31").select(*CELL, day(), "start_index", "end_index", iso("context_start"))
+
+
+@query(
+    "w8_attribution_span",
+    "SELECT lat_idx, lon_idx, strftime(lo, '%Y-%m-%d') AS data_start, strftime(hi - 100 - 1094, '%Y-%m-%d') AS context_start, CAST(hi - 100 - lo AS INTEGER) AS start_index, CAST(hi - 10 - lo AS INTEGER) AS end_index FROM (SELECT lat_idx, lon_idx, min(date) AS lo, max(date) AS hi FROM cell_daily GROUP BY 1, 2)",
+)
+def w8_span(spark, sf_dir):
+    cells = a.cell_daily(spark, sf_dir).groupBy(*CELL).agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
+    start, end = F.date_sub("hi", 100), F.date_sub("hi", 10)
+    out = at.attribution_span(cells, start, end, 1095, F.date_sub("hi", 365), F.col("hi"), F.datediff("hi", "lo") + 1)
+    return out.select(*CELL, iso("data_start"), iso("context_start"), "start_index", "end_index")
 
 
 CV = """SELECT d.lat_idx, d.lon_idx, strftime(d.date, '%Y-%m-%d') AS date, f.fold_mask, CAST(i AS INTEGER) AS fold_id, round(m.b * d.v + m.c, 4) AS v2_hat
@@ -83,15 +93,28 @@ def x10(spark, sf_dir):
     return at.fit_predict_cv(rows, "v", "v2", K).select(*CELL, day(), "fold_mask", "fold_id", r("v2_hat", digits=4))
 
 
+CV_ALL = """WITH x AS (SELECT d.*, f.fold_mask, CAST(dayofyear(d.date) AS DOUBLE) AS u FROM cell_daily d JOIN fold_mask f USING (lat_idx, lon_idx) WHERE f.fold_mask > 0),
+c AS (SELECT i, covar_pop(v2, v) AS yv, covar_pop(v2, u) AS yu, var_pop(v) AS vv, var_pop(u) AS uu, covar_pop(v, u) AS vu, avg(v2) AS y, avg(v) AS v, avg(u) AS u
+ FROM (SELECT unnest(range(0, 4)) AS i) CROSS JOIN x WHERE fold_mask NOT IN (i % 4 + 1, (i + 1) % 4 + 1) GROUP BY 1),
+b AS (SELECT *, (yv * uu - yu * vu) / (vv * uu - vu * vu) AS bv, (yu * vv - yv * vu) / (vv * uu - vu * vu) AS bu FROM c)
+SELECT x.lat_idx, x.lon_idx, strftime(x.date, '%Y-%m-%d') AS date, CAST(b.i AS INTEGER) AS fold_id, round(b.y + b.bv * (x.v - b.v) + b.bu * (x.u - b.u), 3) AS v2_hat FROM x CROSS JOIN b"""
+
+
+@query("x10_predict_all_folds", CV_ALL)
+def x10_all(spark, sf_dir):
+    rows = a.cell_daily(spark, sf_dir).join(folds(spark, sf_dir), CELL).withColumn("u", F.dayofyear("date").cast("double"))
+    return at.fit_predict_cv(rows, ["v", "u"], "v2", K, all_folds=True).select(*CELL, day(), "fold_id", r("v2_hat", digits=3))
+
+
 @query(
     "j14_align_three",
-    f"SELECT d.lat_idx, d.lon_idx, strftime(d.date, '%Y-%m-%d') AS date, round(d.v, 6) AS v, round(c.v_msc, 8) AS v_msc, round({ATTR_A}, 4) AS attr FROM cell_daily d JOIN {IN} i USING (lat_idx, lon_idx, date) JOIN msc c ON c.lat_idx = d.lat_idx AND c.lon_idx = d.lon_idx AND c.doy = dayofyear(d.date) WHERE year(d.date) = 1998",
+    f"SELECT d.lat_idx, d.lon_idx, strftime(d.date, '%Y-%m-%d') AS date, round(d.v, 6) AS v, round(c.v_msc, 8) AS v_msc, round({ATTR_A}, 4) AS attr FROM cell_daily d JOIN {IN} i USING (lat_idx, lon_idx, date) JOIN msc c ON c.lat_idx = d.lat_idx AND c.lon_idx = d.lon_idx AND c.doy = dayofyear(d.date)",
 )
 def j14(spark, sf_dir):
     daily = a.cell_daily(spark, sf_dir)
     msc = season.msc_align(season.smooth_msc(season.msc_raw(daily)), daily.select(*CELL, "date")).drop("doy")
     attr = at.integrated_gradients(inputs(spark, sf_dir), score, ["a", "b"], 8, keep=[*CELL, "date"]).select(*CELL, "date", F.col("attr_a").alias("attr"))
-    out = at.align_three(daily.filter(F.year("date") == 1998).select(*CELL, "date", "v"), msc, attr, [*CELL, "date"])
+    out = at.align_three(daily.select(*CELL, "date", "v"), msc, attr, [*CELL, "date"])
     return out.select(*CELL, day(), r("v"), r("v_msc", digits=8), r("attr", digits=4))
 
 

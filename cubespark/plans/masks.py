@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cubespark.functions import grid
@@ -93,6 +96,16 @@ def x3(spark, sf_dir):
     return m.fold_roles(folds(spark, sf_dir), 1, K)
 
 
+PREDICTED = "SELECT i AS fold_id, {}, lat_idx, lon_idx FROM fold_mask, (SELECT CAST(unnest(range(0, 4)) AS INTEGER) AS i) WHERE {}"
+
+
+@query("x3_prediction_set", PREDICTED.format("false AS all_folds", "fold_mask = (i + 1) % 4 + 1") + " UNION ALL " + PREDICTED.format("true", "fold_mask > 0"))
+def x3_predicted(spark, sf_dir):
+    f = folds(spark, sf_dir)
+    sets = [m.prediction_set(f, i, K, all_folds=every).select(F.lit(i).alias("fold_id"), F.lit(every).alias("all_folds"), *CELL) for i in range(K) for every in (False, True)]
+    return reduce(DataFrame.unionByName, sets)
+
+
 @query(
     "x5_split_chunks",
     "SELECT m.lat_idx, m.lon_idx, coalesce(m.mask AND t.t = 2, false) AS mask FROM mask m LEFT JOIN (SELECT chunk_lat, chunk_lon, ntile(3) OVER (ORDER BY chunk_lat, chunk_lon) AS t FROM chunks) t ON t.chunk_lat = m.lat_idx // 2 AND t.chunk_lon = m.lon_idx // 2",

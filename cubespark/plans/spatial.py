@@ -53,18 +53,17 @@ def s9(spark, sf_dir):
     return out.select("variable", "long_name", "units", r("mean"), r("std"))
 
 
-@query("a14_ensemble_median", "SELECT lat_idx, lon_idx, round(median(m), 6) AS median FROM (SELECT lat_idx, lon_idx, avg(v) AS m FROM cell_daily WHERE year(date) < 2000 GROUP BY 1, 2, year(date)) GROUP BY 1, 2")
+@query("a14_ensemble_median", "SELECT lat_idx, lon_idx, round(median(m), 6) AS median FROM (SELECT lat_idx, lon_idx, avg(v) AS m FROM cell_daily GROUP BY 1, 2, year(date)) GROUP BY 1, 2")
 def a14(spark, sf_dir):
-    yearly = a.cell_daily(spark, sf_dir).filter(F.year("date") < 2000).groupBy(*CELL, F.year("date").alias("year")).agg(F.avg("v").alias("m"))
+    yearly = a.cell_daily(spark, sf_dir).groupBy(*CELL, F.year("date").alias("year")).agg(F.avg("v").alias("m"))
     return regrid.ensemble_median(yearly, "m").select(*CELL, r("median"))
 
 
 @query("a15_quantile", "SELECT round(quantile_cont(v, 0.01), 6) AS q01, round(quantile_cont(v, 0.5), 6) AS q50, round(quantile_cont(v, 0.99), 6) AS q99, round(greatest(abs(quantile_cont(v, 0.01)), abs(quantile_cont(v, 0.99))), 6) AS lim FROM cell_daily")
 def a15(spark, sf_dir):
     df = a.cell_daily(spark, sf_dir)
-    q = F.percentile("v", F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99)))
-    lim = maps.symmetric_limit(df, "v")
-    return df.agg(q.alias("q")).crossJoin(lim).select(r(F.col("q")[0], "q01"), r(F.col("q")[1], "q50"), r(F.col("q")[2], "q99"), r("limit").alias("lim"))
+    lim = maps.symmetric_limit(df, "v").scalar()
+    return maps.quantiles(df, "v", [0.01, 0.5, 0.99]).select(r("q0", "q01"), r("q1", "q50"), r("q2", "q99"), r(lim, "lim"))
 
 
 @query("a16_area_weighted_mean", "SELECT lat_idx // 2 AS band, round(sum(cos(radians(lat_idx * 10)) * size) / sum(cos(radians(lat_idx * 10))), 6) AS mean FROM cell_static GROUP BY 1")
@@ -101,20 +100,21 @@ def a18(spark, sf_dir):
     return maps.histogram_2d(rows, "x", "y", (40, 10), 5.0)
 
 
-P = "(SELECT * FROM points ORDER BY md5(concat_ws('|', CAST(id AS VARCHAR), '0')), id LIMIT 10000)"
+P = "points"
+SAMPLE = "(SELECT * FROM points ORDER BY md5(concat_ws('|', CAST(id AS VARCHAR), '0')), id LIMIT 10000)"
 
 
 @query("j9_pairs_within", f"SELECT a.id AS a, b.id AS b, round(sqrt((a.lat - b.lat) ** 2 + (a.lon - b.lon) ** 2), 6) AS dist FROM {P} a JOIN {P} b ON a.id < b.id WHERE sqrt((a.lat - b.lat) ** 2 + (a.lon - b.lon) ** 2) <= 2.5")
 def j9(spark, sf_dir):
-    return maps.pairs_within(maps.sampled_points(a.points(spark, sf_dir)), 2.5).select("a", "b", r("dist"))
+    return maps.pairs_within(a.points(spark, sf_dir), 2.5).select("a", "b", r("dist"))
 
 
 @query(
     "a19_empirical_variogram",
-    f"SELECT CAST(greatest(ceil(d / 5 * 10), 1) AS INTEGER) AS lag, round(avg(sq) / 2, 4) AS gamma, count(*) AS pairs FROM (SELECT sqrt((a.lat - b.lat) ** 2 + (a.lon - b.lon) ** 2) AS d, (a.z - b.z) ** 2 AS sq FROM {P} a JOIN {P} b ON a.id < b.id) WHERE d <= 5 GROUP BY 1",
+    f"SELECT CAST(greatest(ceil(d / 5 * 10), 1) AS INTEGER) AS lag, round(avg(sq) / 2, 4) AS gamma, count(*) AS pairs FROM (SELECT sqrt((a.lat - b.lat) ** 2 + (a.lon - b.lon) ** 2) AS d, (a.z - b.z) ** 2 AS sq FROM {SAMPLE} a JOIN {SAMPLE} b ON a.id < b.id) WHERE d <= 5 GROUP BY 1",
 )
 def a19(spark, sf_dir):
-    return maps.empirical_variogram(a.points(spark, sf_dir), 10, 5.0).select("lag", r("gamma", digits=4), "pairs")
+    return maps.empirical_variogram(a.points(spark, sf_dir), 10, 5.0, max_points=10_000).select("lag", r("gamma", digits=4), "pairs")
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,18 +51,29 @@ def seasonal_spine(cells: DataFrame, hourly: bool = False) -> DataFrame:
 
 
 def layout_of(df: DataFrame) -> str:
-    """Static without time, hourly if the step is one hour, daily otherwise; irregular steps are an error."""
+    """Static without time, hourly if the step is one hour, daily otherwise; irregular steps are an error.
+
+    Stamps all at one full hour of the day are daily if there are two days or more, or if that hour is midnight; a single
+    stamp at another hour is hourly.
+    """
     if "ts" not in df.columns:
         return "static"
-    steps = [row[0] for row in df.select(F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t")).distinct().select((F.col("t") % 86400).alias("s")).distinct().limit(25).collect()]
-    if any(s % 3600 for s in steps):
+    t = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    seen = df.select(t.alias("t")).agg(
+        F.count_if(F.col("t") % 3600 != 0).alias("odd"), F.min(F.col("t") % 86400).alias("low"), F.max(F.col("t") % 86400).alias("high"), F.min("t").alias("first"), F.max("t").alias("last")
+    ).first()
+    if seen["odd"]:
         raise ValueError("time steps are neither hourly nor daily")
-    return "daily" if len(steps) <= 1 else "hourly"
+    one_hour = seen["low"] == seen["high"]
+    return "daily" if one_hour and (seen["first"] != seen["last"] or not seen["low"]) else "hourly"
 
 
-def ingest(df: DataFrame, variable: str, path: str, value: str = "value") -> str:
-    """Write one variable into its time regions; a rerun replaces the months it holds and no others."""
-    layout = layout_of(df)
+def ingest(df: DataFrame, variable: str, path: str, value: str = "value", layout: str | None = None) -> str:
+    """Write one variable into its time regions; a rerun replaces the months it holds and no others.
+
+    ``layout`` (static, daily or hourly) is inferred from the time steps if it isn't given.
+    """
+    layout = layout or layout_of(df)
     out = df.withColumn(value, values.convert_units(variable, F.col(value).cast("double")).cast("float")).withColumns({"variable": F.lit(variable), "scale": F.lit(layout)})
     if layout == "static":
         out = out.withColumns({"year": F.lit(None).cast("int"), "month": F.lit(None).cast("int")})
@@ -74,6 +86,25 @@ def ingest(df: DataFrame, variable: str, path: str, value: str = "value") -> str
     return target
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table is there."""
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
+    return True
+
+
+def stored_months(spark: SparkSession, path: str, variable: str, months: DataFrame, schema: str) -> DataFrame:
+    """What a table written by ``ingest`` holds of a variable in some (year, month); nothing if it isn't there yet."""
+    schema = f"{schema}, variable string, scale string, year int, month int"
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).filter(F.col("variable") == variable).join(F.broadcast(months), ["year", "month"], "left_semi")
+
+
 def write_derived(df: DataFrame, path: str, parts: tuple[str, ...] = ("chunk_lat", "chunk_lon")) -> None:
     """Write chunks of a derived variable; chunks that ``df`` doesn't hold stay as they are."""
     df.repartition(*parts).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(*parts).parquet(path)

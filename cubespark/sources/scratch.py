@@ -7,15 +7,18 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests on one machine), a temporary one."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset and all runs on one machine, a temporary one."""
     if at := spark.conf.get("spark.checkpoint.dir", None):
         return at
+    if not spark.conf.get("spark.master", "").startswith("local[") and spark.conf.get("spark.master", "") != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = tempfile.mkdtemp(prefix="spark-")
         atexit.register(shutil.rmtree, _OWN["dir"], ignore_errors=True)
@@ -24,3 +27,34 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/cubespark/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here, on any executor."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def in_ranges(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` written in as many ranges of ``order`` as there are shuffle partitions, with the number of its range in ``_p``."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()), name)
+
+
+def sums_before(parts: DataFrame, sums: dict[str, Column], by: list[str] = ()) -> DataFrame:
+    """(by, _p) with the sums of all ranges before each in ``<name>_before`` and of all in ``<name>_all``; one row for each range."""
+    rows = parts.groupBy(*by, "_p").agg(*[v.alias(k) for k, v in sums.items()])
+    w = Window.partitionBy(*(by or [F.lit(0)]))
+    run = w.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    more = [c for k in sums for c in (F.coalesce(F.sum(k).over(run), F.lit(0)).alias(f"{k}_before"), F.sum(k).over(w).alias(f"{k}_all"))]
+    return rows.select(*by, "_p", *more)
+
+
+def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """Add the position of each row in ``order``, from 0, and ``<out>_all``, their number: windows span one range each."""
+    rows = in_ranges(df, order, "ranges")
+    before = sums_before(rows, {"n": F.count("*")})
+    at = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
+    rows = rows.withColumn("_i", at).join(F.broadcast(before), "_p")  # one row for each range
+    return rows.withColumns({out: F.col("n_before") + F.col("_i"), f"{out}_all": F.col("n_all")}).drop("_p", "_i", "n_before", "n_all")

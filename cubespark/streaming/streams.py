@@ -13,7 +13,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from cubespark.functions.dates import stack_time
 from cubespark.functions.grid import CELL
 from cubespark.functions.values import invert_units
-from cubespark.sources.files import ingest
+from cubespark.operators.logs import early_stop_step
+from cubespark.sources.files import exists, ingest, stored_months
 from cubespark.sources.scratch import new_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -27,79 +28,111 @@ def read_files(spark: SparkSession, path: str, files_per_trigger: int = 1) -> Da
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def _run(writer, spark: SparkSession) -> None:
-    writer.option("checkpointLocation", new_path(spark, "stream-state")).trigger(availableNow=True).start().awaitTermination()
+def _run(writer, state: str) -> None:
+    writer.option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
 
-def stream_ingest(stream: DataFrame, variable: str, path: str) -> str:
-    """Arriving rows (cell, ts, value) fill their months, in parts and in any order.
+def stream_ingest(stream: DataFrame, variable: str, path: str, order: str | None = None, state: str | None = None) -> str:
+    """Arriving hourly rows (cell, ts, value) fill their months, in parts, in any order, over any number of runs.
 
     The months that a trigger touches are read, merged with its rows and overwritten; a value that comes again replaces
-    the one before, so a rerun changes nothing.
+    the one before, so a rerun changes nothing. Of rows of one cell and hour in one trigger, the one with the largest
+    ``order`` (a column, or else the value) counts. The stream's progress is kept at ``state``, by default beside the
+    table, so a later run on the same source takes up what is new; another source needs a state of its own.
     """
     spark, target = stream.sparkSession, f"{path}/hourly"
     keys = [*CELL, "ts"]
 
     def fill(batch: DataFrame, version: int) -> None:
-        fresh = batch.dropDuplicates(keys)
+        fresh = batch.groupBy(*keys).agg(F.max_by("value", F.struct(order or "value", "value")).alias("value"))
         if fresh.isEmpty():
             return
-        if version:
-            months = fresh.select(F.year("ts").alias("year"), F.month("ts").alias("month")).distinct()
-            old = spark.read.parquet(target).filter(F.col("variable") == variable).join(F.broadcast(months), ["year", "month"], "left_semi")
-            old = stack_time(old).select(*keys, invert_units(variable, F.col("value").cast("double")).alias("value"))
-            fresh = old.join(fresh, keys, "left_anti").unionByName(fresh.select(*keys, "value"))
+        months = fresh.select(F.year("ts").alias("year"), F.month("ts").alias("month")).distinct()
+        old = stored_months(spark, target, variable, months, "lat_idx int, lon_idx int, value float, date date, hour int")
+        old = stack_time(old).select(*keys, invert_units(variable, F.col("value").cast("double")).alias("value"))
         merged = new_path(spark, "merged")
-        fresh.write.parquet(merged)
-        ingest(spark.read.parquet(merged), variable, path)
+        old.join(fresh, keys, "left_anti").unionByName(fresh.select(*keys, "value")).write.parquet(merged)
+        ingest(spark.read.parquet(merged), variable, path, layout="hourly")
 
-    _run(stream.writeStream.foreachBatch(fill), spark)
+    _run(stream.writeStream.foreachBatch(fill), state or f"{path}/_state/{variable}")
     return target
 
 
 class Counted(StatefulProcessor):
-    """Counts the samples of a chunk and emits it once, when the expected number is reached."""
+    """The distinct samples of a chunk; emits it once, when the expected number is reached, and what is short at a flush."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.saved = handle.getValueState("saved", "n bigint")
+        self.seen = handle.getMapState("seen", "sample bigint", "one boolean")
+        self.done = handle.getValueState("done", "n bigint, complete boolean")
 
     def handleInputRows(self, key, rows, timerValues):
-        before = self.saved.get()[0] if self.saved.exists() else 0
-        n, expected = before, 0
+        n, complete = self.done.get() if self.done.exists() else (0, False)
+        expected, flush = None, False
         for pdf in rows:
-            n += len(pdf)
-            expected = int(pdf["samples"].iloc[0])
-        self.saved.update((n,))
-        if before < expected <= n:
-            yield pd.DataFrame({"chunk_lat": [key[0]], "chunk_lon": [key[1]], "saved": [n]})
+            flush = flush or bool(pdf["flush"].any())
+            for sample, want in zip(pdf["sample"], pdf["samples"], strict=True):
+                if not complete and pd.notna(sample) and not self.seen.containsKey((int(sample),)):
+                    self.seen.updateValue((int(sample),), (True,))
+                    n += 1
+                expected = int(want) if pd.notna(want) else expected
+        now = complete or (expected is not None and n >= expected)
+        if now:
+            self.seen.clear()
+        self.done.update((n, now))
+        if now and not complete or flush and not now:
+            yield pd.DataFrame({"chunk_lat": [key[0]], "chunk_lon": [key[1]], "saved": [n], "complete": [now]})
 
     def close(self) -> None:
         pass
 
 
-def chunk_complete_stream(samples: DataFrame, path: str) -> str:
-    """Rows (chunk_lat, chunk_lon, samples) of saved samples; writes each chunk when it is complete."""
+def chunk_complete_stream(samples: DataFrame, path: str, state: str | None = None) -> str:
+    """Rows (chunk_lat, chunk_lon, sample, samples, flush) of saved samples; writes each chunk when it is complete.
+
+    ``sample`` names a sample of its chunk, so that one delivered again counts once; ``samples`` is how many there will be.
+    A row with ``flush`` (its sample may be null) ends its chunk: if it is short, it is written as incomplete.
+    """
     spark = samples.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    out = samples.groupBy("chunk_lat", "chunk_lon").transformWithStateInPandas(Counted(), "chunk_lat int, chunk_lon int, saved bigint", "Append", "None")
-    _run(out.writeStream.format("parquet").outputMode("append").option("path", path), spark)
+    keys = samples.groupBy("chunk_lat", "chunk_lon")
+    out = keys.transformWithStateInPandas(Counted(), "chunk_lat int, chunk_lon int, saved bigint, complete boolean", "Append", "None")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, ROCKSDB)  # read when the query starts
+    try:
+        _run(out.writeStream.format("parquet").outputMode("append").option("path", path), state or f"{path}/_state")
+    finally:
+        spark.conf.set(provider, before)
     return path
 
 
-def stream_metrics(log: DataFrame, path: str) -> str:
-    """The best value so far and the number of checks of each trial and metric, kept in update mode.
+def stream_metrics(log: DataFrame, path: str, order: list[str], patience: int = 20, min_delta: float = 0.0, state: str | None = None) -> str:
+    """Best value and early-stop status (W7) of arriving checks (trial, name, value), over any number of runs.
 
-    Each trigger writes the groups that changed as a version of its own; ``latest`` reads the newest of each.
+    ``order`` orders the checks of a trial and metric and tells them apart, so one delivered again counts once. Each trigger
+    merges its checks into those of the trials that it touches and writes their status anew; ``latest`` reads it.
     """
-    best = log.groupBy("trial", "name").agg(F.min("value").alias("best"), F.count("*").alias("checks"))
+    spark = log.sparkSession
+    checks, keys = f"{path}/checks", ["trial", "name"]
 
     def put(batch: DataFrame, version: int) -> None:
-        batch.withColumn("version", F.lit(version)).write.mode("overwrite").parquet(f"{path}/version={version:06d}")
-
-    _run(best.writeStream.outputMode("update").foreachBatch(put), log.sparkSession)
+        fresh = batch.select(*keys, *order, "value")
+        if fresh.isEmpty():
+            return
+        if exists(spark, checks):
+            old = spark.read.schema(fresh.schema).parquet(checks).join(F.broadcast(fresh.select("trial").distinct()), "trial", "left_semi")
+            fresh = fresh.unionByName(old)
+        merged = new_path(spark, "checks")
+        fresh.groupBy(*keys, *order).agg(F.min("value").alias("value")).write.parquet(merged)
+        rows = spark.read.parquet(merged)
+        ever = rows.groupBy(*keys).agg(F.min("value").alias("best"), F.count("*").alias("checks"))
+        stop = early_stop_step(rows, keys, order, "value", patience, min_delta).select(*keys, "best_check", "stop_check")
+        for frame, at in ((rows, checks), (ever.join(stop, keys), f"{path}/status")):
+            frame.repartition("trial").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("trial").parquet(at)
+
+    _run(log.writeStream.foreachBatch(put), state or f"{path}/_state")
     return path
 
 
 def latest(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.option("basePath", path).parquet(f"{path}/version=*")
-    return rows.groupBy("trial", "name").agg(F.max_by(F.struct("best", "checks"), "checks").alias("b")).select("trial", "name", "b.*")
+    """The status that ``stream_metrics`` has written."""
+    return spark.read.parquet(f"{path}/status")

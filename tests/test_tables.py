@@ -39,6 +39,7 @@ def test_ingest_fills_its_months_only(spark, tmp_path):
 
 def test_layouts(spark):
     assert files.layout_of(hours(spark, "2020-01-01", 5)) == "hourly"
+    assert files.layout_of(hours(spark, "2020-01-01T07:00:00", 1)) == "hourly" and files.layout_of(hours(spark, "2020-01-01", 1)) == "daily"
     assert files.layout_of(spark.createDataFrame([(1, 2, 3.0)], "lat_idx int, lon_idx int, value double")) == "static"
     odd = hours(spark, "2020-01-01", 3).withColumn("ts", F.expr("ts + interval 7 minutes"))
     with pytest.raises(ValueError, match="neither"):
@@ -72,6 +73,55 @@ def test_stream_ingest_equals_batch(spark, tmp_path):
     assert got[("2020-01-31", 2)] in (2_000.0, 52_000.0)
 
 
+def test_later_runs_keep_what_earlier_ones_stored(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for start, n in (("2020-01-01T03:00:00", 1), ("2020-01-01", 5), ("2020-01-02", 5)):
+        hours(spark, start, n).coalesce(1).write.mode("append").parquet(source)
+        target = streams.stream_ingest(streams.read_files(spark, source, 1), "tp", out)
+    got = stored(spark, target)
+    assert len(got) == 10 and got[("2020-01-01", 4)] == pytest.approx(4_000) and got[("2020-01-02", 4)] == pytest.approx(4_000)
+    assert got[("2020-01-01", 3)] == pytest.approx(3_000) and not (tmp_path / "out" / "daily").exists()
+
+
+def test_repeated_hours_of_a_trigger_have_an_order(spark, tmp_path):
+    source = str(tmp_path / "in")
+    both = hours(spark, "2020-01-01", 3, add=9).withColumn("seen", F.lit(1)).union(hours(spark, "2020-01-01", 3).withColumn("seen", F.lit(2)))
+    both.coalesce(1).write.parquet(source)
+    target = streams.stream_ingest(streams.read_files(spark, source, 1), "tp", str(tmp_path / "out"), order="seen")
+    assert stored(spark, target)[("2020-01-01", 2)] == pytest.approx(2_000)
+
+
+def test_stats_of_groups_without_values(spark):
+    from cubespark.operators import maps
+
+    df = spark.createDataFrame([(1, 2.0, None), (1, 4.0, None), (2, None, None)], "g int, v double, w double")
+    got = {(r["g"], r["variable"]): (r["n"], r["mean"], r["std"]) for r in maps.stats(df, ["v", "w"], ["g"]).collect()}
+    assert got == {(1, "v"): (2, 3.0, 1.0), (2, "v"): (0, None, None), (1, "w"): (0, None, None), (2, "w"): (0, None, None)}
+    merged = {r["variable"]: (r["n"], r["mean"], r["std"]) for r in maps.merge_stats(maps.stats(df, ["v", "w"], ["g"])).collect()}
+    assert merged == {"v": (2, 3.0, 1.0), "w": (0, None, None)}
+    with pytest.raises(Exception, match="no valid values"):
+        maps.stats(df, ["w"], ["g"]).collect()
+
+
+def exchanges(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    return final.count("Exchange "), final.count("FileScan"), final
+
+
+def test_season_plans(spark, tmp_path):
+    from cubespark.operators import season
+
+    rows = [(i % 7, i % 3, dt.date(2000, 1, 1) + dt.timedelta(days=i), float(i % 50)) for i in range(900)]
+    spark.createDataFrame(rows, "lat_idx int, lon_idx int, date date, v double").write.parquet(str(tmp_path / "daily"))
+    daily = spark.read.parquet(str(tmp_path / "daily"))
+    for df in (season.anomaly(daily), season.smooth_msc(season.msc_raw(daily.repartition("lat_idx", "lon_idx")))):
+        n, scans, plan = exchanges(df)
+        assert (n, scans) == (1, 1), plan
+    assert season.anomaly(daily).count() == 900
+
+
 def test_chunk_completeness(spark):
     saved = spark.createDataFrame([(0, 0)] * 3 + [(0, 1)] * 2, "chunk_lat int, chunk_lon int")
     expected = spark.createDataFrame([(0, 0, 3), (0, 1, 3)], "chunk_lat int, chunk_lon int, samples int")
