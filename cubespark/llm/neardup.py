@@ -312,15 +312,17 @@ def near_duplicates(
     slim = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
     sk = written(sketches(slim, words).drop("text"), "sketches")
     reps = classes(sk)
-    buckets = reps.select("cid", F.explode("bands").alias("band"))
-    centres = buckets.groupBy("band").agg(F.count("*").alias("m"), F.min("cid").alias("centre")).filter("m > 1")
-    multi = written(buckets.join(centres, "band"), "buckets")
+    buckets = reps.select("cid", "id", F.explode("bands").alias("band"))
+    # The first document of a bucket: copies are more like what they were made from than like each other.
+    centres = buckets.groupBy("band").agg(F.count("*").alias("m"), F.min_by("cid", "id").alias("centre")).filter("m > 1")
+    multi = written(buckets.drop("id").join(centres, "band"), "buckets")
     found = written(multi.select("cid").distinct().join(reps.select("cid", "id", "mark"), "cid"), "candidates")
     ids = sk.filter(F.col("id").isNotNull()).groupBy("id").agg(F.count("*").alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high"))
     repeated = written(ids.filter("n > 1"), "repeated")
     texts = slim.join(small(found), ["id", "mark"]).select("cid", "text")
     texts = written(texts if repeated.isEmpty() else texts.groupBy("cid").agg(F.min("text").alias("text")), "texts")
-    tried = written(multi.filter("cid <> centre").select(F.col("centre").alias("a"), F.col("cid").alias("b")).distinct(), "pairs")
+    pairs = multi.filter("cid <> centre").select(F.least("centre", "cid").alias("a"), F.greatest("centre", "cid").alias("b"))
+    tried = written(pairs.distinct(), "pairs")
     links = written(_checked(tried, reps, texts, words, percent).union(_same_id(sk, reps, repeated)), "links")
     labels = components(links)
 
