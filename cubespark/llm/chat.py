@@ -1,13 +1,16 @@
 """Chat formatting: heterogeneous conversation records into one template with a loss mask.
 
-``canonical_turns`` fingerprints each record: the nested paths of its fields, sorted and hashed. A fingerprint selects a
-declarative mapping (``MAPPINGS``) that says where roles and texts stand; records of unknown layout keep a null
-``mapping`` and no turns. ``format_turns`` writes each turn as ``<|im_start|>role\\ntext<|im_end|>\\n`` with the part of
+``canonical_turns`` fingerprints each record: the nested paths of those of its fields that any mapping knows, sorted and
+hashed; further fields don't matter. A fingerprint selects a declarative mapping (``MAPPINGS``) that says where roles and
+texts stand; an empty list of messages is a conversation without turns. Records of unknown layout keep a null ``mapping``
+and no turns: ``unmapped`` counts them by fingerprint. Roles stay as they are, but where a mapping renames them. ``format_turns`` writes each turn as ``<|im_start|>role\\ntext<|im_end|>\\n`` with the part of
 it under the loss mask (texts of assistants), escaping control strings inside texts and roles; ``read_back`` parses
 that output again. Conversations are streamed in order through a task, never held whole.
 
 Null texts and roles are empty strings; a null or malformed record has no turns. Turns of equal number are ordered by
-role and text; repeated rows are repeated turns. Empty tables give empty tables.
+role and text; repeated rows are repeated turns; rows of null conversation are one. Texts of any length are read whole,
+one slice at a time. Empty tables give empty tables. Columns named like a new one are replaced, all others pass through
+``canonical_turns``; later steps keep those of conversations and turns only.
 """
 
 from __future__ import annotations
@@ -28,13 +31,15 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 START, STOP = "<|im_start|>", "<|im_end|>"
 
+#: Other names of roles, where the key ``from`` holds them.
+ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 #: Layouts: the fields a record has, and how turns come from it. ``each`` names a list of messages; otherwise ``turns``
 #: lists (role, fields), whose non-empty texts are joined by an empty line.
 MAPPINGS = [
     {"name": "message", "fields": ["role", "text"], "turns": [("@role", ["text"])]},
     {"name": "content", "fields": ["role", "content"], "turns": [("@role", ["content"])]},
     {"name": "messages", "fields": ["messages", "messages[].role", "messages[].content"], "each": "messages", "role": "role", "text": "content"},
-    {"name": "conversations", "fields": ["conversations", "conversations[].from", "conversations[].value"], "each": "conversations", "role": "from", "text": "value"},
+    {"name": "conversations", "fields": ["conversations", "conversations[].from", "conversations[].value"], "each": "conversations", "role": "from", "text": "value", "roles": ROLES},
     {"name": "prompt_completion", "fields": ["prompt", "completion"], "turns": [("user", ["prompt"]), ("assistant", ["completion"])]},
     {"name": "prompt_response", "fields": ["prompt", "response"], "turns": [("user", ["prompt"]), ("assistant", ["response"])]},
     {"name": "question_answer", "fields": ["question", "answer"], "turns": [("user", ["question"]), ("assistant", ["answer"])]},
@@ -42,8 +47,6 @@ MAPPINGS = [
     {"name": "instruction_input", "fields": ["instruction", "input", "output"], "turns": [("user", ["instruction", "input"]), ("assistant", ["output"])]},
     {"name": "system_prompt_response", "fields": ["system", "prompt", "response"], "turns": [("system", ["system"]), ("user", ["prompt"]), ("assistant", ["response"])]},
 ]
-#: Other names of roles.
-ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
 def field_paths(value, at: str = "") -> set[str]:
@@ -73,12 +76,14 @@ def turns_of(record: dict, mapping: dict) -> list[tuple[str, str]]:
         for role, fields in mapping["turns"]:
             parts = [_text(record[f]) for f in fields]
             out.append((_text(record[role[1:]]) if role[0] == "@" else role, "\n\n".join([p for p in parts if p] or [""])))
-    return [(ROLES.get(r, r), t) for r, t in out]
+    roles = mapping.get("roles", {})
+    return [(roles.get(r, r), t) for r, t in out]
 
 
 def canonical_turns(df: DataFrame, record: str = "record", mappings: list[dict] = MAPPINGS) -> DataFrame:
     """Add ``fingerprint``, ``mapping`` and ``turns`` (an array of structs role, text) from a JSON record."""
-    by_print = {fingerprint(m["fields"]): m for m in mappings}
+    by_print = {fingerprint(m["fields"]): m for m in mappings} | {fingerprint([m["each"]]): m for m in mappings if "each" in m}
+    known = {p for m in mappings for p in m["fields"]}
 
     def make():
         def one(text):
@@ -88,7 +93,7 @@ def canonical_turns(df: DataFrame, record: str = "record", mappings: list[dict]
                 value = None
             if not isinstance(value, dict):
                 return None, None, "[]"
-            mark = fingerprint(field_paths(value))
+            mark = fingerprint(field_paths(value) & known)
             m = by_print.get(mark)
             turns = turns_of(value, m) if m else []
             return mark, m and m["name"], json.dumps([{"role": r, "text": t} for r, t in turns])
@@ -99,6 +104,11 @@ def canonical_turns(df: DataFrame, record: str = "record", mappings: list[dict]
     return out.withColumn("turns", F.from_json("turns", "array<struct<role:string,text:string>>"))
 
 
+def unmapped(turns: DataFrame) -> DataFrame:
+    """(fingerprint, n): how many records of ``canonical_turns`` have no mapping; a null fingerprint is no JSON object."""
+    return turns.filter(F.col("mapping").isNull()).groupBy("fingerprint").agg(F.count("*").alias("n"))
+
+
 def escape(text: str) -> str:
     """One more backslash in each control string's opening, so that none is left; ``unescape`` takes it away."""
     return re.sub(r"<(\\*)\|", r"<\1\\|", text)

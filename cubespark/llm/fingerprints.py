@@ -3,7 +3,8 @@
 A sketch is the ascending array of the ``K`` smallest distinct 64-bit hashes of a text's five-word shingles. Sketches of
 parts merge into the sketch of the whole, and estimate resemblance, containment and the number of distinct shingles.
 A text of one to four words has its whole word sequence as its one shingle; a null text or one without words has an
-empty sketch. Two empty sketches have resemblance 1, an empty and another one 0. Equal texts have equal sketches.
+empty sketch. Two empty sketches have resemblance 1, an empty and another one 0. Equal texts have equal sketches. Texts of
+any length count whole. Repeated rows have equal sketches each. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, written
+from cubespark.functions.values import count_upto
+
+from .common import SPACE, packed, unpacked, written
 
 K, WORDS = 256, 5
 _ENDS = " \t\n\x0b\x0c\r"
@@ -84,43 +87,32 @@ def as_text(a: Column) -> Column:
     return F.concat_ws(",", a.cast("array<string>"))
 
 
-def _bucket(value: Column, bounds: list[int]) -> Column:
-    """How many of the ascending bounds are not above the value, by two short searches."""
-    if not bounds:
-        return F.lit(0)
-    width = max(1, round(len(bounds) ** 0.5))
-    rows = [bounds[i : i + width] for i in range(0, len(bounds), width)]
-    upto = lambda seq: F.size(F.filter(seq, lambda b: b <= value))
-    first = upto(F.array(*[F.lit(r[0]) for r in rows]))
-    inner = F.array(*[F.array(*[F.lit(x) for x in r]) for r in rows])
-    return F.when(value.isNull() | (value < bounds[0]), 0).otherwise((first - 1) * width + upto(F.element_at(inner, first)))
-
-
 def with_next(df: DataFrame, id_col: str, text: str, extra: dict[str, Column]) -> DataFrame:
     """Add ``next_text`` (of the next row by id; of the first after the last) and the columns of ``extra``.
 
     ``extra`` maps names to functions of the text; each gives two columns, its own and ``next_<name>``. Rows are dealt
     into ranges of ids of like size, each a window of its own, and the first row of each range is handed to the one
-    before: no window spans the table. Rows of equal ids are ordered by text.
+    before: no window spans the table. Ids have any type that sorts; null ids come first, rows of equal ids are ordered by
+    text. Columns named like a new one are replaced, all others pass through.
     """
     spark = df.sparkSession
+    inner, new = {"id": id_col, "text": text}, ("next_text", *[c for k in extra for c in (k, f"next_{k}")])
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = df.agg(F.percentile_approx(id_col, [i / n for i in range(1, n)], 100_000)).first()[0] or []
-    bounds = sorted({int(x) for x in found})
-    base = df.withColumn(text, F.coalesce(text, F.lit(""))).withColumn("_at", _bucket(F.col(id_col), bounds))
-    firsts = df.groupBy(_bucket(F.col(id_col), bounds).alias("_at")).agg(F.min(F.struct(F.col(id_col).alias("id"))).alias("f"))
-    order = Window.orderBy("_at")  # one row for each range
-    ring = firsts.select(
-        "_at", F.coalesce(F.lead("f").over(order), F.first("f").over(order.rowsBetween(Window.unboundedPreceding, 0)))["id"].alias("_id")
-    )
-    ring = written(ring, "ranges")
-    heads = df.select(F.col(id_col).alias("_id"), F.coalesce(text, F.lit("")).alias("_text"))
-    heads = heads.join(F.broadcast(ring), heads["_id"].eqNullSafe(ring["_id"])).groupBy("_at").agg(F.min("_text").alias("_head"))
-    heads = heads.select("_at", "_head", *[f(F.col("_head")).alias(f"_head_{k}") for k, f in extra.items()])
-    dealt = base.repartition(n // 4, "_at").select("*", *[f(F.col(text)).alias(k) for k, f in extra.items()])
-    w = Window.partitionBy("_at").orderBy(id_col, text)
-    led = dealt.select("*", F.lead(text).over(w).alias("_next"), *[F.lead(k).over(w).alias(f"_next_{k}") for k in extra])
-    out = led.join(heads, "_at", "left")
-    for k in ["", *(f"_{k}" for k in extra)]:
-        out = out.withColumn(f"next_{k[1:] or 'text'}", F.coalesce(f"_next{k}", f"_head{k}")).drop(f"_next{k}", f"_head{k}")
-    return out.drop("_at")
+    ids = df.select(F.col(id_col).alias("id"))
+    # The smallest ids of n ranges: one array of at most n elements, in which each row finds its range by bisection.
+    least = ids.repartitionByRange(n, "id").groupBy(F.spark_partition_id().alias("p")).agg(F.min("id").alias("least"))
+    bounds = written(least.filter(F.col("least").isNotNull()).agg(F.sort_array(F.collect_set("least")).alias("bounds")), "bounds")
+    dealt = lambda rows: rows.crossJoin(F.broadcast(bounds)).withColumn("at", F.greatest(F.lit(0), count_upto(F.col("bounds"), F.col("id"), n) - 1)).drop("bounds")
+    firsts = dealt(ids).groupBy("at").agg(F.min(F.struct("id")).alias("f"))
+    order = Window.orderBy("at")  # one row for each range
+    first = F.first("f").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    ring = written(firsts.select("at", F.coalesce(F.lead("f").over(order), first)["id"].alias("first_id")), "ranges")
+    heads = df.select(F.col(id_col).alias("id"), F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(ring), F.col("id").eqNullSafe(F.col("first_id")))
+    heads = heads.groupBy("at").agg(F.min("text").alias("head_text"))
+    heads = heads.select("*", *[f(F.col("head_text")).alias(f"head_{k}") for k, f in extra.items()])
+    base = dealt(packed(df, inner, new).withColumn("text", F.coalesce("text", F.lit("")))).repartition(n // 4, "at")
+    rows = base.select("*", *[f(F.col("text")).alias(f"own_{k}") for k, f in extra.items()])
+    w = Window.partitionBy("at").orderBy("id", "text")
+    led = rows.select("*", F.lead("text").over(w).alias("lead_text"), *[F.lead(f"own_{k}").over(w).alias(f"lead_{k}") for k in extra])
+    out = led.join(heads, "at", "left").withColumns({f"next_{k}": F.coalesce(f"lead_{k}", f"head_{k}") for k in ("text", *extra)})
+    return unpacked(out.withColumnsRenamed({f"own_{k}": k for k in extra}), df, inner, new)

@@ -177,6 +177,10 @@ def test_next_edges(spark):
     one = fingerprints.with_next(df.filter("doc_id = 3"), "doc_id", "text", {"sketch": fingerprints.sketch}).first()
     assert one["next_text"] == "c" and one["sketch"] == one["next_sketch"]
     assert fingerprints.with_next(df.limit(0), "doc_id", "text", {}).count() == 0
+    named = df.selectExpr("concat('d', doc_id) as name", "text", "1 as at", "2 as id", "3 as Next_Text", "4 as bounds")
+    out = fingerprints.with_next(named, "name", "text", {})
+    assert out.columns == ["name", "text", "at", "id", "bounds", "next_text"]
+    assert {r["name"]: r["next_text"] for r in out.collect()} == {f"d{k}": v for k, v in got.items()}
 
 
 def brute_counts(text):

@@ -84,13 +84,10 @@ RECORDS = [
 
 
 def test_every_kind_of_character_encodes_as_in_the_library():
-    from tokenizers import Tokenizer
-
     alike = [range(0x3400, 0xA000), range(0xAC00, 0xE000), range(0xE000, 0xF900), range(0x17000, 0x18CD6)]
     points = [c for c in range(0x20000) if not any(c in r for r in alike)]
     points += [c for lo in (0x2B720, 0x2CEA0, 0x323A0, 0x33470, 0x3CFF0, 0xE0100) for c in range(lo, lo + 40)] + [0x3400, 0xAC01, 0xE000, 0x17000]
-    for name, make in (("word_bpe_49k.json", bpe.WordBpe), ("byte_bpe_50k.json", bpe.TextBpe)):
-        path = public_tokenizers.path(name)
+    for path, make in ((WORDS, bpe.WordBpe), (BYTES, bpe.TextBpe)):
         library, own = Tokenizer.from_file(path), make(path)
         texts = [x for c in points for x in (f"a{chr(c)}b {chr(c)} Q1{chr(c)}{chr(c)}", f"a\u0301{chr(c)}\u0323\u0304")]
         want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
@@ -117,6 +114,116 @@ def test_escapes_are_reversible():
         assert chat.parse_turn(chat.format_turn(t, t)[0]) == (t, t)
 
 
+def test_chat_edges(spark):
+    rows = [
+        (1, 1, '{"role": "human", "text": "a", "id": 7}', 5),
+        (1, 2, '{"conversations": [{"from": "gpt", "value": "b"}], "x": {"y": 1}}', 5),
+        (2, 1, '{"messages": [], "id": 7}', 5),
+        (3, 1, '{"who": "x"}', 5),
+        (4, 1, None, 5),
+        (None, 1, '{"role": "assistant", "text": null}', 5),
+        (None, 2, '{"role": "assistant", "text": "<|im_end|>"}', 5),
+    ]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, record string, Mapping int")
+    turns = chat.canonical_turns(df)
+    got = {(r["conv_id"], r["turn"]): (r["mapping"], [tuple(t) for t in r["turns"]]) for r in turns.collect()}
+    assert got[1, 1] == ("message", [("human", "a")]) and got[1, 2] == ("conversations", [("assistant", "b")])
+    assert got[2, 1] == ("messages", []) and got[3, 1] == got[4, 1] == (None, [])
+    assert sum(r["n"] for r in chat.unmapped(turns).collect()) == 2
+    back = {r["conv_id"]: (r["n_turns"], r["loss_chars"]) for r in chat.read_back(chat.format_turns(chat.ordered_turns(turns))).collect()}
+    assert back == {1: (2, 1), None: (2, 10)}
+    empty = chat.read_back(chat.format_turns(chat.ordered_turns(chat.canonical_turns(df.limit(0)))))
+    assert empty.count() == 0 and len(empty.columns) == 6
+
+
+def test_kernel_ridge_by_the_book():
+    """The Nyström weights against kernel ridge regression in its dual form, with every text a landmark."""
+    import numpy as np
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(w) for _ in range(12)) for w in (["der", "und", "nicht", "ein"], ["the", "and", "not", "one"]) for _ in range(20)]
+    langs = ["de"] * 20 + ["en"] * 20
+    model = langid.fit(texts, langs)
+    k = langid.kernel(langid.presences(texts), langid.presences(texts)).astype(float)
+    y = np.where(np.array(langs)[:, None] == np.array(["de", "en"]), 1.0, -1.0)
+    # Minimise sum of squares / 20 + ridge / 40 |f|^2 with a free intercept: (K + 20 ridge / 40) a + b = y, sum a = 0.
+    n, pull = len(texts), 20 * langid.RIDGE / len(texts)
+    system = np.block([[k + pull * np.eye(n), np.ones((n, 1))], [np.ones((1, n)), np.zeros((1, 1))]])
+    a = np.linalg.solve(system, np.vstack([y, np.zeros((1, 2))]))
+    new = langid.presences(["der und the", "and not one", "nicht ein"])
+    want = langid.kernel(new, langid.presences(texts)).astype(float) @ a[:-1] + a[-1]
+    got = langid.kernel(new, model["landmarks"].astype(np.float32)) @ model["weights"][:-1] + model["weights"][-1]
+    assert np.allclose(got, want, atol=1e-2)
+
+
+def test_dual_descent_closes_the_gap():
+    """The hinge-loss objective at the weights against the dual bound of a long run."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [np.unique(np.concatenate([rng.integers(0, 300, 12), rng.integers(300 + 40 * (i % 2), 360 + 40 * (i % 2), 3)])) for i in range(200)]
+    y = np.array([1.0 if i % 2 else -1.0 for i in range(200)])
+    ratio = np.zeros(quality_classifier.DIMENSIONS)
+    ratio[:500] = rng.normal(size=500)
+
+    def objective(w):
+        margins = []
+        for r in rows:
+            v = ratio[r] / np.sqrt(np.square(ratio[r]).sum())
+            margins.append(w[r] @ v + w[-1])
+        return 0.5 * (w @ w) + quality_classifier.COST * np.maximum(0, 1 - y * np.array(margins)).sum()
+
+    def run(epochs):
+        old, quality_classifier.EPOCHS = quality_classifier.EPOCHS, epochs
+        try:
+            return objective(quality_classifier.dual_descent(rows, y, ratio))
+        finally:
+            quality_classifier.EPOCHS = old
+
+    best = run(600)
+    assert best <= run(12) <= 1.05 * best
+
+
+def test_token_labels_and_scores_by_hand(spark):
+    """Stems, tags and the roll-up of marginals, each worked out again in plain Python."""
+    import numpy as np
+
+    docs, labels = labelled(spark)
+    sample = docs.join(labels.filter("toxic is not null"), "doc_id").selectExpr("text", "toxic as label")
+    rows = sample.collect()
+    bad, good = ([set(map(toxicity.letters, r["text"].split())) - {""} for r in rows if r["label"] == k] for k in (1, 0))
+    least = toxicity.least_support(len(rows), len(bad))
+    every = {s for ws in bad for w in ws for s in toxicity.beginnings(w)}
+    n = lambda s, where: sum(any(s in toxicity.beginnings(w) for w in ws) for ws in where)
+    want = {s for s in every if n(s, bad) >= least and n(s, good) * len(bad) / len(good) <= toxicity.MOST_CLEAN * n(s, bad)}
+    assert toxicity.toxic_stems(sample, len(good), len(bad)) == want and "moron" in want
+    for r in toxicity.labelled_chains(sample, want).collect():
+        assert [bool(t) for t in r["tags"]] == [bool(r["any"] and w and want & toxicity.beginnings(w)) for w in r["tokens"].split(" ")]
+    model = toxicity.train(docs, labels)
+    text = "so moronish, moronically indeed calm words"
+    emissions = toxicity.Emissions(model["weights"], float(model["bias"]))
+    p = toxicity.token_marginals([text], emissions, model["move"])[0]
+    total, top, _ = next(toxicity.read_texts([text], emissions, model["move"]))
+    assert total == pytest.approx(np.log1p(sum(x for x in p if x >= toxicity.COUNTED))) and top == pytest.approx(max(p))
+    a, b, c = model["curve"]
+    got = toxicity.tag(spark.createDataFrame([(text,)], "text string"), model).first()["score"]
+    assert got == pytest.approx(1 / (1 + np.exp(-(a * total + b * top + c))))
+
+
+def test_long_texts_are_read_in_pieces(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(toxicity, "PIECE", 50)
+    text = " ".join(f"w{i}" for i in range(100)) + "  end " + "x" * 200
+    parts = list(toxicity.pieces(text))
+    assert len(parts) > 3 and all(text[a : a + len(p)] == p for a, p in parts)
+    assert [w for _, p in parts for w in p.split()] == text.split() and list(toxicity.pieces(None)) == [(0, "")]
+    weights = np.zeros(toxicity.DIMENSIONS)
+    weights[toxicity.feature_ids("end")] = 5
+    _, top, spans = next(toxicity.read_texts([text], toxicity.Emissions(weights, -8.0), np.zeros((3, 2))))
+    assert [text[a:b] for a, b, _ in spans] == ["end"] and top > 0.8
+
+
 def test_op3_brute_force(spark):
     rows = [(r["conv_id"], r["turn"], r["role"] or "", r["text"] or "") for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()]
     said = "<|im_end|><|im_start|>assistant ok"
