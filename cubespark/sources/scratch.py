@@ -25,8 +25,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_OWN['dir']}"
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/cubespark/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/cubespark/{name}-{uuid.uuid4().hex}"
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application; results that haven't been written elsewhere are lost."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -122,6 +122,19 @@ def test_season_plans(spark, tmp_path):
     assert season.anomaly(daily).count() == 900
 
 
+def test_scratch(spark):
+    from cubespark.sources import scratch
+
+    df = scratch.written(spark.range(5), "some")
+    assert df.count() == 5 and files.exists(spark, df.inputFiles()[0].rsplit("/", 1)[0])
+    rows = spark.range(1000).selectExpr("id", "cast(id * 7919 % 1000 as double) as v")
+    got = scratch.numbered(rows, ["v"], "at").collect()
+    assert all(r["at"] == r["v"] and r["at_all"] == 1000 for r in got) and len(got) == 1000
+    folder = df.inputFiles()[0].rsplit("/", 2)[0]
+    scratch.remove_scratch(spark)
+    assert not files.exists(spark, folder)
+
+
 def test_chunk_completeness(spark):
     saved = spark.createDataFrame([(0, 0)] * 3 + [(0, 1)] * 2, "chunk_lat int, chunk_lon int")
     expected = spark.createDataFrame([(0, 0, 3), (0, 1, 3)], "chunk_lat int, chunk_lon int, samples int")
