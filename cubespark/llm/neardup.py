@@ -9,7 +9,7 @@ of registers, drops those that are clearly below; the rest are compared on their
 No group is expanded into pairs. Equal sets are one class first, which has a number and one text. In each band bucket the
 members are compared with one centre, and links give components. Only buckets that still hold several components go on:
 small ones compare members of different components; in large ones what is outside the main component meets all members,
-block by block, by registers. First each stray is compared with its likeliest partner of each component; then, in buckets
+block by block, by registers. First each stray is compared with its likeliest partner; then, in buckets
 that are still open, the texts of rows that can have a link at all meet in their block, until one link joins two
 components there. So every candidate pair is either ruled out by its sizes or
 registers, compared in full, or already joined by confirmed links.
@@ -240,16 +240,12 @@ def _partners(table: pa.Table, percent: int):
 
 
 def _best(blocks: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b): each stray with its likeliest partner of each other component in its block."""
+    """Pairs (a, b): each stray with its likeliest partner in its block, one row at most for each."""
 
     def run(table: pa.Table) -> pa.Table:
-        cid, comp = (np.array(table.column(c).to_pylist()) for c in ("cid", "comp"))
-        pairs = []
-        for i, found, share in _partners(table, percent):
-            found = found[np.argsort(-share, kind="stable")]
-            found = found[np.unique(comp[found], return_index=True)[1]]
-            pairs += [(min(cid[i], c), max(cid[i], c)) for c in cid[found]]
-        a, b = zip(*pairs, strict=True) if pairs else ((), ())
+        cid = np.array(table.column("cid").to_pylist())
+        pairs = [(cid[i], cid[found[share.argmax()]]) for i, found, share in _partners(table, percent) if len(found)]
+        a, b = np.sort(np.array(pairs, np.int64).reshape(-1, 2), axis=1).T
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return blocks.groupBy("band", "x", "y").applyInArrow(run, "a bigint, b bigint").distinct()
