@@ -220,7 +220,8 @@ def _blocks(rows: DataFrame, reps: DataFrame) -> DataFrame:
     rows = rows.drop("m").join(small(written(known, "large-buckets")), "band")
     place = lambda n: F.pmod(F.xxhash64("cid", "band"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    rows = rows.join(reps.select("cid", "n_shingles", "regs"), "cid")  # a class stands in at most BANDS buckets
+    # A class stands in at most BANDS buckets. Written, as both sides of a block are made of it.
+    rows = written(rows.join(reps.select("cid", "n_shingles", "regs"), "cid"), "large")
     keep = ["band", "cid", "comp", "n_shingles", "regs"]
     members = rows.select(*keep, F.lit(False).alias("stray"), place("mb").alias("x"), every("sb").alias("y"))
     outside = rows.filter("comp <> main").select(*keep, F.lit(True).alias("stray"), every("mb").alias("x"), place("sb").alias("y"))
