@@ -63,8 +63,8 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_set(text: str | None, words: int, hashes: dict) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of a whole text, A-Z lower-cased."""
+def shingles(text: str | None, words: int, hashes: dict) -> np.ndarray:
+    """Hashes of the shingles of a whole text, A-Z lower-cased, in their order."""
     tokens = (text or "").encode().lower().split()
     if not tokens:
         return np.zeros(0, np.uint64)
@@ -75,7 +75,12 @@ def shingle_set(text: str | None, words: int, hashes: dict) -> np.ndarray:
     out = h[:n].copy()
     for j in range(1, words):
         out = mixed(out) + h[j : j + n]
-    return np.unique(mixed(out))
+    return mixed(out)
+
+
+def shingle_set(text: str | None, words: int, hashes: dict) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a whole text."""
+    return np.unique(shingles(text, words, hashes))
 
 
 class Sketcher:
@@ -181,7 +186,7 @@ def _likely(rows: DataFrame, percent: int) -> DataFrame:
     return with_python_columns(rows, ["na", "nb", "ra", "rb"], {"likely": "boolean"}, estimate).filter("likely").select("a", "b")
 
 
-def _with_both(pairs: DataFrame, side) -> DataFrame:
+def with_both(pairs: DataFrame, side) -> DataFrame:
     """Distinct pairs with the columns of both sides; a class that stands in very many pairs is dealt to several tasks."""
     return salted_join(salted_join(pairs, side("a"), "a", "b", hot_keys(pairs, "a")), side("b"), "b", "a", hot_keys(pairs, "b"))
 
@@ -197,14 +202,14 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
 
         return run
 
-    full = _with_both(pairs, lambda x: texts.select(F.col("cid").alias(x), F.col("text").alias(f"t{x}")))
+    full = with_both(pairs, lambda x: texts.select(F.col("cid").alias(x), F.col("text").alias(f"t{x}")))
     return with_python_columns(full, ["ta", "tb"], {"same": "boolean"}, confirm).filter("same").select("a", "b")
 
 
 def _checked(pairs: DataFrame, reps: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of the written, distinct pairs (a, b) that are linked: sizes, then registers, then full sets."""
     side = lambda x: reps.select(F.col("cid").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
-    likely = written(_likely(_with_both(pairs, side), percent), "likely")
+    likely = written(_likely(with_both(pairs, side), percent), "likely")
     return _confirmed(likely, texts, words, percent)
 
 
@@ -295,7 +300,7 @@ def classes(sk: DataFrame) -> DataFrame:
     return written(first.select(F.monotonically_increasing_id().alias("cid"), "digest", "n", "at.id", "at.mark", "r.*"), "classes")
 
 
-def _same_id(sk: DataFrame, reps: DataFrame, repeated: DataFrame) -> DataFrame:
+def same_id(sk: DataFrame, reps: DataFrame, repeated: DataFrame) -> DataFrame:
     """Links between classes that share an id: a row of one id with a text of another set."""
     pairs = sk.join(repeated.filter("low <> high").select("id", "low"), "id").filter("digest <> low").select("low", "digest").distinct()
     number = lambda name, digest: reps.select(F.col("cid").alias(name), F.col("digest").alias(digest))
@@ -320,7 +325,7 @@ def near_duplicates(
     texts = written(texts if repeated.isEmpty() else texts.groupBy("cid").agg(F.min("text").alias("text")), "texts")
     pairs = multi.filter("cid <> centre").select(F.least("centre", "cid").alias("a"), F.greatest("centre", "cid").alias("b"))
     tried = written(pairs.distinct(), "pairs")
-    links = written(_checked(tried, reps, texts, words, percent).union(_same_id(sk, reps, repeated)), "links")
+    links = written(_checked(tried, reps, texts, words, percent).union(same_id(sk, reps, repeated)), "links")
     labels = components(links)
 
     def still_open(labels: DataFrame) -> DataFrame:
@@ -335,22 +340,22 @@ def near_duplicates(
 
     opened = still_open(labels)
     if opened.isEmpty():
-        return _named(sk, reps, labels)
+        return named(sk, reps, labels)
     one, two = (opened.filter(F.col("m") <= SMALL).select("band", F.col("cid").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
     pairs = one.join(two, "band").filter("a < b AND ca <> cb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     more = _checked(written(pairs, "pairs"), reps, texts, words, percent)
     large = opened.filter(F.col("m") > SMALL)
     if large.isEmpty():
-        return _named(sk, reps, join_in(links, labels, more)[1])
+        return named(sk, reps, join_in(links, labels, more)[1])
     best = written(_best(_blocks(large, reps), percent).join(tried, ["a", "b"], "left_anti"), "best")
     links, labels = join_in(links, labels, more.union(_confirmed(best, texts, words, percent)).distinct())
     large = still_open(labels).filter(F.col("m") > SMALL)
     if not best.isEmpty() and not large.isEmpty():
         labels = join_in(links, labels, _rest(_blocks(large, reps), texts, words, percent))[1]
-    return _named(sk, reps, labels)
+    return named(sk, reps, labels)
 
 
-def _named(sk: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
+def named(sk: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
     """The component of each row, by its smallest id."""
     known = written(reps.select("cid", "digest", "n", "id").join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")), "named")
     least = known.groupBy("comp").agg(F.min("id").alias("component_id"))

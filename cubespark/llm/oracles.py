@@ -97,4 +97,66 @@ SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(k.comp, d.doc_
 FROM sets d LEFT JOIN classes c ON len(d.s) > 0 AND c.n = len(d.s) AND c.s = list_sort(d.s) LEFT JOIN comps k ON k.cid = c.cid
 """
 
-SQL = {"op3_chat_format": OP3, "op9_mixing": OP9, "op10_near_duplicates": OP10}
+OP12 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) END AS s FROM words
+), classes AS (
+  SELECT min(doc_id) AS cid, list_sort(s) AS s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY list_sort(s), len(s)
+), items AS (
+  SELECT cid, n, unnest(s) AS x FROM classes
+), links AS (
+  SELECT a.cid AS a, b.cid AS b FROM items a JOIN items b ON a.x = b.x AND a.cid < b.cid
+  WHERE 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.cid, b.cid, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), either AS (
+  SELECT a, b FROM links UNION SELECT b, a FROM links
+), reach AS (
+  SELECT cid AS a, cid AS b FROM classes UNION SELECT r.a, e.b FROM reach r JOIN either e ON e.a = r.b
+), comps AS (
+  SELECT a AS cid, min(b) AS comp FROM reach GROUP BY 1
+)
+SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(k.comp, d.doc_id) AS component_id
+FROM sets d LEFT JOIN classes c ON len(d.s) > 0 AND c.n = len(d.s) AND c.s = list_sort(d.s) LEFT JOIN comps k ON k.cid = c.cid
+"""
+
+OP13 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents
+), lists AS (
+  SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces
+), grams AS (
+  SELECT lang, 1 AS k, unnest(w) AS phrase FROM lists
+  UNION ALL SELECT lang, 2, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) FROM lists WHERE len(w) > 1
+  UNION ALL SELECT lang, 3, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) FROM lists WHERE len(w) > 2
+), f AS (
+  SELECT lang, k, phrase, count(*) AS c FROM grams GROUP BY ALL
+), totals AS (
+  SELECT lang, CAST(sum(c) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY 1
+), candidates AS (
+  SELECT lang, k, phrase, c AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND c >= 10
+), cuts AS (
+  SELECT lang, k, phrase, a, 1 AS cut, w[1] AS lp, array_to_string(w[2:], ' ') AS rp FROM candidates
+  UNION ALL SELECT lang, k, phrase, a, 2, w[1] || ' ' || w[2], w[3] FROM candidates WHERE k = 3
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, c.cut, l.c AS l, r.c AS r,
+    CAST(CAST(1000000 AS HUGEINT) * c.a * c.a // (CAST(l.c AS HUGEINT) * r.c) AS BIGINT) AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = c.lp JOIN f r ON r.lang = c.lang AND r.phrase = c.rp
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), longer AS (
+  SELECT lang, phrase, max(a) AS a FROM (
+    SELECT lang, w[1] || ' ' || w[2] AS phrase, a FROM candidates WHERE k = 3
+    UNION ALL SELECT lang, w[2] || ' ' || w[3], a FROM candidates WHERE k = 3) GROUP BY 1, 2
+), ranked AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank
+  FROM best b LEFT JOIN longer o ON o.lang = b.lang AND o.phrase = b.phrase WHERE o.a IS NULL OR 100 * o.a < 50 * b.a
+)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, r.score FROM ranked r JOIN totals t ON t.lang = r.lang WHERE r.rank <= 2000
+"""
+
+SQL = {"op3_chat_format": OP3, "op9_mixing": OP9, "op10_near_duplicates": OP10, "op12_ngram_join": OP12, "op13_collocations": OP13}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, langid, mixing, neardup, quality_classifier, quality_rules, toxicity
+from . import bpe, chat, collocations, fingerprints, langid, mixing, neardup, ngram_join, quality_classifier, quality_rules, toxicity, whitening
 from .common import documents
 from .oracles import SQL
 from .sampling import id_modulo
@@ -105,6 +105,32 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir), words=2, percent=80)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    model = whitening.fit(rows)
+    error = whitening.identity_error(rows, model)
+    done = whitening.whiten(rows, model, 8)
+    each = done.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    shares = F.array(*map(F.lit, model.explained[:8])).cast("array<double>")
+    return each.select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        F.lit(model.n).cast("long").alias("n"),
+        F.expr("try_cast(deviation AS bigint)").alias("deviation"),
+        "whitened",
+        F.get(shares, F.col("at")).alias("explained"),
+        F.lit(error).cast("double").alias("identity_error"),
+    )
+
+
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(documents(spark, sf_dir), words=3, percent=90).drop("kept")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 QUERIES = (
     op1_language,
     op2_bpe,
@@ -116,6 +142,9 @@ QUERIES = (
     op8_quality,
     op9_mixing,
     op10_near_duplicates,
+    op11_whitening,
+    op12_ngram_join,
+    op13_collocations,
 )
 
 
