@@ -76,15 +76,6 @@ def attr_daily(df: DataFrame, keys: list[str], feature: str = "feature", value:
     return df.groupBy(*keys, "time", "context", feature).agg(F.avg(value).alias(value))
 
 
-def attribution_days(df: DataFrame, targets: DataFrame, score, features: list[str], k: int, n_steps: int = 50) -> DataFrame:
-    """Attributions of each target day to the days of its context, long form (cell, time, context, feature, attr)."""
-    rows = context_join(targets, df, k)
-    out = integrated_gradients(rows, score, features, n_steps, keep=[*CELL, "time", "context"])
-    names = [f"attr_{f}" for f in features]
-    long = out.unpivot([*CELL, "time", "context"], names, "feature", "attr")
-    return long.withColumn("feature", F.regexp_replace("feature", "^attr_", ""))
-
-
 def fit_predict_cv(df: DataFrame, x: str | list[str], y: str, k: int, fold: str = "fold_mask", all_folds: bool = False) -> DataFrame:
     """Least squares on the train folds of each iteration; predictions ``<y>_hat`` for its test fold, or rows of all folds.
 

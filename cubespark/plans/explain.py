@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cubespark.functions.grid import CELL
 from cubespark.operators import attribution as at
-from cubespark.operators import season
+from cubespark.operators import season, series
 from cubespark.plans.cube import day, r
 from cubespark.plans.masks import K, folds
 from cubespark.plans.registry import query
@@ -36,27 +37,95 @@ def x8(spark, sf_dir):
     return out.select(*CELL, day(), r("attr_a", digits=4), r("attr_b", digits=4))
 
 
-TARGETS = "(SELECT lat_idx, lon_idx, date AS time FROM cell_daily WHERE date BETWEEN DATE '1998-03-01' AND DATE '1998-03-10')"
+@query("j6_context_join", "SELECT t.lat_idx, t.lon_idx, strftime(t.date, '%Y-%m-%d') AS time, CAST(d.date - t.date AS INTEGER) AS context, round(d.v, 6) AS v FROM cell_daily t JOIN cell_daily d ON d.lat_idx = t.lat_idx AND d.lon_idx = t.lon_idx AND d.date BETWEEN t.date - 29 AND t.date")
+def j6(spark, sf_dir):
+    daily = a.cell_daily(spark, sf_dir)
+    return at.context_join(daily.select(*CELL, "date"), daily, 30).select(*CELL, iso("time"), "context", r("v"))
 
 
-def targets(spark, sf_dir):
-    return a.cell_daily(spark, sf_dir).filter("date BETWEEN DATE'1998-03-01' AND DATE'1998-03-10'").select(*CELL, "date")
+def decayed(rate: float, weights: list[float], static: float):
+    """A score that couples all days of a context: the square of a decayed sum of daily means, with a static beside it."""
 
+    def score(x, s):
+        k = x.shape[1]
+        total = (x.mean(axis=2) * np.array(weights)).sum(axis=2) @ rate ** np.arange(k - 1, -1, -1.0)
+        return (total + static * s[:, 0]) ** 2
+
+    return score
+
+
+SIZE_BASE = 25.5
+
+
+def every_day(daily):
+    """All cells with all days of the data."""
+    span = daily.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
+    return daily.select(*CELL).distinct().crossJoin(F.broadcast(span)).select(*CELL, F.explode(F.sequence("lo", "hi")).alias("date"))
+
+
+def with_size(rows, spark, sf_dir):
+    return rows.join(a.cell_static(spark, sf_dir).select(*CELL, "size"), CELL, "left").withColumn("size_base", F.lit(SIZE_BASE))
+
+
+def day_contexts(spark, sf_dir):
+    found = inputs(spark, sf_dir).select(*CELL, "date", "a", "b").withColumn("target", F.lit(True))
+    rows = with_size(every_day(found).join(found, [*CELL, "date"], "left"), spark, sf_dir)
+    rows = rows.withColumns({"a_base": F.lit(0.51234567), "b_base": F.lit(1.01234567)})
+    return series.attribute_contexts(rows, decayed(0.5, [1.0, 0.3], 0.1), ["a", "b"], ["size"], 7, 8, target="target")
 
-@query("j6_context_join", f"SELECT t.lat_idx, t.lon_idx, strftime(t.time, '%Y-%m-%d') AS time, CAST(d.date - t.time AS INTEGER) AS context, round(d.v, 6) AS v FROM {TARGETS} t JOIN cell_daily d ON d.lat_idx = t.lat_idx AND d.lon_idx = t.lon_idx AND d.date BETWEEN t.time - 29 AND t.time")
-def j6(spark, sf_dir):
-    return at.context_join(targets(spark, sf_dir), a.cell_daily(spark, sf_dir), 30).select(*CELL, iso("time"), "context", r("v"))
+
+# With a linear sum u inside the square, the integral for an element is its difference times its weight times u(x) + u(b).
+DAYS = f"""WITH x AS ({IN[1:-1]}), c AS (SELECT t.lat_idx, t.lon_idx, t.date AS time, CAST(o AS INTEGER) AS context, coalesce(d.a, 0.51234567) AS a, coalesce(d.b, 1.01234567) AS b
+ FROM x t CROSS JOIN (SELECT unnest(range(-6, 1)) AS o) LEFT JOIN x d ON d.lat_idx = t.lat_idx AND d.lon_idx = t.lon_idx AND d.date = t.date + CAST(o AS INTEGER)
+ WHERE t.date - 6 >= (SELECT min(date) FROM x)),
+u AS (SELECT lat_idx, lon_idx, time, sum(pow(0.5, -context) * (a + 0.3 * b)) + 0.1 * coalesce(any_value(size), {SIZE_BASE}) AS ux, sum(pow(0.5, -context) * (0.51234567 + 0.3 * 1.01234567)) + 0.1 * {SIZE_BASE} AS ub, coalesce(any_value(size), {SIZE_BASE}) AS size
+ FROM c LEFT JOIN cell_static USING (lat_idx, lon_idx) GROUP BY 1, 2, 3)"""
 
 
 @query(
     "x9_attribution_days",
-    f"WITH c AS (SELECT t.lat_idx, t.lon_idx, t.time, CAST(d.date - t.time AS INTEGER) AS context, d.a, d.b FROM {TARGETS} t JOIN {IN} d ON d.lat_idx = t.lat_idx AND d.lon_idx = t.lon_idx AND d.date BETWEEN t.time - 29 AND t.time) SELECT lat_idx, lon_idx, strftime(time, '%Y-%m-%d') AS time, context, 'a' AS feature, round({ATTR_A}, 4) AS attr FROM c UNION ALL SELECT lat_idx, lon_idx, strftime(time, '%Y-%m-%d'), context, 'b', round({ATTR_B}, 4) FROM c",
+    f"""{DAYS} SELECT lat_idx, lon_idx, strftime(time, '%Y-%m-%d') AS time, context, 'a' AS feature, round((a - 0.51234567) * pow(0.5, -context) * (ux + ub), 4) AS attr FROM c JOIN u USING (lat_idx, lon_idx, time)
+UNION ALL SELECT lat_idx, lon_idx, strftime(time, '%Y-%m-%d'), context, 'b', round((b - 1.01234567) * pow(0.5, -context) * 0.3 * (ux + ub), 4) FROM c JOIN u USING (lat_idx, lon_idx, time)""",
 )
 def x9(spark, sf_dir):
-    out = at.attribution_days(inputs(spark, sf_dir), targets(spark, sf_dir), score, ["a", "b"], 30, 8)
+    out = series.attributions_long(day_contexts(spark, sf_dir), ["a", "b"])
     return out.select(*CELL, iso("time"), "context", "feature", r("attr", digits=4))
 
 
+@query("x9_attribution_statics", f"{DAYS} SELECT lat_idx, lon_idx, strftime(time, '%Y-%m-%d') AS time, round((size - {SIZE_BASE}) * 0.1 * (ux + ub), 4) AS attr_size FROM u")
+def x9_statics(spark, sf_dir):
+    return day_contexts(spark, sf_dir).select(*CELL, iso("time"), r("attr_size", digits=4))
+
+
+def hour_contexts(spark, sf_dir):
+    """Days of 24 hours; missing ones count as their base value."""
+    hourly = a.cell_hourly(spark, sf_dir)
+    hours = F.map_from_entries(F.collect_list(F.struct("hour", (F.col("v") / 10).alias("v"))))
+    days = hourly.groupBy(*CELL, "date").agg(hours.alias("_h"))
+    of = lambda values: F.transform(F.sequence(F.lit(0), F.lit(23)), values)
+    rows = every_day(days).join(days, [*CELL, "date"], "left").withColumn("v", of(lambda h: F.element_at("_h", h))).drop("_h")
+    rows = with_size(rows.withColumn("v_base", of(lambda h: F.lit(0.5))), spark, sf_dir)
+    return series.attribute_contexts(rows, decayed(0.7, [1.0], 0.2), ["v"], ["size"], 5, 8)
+
+
+HOURS = f"""WITH e AS (SELECT *, min(date) OVER () AS lo FROM cell_hourly), g AS (SELECT lat_idx, lon_idx, CAST(lo + CAST(i AS INTEGER) AS DATE) AS date FROM (SELECT DISTINCT lat_idx, lon_idx FROM e) CROSS JOIN (SELECT min(date) AS lo, unnest(range(0, max(date) - min(date) + 1)) AS i FROM e)),
+m AS (SELECT g.*, (coalesce(sum(e.v / 10), 0) + 0.5 * (24 - count(e.v))) / 24 AS m FROM g LEFT JOIN e ON e.lat_idx = g.lat_idx AND e.lon_idx = g.lon_idx AND e.date = g.date GROUP BY 1, 2, 3),
+c AS (SELECT t.lat_idx, t.lon_idx, t.date AS time, CAST(d.date - t.date AS INTEGER) AS context, d.m FROM m t JOIN m d ON d.lat_idx = t.lat_idx AND d.lon_idx = t.lon_idx AND d.date BETWEEN t.date - 4 AND t.date WHERE t.date - 4 >= (SELECT min(date) FROM e)),
+u AS (SELECT lat_idx, lon_idx, time, sum(pow(0.7, -context) * m) + 0.2 * coalesce(any_value(size), {SIZE_BASE}) AS ux, sum(pow(0.7, -context) * 0.5) + 0.2 * {SIZE_BASE} AS ub FROM c LEFT JOIN cell_static USING (lat_idx, lon_idx) GROUP BY 1, 2, 3)"""
+
+
+@query("x9_attribution_hours", f"{HOURS} SELECT lat_idx, lon_idx, strftime(time, '%Y-%m-%d') AS time, context, 'v' AS feature, round((m - 0.5) * pow(0.7, -context) / 24 * (ux + ub), 6) AS attr FROM c JOIN u USING (lat_idx, lon_idx, time)")
+def x9_hours(spark, sf_dir):
+    out = series.attributions_long(hour_contexts(spark, sf_dir), ["v"])
+    return out.select(*CELL, iso("time"), "context", "feature", r("attr"))
+
+
+@query("x9_completeness", f"{HOURS} SELECT lat_idx, lon_idx, strftime(time, '%Y-%m-%d') AS time, round(ux * ux - ub * ub, 4) AS total, round(ux * ux - ub * ub, 4) AS delta FROM u")
+def x9_completeness(spark, sf_dir):
+    total = F.aggregate("attr_v", F.lit(0.0), lambda s, v: s + v) * F.col("hours") + F.col("attr_size")
+    return hour_contexts(spark, sf_dir).select(*CELL, iso("time"), r(total, "total", 4), r("delta", digits=4))
+
+
 @query(
     "a25_attr_daily",
     "SELECT lat_idx, lon_idx, strftime(date, '%Y-%m-%d') AS time, CAST(0 AS INTEGER) AS context, 'v' AS feature, round(avg(v), 6) AS attr FROM cell_hourly GROUP BY 1, 2, 3",

@@ -8,7 +8,7 @@ from cubespark.functions import values
 from cubespark.functions.grid import CELL
 from cubespark.operators import masks as m
 from cubespark.operators import samples as s
-from cubespark.operators import season
+from cubespark.operators import season, series
 from cubespark.plans.cube import day, r
 from cubespark.plans.masks import SIZE
 from cubespark.plans.registry import query
@@ -125,6 +125,58 @@ def x12(spark, sf_dir):
     return rows.select(*CELL, iso("start_window_date"), F.date_format("x.date", "yyyy-MM-dd").alias("date"), r(F.col("x.ts"), "ts"), r(F.col("x.msc"), "msc"), r(F.col("x.ano"), "ano"), r("size"))
 
 
+HOURLY = "(SELECT CAST(user_id // 15 AS INTEGER) AS lat_idx, CAST(user_id % 15 AS INTEGER) AS lon_idx, CAST(make_date(CAST(1995 + event_id % 7 AS INTEGER), month(ts), day(ts)) AS DATE) AS date, CAST(hour(ts) AS INTEGER) AS hour, sum(value) AS v FROM events GROUP BY 1, 2, 3, 4)"
+FULL = f"""WITH h AS {HOURLY}, hm AS (SELECT lat_idx, lon_idx, dayofyear(date) AS doy, hour, avg(v) AS m FROM h GROUP BY 1, 2, 3, 4),
+cells AS (SELECT lat_idx, lon_idx FROM h UNION SELECT lat_idx, lon_idx FROM cell_daily UNION SELECT lat_idx, lon_idx FROM cell_static),
+days AS (SELECT c.*, start_window_date AS w, CAST(unnest(generate_series(start_context_date, end_window_date, INTERVAL 1 DAY)) AS DATE) AS date FROM cells c CROSS JOIN {WINDOWS}),
+sh AS (SELECT avg(v) AS mean, stddev_pop(v) AS std FROM h), t AS {STATS}, z AS (SELECT avg(size) AS mean, stddev_pop(size) AS std FROM cell_static),
+rows_ AS (SELECT lat_idx, lon_idx, w, date, hour, 'f_hourly' AS member, (v - mean) / std AS x FROM days JOIN h USING (lat_idx, lon_idx, date) CROSS JOIN sh
+ UNION ALL SELECT d.lat_idx, d.lon_idx, w, d.date, hour, 'f_hourly_bl', (m - mean) / std FROM days d JOIN hm ON hm.lat_idx = d.lat_idx AND hm.lon_idx = d.lon_idx AND hm.doy = dayofyear(d.date) CROSS JOIN sh
+ UNION ALL SELECT d.lat_idx, d.lon_idx, w, d.date, h.hour, 't_hourly_ano', (v - m) / std FROM days d JOIN h USING (lat_idx, lon_idx, date) JOIN hm ON hm.lat_idx = d.lat_idx AND hm.lon_idx = d.lon_idx AND hm.doy = dayofyear(d.date) AND hm.hour = h.hour CROSS JOIN sh
+ UNION ALL SELECT lat_idx, lon_idx, w, date, -1, 't_daily_ts', (v - mean) / std FROM days JOIN cell_daily USING (lat_idx, lon_idx, date) CROSS JOIN t
+ UNION ALL SELECT d.lat_idx, d.lon_idx, w, d.date, -1, 't_daily_msc', (v_msc - mean) / std FROM days d JOIN msc c ON c.lat_idx = d.lat_idx AND c.lon_idx = d.lon_idx AND c.doy = dayofyear(d.date) CROSS JOIN t
+ UNION ALL SELECT d.lat_idx, d.lon_idx, w, d.date, -1, 't_daily_ano', (v - v_msc) / std FROM days d JOIN cell_daily USING (lat_idx, lon_idx, date) JOIN msc c ON c.lat_idx = d.lat_idx AND c.lon_idx = d.lon_idx AND c.doy = dayofyear(d.date) CROSS JOIN t
+ UNION ALL SELECT lat_idx, lon_idx, start_window_date, NULL, -1, 'f_static', (size - mean) / std FROM cell_static CROSS JOIN z CROSS JOIN {WINDOWS}
+ UNION ALL SELECT lat_idx, lon_idx, start_window_date, NULL, -1, 'f_static_bl', 0 FROM cells CROSS JOIN {WINDOWS})"""
+FULL_ROWS = f"""{FULL} SELECT lat_idx, lon_idx, strftime(w, '%Y-%m-%d') AS start_window_date, strftime(date, '%Y-%m-%d') AS date, CAST(hour AS INTEGER) AS hour, member, round(x, 6) AS x FROM rows_ WHERE x IS NOT NULL
+ UNION ALL SELECT lat_idx, lon_idx, strftime(w, '%Y-%m-%d'), strftime(date, '%Y-%m-%d'), CAST(hour AS INTEGER), CASE member WHEN 'f_hourly' THEN 't_hourly_ts' ELSE 't_hourly_msc' END, round(x, 6) FROM rows_ WHERE x IS NOT NULL AND member IN ('f_hourly', 'f_hourly_bl')"""
+
+
+def hourly_years(spark, sf_dir):
+    """Hours of the events, dealt to the years of the daily table."""
+    when = F.make_date((F.lit(1995) + F.col("event_id") % 7).cast("int"), F.month("ts"), F.dayofmonth("ts"))
+    rows = a.table(spark, sf_dir, "events").select(F.expr("cast(user_id div 15 AS int)").alias("lat_idx"), (F.col("user_id") % 15).cast("int").alias("lon_idx"), when.alias("date"), F.hour("ts").alias("hour"), "value")
+    return rows.groupBy(*CELL, "date", "hour").agg(F.sum("value").alias("v"))
+
+
+def full(spark, sf_dir):
+    hourly, daily, static = hourly_years(spark, sf_dir), a.cell_daily(spark, sf_dir).select(*CELL, "date", F.col("v").alias("d")), a.cell_static(spark, sf_dir)
+    spread = lambda df, c: df.select(F.lit(c).alias("name"), F.col(c).alias("x"))
+    catalog = spread(hourly, "v").union(spread(daily, "d")).union(spread(static, "size")).groupBy("name").agg(F.avg("x"), F.stddev_pop("x"))
+    stats = {name: (mean, std) for name, mean, std in catalog.collect()}  # one row a variable
+    msc_hourly = season.msc_raw(hourly, keys=[*CELL, "hour"], out="v_msc")
+    msc_daily = season.smooth_msc(season.msc_raw(daily, "d"), out="d_msc")
+    return series.full_samples(hourly, daily, msc_hourly, msc_daily, static, windows(spark, sf_dir), stats, ["v"], ["size"], "v", "d", SIZE)
+
+
+@query("x12_full_samples", FULL_ROWS)
+def x12_full(spark, sf_dir):
+    rows = full(spark, sf_dir).withColumn("_first", F.date_sub("coords.window_end", F.size("coords.dayofyear") - 1))
+    at = [F.col(f"coords.{c}") for c in CELL] + [F.date_format("coords.window_start", "yyyy-MM-dd").alias("start_window_date")]
+    hourly = F.array(*[F.struct(F.lit(n).alias("member"), v.alias("v")) for n, v in (
+        ("f_hourly", F.transform("f_hourly", lambda d: F.transform(d, lambda h: h[0]))),
+        ("f_hourly_bl", F.transform("f_hourly_bl", lambda d: F.transform(d, lambda h: h[0]))),
+        *[(f"t_hourly_{n}", F.col(f"t_hourly_{n}")) for n in ("ts", "msc", "ano")],
+        *[(f"t_daily_{n}", F.transform(f"t_daily_{n}", lambda x: F.array(x))) for n in ("ts", "msc", "ano")],
+    )])
+    deep = rows.select(*at, "_first", F.explode(hourly).alias("m")).select(*CELL, "start_window_date", "_first", "m.member", F.posexplode("m.v").alias("day", "v"))
+    deep = deep.select(*CELL, "start_window_date", F.date_format(F.date_add("_first", F.col("day")), "yyyy-MM-dd").alias("date"), "member", F.posexplode("v").alias("hour", "x"))
+    deep = deep.withColumn("hour", F.when(F.col("member").startswith("t_daily"), -1).otherwise(F.col("hour")))
+    flat = F.array(*[F.struct(F.lit(n).alias("member"), F.col(n)[0].alias("x")) for n in ("f_static", "f_static_bl")])
+    fixed = rows.select(*at, F.lit(None).cast("string").alias("date"), F.explode(flat).alias("m")).select(*CELL, "start_window_date", "date", "m.member", F.lit(-1).alias("hour"), "m.x")
+    return deep.unionByName(fixed).filter("x IS NOT NULL").select(*CELL, "start_window_date", "date", "hour", "member", r("x"))
+
+
 @query("x7_baselines", f"SELECT d.lat_idx, d.lon_idx, strftime(d.date, '%Y-%m-%d') AS date, round(c.v_msc, 8) AS v_base, 0.0::DOUBLE AS tp_base, round((SELECT avg(size) FROM cell_static), 6) AS size_base FROM cell_daily d LEFT JOIN msc c ON c.lat_idx = d.lat_idx AND c.lon_idx = d.lon_idx AND c.doy = dayofyear(d.date)")
 def x7(spark, sf_dir):
     from cubespark.operators.attribution import baselines
