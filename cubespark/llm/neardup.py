@@ -213,24 +213,43 @@ def _checked(pairs: DataFrame, reps: DataFrame, texts: DataFrame, words: int, pe
     return _confirmed(likely, texts, words, percent)
 
 
-def _blocks(rows: DataFrame, reps: DataFrame) -> DataFrame:
-    """Large buckets cut into blocks: all that is outside the main component of a bucket meets all members, by registers.
+def in_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """Large buckets cut into blocks: all that is outside the main component of a bucket (``stray``, in parts y) meets all members (in parts x).
 
-    rows: (band, cid, comp, m). What is known of each bucket is a small table of its own, joined without dealing the
-    members out by bucket.
+    rows: (key, cid, comp) of open buckets, written. Gives (pooled, key, x, y, cid, comp, stray). Buckets with the same
+    main component hold much the same members if they are made of one group of near copies. So they are put together in one
+    pool, where each stray meets each member once, wherever that is no more work than bucket by bucket. What is known of each
+    bucket, and of each pool, is a small table of its own, joined without dealing members out by bucket.
     """
-    sizes = rows.groupBy("band", "m", "comp").agg(F.count("*").alias("n"))
-    known = sizes.groupBy("band", "m").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("most"))
-    known = known.select("band", "main", F.ceil(F.col("m") / BLOCK).alias("mb"), F.ceil((F.col("m") - F.col("most")) / BLOCK).alias("sb"))
-    rows = rows.drop("m").join(small(written(known, "large-buckets")), "band")
-    place = lambda n: F.pmod(F.xxhash64("cid", "band"), F.col(n))
+    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    known = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("m"), (F.sum("n") - F.max("n")).alias("s"))
+    known = written(known, "large-buckets")
+    at = written(rows.select("key", "cid", "comp").join(small(known), "key"), "large")
+    pools = written(at.select("main", "cid", "comp").distinct(), "pools")
+    work = known.groupBy("main").agg(F.sum(F.col("m") * F.col("s")).alias("work"))
+    sums = pools.groupBy("main").agg(F.count("*").alias("m"), F.count_if(F.col("comp") != F.col("main")).alias("s"))
+    pooled = small(written(sums.join(work, "main").filter("m * s <= work").drop("work"), "pooled"))
+    kept = ["key", "cid", "comp", "main", "m", "s"]
+    whole = pools.join(pooled, "main").select(F.lit(True).alias("pooled"), F.col("main").alias("key"), *kept[1:])
+    alone = at.join(pooled.select("main"), "main", "left_anti").select(F.lit(False).alias("pooled"), *kept)
+    parts = {"mb": F.ceil(F.col("m") / block), "sb": F.ceil(F.col("s") / block)}
+    both = whole.union(alone).withColumns(parts)
+    place = lambda n: F.pmod(F.xxhash64("cid", "key"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    # A class stands in at most BANDS buckets. Written, as both sides of a block are made of it.
-    rows = written(rows.join(reps.select("cid", "n_shingles", "regs"), "cid"), "large")
-    keep = ["band", "cid", "comp", "n_shingles", "regs"]
-    members = rows.select(*keep, F.lit(False).alias("stray"), place("mb").alias("x"), every("sb").alias("y"))
-    outside = rows.filter("comp <> main").select(*keep, F.lit(True).alias("stray"), every("mb").alias("x"), place("sb").alias("y"))
-    return members.union(outside)
+    out = lambda df, stray, x, y: df.select("pooled", "key", "cid", "comp", F.lit(stray).alias("stray"), x.alias("x"), y.alias("y"))
+    # One generator in each projection.
+    members = out(both, False, place("mb"), every("sb"))
+    return members.union(out(both.filter("comp <> main"), True, every("mb"), place("sb")))
+
+
+IN_BLOCK = ["pooled", "key", "x", "y"]
+
+
+def _blocks(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """Blocks of large buckets with sizes and registers."""
+    blocks = written(in_blocks(rows, BLOCK), "blocks")
+    side = reps.select("cid", "n_shingles", "regs")
+    return salted_join(blocks, side, "cid", "y", hot_keys(blocks, "cid"))
 
 
 def _partners(table: pa.Table, percent: int):
@@ -254,7 +273,7 @@ def _best(blocks: DataFrame, percent: int) -> DataFrame:
         a, b = np.sort(np.array(pairs, np.int64).reshape(-1, 2), axis=1).T
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return blocks.groupBy("band", "x", "y").applyInArrow(run, "a bigint, b bigint").distinct()
+    return blocks.groupBy(*IN_BLOCK).applyInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _rest(blocks: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -262,7 +281,7 @@ def _rest(blocks: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
 
     Registers say which rows of a block can have a link at all; the texts of these meet again in their block.
     """
-    kept = ["band", "x", "y", "cid", "comp", "stray"]
+    kept = [*IN_BLOCK, "cid", "comp", "stray"]
 
     def able(table: pa.Table) -> pa.Table:
         rows: set[int] = set()
@@ -271,8 +290,8 @@ def _rest(blocks: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
                 rows |= {int(i), *found.tolist()}
         return table.select(kept).take(pa.array(sorted(rows), pa.int64()))
 
-    kinds = "band bigint, x bigint, y bigint, cid bigint, comp bigint, stray boolean"
-    full = written(blocks.groupBy("band", "x", "y").applyInArrow(able, kinds), "able").join(texts, "cid")
+    kinds = "pooled boolean, key bigint, x bigint, y bigint, cid bigint, comp bigint, stray boolean"
+    full = written(blocks.groupBy(*IN_BLOCK).applyInArrow(able, kinds), "able").join(texts, "cid")
 
     def run(table: pa.Table) -> pa.Table:
         hashes, sketcher = per_worker(WordHashes), Sketcher()
@@ -290,7 +309,7 @@ def _rest(blocks: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
         a, b = zip(*links, strict=True) if links else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return full.groupBy("band", "x", "y").applyInArrow(run, "a bigint, b bigint").distinct()
+    return full.groupBy(*IN_BLOCK).applyInArrow(run, "a bigint, b bigint").distinct()
 
 
 def classes(sk: DataFrame) -> DataFrame:
@@ -316,8 +335,9 @@ def near_duplicates(
     reps = classes(sk)
     buckets = reps.select("cid", "id", F.explode("bands").alias("band"))
     # The first document of a bucket: copies are more like what they were made from than like each other.
-    centres = buckets.groupBy("band").agg(F.count("*").alias("m"), F.min_by("cid", "id").alias("centre")).filter("m > 1")
-    multi = written(buckets.drop("id").join(centres, "band"), "buckets")
+    centres = written(buckets.groupBy("band").agg(F.count("*").alias("m"), F.min_by("cid", "id").alias("centre")).filter("m > 1"), "centres")
+    hot = small(written(centres.filter(F.col("m") > HOT_ROWS).select("band", F.ceil(F.col("m") / HOT_ROWS).alias("_parts")), "hot"))
+    multi = written(salted_join(buckets.drop("id"), centres, "band", "cid", hot), "buckets")
     found = written(multi.select("cid").distinct().join(reps.select("cid", "id", "mark"), "cid"), "candidates")
     ids = sk.filter(F.col("id").isNotNull()).groupBy("id").agg(F.count("*").alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high"))
     repeated = written(ids.filter("n > 1"), "repeated")
@@ -331,8 +351,9 @@ def near_duplicates(
     def still_open(labels: DataFrame) -> DataFrame:
         """(band, cid, comp, m) of buckets that hold several components."""
         named = multi.join(labels, "cid", "left").select("band", "m", "cid", F.coalesce("comp", "cid").alias("comp"))
+        named = written(named, "named-buckets")
         split = named.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("band")
-        return written(named.join(split, "band"), "open")
+        return written(salted_join(named, split, "band", "cid", hot), "open")
 
     def join_in(links: DataFrame, labels: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
         more = written(more, "links")
@@ -344,13 +365,13 @@ def near_duplicates(
     one, two = (opened.filter(F.col("m") <= SMALL).select("band", F.col("cid").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
     pairs = one.join(two, "band").filter("a < b AND ca <> cb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     more = _checked(written(pairs, "pairs"), reps, texts, words, percent)
-    large = opened.filter(F.col("m") > SMALL)
+    large = opened.filter(F.col("m") > SMALL).withColumnRenamed("band", "key")
     if large.isEmpty():
         return named(sk, reps, join_in(links, labels, more)[1])
     best = written(_best(_blocks(large, reps), percent).join(tried, ["a", "b"], "left_anti"), "best")
     links, labels = join_in(links, labels, more.union(_confirmed(best, texts, words, percent)).distinct())
-    large = still_open(labels).filter(F.col("m") > SMALL)
-    if not best.isEmpty() and not large.isEmpty():
+    large = still_open(labels).filter(F.col("m") > SMALL).withColumnRenamed("band", "key")
+    if not large.isEmpty():
         labels = join_in(links, labels, _rest(_blocks(large, reps), texts, words, percent))[1]
     return named(sk, reps, labels)
 

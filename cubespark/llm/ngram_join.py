@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import HOT_ROWS, hot_keys, no_collection, per_worker, salted_join, slices, small, with_python_columns, written
-from .neardup import WordHashes, components, linked, mixed, named, same_id, shingle_set, shingles, with_both
+from .neardup import IN_BLOCK, WordHashes, components, in_blocks, linked, mixed, named, same_id, shingle_set, shingles, with_both
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -147,23 +147,14 @@ def _near_sizes(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _blocks(rows: DataFrame, reps: DataFrame) -> DataFrame:
-    """Large buckets cut into blocks (x, y): all that is outside a bucket's main component, in parts y, meets all members, in parts x."""
-    sizes = rows.groupBy("token", "m", "comp").agg(F.count("*").alias("n"))
-    known = sizes.groupBy("token", "m").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("most"))
-    known = known.select("token", "main", F.ceil(F.col("m") / BLOCK).alias("mb"), F.ceil((F.col("m") - F.col("most")) / BLOCK).alias("sb"))
-    place = lambda n: F.pmod(F.xxhash64("cid", "token"), F.col(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    rows = rows.drop("m").join(small(written(known, "large-buckets")), "token")
-    members = rows.select("token", "cid", "comp", F.lit(False).alias("stray"), place("mb").alias("x"), every("sb").alias("y"))
-    outside = rows.filter("comp <> main").select("token", "cid", "comp", F.lit(True).alias("stray"), every("mb").alias("x"), place("sb").alias("y"))
-    both = written(members.union(outside), "blocks")
-    side = reps.select("cid", "n_shingles", "two", "three")
-    return salted_join(both, side, "cid", "token", hot_keys(both, "cid"))
+    """Blocks of large buckets with sizes and the prefixes of the other orders."""
+    blocks = written(in_blocks(rows, BLOCK), "blocks")
+    return salted_join(blocks, reps.select("cid", "n_shingles", "two", "three"), "cid", "y", hot_keys(blocks, "cid"))
 
 
 def _block_links(blocks: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) in blocks: at least one between a stray and each other component that it has a link to there."""
-    kept = ["token", "x", "y", "cid", "comp", "stray"]
+    kept = [*IN_BLOCK, "cid", "comp", "stray"]
 
     def able(table: pa.Table) -> pa.Table:
         stray, comp, size = (np.array(table.column(c).to_pylist()) for c in ("stray", "comp", "n_shingles"))
@@ -177,9 +168,9 @@ def _block_links(blocks: DataFrame, texts: DataFrame, words: int, percent: int)
         rows = np.union1d(out[fine.any(axis=1)], many[fine.any(axis=0)])
         return table.select(kept).take(pa.array(rows))
 
-    kinds = "token bigint, x bigint, y bigint, cid bigint, comp bigint, stray boolean"
-    rows = written(blocks.groupBy("token", "x", "y").applyInArrow(able, kinds), "able")
-    full = salted_join(rows, texts, "cid", "token", hot_keys(rows, "cid"))
+    kinds = "pooled boolean, key bigint, x bigint, y bigint, cid bigint, comp bigint, stray boolean"
+    rows = written(blocks.groupBy(*IN_BLOCK).applyInArrow(able, kinds), "able")
+    full = salted_join(rows, texts, "cid", "y", hot_keys(rows, "cid"))
 
     def run(table: pa.Table) -> pa.Table:
         hashes = per_worker(WordHashes)
@@ -196,7 +187,7 @@ def _block_links(blocks: DataFrame, texts: DataFrame, words: int, percent: int)
             pairs = np.sort(np.stack([cid[out[i[one]]], cid[many[j[one]]]], axis=1), axis=1) if len(i) else pairs
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
-    return full.groupBy("token", "x", "y").applyInArrow(run, "a bigint, b bigint").distinct()
+    return full.groupBy(*IN_BLOCK).applyInArrow(run, "a bigint, b bigint").distinct()
 
 
 def jaccard_components(df: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -229,7 +220,7 @@ def jaccard_components(df: DataFrame, words: int = 5, percent: int = 80, doc_id:
     near = one.join(two, "token").filter(f"a < b AND ca <> cb AND 100 * least(na, nb) >= {percent} * greatest(na, nb)")
     near = written(near.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
     more = _checked(near, reps, texts, words, percent)
-    large = opened.filter(F.col("m") > SMALL)
+    large = opened.filter(F.col("m") > SMALL).withColumnRenamed("token", "key")
     if not large.isEmpty():
         more = more.union(_block_links(_blocks(large, reps), texts, words, percent))
     more = written(more.distinct(), "links")
