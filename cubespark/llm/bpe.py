@@ -63,8 +63,8 @@ LEFT = (
 #: Lower case of letters whose case Python does not know yet.
 LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B}
 LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
-#: Characters that need these tables, or may need them.
-RARE = re.compile("[" + re.sub("[\U00010000-\U0010ffff]-?", "", LATER + LEFT) + "\u1c89\ua7cb-\ua7dc\U00010000-\U0010ffff]").search
+#: Characters that need these tables.
+RARE = re.compile(f"[{LATER}{LEFT}{''.join(map(chr, LOWER))}]").search
 LETTER, NUMBER, OTHER = rf"[\p{{L}}--[{LATER}]]", rf"[\p{{N}}--[{LATER}]]", rf"[[^{WS}\p{{L}}\p{{N}}]||[{LATER}]]"
 
 
@@ -221,7 +221,7 @@ class WordBpe(Bpe):
         self.find_words = regex.compile(self.PATTERN).findall
         self.find_rare = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{LETTER}+|{NUMBER}|{OTHER}+", regex.V1).findall
         self.cut = regex.compile(rf"[^{WS}]+").findall
-        self.pieces = Memory(self._piece)
+        self.pieces, self.rare = Memory(self._piece), Memory(self._rare)
 
     def _piece(self, piece: str) -> bytes:
         if piece.isalpha():
@@ -234,9 +234,20 @@ class WordBpe(Bpe):
         text = nfc(text).replace("Σ", "σ").translate(LOWER).lower()
         return b"".join(array("I", self.merge(w)).tobytes() for w in self.find_rare(text))
 
+    def _mixed(self, text: str) -> bytes:
+        """White space ends pre-tokens and stands between marks, so only pieces with a rare character need its tables."""
+        out, plain = [], []
+        for piece in self.cut(text):
+            if piece.isascii() or not RARE(piece):
+                plain.append(piece)
+            else:
+                out += [self._plain(" ".join(plain)), self.rare[piece]]
+                plain = []
+        return b"".join([*out, self._plain(" ".join(plain))])
+
     def _plain(self, text: str) -> bytes:
         if not text.isascii() and RARE(text):
-            return self._rare(text)
+            return self._mixed(text)
         text = unicodedata.normalize("NFC", text)
         if "Σ" in text:
             text = text.replace("Σ", "σ")  # each character alone: no final sigma
@@ -268,6 +279,7 @@ class TextBpe(Bpe):
         self.border = regex.compile(rf"(?<=[^{WS}]) (?=[^{WS}])")
         self.whole = self.one_token_strings()
         self.first, self.later = Memory(self._first), Memory(self._later)
+        self.rare = Memory(lambda piece: sum(map(self._word, self.find_rare(" " + piece))))
 
     def one_token_strings(self) -> frozenset[str]:
         """Vocabulary strings that are one pre-token and encode alone as one token."""
@@ -309,9 +321,10 @@ class TextBpe(Bpe):
         """A space between two other characters starts a new pre-token, so pieces count on their own."""
         if not text:
             return 0
-        if not text.isascii() and RARE(text):
-            return sum(map(self._word, self.find_rare(text)))
         pieces = self.border.split(text) if text[0].isspace() or self.double(text) else text.split(" ")
+        if not text.isascii() and RARE(text):
+            n = sum(map(self._word, (self.find_rare if RARE(pieces[0]) else self.find_words)(pieces[0])))
+            return n + sum(self.later[p] if p.isascii() or not RARE(p) else self.rare[p] for p in pieces[1:])
         return sum(map(self._word, self.find_words(pieces[0]))) + sum(map(self.later.__getitem__, pieces[1:]))
 
     def count(self, text: str) -> int:
