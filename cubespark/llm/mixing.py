@@ -13,8 +13,8 @@ part meets its deadline: a source is less than a part away from the line between
 one or two parts away from its unrounded target. So it stays within a block of it, however long the input is (the tests
 measure at most 2.7 of the 4 parts of a block, with up to 2000 sources).
 
-The work of a slot grows with the number of sources that have parts in its period, at most ``SLOTS``; that of a period with
-the number of all sources. There is no limit on either. ``within_target`` is true up to the slot where the first source
+The work of a slot grows with the number of sources that have parts in its period, at most ``SLOTS``; that of a period
+linearly with the number of all sources. There is no limit on either. ``within_target`` is true up to the slot where the first source
 runs out; beyond it the targets are those of the sources left.
 
 A null source is a source of its own. Repeated rows take places of their own; ties in the hash fall by id, and rows of
@@ -34,12 +34,15 @@ NEW = ("block", "part", "release", "deadline", "slot", "position", "within_targe
 
 #: Offsets are multiples of this share of FINE, the golden ratio.
 FINE, GOLDEN = 1 << 20, 648_056
-#: Parts that each source has got after ``at`` slots: a fold over the sources, in the order in which they run out.
-SHARES = """aggregate(sources, named_struct('rest', {at}, 'got', cast(array() as array<bigint>)),
-  (s, x) -> named_struct(
-    'rest', s.rest - least(x.parts, (cast(s.rest as decimal(20, 0)) * x.weight + x.offset) div x.left),
-    'got', array_append(s.got, least(x.parts, (cast(s.rest as decimal(20, 0)) * x.weight + x.offset) div x.left))),
-  s -> s.got)"""
+#: Sources that a fold keeps in one list: appending copies a list, so lists stay short.
+CHUNK = 32
+#: Parts that each source has got after ``at`` slots: a fold over the sources, chunk by chunk, in the order in which they run out.
+SHARES = """flatten(aggregate(sources, named_struct('rest', {at}, 'got', cast(array() as array<array<bigint>>)),
+  (s, c) -> transform(array(aggregate(c, named_struct('rest', s.rest, 'got', cast(array() as array<bigint>)),
+    (t, x) -> transform(array(least(x.parts, (cast(t.rest as decimal(20, 0)) * x.weight + x.offset) div x.left)),
+      q -> named_struct('rest', t.rest - q, 'got', array_append(t.got, q)))[0])),
+    t -> named_struct('rest', t.rest, 'got', array_append(s.got, t.got)))[0],
+  s -> s.got))"""
 
 
 def _source_key(source: str) -> Column:
@@ -73,49 +76,61 @@ def in_order(totals: DataFrame) -> DataFrame:
     offset = (F.col("turn").cast("bigint") * GOLDEN % FINE).cast("decimal(7,0)") * F.col("all").cast("decimal(17,0)")
     each = F.struct("turn", "key", "parts", (F.col("w") * FINE).cast("decimal(17,0)").alias("weight"), wide(offset).alias("offset"), (wide(F.col("all")) * FINE).cast("decimal(25,0)").alias("left"), until.alias("until"), cut.alias("cut"))
     row = rows.agg(F.sort_array(F.collect_list(each)).alias("sources"), F.sum("parts").alias("slots")).filter("slots > 0")
-    return row.select("sources", "slots", F.col("sources")[0]["until"].alias("horizon"))
+    chunks = F.transform(F.sequence(F.lit(1), F.size("sources"), F.lit(CHUNK)), lambda i: F.slice("sources", i, CHUNK))
+    return row.select("sources", chunks.alias("chunks"), "slots", F.col("sources")[0]["until"].alias("horizon"))
 
 
-def earliest_deadlines(qs: Column, slots: Column) -> Column:
-    """An array with one struct (i, nth) for each slot: the nth part of the i-th source is taken there."""
+#: Bits of a number in a packed part (deadline, source, number of the part), which sorts as these three do.
+BITS = 10
 
-    def step(state: Column, t: Column) -> Column:
-        def bid(n: Column, i: Column) -> Column:
-            q = F.get(qs, i)
-            ready = (n < q) & (release(n, q, slots) <= t)
-            return F.when(ready, F.struct(deadline(n, q, slots).alias("due"), i.alias("i")))
 
-        def take(best: Column) -> Column:
-            done = F.transform(state["done"], lambda n, i: n + F.when(i == best, 1).otherwise(0))
-            taken = F.struct(best.alias("i"), F.get(state["done"], best).alias("nth"))
-            return F.struct(done.cast("array<bigint>").alias("done"), F.array_append(state["order"], taken).alias("order"))
+def released(qs: Column, slots: Column) -> Column:
+    """An array with the packed parts that each slot releases, for quotas ``qs`` that add up to ``slots``."""
+    one = lambda q, i: F.transform(F.sequence(F.lit(0).cast("bigint"), q - 1), lambda j: F.struct(release(j, q, slots).alias("at"), ((deadline(j, q, slots) * (1 << BITS) + i) * (1 << BITS) + j).alias("part")))
+    jobs = F.array(F.flatten(F.transform(qs, one)))  # bound to a name, so that it is worked out once
+    of = lambda all_: F.transform(F.sequence(F.lit(0).cast("bigint"), slots - 1), lambda t: F.transform(F.filter(all_, lambda x: x["at"] == t), lambda x: x["part"]))
+    return F.transform(jobs, of)[0]
 
-        best = F.array_min(F.transform(state["done"], bid))["i"]
-        return F.transform(F.array(best), take)[0]
 
-    none = F.array().cast("array<struct<i:int,nth:bigint>>")
-    zero = F.struct(F.transform(qs, lambda _: F.lit(0).cast("bigint")).alias("done"), none.alias("order"))
-    return F.aggregate(F.sequence(F.lit(0).cast("bigint"), slots - 1), zero, step)["order"]
+def earliest_deadlines(news: Column) -> Column:
+    """An array with one struct (i, nth) for each slot: the nth part of the i-th source is taken there.
+
+    ``news`` are the packed parts that each slot releases. Waiting parts are a sorted list, sorted anew only when some come.
+    """
+
+    def step(state: Column, new: Column) -> Column:
+        waiting = F.when(F.size(new) == 0, state["waiting"]).otherwise(F.sort_array(F.concat(state["waiting"], new)))
+        take = lambda w: F.struct(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))).alias("waiting"), F.array_append(state["order"], F.get(w, F.lit(0))).alias("order"))
+        return F.transform(F.array(waiting), take)[0]
+
+    none = F.array().cast("array<bigint>")
+    order = F.aggregate(news, F.struct(none.alias("waiting"), none.alias("order")), step)["order"]
+    number = lambda x, bits: F.shiftright(x, bits).bitwiseAND(F.lit((1 << BITS) - 1))
+    return F.transform(order, lambda x: F.struct(number(x, BITS).cast("int").alias("i"), number(x, 0).alias("nth")))
 
 
 def schedule(totals: DataFrame, periods_per_task: int = 64) -> DataFrame:
     """(key, part, release, deadline, slot, within_target) for each part of each source."""
     plan = written(in_order(totals), "mix-sources")
     found = plan.select(F.ceil(F.col("slots") / SLOTS)).first()
-    periods = plan.sparkSession.range(0, found[0] if found else 0, 1, max(1, (found[0] if found else 0) // periods_per_task))
+    n = found[0] if found else 0
+    tasks = max(n // periods_per_task, min(n, 4 * plan.sparkSession.sparkContext.defaultParallelism), 1)
+    periods = plan.sparkSession.range(0, n, 1, tasks)
     ends = plan.select(F.explode(F.filter("sources", lambda x: x["cut"])["until"]).alias("at")).groupBy(F.floor(F.col("at") / SLOTS).alias("id")).agg(F.collect_set("at").alias("ends"))
     rows = periods.join(small(written(ends, "mix-ends")), "id", "left").crossJoin(F.broadcast(plan))  # one row of sources
     begin, none = F.col("id") * SLOTS, F.array().cast("array<bigint>")
     marks = F.array_union(F.array(begin, F.least(begin + SLOTS, "slots")), F.filter(F.coalesce("ends", none), lambda x: x < F.col("slots")))
     rows = rows.withColumn("marks", F.sort_array(marks))
     spans = F.transform(F.sequence(F.lit(1), F.size("marks") - 1), lambda i: F.struct(F.get("marks", i - 1).alias("begin"), (F.get("marks", i) - F.get("marks", i - 1)).alias("n")))
-    rows = rows.select(F.explode(spans).alias("span"), "sources", "horizon").select("span.begin", "span.n", "sources", "horizon")
-    shares = rows.select("begin", "n", "horizon", "sources.key", F.expr(SHARES.format(at="begin")).alias("before"), F.expr(SHARES.format(at="begin + n")).alias("upto"))
+    rows = rows.select(F.explode(spans).alias("span"), F.col("chunks").alias("sources"), "horizon").select("span.begin", "span.n", "sources", "horizon")
+    rows = rows.withColumn("key", F.flatten(F.transform("sources", lambda c: c["key"])))
+    shares = rows.select("begin", "n", "horizon", "key", F.expr(SHARES.format(at="begin")).alias("before"), F.expr(SHARES.format(at="begin + n")).alias("upto"))
     # Written between the steps, so that no array is worked out again for each of its elements.
     q = lambda i: F.get("upto", i) - F.get("before", i)
     each = F.transform("key", lambda k, i: F.struct(k.alias("key"), F.get("before", i).alias("before"), q(i).alias("q")))
     rows = written(shares, "mix-shares").select("begin", "n", "horizon", F.array_sort(F.filter(each, lambda x: x["q"] > 0)).alias("active"))
-    rows = written(rows, "mix-periods").withColumn("order", earliest_deadlines(F.col("active.q"), F.col("n")))
+    rows = written(rows, "mix-periods").withColumn("news", released(F.col("active.q"), F.col("n")))
+    rows = written(rows, "mix-parts").withColumn("order", earliest_deadlines(F.col("news")))
     rows = rows.select("begin", "n", "horizon", "active", F.posexplode("order").alias("t", "taken"))
     rows = rows.withColumns({"source": F.get("active", F.col("taken.i")), "nth": F.col("taken.nth"), "slot": F.col("begin") + F.col("t")})
     return rows.select(
