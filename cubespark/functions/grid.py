@@ -47,8 +47,8 @@ def nearest_index(x: Column, zero: float, step: float) -> Column:
     return F.floor((x - zero) / step + 0.5).cast("int")
 
 
-def nearest_label(df: DataFrame, axis: DataFrame, x: str, label: str, longest: int = 1 << 20) -> DataFrame:
-    """F10 on an irregular axis of at most ``longest`` labels: add the nearest label, the smaller one on ties.
+def nearest_label(df: DataFrame, axis: DataFrame, x: str, label: str) -> DataFrame:
+    """F10 on an irregular axis: add the nearest label, the smaller one on ties.
 
     The sorted labels are one value; each row finds its neighbours in it by bisection.
     """
@@ -58,7 +58,7 @@ def nearest_label(df: DataFrame, axis: DataFrame, x: str, label: str, longest: i
         low, high = F.coalesce(ends["low"], ends["high"]), F.coalesce(ends["high"], ends["low"])
         return F.when(F.abs(high - F.col(x)) < F.abs(low - F.col(x)), high).otherwise(low)
 
-    upto = count_upto(F.col("_labels"), F.col(x), longest)
+    upto = count_upto(F.col("_labels"), F.col(x))
     ends = F.transform(F.array(upto), lambda n: F.struct(F.get("_labels", n - 1).alias("low"), F.get("_labels", n).alias("high")))
     return df.withColumn("_labels", labels).withColumn(f"nearest_{label}", F.transform(ends, best)[0]).drop("_labels")
 

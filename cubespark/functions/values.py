@@ -69,8 +69,8 @@ def softplus(x: Column) -> Column:
     return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
 
 
-def count_upto(ascending: Column, x: Column, longest: int) -> Column:
-    """How many elements of an ascending array of at most ``longest`` are not above x, by bisection; 0 for a null x."""
+def count_upto(ascending: Column, x: Column) -> Column:
+    """How many elements of an ascending array are not above x, by bisection; 0 for a null x."""
 
     def halve(s: Column, _: Column) -> Column:
         middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
@@ -78,6 +78,6 @@ def count_upto(ascending: Column, x: Column, longest: int) -> Column:
         low, high = F.when(below, middle + 1).otherwise(s["low"]), F.when(below, s["high"]).otherwise(middle)
         return F.when(s["low"] < s["high"], F.struct(low.alias("low"), high.alias("high"))).otherwise(s)
 
-    steps = F.array(*[F.lit(i) for i in range(longest.bit_length() + 1)])
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(ascending) + 1)).cast("int"))
     found = F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(ascending).alias("high")), halve)["low"]
     return F.when(x.isNull(), 0).otherwise(found)

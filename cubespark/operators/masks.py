@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cubespark.functions.grid import CELL, chunk_of
+from cubespark.sources.scratch import small, written
 
 CHUNK_KEYS = ["chunk_lat", "chunk_lon"]
 
@@ -42,8 +43,14 @@ def distinct_chunks(mask: DataFrame, size: int) -> DataFrame:
 
 
 def mask_chunks(df: DataFrame, mask: DataFrame, size: int) -> DataFrame:
-    """Rows in chunks with at least one valid cell."""
-    return with_chunks(df, size).join(distinct_chunks(mask, size), CHUNK_KEYS, "left_semi")
+    """Rows in chunks with at least one valid cell.
+
+    If ``df`` holds its chunk keys, as a table partitioned by chunk does, they are joined as stored: the valid chunks (a
+    table that is counted, and broadcast while it is small) prune its partitions at run time, and no other file is read.
+    """
+    counts = written(with_chunks(mask, size).groupBy(*CHUNK_KEYS).agg(F.count_if("mask").alias("valid")), "chunks")
+    rows = df if set(CHUNK_KEYS) <= set(df.columns) else with_chunks(df, size)
+    return rows.join(small(counts).filter("valid > 0").select(*CHUNK_KEYS), CHUNK_KEYS, "left_semi").select(*rows.columns)
 
 
 def apply_mask(df: DataFrame, mask: DataFrame, drop: bool = True, columns: list[str] = ()) -> DataFrame:

@@ -44,8 +44,8 @@ def ensemble_median(df: DataFrame, value: str = "v", keys: list[str] = CELL) ->
     return df.groupBy(*keys).agg(F.median(value).alias("median"))
 
 
-def source_check(cube: DataFrame, raw: DataFrame, value: str = "v") -> DataFrame:
+def source_check(cube: DataFrame, raw: DataFrame, value: str = "v", keys: list[str] = CELL) -> DataFrame:
     """Stored minus raw, and rows that stand on one side only."""
-    both = cube.select(*CELL, F.col(value).alias("stored")).join(raw.select(*CELL, F.col(value).alias("raw")), CELL, "full")
+    both = cube.select(*keys, F.col(value).alias("stored")).join(raw.select(*keys, F.col(value).alias("raw")), keys, "full")
     side = F.when(F.col("stored").isNull(), "raw").when(F.col("raw").isNull(), "stored").otherwise("both")
     return both.withColumns({"diff": F.col("stored") - F.col("raw"), "side": side})

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cubespark.functions.dates import leap_years
 from cubespark.functions.grid import CELL
-from cubespark.sources.scratch import numbered
+from cubespark.sources.scratch import numbered, written
 
 
 def year_windows(years: DataFrame, context: int, window: int) -> DataFrame:
@@ -110,6 +112,59 @@ def assign_batches(samples: DataFrame, batch_size: int, buffer: int, seed: int,
     return rows.select(*samples.columns, "batch_id")
 
 
+def _entries(chunks: Column, buffer: int) -> Column:
+    """A fold over the sizes of chunks in their order, in lists of lists (appending copies a list): for each chunk its place in
+    the buffer and the turn at which it enters; at last the turns at which places run empty.
+
+    A chunk enters the place that runs empty first, as each gives one sample a turn.
+    """
+
+    def enter(state: Column, chunk: Column) -> Column:
+        first = F.array_min(state["ends"])
+        place = (F.array_position(state["ends"], first) - 1).cast("int")
+        ends = F.transform(state["ends"], lambda e, i: F.when(i == place, e + chunk["n"]).otherwise(e))
+        return F.struct(ends.alias("ends"), F.array_append(state["found"], F.struct(chunk["rank"].alias("rank"), place.alias("place"), first.alias("enters"))).alias("found"))
+
+    found = F.array().cast("array<struct<rank:int,place:int,enters:bigint>>")
+
+    def some(state: Column, part: Column) -> Column:
+        done = F.aggregate(part, F.struct(state["ends"].alias("ends"), found.alias("found")), enter)
+        bound = F.transform(F.array(done), lambda d: F.struct(d["ends"].alias("ends"), F.array_append(state["found"], d["found"]).alias("found")))
+        return bound[0]
+
+    parts = F.transform(F.sequence(F.lit(1), F.size(chunks), F.lit(64)), lambda i: F.slice(chunks, i, 64))
+    none = F.array().cast("array<array<struct<rank:int,place:int,enters:bigint>>>")
+    zero = F.struct(F.array_repeat(F.lit(0).cast("bigint"), buffer).alias("ends"), none.alias("found"))
+    return F.aggregate(parts, zero, some, lambda s: F.struct(s["ends"].alias("ends"), F.flatten(s["found"]).alias("found")))
+
+
+def rolling_batches(samples: DataFrame, batch_size: int, buffer: int, seed: int, chunk: list[str], key: list[str], drop_last: bool = False) -> DataFrame:
+    """X11, rolling buffer: each turn deals one sample of each chunk in the buffer; a chunk that runs out makes room for the next.
+
+    Chunks come in hash order. When a chunk enters and which place it takes follows from the sizes alone (one row for each
+    chunk, a fold). Places are never idle before they run empty for good, so the position of a sample is the sum over
+    places of the turns dealt before, and the places before its own in its turn: arithmetic on its row. Samples are numbered inside
+    their chunk; they never meet beyond it. Adds ``batch_id``; the last batch may be short and can be dropped.
+    """
+    digest = lambda cols: F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in cols], F.lit(str(seed))))
+    sizes = samples.groupBy(*chunk).agg(F.count("*").alias("_n"))
+    sizes = written(sizes.withColumn("_rank", F.row_number().over(Window.orderBy(digest(chunk), *chunk))), "chunk-sizes")
+    listed = sizes.agg(F.sort_array(F.collect_list(F.struct(F.col("_rank").alias("rank"), F.col("_n").alias("n")))).alias("c")).filter(F.size("c") > 0)
+    plan = written(listed.select(_entries(F.col("c"), buffer).alias("p")), "buffer-plan").select("p.ends", F.inline("p.found"))
+    named = sizes.join(F.broadcast(plan), F.col("_rank") == F.col("rank")).select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(chunk)], "place", "enters", "ends")
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_c{i}")) for i, c in enumerate(chunk)])
+    rows = samples.join(named, same)
+    turn = F.col("enters") + F.row_number().over(Window.partitionBy(*chunk).orderBy(digest(key), *key)) - 1
+    rows = rows.withColumn("_turn", turn)
+    before = F.aggregate("ends", F.lit(0).cast("bigint"), lambda s, e: s + F.least(e, F.col("_turn")))
+    beside = F.size(F.filter("ends", lambda e, i: (i < F.col("place")) & (e > F.col("_turn"))))
+    rows = rows.withColumn("batch_id", F.floor((before + beside) / batch_size))
+    if drop_last:
+        total = F.aggregate("ends", F.lit(0).cast("bigint"), lambda s, e: s + e)
+        rows = rows.filter(F.col("batch_id") < F.floor(total / batch_size))
+    return rows.select(*samples.columns, "batch_id")
+
+
 def merge_partial_batches(parts: list[DataFrame], batch_size: int, order: list[str], drop_last: bool = False) -> DataFrame:
     """U4: leftovers of several frames renumbered into batches in one order, range by range."""
     rows = parts[0]

@@ -29,9 +29,9 @@ def _smoothed(days: Column, half: int, least: int) -> Column:
 def smooth_msc(raw: DataFrame, value: str = "m", keys: list[str] = CELL, out: str = "v_msc", half: int = 8, least: int = 5) -> DataFrame:
     """Circular centered mean over 2 * half + 1 days of 1..366, null below ``least`` values; all 366 days appear.
 
-    The days of a cell (at most 366) are one row. Rows dealt by cell before (``df.repartition(*keys)``) aren't moved again.
+    The days of a cell (at most 366) are one row; a mean without a day counts nowhere. Rows dealt by cell before (``df.repartition(*keys)``) aren't moved again.
     """
-    days = raw.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("doy", value))).alias("_days"))
+    days = raw.groupBy(*keys).agg(F.map_from_entries(F.filter(F.collect_list(F.struct("doy", value)), lambda x: x["doy"].isNotNull())).alias("_days"))
     rows = days.select(*keys, F.posexplode(_smoothed(F.col("_days"), half, least)).alias("_at", out))
     return rows.select(*keys, (F.col("_at") + 1).alias("doy"), out)
 
@@ -44,20 +44,24 @@ def msc_align(msc: DataFrame, ref: DataFrame, keys: list[str] = CELL) -> DataFra
 
 
 def anomaly(df: DataFrame, value: str = "v", keys: list[str] = CELL, half: int = 8, least: int = 5) -> DataFrame:
-    """Value minus the smoothed seasonal cycle of its day.
+    """Value minus the smoothed seasonal cycle of its day, as ``doy``, ``<value>_msc`` and ``<value>_ano``.
 
-    The table is read and dealt by cell once: the rows of a seasonal day travel with its mean, those of a cell (its series,
-    which time bounds) with its cycle.
+    All is one sort of each cell's rows by day of year (one exchange by cell; none on a table bucketed by cell): rows of one day are
+    peers, the first of them carries the day's mean into the circular window. Rows without a date, or of days with too few
+    means around, have null ``_msc``. Columns of ``df`` named like a new one are replaced.
     """
-    rows = df.repartition(*keys).withColumn("doy", F.dayofyear("date")).groupBy(*keys, "doy")
-    rows = rows.agg(F.avg(value).alias("_m"), F.collect_list(F.struct(*[c for c in df.columns if c not in keys])).alias("_rows"))
-    cells = rows.groupBy(*keys).agg(F.collect_list(F.struct("doy", "_m", "_rows")).alias("_days"))
-    means = F.map_from_entries(F.transform("_days", lambda d: F.struct(d["doy"], d["_m"])))
-    cells = cells.select(*keys, "_days", _smoothed(means, half, least).alias("_msc"))
-    days = cells.select(*keys, F.explode(F.transform("_days", lambda d: F.struct(d["doy"].alias("doy"), d["_rows"].alias("rows"), F.get("_msc", d["doy"] - 1).alias("msc")))).alias("_d"))
-    out = days.select(*keys, "_d.doy", F.col("_d.msc").alias(f"{value}_msc"), F.explode("_d.rows").alias("_r"))
-    old = [F.col(c) if c in keys else F.col(f"_r.{c}").alias(c) for c in df.columns]
-    return out.select(*old, "doy", f"{value}_msc", (F.col(f"_r.{value}") - F.col(f"{value}_msc")).alias(f"{value}_ano"))
+    new = ["doy", f"{value}_msc", f"{value}_ano"]
+    rows = df.select(*[F.col(c) for c in df.columns if c not in new], F.dayofyear("date").alias("doy"))
+    by_day = Window.partitionBy(*keys).orderBy("doy")
+    first = ~F.lag("doy", 1).over(by_day).eqNullSafe(F.col("doy")) & F.col("doy").isNotNull()
+    rows = rows.withColumn("_mean", F.when(first, F.avg(value).over(by_day.rangeBetween(0, 0))))
+    # Days of the year at most ``half`` away, round the turn of the year.
+    near = [by_day.rangeBetween(low, high) for low, high in ((-half, half), (366 - half, 366 + half), (-366 - half, -366 + half))]
+    total = sum((F.coalesce(F.sum("_mean").over(w), F.lit(0.0)) for w in near[1:]), F.coalesce(F.sum("_mean").over(near[0]), F.lit(0.0)))
+    n = sum((F.count("_mean").over(w) for w in near[1:]), F.count("_mean").over(near[0]))
+    rows = rows.withColumns({"_total": total, "_n": n})
+    rows = rows.withColumn(f"{value}_msc", F.when(F.col("doy").isNotNull() & (F.col("_n") >= least), F.col("_total") / F.col("_n")))
+    return rows.withColumn(f"{value}_ano", F.col(value) - F.col(f"{value}_msc")).drop("_mean", "_total", "_n")
 
 
 def cumulative_to_flux(df: DataFrame, value: str, keys: list[str] = CELL, out: str = "flux") -> DataFrame:

@@ -11,6 +11,7 @@ from cubespark.operators import reshape, season
 from cubespark.plans.registry import query
 from cubespark.sources import adapters as a
 from cubespark.sources import files
+from cubespark.sources.scratch import new_path
 
 
 def day():
@@ -58,14 +59,22 @@ def j1(spark, sf_dir):
     return season.msc_align(season.smooth_msc(season.msc_raw(daily)), daily).select(*CELL, day(), "doy", r("v_msc", digits=8))
 
 
-@query(
-    "j2_anomaly",
-    "SELECT c.lat_idx, c.lon_idx, strftime(c.date, '%Y-%m-%d') AS date, round(c.v, 8) AS v, round(m.v_msc, 8) AS v_msc, round(c.v - m.v_msc, 8) AS v_ano FROM cell_daily c LEFT JOIN msc m ON m.lat_idx = c.lat_idx AND m.lon_idx = c.lon_idx AND m.doy = dayofyear(c.date)",
-)
+J2 = "SELECT c.lat_idx, c.lon_idx, strftime(c.date, '%Y-%m-%d') AS date, round(c.v, 8) AS v, round(m.v_msc, 8) AS v_msc, round(c.v - m.v_msc, 8) AS v_ano FROM cell_daily c LEFT JOIN msc m ON m.lat_idx = c.lat_idx AND m.lon_idx = c.lon_idx AND m.doy = dayofyear(c.date)"
+
+
+@query("j2_anomaly", J2)
 def j2(spark, sf_dir):
     return season.anomaly(a.cell_daily(spark, sf_dir)).select(*CELL, day(), r("v", digits=8), r("v_msc", digits=8), r("v_ano", digits=8))
 
 
+@query("j2_anomaly_bucketed", J2)
+def j2_bucketed(spark, sf_dir):
+    """On a table that is bucketed by cell: written once, then no exchange."""
+    path = new_path(spark, "by-cell")
+    table = files.write_by_cell(a.cell_daily(spark, sf_dir).select(*CELL, "date", "v"), f"by_cell_{path.rsplit('-', 1)[1]}", path, 8)
+    return season.anomaly(table).select(*CELL, day(), r("v", digits=8), r("v_msc", digits=8), r("v_ano", digits=8))
+
+
 @query(
     "w2_cumulative_to_flux",
     "SELECT lat_idx, lon_idx, strftime(date, '%Y-%m-%d') AS date, hour, round(CASE WHEN rn = 1 THEN 0 WHEN hour = 0 THEN nx ELSE nx - acc END, 6) AS flux FROM (SELECT *, lead(acc) OVER w AS nx, row_number() OVER (PARTITION BY lat_idx, lon_idx ORDER BY date DESC, hour DESC) AS rn FROM cell_accum WINDOW w AS (PARTITION BY lat_idx, lon_idx ORDER BY date, hour))",

@@ -100,6 +100,21 @@ def x11_sizes(spark, sf_dir):
     return batches(spark, sf_dir).groupBy("batch_id").agg(F.count("*").alias("size"), F.countDistinct("chunk").alias("chunks"))
 
 
+ROLLING = """WITH RECURSIVE s AS (SELECT c_custkey, CAST(c_nationkey AS INTEGER) AS chunk FROM customer),
+k AS (SELECT chunk, count(*) AS n, row_number() OVER (ORDER BY md5(concat_ws('|', CAST(chunk AS VARCHAR), '7')), chunk) AS i FROM s GROUP BY 1),
+fill AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS place, CAST(0 AS BIGINT) AS enters, [CAST(0 AS BIGINT), 0, 0, 0] AS ends
+ UNION ALL SELECT k.i, list_position(ends, list_min(ends)) AS place, list_min(ends), [CASE WHEN j = list_position(ends, list_min(ends)) THEN ends[j] + k.n ELSE ends[j] END FOR j IN range(1, 5)] FROM fill JOIN k ON k.i = fill.i + 1),
+last_ AS (SELECT ends AS f FROM fill ORDER BY i DESC LIMIT 1),
+t AS (SELECT s.*, place, enters + row_number() OVER (PARTITION BY s.chunk ORDER BY md5(concat_ws('|', CAST(c_custkey AS VARCHAR), '7')), c_custkey) - 1 AS turn FROM s JOIN k USING (chunk) JOIN fill ON fill.i = k.i)
+SELECT c_custkey, chunk, CAST((list_sum([least(e, turn) FOR e IN f]) + len([j FOR j IN range(1, 5) IF j < place AND f[j] > turn])) // 32 AS BIGINT) AS batch_id FROM t, last_"""
+
+
+@query("x11_rolling_batches", ROLLING)
+def x11_rolling(spark, sf_dir):
+    rows = a.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("chunk"))
+    return s.rolling_batches(rows, 32, 4, 7, ["chunk"], ["c_custkey"])
+
+
 @query("u4_merge_partial_batches", "SELECT n_nationkey, CAST((row_number() OVER (ORDER BY n_nationkey) - 1) // 4 AS BIGINT) AS batch_id FROM nation")
 def u4(spark, sf_dir):
     rows = a.table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")

@@ -110,6 +110,17 @@ def write_derived(df: DataFrame, path: str, parts: tuple[str, ...] = ("chunk_lat
     df.repartition(*parts).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(*parts).parquet(path)
 
 
+def write_by_cell(df: DataFrame, table: str, path: str, buckets: int, order: tuple[str, ...] = ("date",), partitions: tuple[str, ...] = ()) -> DataFrame:
+    """Write a table whose rows of a cell share a bucket, sorted by cell and time, and read it back.
+
+    Windows, groups and joins by cell then need no exchange. Rows are dealt by cell once before, so each bucket of a
+    partition is one file. ``path`` is where its files lie; a table of that name is replaced.
+    """
+    writer = df.repartition(buckets, *CELL).write.mode("overwrite").option("path", path).bucketBy(buckets, *CELL).sortBy(*CELL, *order)
+    (writer.partitionBy(*partitions) if partitions else writer).saveAsTable(table, format="parquet")
+    return df.sparkSession.table(table)
+
+
 def write_predictions(pred: DataFrame, stats: DataFrame, spine: DataFrame, num_days: int, path: str, target: str = "v", kinds: tuple[str, ...] = ("ts",)) -> None:
     """The last ``num_days`` of each cell, denormalised and named ``<target>[_kind]_hat``, on the full spine.
 

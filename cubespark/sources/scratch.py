@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+#: Rows of a written table up to which it is broadcast, and up to which it is one range.
+BROADCAST_ROWS, ONE_RANGE = 1_000_000, 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,10 +49,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """Broadcast a written table of a few short columns if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def in_ranges(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """``df`` written in as many ranges of ``order`` as there are shuffle partitions, with the number of its range in ``_p``."""
+    """``df`` written in as many ranges of ``order`` as there are shuffle partitions, with the number of its range in ``_p``.
+
+    A table of at most ONE_RANGE rows is one range.
+    """
+    rows = written(df, name)
+    if rows.count() <= ONE_RANGE:
+        return rows.withColumn("_p", F.lit(0))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return written(df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()), name)
+    return written(rows.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()), name)
 
 
 def sums_before(parts: DataFrame, sums: dict[str, Column], by: list[str] = ()) -> DataFrame:

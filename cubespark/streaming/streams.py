@@ -59,42 +59,73 @@ def stream_ingest(stream: DataFrame, variable: str, path: str, order: str | None
 
 
 class Counted(StatefulProcessor):
-    """The distinct samples of a chunk; emits it once, when the expected number is reached, and what is short at a flush."""
+    """Counts the samples of a chunk; emits it once: when the expected number is reached, at a flush, or when it has been quiet for long."""
+
+    def __init__(self, quiet_ms: int | None):
+        self.quiet_ms = quiet_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "sample bigint", "one boolean")
-        self.done = handle.getValueState("done", "n bigint, complete boolean")
+        self.handle = handle
+        self.state = handle.getValueState("state", "n bigint, expected bigint, ended boolean, last bigint")
+
+    def _now(self) -> tuple[int, int | None, bool, int]:
+        return tuple(self.state.get()) if self.state.exists() else (0, None, False, 0)
+
+    def _row(self, key, n, complete):
+        return pd.DataFrame({"chunk_lat": [key[0]], "chunk_lon": [key[1]], "saved": [n], "complete": [complete]})
 
     def handleInputRows(self, key, rows, timerValues):
-        n, complete = self.done.get() if self.done.exists() else (0, False)
-        expected, flush = None, False
+        n, expected, ended, last = self._now()
+        flush = False
         for pdf in rows:
             flush = flush or bool(pdf["flush"].any())
-            for sample, want in zip(pdf["sample"], pdf["samples"], strict=True):
-                if not complete and pd.notna(sample) and not self.seen.containsKey((int(sample),)):
-                    self.seen.updateValue((int(sample),), (True,))
-                    n += 1
-                expected = int(want) if pd.notna(want) else expected
-        now = complete or (expected is not None and n >= expected)
-        if now:
-            self.seen.clear()
-        self.done.update((n, now))
-        if now and not complete or flush and not now:
-            yield pd.DataFrame({"chunk_lat": [key[0]], "chunk_lon": [key[1]], "saved": [n], "complete": [now]})
+            n += int(pdf["sample"].notna().sum())
+            if pdf["samples"].notna().any():
+                expected = int(pdf["samples"].max())
+            if self.quiet_ms is not None:
+                last = max(last, int(pdf["ms"].max()))
+        complete = expected is not None and n >= expected
+        ends = not ended and (complete or flush)
+        self.state.update((n, expected, ended or ends, last))
+        if self.quiet_ms is not None:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            if not (ended or ends):
+                self.handle.registerTimer(max(timerValues.getCurrentWatermarkInMs(), last) + self.quiet_ms)
+        if ends:
+            yield self._row(key, n, complete)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        n, expected, ended, last = self._now()
+        if not ended:
+            self.state.update((n, expected, True, last))
+            yield self._row(key, n, False)
 
     def close(self) -> None:
         pass
 
 
-def chunk_complete_stream(samples: DataFrame, path: str, state: str | None = None) -> str:
-    """Rows (chunk_lat, chunk_lon, sample, samples, flush) of saved samples; writes each chunk when it is complete.
+def chunk_complete_stream(samples: DataFrame, path: str, state: str | None = None, at: str | None = None, delay: str = "1 hour", quiet_seconds: int | None = None) -> str:
+    """Rows (chunk_lat, chunk_lon, sample, samples, flush) of saved samples; writes each chunk once, when it ends.
+
+    ``sample`` names a sample of its chunk, so that one delivered again counts once: Spark drops it before it is counted.
+    ``samples`` is how many there will be. A chunk ends when that number has come, or at a row with ``flush`` (its sample may
+    be null): if it is short, it is written as incomplete. Whatever comes after its end, further flushes too, changes nothing.
 
-    ``sample`` names a sample of its chunk, so that one delivered again counts once; ``samples`` is how many there will be.
-    A row with ``flush`` (its sample may be null) ends its chunk: if it is short, it is written as incomplete.
+    With an event time ``at`` (a timestamp column), samples are remembered for ``delay`` only, so state is bounded: one that
+    comes again later counts anew, and rows older than that are dropped. With ``quiet_seconds`` too, a chunk ends (incomplete)
+    when the watermark has passed the time of its last row by so long. A trigger costs one state call for each chunk.
     """
     spark = samples.sparkSession
-    keys = samples.groupBy("chunk_lat", "chunk_lon")
-    out = keys.transformWithStateInPandas(Counted(), "chunk_lat int, chunk_lon int, saved bigint, complete boolean", "Append", "None")
+    # A flush stands in a row of its own, so that it isn't lost with a sample that comes again.
+    flush = F.coalesce("flush", F.lit(False))
+    parts = F.filter(F.array(F.struct("sample", F.lit(False).alias("flush")), F.struct(F.lit(None).cast("bigint").alias("sample"), flush.alias("flush"))), lambda x: x["sample"].isNotNull() | x["flush"])
+    samples = samples.select("chunk_lat", "chunk_lon", "samples", *([at, F.unix_millis(at).alias("ms")] if at else []), F.inline(parts))
+    keys = ["chunk_lat", "chunk_lon", "sample", "flush"]
+    once = samples.dropDuplicates(keys) if at is None else samples.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)
+    timers = "None" if quiet_seconds is None else "EventTime"
+    processor = Counted(None if quiet_seconds is None else 1000 * quiet_seconds)
+    out = once.groupBy("chunk_lat", "chunk_lon").transformWithStateInPandas(processor, "chunk_lat int, chunk_lon int, saved bigint, complete boolean", "Append", timers)
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, ROCKSDB)  # read when the query starts
@@ -119,14 +150,16 @@ def stream_metrics(log: DataFrame, path: str, order: list[str], patience: int =
         if fresh.isEmpty():
             return
         if exists(spark, checks):
-            old = spark.read.schema(fresh.schema).parquet(checks).join(F.broadcast(fresh.select("trial").distinct()), "trial", "left_semi")
+            old = spark.read.schema(fresh.schema).parquet(checks).alias("o")
+            old = old.join(F.broadcast(fresh.select("trial").distinct().alias("f")), F.col("o.trial").eqNullSafe(F.col("f.trial")), "left_semi").select("o.*")
             fresh = fresh.unionByName(old)
         merged = new_path(spark, "checks")
         fresh.groupBy(*keys, *order).agg(F.min("value").alias("value")).write.parquet(merged)
         rows = spark.read.parquet(merged)
         ever = rows.groupBy(*keys).agg(F.min("value").alias("best"), F.count("*").alias("checks"))
-        stop = early_stop_step(rows, keys, order, "value", patience, min_delta).select(*keys, "best_check", "stop_check")
-        for frame, at in ((rows, checks), (ever.join(stop, keys), f"{path}/status")):
+        stop = early_stop_step(rows, keys, order, "value", patience, min_delta).select(F.col("trial").alias("_t"), F.col("name").alias("_n"), "best_check", "stop_check")
+        both = ever.join(stop, F.col("trial").eqNullSafe(F.col("_t")) & F.col("name").eqNullSafe(F.col("_n"))).drop("_t", "_n")
+        for frame, at in ((rows, checks), (both, f"{path}/status")):
             frame.repartition("trial").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("trial").parquet(at)
 
     _run(log.writeStream.foreachBatch(put), state or f"{path}/_state")
