@@ -10,6 +10,7 @@ from cubespark.plans.cube import r
 from cubespark.plans.registry import query
 from cubespark.sources import adapters as a
 from cubespark.sources import files
+from cubespark.sources.scratch import small, written
 
 
 def src(spark, sf_dir):
@@ -66,6 +67,20 @@ def a15(spark, sf_dir):
     return maps.quantiles(df, "v", [0.01, 0.5, 0.99]).select(r("q0", "q01"), r("q1", "q50"), r("q2", "q99"), r(lim, "lim"))
 
 
+QS = [0.01, 0.1, 0.5, 0.9, 0.99]
+
+
+@query("a15_quantile_sketch", f"SELECT CAST(lat_idx // 4 AS INTEGER) AS band, q, count(v) AS n, TRUE AS within FROM cell_daily CROSS JOIN (SELECT unnest({QS}) AS q) GROUP BY 1, 2")
+def a15_sketch(spark, sf_dir):
+    """Sketches of chunks, merged to bands of latitude, hold the rank error against exact counts."""
+    daily = a.cell_daily(spark, sf_dir).withColumns({"chunk_lat": F.expr("cast(lat_idx div 2 as int)"), "chunk_lon": F.expr("cast(lon_idx div 2 as int)"), "band": F.expr("cast(lat_idx div 4 as int)")})
+    parts = written(maps.quantile_sketches(daily, "v", ["band", "chunk_lat", "chunk_lon"]), "sketches")
+    found = maps.sketch_quantiles(maps.merge_sketches(parts, ["band"]), QS)
+    ranks = daily.join(F.broadcast(found), "band").groupBy("band", "q", "n").agg(F.count_if(F.col("v") < F.col("quantile")).alias("below"), F.count_if(F.col("v") <= F.col("quantile")).alias("upto"))
+    within = (F.col("below") / F.col("n") <= F.col("q") + maps.RANK_ERROR) & (F.col("upto") / F.col("n") >= F.col("q") - maps.RANK_ERROR)
+    return ranks.select("band", "q", "n", within.alias("within"))
+
+
 @query("a16_area_weighted_mean", "SELECT lat_idx // 2 AS band, round(sum(cos(radians(lat_idx * 10)) * size) / sum(cos(radians(lat_idx * 10))), 6) AS mean FROM cell_static GROUP BY 1")
 def a16(spark, sf_dir):
     rows = a.cell_static(spark, sf_dir).withColumns({"deg": F.col("lat_idx") * 10, "band": F.expr("cast(lat_idx div 2 as int)")})
@@ -134,6 +149,16 @@ def j11(spark, sf_dir):
     return regrid.regrid_conservative(src(spark, sf_dir), 10.0, 7.0).select(*CELL, r("v"))
 
 
+@query(
+    "j11_remap_over_time",
+    "WITH s AS (SELECT (l_suppkey % 6) * 10.0 AS a, (l_suppkey % 6 + 1) * 10.0 AS b, (l_partkey % 7) * 10.0 AS c, (l_partkey % 7 + 1) * 10.0 AS d, CAST(l_shipdate AS DATE) AS date, avg(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3, 4, 5), t AS (SELECT CAST(i AS INTEGER) AS lat_idx, CAST(j AS INTEGER) AS lon_idx FROM (SELECT unnest(range(0, 10)) AS i) CROSS JOIN (SELECT unnest(range(0, 12)) AS j)), o AS (SELECT lat_idx, lon_idx, date, v, (least(d, (lon_idx + 1) * 7.0) - greatest(c, lon_idx * 7.0)) * (sin(radians(90 - greatest(a, lat_idx * 7.0))) - sin(radians(90 - least(b, (lat_idx + 1) * 7.0)))) AS w FROM s JOIN t ON a < (lat_idx + 1) * 7.0 AND b > lat_idx * 7.0 AND c < (lon_idx + 1) * 7.0 AND d > lon_idx * 7.0) SELECT lat_idx, lon_idx, strftime(date, '%Y-%m-%d') AS date, round(sum(w * v) / sum(w), 6) AS v FROM o GROUP BY 1, 2, 3",
+)
+def j11_time(spark, sf_dir):
+    rows = a.table(spark, sf_dir, "lineitem").groupBy(F.expr("cast(l_suppkey % 6 as int)").alias("src_lat"), F.expr("cast(l_partkey % 7 as int)").alias("src_lon"), F.to_date("l_shipdate").alias("date")).agg(F.avg("l_quantity").alias("v"))
+    weights = written(regrid.remap_weights(rows, 10.0, 7.0), "weights")
+    return regrid.apply_weights(rows, small(weights), "v", ["date"]).select(*CELL, F.date_format("date", "yyyy-MM-dd").alias("date"), r("v"))
+
+
 @query(
     "j13_source_check",
     "SELECT lat_idx, lon_idx, strftime(date, '%Y-%m-%d') AS date, CASE WHEN a.v IS NULL THEN 'raw' WHEN b.v IS NULL THEN 'stored' ELSE 'both' END AS side, round(a.v - b.v, 6) AS diff FROM "

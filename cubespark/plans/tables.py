@@ -109,6 +109,13 @@ def x1_list(spark, sf_dir):
     return spreads(spark, sf_dir).select(*m.CHUNK_KEYS, *CELL, r("spread"))
 
 
+@query("x1_chunk_stream", SPREAD)
+def x1_stream(spark, sf_dir):
+    daily = a.cell_daily(spark, sf_dir).select(*CELL, "date", "v")
+    out = chunks.chunk_stream(daily, chunks.spreads_of, "lat_idx int, lon_idx int, spread double", SIZE, a.mask(spark, sf_dir), args=(2.0,))
+    return out.select(*CELL, r("spread"))
+
+
 GRID = "(SELECT CAST(i AS INTEGER) AS lat_idx, CAST(j AS INTEGER) AS lon_idx FROM (SELECT unnest(range(0, 20)) AS i) CROSS JOIN (SELECT unnest(range(0, 20)) AS j))"
 
 

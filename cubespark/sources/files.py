@@ -97,6 +97,22 @@ def exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
+def _on(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table has been written to its end there."""
+    fs, at = _on(spark, f"{path}/_SUCCESS")
+    return fs.exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = _on(spark, path)
+    fs.delete(at, True)
+
+
 def stored_months(spark: SparkSession, path: str, variable: str, months: DataFrame, schema: str) -> DataFrame:
     """What a table written by ``ingest`` holds of a variable in some (year, month); nothing if it isn't there yet."""
     schema = f"{schema}, variable string, scale string, year int, month int"

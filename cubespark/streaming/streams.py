@@ -14,7 +14,7 @@ from cubespark.functions.dates import stack_time
 from cubespark.functions.grid import CELL
 from cubespark.functions.values import invert_units
 from cubespark.operators.logs import early_stop_step
-from cubespark.sources.files import exists, ingest, stored_months
+from cubespark.sources.files import exists, finished, ingest, remove, stored_months
 from cubespark.sources.scratch import new_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -39,22 +39,28 @@ def stream_ingest(stream: DataFrame, variable: str, path: str, order: str | None
     the one before, so a rerun changes nothing. Of rows of one cell and hour in one trigger, the one with the largest
     ``order`` (a column, or else the value) counts. The stream's progress is kept at ``state``, by default beside the
     table, so a later run on the same source takes up what is new; another source needs a state of its own.
+
+    Merged months are staged beside the state under the trigger's number before the table is touched. A trigger that is
+    repeated, as its driver was lost while months were overwritten, takes what it has staged and doesn't read the table.
     """
     spark, target = stream.sparkSession, f"{path}/hourly"
+    state = state or f"{path}/_state/{variable}"
     keys = [*CELL, "ts"]
 
     def fill(batch: DataFrame, version: int) -> None:
-        fresh = batch.groupBy(*keys).agg(F.max_by("value", F.struct(order or "value", "value")).alias("value"))
-        if fresh.isEmpty():
-            return
-        months = fresh.select(F.year("ts").alias("year"), F.month("ts").alias("month")).distinct()
-        old = stored_months(spark, target, variable, months, "lat_idx int, lon_idx int, value float, date date, hour int")
-        old = stack_time(old).select(*keys, invert_units(variable, F.col("value").cast("double")).alias("value"))
-        merged = new_path(spark, "merged")
-        old.join(fresh, keys, "left_anti").unionByName(fresh.select(*keys, "value")).write.parquet(merged)
+        merged = f"{state}-staged/{version}"
+        if not finished(spark, merged):
+            fresh = batch.groupBy(*keys).agg(F.max_by("value", F.struct(order or "value", "value")).alias("value"))
+            if fresh.isEmpty():
+                return
+            months = fresh.select(F.year("ts").alias("year"), F.month("ts").alias("month")).distinct()
+            old = stored_months(spark, target, variable, months, "lat_idx int, lon_idx int, value float, date date, hour int")
+            old = stack_time(old).select(*keys, invert_units(variable, F.col("value").cast("double")).alias("value"))
+            old.join(fresh, keys, "left_anti").unionByName(fresh.select(*keys, "value")).write.mode("overwrite").parquet(merged)
         ingest(spark.read.parquet(merged), variable, path, layout="hourly")
+        remove(spark, f"{state}-staged/{version - 1}")  # its trigger is done
 
-    _run(stream.writeStream.foreachBatch(fill), state or f"{path}/_state/{variable}")
+    _run(stream.writeStream.foreachBatch(fill), state)
     return target
 
 

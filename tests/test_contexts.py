@@ -256,3 +256,60 @@ def test_checks_of_null_trials_and_names_stay(spark, tmp_path):
         streams.stream_metrics(streams.read_files(spark, source), path, ["step"], state=f"{path}/_state{i}")
     got = {(r["trial"], r["name"], r["checks"], r["best"]) for r in streams.latest(spark, path).collect()}
     assert got == {(1, "a", 2, 0.25), (None, "a", 2, 0.125), (1, None, 2, 0.375)}
+
+
+def test_sketches_merge_within_their_error(spark):
+    df = spark.range(60_000).select((F.col("id") % 7).alias("part"), (F.col("id") % 2).alias("region"), ((F.col("id") * 7919) % 60_000).cast("double").alias("v")).union(spark.sql("SELECT 99L, 5L, CAST(NULL AS DOUBLE)"))
+    parts = maps.quantile_sketches(df, "v", ["region", "part"])
+    assert [r["sketch"] for r in parts.filter("part = 99").collect()] == [None]
+    merged = maps.merge_sketches(parts, ["region"])
+    got = maps.sketch_quantiles(merged, [0.0, 0.25, 0.5, 0.99, 1.0]).collect()
+    assert {r["region"] for r in got} == {0, 1} and all(r["n"] == 30_000 for r in got)
+    assert all(abs(r["quantile"] / 60_000 - r["q"]) <= maps.RANK_ERROR for r in got)
+
+
+def test_weights_serve_all_steps(spark):
+    from cubespark.operators import regrid
+
+    rng = random.Random(5)
+    rows = [(i, j, d, None if rng.random() < 0.2 else rng.random()) for i in range(4) for j in range(5) for d in range(3)]
+    df = spark.createDataFrame(rows, "src_lat int, src_lon int, day int, v double")
+    weights = regrid.remap_weights(df, 10.0, 7.0)
+    got = {(r["day"], r["lat_idx"], r["lon_idx"]): r["v"] for r in regrid.apply_weights(df, weights, "v", ["day"]).collect()}
+    one = {(d, r["lat_idx"], r["lon_idx"]): r["v"] for d in range(3) for r in regrid.regrid_conservative(df.filter(f"day = {d}"), 10.0, 7.0).collect()}
+    assert got.keys() == one.keys() and all(math.isclose(got[k], one[k]) for k in one)
+
+
+def first_values(frames):
+    for pdf in itertools.islice(frames, 3):
+        yield pdf.head(1)[["lat_idx", "lon_idx", "v"]]
+
+
+def test_chunks_are_handed_on_cell_by_cell(spark):
+    from cubespark.operators import chunks
+
+    rows = [(lat, lon, DAY + dt.timedelta(days=d), float(d)) for lat in range(4) for lon in range(4) for d in range(5, 0, -1)]
+    df = spark.createDataFrame(rows, CUBE + "v double").repartition(7)
+    got = sorted(tuple(r) for r in chunks.chunk_stream(df, first_values, "lat_idx int, lon_idx int, v double", 2).collect())
+    # The first day of the first three cells of each chunk of four.
+    assert got == sorted((a, b, 2 * a + i, 2 * b + j, 1.0) for a in (0, 1) for b in (0, 1) for i, j in ((0, 0), (0, 1), (1, 0)))
+
+
+def test_a_lost_driver_costs_no_month(spark, tmp_path):
+    import shutil
+
+    source, path = str(tmp_path / "in"), str(tmp_path / "out")
+    put_hours = lambda rows: spark.createDataFrame(rows, "lat_idx int, lon_idx int, ts timestamp, value double").coalesce(1).write.mode("append").parquet(source)
+    put_hours([(0, 0, dt.datetime(2020, 5, 1, h), float(h)) for h in range(6)])
+    streams.stream_ingest(streams.read_files(spark, source), "t2m", path)
+    put_hours([(0, 0, dt.datetime(2020, 5, 1, 5), 50.0), (0, 0, dt.datetime(2020, 5, 1, 7), 7.0)])
+    streams.stream_ingest(streams.read_files(spark, source), "t2m", path)
+    read = lambda: sorted((r["hour"], round(r["value"], 3)) for r in spark.read.parquet(f"{path}/hourly").collect())
+    want = read()
+    assert [h for h, _ in want] == [0, 1, 2, 3, 4, 5, 7]
+    # The driver goes between deletion and rename of the month: the trigger isn't committed, the month's rows are gone.
+    shutil.rmtree(tmp_path / "out" / "hourly" / "variable=t2m")
+    for f in (tmp_path / "out" / "_state" / "t2m" / "commits").glob("*1*"):
+        f.unlink()
+    streams.stream_ingest(streams.read_files(spark, source), "t2m", path)
+    assert read() == want
