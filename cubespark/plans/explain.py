@@ -54,6 +54,11 @@ def decayed(rate: float, weights: list[float], static: float):
     return score
 
 
+def unsigned(name: str, digits: int):
+    """Rounded, and no negative zero."""
+    return (F.round(name, digits) + 0.0).alias(name)
+
+
 SIZE_BASE = 25.5
 
 
@@ -84,17 +89,17 @@ u AS (SELECT lat_idx, lon_idx, time, sum(pow(0.5, -context) * (a + 0.3 * b)) + 0
 
 @query(
     "x9_attribution_days",
-    f"""{DAYS} SELECT lat_idx, lon_idx, strftime(time, '%Y-%m-%d') AS time, context, 'a' AS feature, round((a - 0.51234567) * pow(0.5, -context) * (ux + ub), 4) AS attr FROM c JOIN u USING (lat_idx, lon_idx, time)
-UNION ALL SELECT lat_idx, lon_idx, strftime(time, '%Y-%m-%d'), context, 'b', round((b - 1.01234567) * pow(0.5, -context) * 0.3 * (ux + ub), 4) FROM c JOIN u USING (lat_idx, lon_idx, time)""",
+    f"""{DAYS} SELECT lat_idx, lon_idx, strftime(time, '%Y-%m-%d') AS time, context, 'a' AS feature, round((a - 0.51234567) * pow(0.5, -context) * (ux + ub), 4) + 0.0 AS attr FROM c JOIN u USING (lat_idx, lon_idx, time)
+UNION ALL SELECT lat_idx, lon_idx, strftime(time, '%Y-%m-%d'), context, 'b', round((b - 1.01234567) * pow(0.5, -context) * 0.3 * (ux + ub), 4) + 0.0 FROM c JOIN u USING (lat_idx, lon_idx, time)""",
 )
 def x9(spark, sf_dir):
     out = series.attributions_long(day_contexts(spark, sf_dir), ["a", "b"])
-    return out.select(*CELL, iso("time"), "context", "feature", r("attr", digits=4))
+    return out.select(*CELL, iso("time"), "context", "feature", unsigned("attr", 4))
 
 
-@query("x9_attribution_statics", f"{DAYS} SELECT lat_idx, lon_idx, strftime(time, '%Y-%m-%d') AS time, round((size - {SIZE_BASE}) * 0.1 * (ux + ub), 4) AS attr_size FROM u")
+@query("x9_attribution_statics", f"{DAYS} SELECT lat_idx, lon_idx, strftime(time, '%Y-%m-%d') AS time, round((size - {SIZE_BASE}) * 0.1 * (ux + ub), 4) + 0.0 AS attr_size FROM u")
 def x9_statics(spark, sf_dir):
-    return day_contexts(spark, sf_dir).select(*CELL, iso("time"), r("attr_size", digits=4))
+    return day_contexts(spark, sf_dir).select(*CELL, iso("time"), unsigned("attr_size", 4))
 
 
 def hour_contexts(spark, sf_dir):
@@ -114,10 +119,10 @@ c AS (SELECT t.lat_idx, t.lon_idx, t.date AS time, CAST(d.date - t.date AS INTEG
 u AS (SELECT lat_idx, lon_idx, time, sum(pow(0.7, -context) * m) + 0.2 * coalesce(any_value(size), {SIZE_BASE}) AS ux, sum(pow(0.7, -context) * 0.5) + 0.2 * {SIZE_BASE} AS ub FROM c LEFT JOIN cell_static USING (lat_idx, lon_idx) GROUP BY 1, 2, 3)"""
 
 
-@query("x9_attribution_hours", f"{HOURS} SELECT lat_idx, lon_idx, strftime(time, '%Y-%m-%d') AS time, context, 'v' AS feature, round((m - 0.5) * pow(0.7, -context) / 24 * (ux + ub), 6) AS attr FROM c JOIN u USING (lat_idx, lon_idx, time)")
+@query("x9_attribution_hours", f"{HOURS} SELECT lat_idx, lon_idx, strftime(time, '%Y-%m-%d') AS time, context, 'v' AS feature, round((m - 0.5) * pow(0.7, -context) / 24 * (ux + ub), 6) + 0.0 AS attr FROM c JOIN u USING (lat_idx, lon_idx, time)")
 def x9_hours(spark, sf_dir):
     out = series.attributions_long(hour_contexts(spark, sf_dir), ["v"])
-    return out.select(*CELL, iso("time"), "context", "feature", r("attr"))
+    return out.select(*CELL, iso("time"), "context", "feature", unsigned("attr", 6))
 
 
 @query("x9_completeness", f"{HOURS} SELECT lat_idx, lon_idx, strftime(time, '%Y-%m-%d') AS time, round(ux * ux - ub * ub, 4) AS total, round(ux * ux - ub * ub, 4) AS delta FROM u")
