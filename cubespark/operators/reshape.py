@@ -82,6 +82,21 @@ def first_n(df: DataFrame, n: int, keys: list[str], order: str) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter(F.col("_r") <= n).drop("_r")
 
 
+def frame_range(df: DataFrame, order: list[str], frames: int | range = -1) -> DataFrame:
+    """the rows of some time steps of all series: the first so many, an explicit range of positions (with its stride), or all (-1).
+
+    Positions count the distinct steps of ``df`` from 0; the time axis is what is numbered, never the rows.
+    """
+    if isinstance(frames, int) and frames == -1:
+        return df
+    want = range(frames) if isinstance(frames, int) else frames
+    if want.step < 1:
+        raise ValueError("frames ascend")
+    axis = df.select(*order).distinct().withColumn("_at", F.row_number().over(Window.orderBy(*order)) - 1)
+    axis = axis.filter((F.col("_at") >= want.start) & (F.col("_at") < want.stop) & ((F.col("_at") - want.start) % want.step == 0))
+    return df.join(F.broadcast(axis.drop("_at")), order, "left_semi")  # a time axis
+
+
 def shuffled(df: DataFrame, keys: list[str], seed: int) -> DataFrame:
     """An order that only the keys and the seed decide."""
     return df.withColumn("order_key", F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))))

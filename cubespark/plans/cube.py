@@ -249,9 +249,12 @@ def f11(spark, sf_dir):
 
 @query("f12_frame_range", "SELECT lat_idx, lon_idx, strftime(date, '%Y-%m-%d') AS date, hour, round(v, 6) AS v FROM (SELECT *, dense_rank() OVER (ORDER BY date, hour) AS t FROM cell_hourly) WHERE t <= 48")
 def f12(spark, sf_dir):
-    hourly = a.cell_hourly(spark, sf_dir)
-    frames = hourly.select("date", "hour").distinct().orderBy("date", "hour").limit(48)
-    return hourly.join(F.broadcast(frames), ["date", "hour"], "left_semi").select(*CELL, day(), "hour", r("v"))
+    return reshape.frame_range(a.cell_hourly(spark, sf_dir), ["date", "hour"], 48).select(*CELL, day(), "hour", r("v"))
+
+
+@query("f12_frame_stride", "SELECT lat_idx, lon_idx, strftime(date, '%Y-%m-%d') AS date, hour, round(v, 6) AS v FROM (SELECT *, dense_rank() OVER (ORDER BY date, hour) - 1 AS t FROM cell_hourly) WHERE t >= 24 AND t < 600 AND (t - 24) % 6 = 0")
+def f12_stride(spark, sf_dir):
+    return reshape.frame_range(a.cell_hourly(spark, sf_dir), ["date", "hour"], range(24, 600, 6)).select(*CELL, day(), "hour", r("v"))
 
 
 @query("f13_finite", "SELECT sample, step, target FROM pred_obs WHERE target IS NOT NULL AND isfinite(target)")
