@@ -343,6 +343,26 @@ def test_schedule(spark, sources):
     assert len(inside) == ends[0][0]
 
 
+@pytest.mark.parametrize("sources", [3, 40, 300])
+def test_every_source_keeps_within_a_block_of_its_target(spark, sources):
+    """From the places of documents alone: rows of a source so far against its share of all rows so far, after every slot."""
+    rng = random.Random(sources)
+    rows = [(f"s{s}",) for s in range(sources) for _ in range(rng.choice([5, 20, 60, 400 if sources < 100 else 30]))]
+    df = spark.createDataFrame([(i, s) for i, (s,) in enumerate(rows)], "doc_id bigint, source string")
+    got = mixing.mix(df).select("source", "slot", "within_target").distinct().collect()
+    weight = {s: n**0.7 for s, n in Counter(s for (s,) in rows).items()}
+    total, names = sum(weight.values()), sorted(weight)
+    plan = {r["slot"]: r["source"] for r in got}
+    assert sorted(plan) == list(range(len(plan))) and len(got) == len(plan)
+    horizon = sum(r["within_target"] for r in got)
+    assert horizon > 0
+    share = np.array([weight[n] / total for n in names])
+    taken = np.zeros((horizon, len(names)))
+    taken[np.arange(horizon), [names.index(plan[t]) for t in range(horizon)]] = 1
+    lag = taken.cumsum(axis=0) - share * np.arange(1, horizon + 1)[:, None]
+    assert np.abs(lag * 2).max() < 8  # a slot takes 2 rows, a block has 8
+
+
 def test_op9_places_every_document_once(spark, docs):
     got = queries.op9_mixing(spark, SF).collect()
     assert sorted(r["doc_id"] for r in got) == sorted(r["doc_id"] for r in docs)

@@ -49,6 +49,16 @@ def test_token_counts(spark):
         assert r["n_bytes"] == len((r["text"] or "").encode())
 
 
+def test_rare_characters_between_and_beside_pieces():
+    word, byte, lib, blib = bpe.WordBpe(WORDS), bpe.TextBpe(BYTES), Tokenizer.from_file(WORDS), Tokenizer.from_file(BYTES)
+    rng = random.Random(11)
+    parts = ["\u07fd", "\u0898", "\ua7ce", "\u1c89", "\U0001e130", "\U000107bb", "\U00010d50", "\U00016ea0", "\U00011938", "\U00011930", "🙂", "👩‍🔬", "𝒜", "𐐀", "e\u0301", "\u0301", "a", "Σ", "ß", "1", "²", "'s", "!", " ", "  ", "\n", "\u3000", "\x1c", "\x85", "the ", " dog", "<|"]
+    for _ in range(3000):
+        text = "".join(rng.choices(parts, k=rng.randrange(1, 14)))
+        assert list(struct.unpack(f"<{len(word.encode(text)) // 4}I", word.encode(text))) == lib.encode(text, add_special_tokens=False).ids, ascii(text)
+        assert byte.count(text) == len(blib.encode(text, add_special_tokens=False).ids), ascii(text)
+
+
 def test_whole_tokens_encode_alone():
     lib, mine = Tokenizer.from_file(BYTES), bpe.TextBpe(BYTES)
     some = random.Random(1).sample(sorted(mine.whole), 500)
@@ -346,6 +356,15 @@ def test_quality_edges(spark):
     assert quality_classifier.score(rows.limit(0), model).count() == 0
 
 
+def test_quality_of_repeated_rows_and_clashing_columns(spark):
+    docs, labels = labelled(spark)
+    model = quality_classifier.train(docs.union(docs.limit(7)), labels)
+    rows = spark.createDataFrame([(1, "a calm text", "x", 2), (1, "a calm text", "y", 3), (None, "a calm text", None, 4)], "doc_id bigint, text string, Score string, quality int")
+    got = quality_classifier.score(rows, model)
+    assert [c.lower() for c in got.columns].count("score") == 1 and {"doc_id", "text", "quality"} <= set(got.columns)
+    assert len({r["score"] for r in got.collect()}) == 1 and sorted(r["quality"] for r in got.collect()) == [2, 3, 4]
+
+
 def test_samples_are_bounded(spark):
     from cubespark.llm.sampling import first_of_each, labelled_sample
 
