@@ -1,13 +1,14 @@
 """Phrase collocations by direct-address tiling of frequency-ranked ids.
 
-Words of each language are ranked by frequency; the ``TABLE`` most frequent of all are numbered by their rank and known to
+Words of each language are ranked by frequency; the ``WORDS`` most frequent of all are numbered by their rank and known to
 every task. A task turns texts into numbers, and two neighbours into a pair of ranks. Pairs fall into tiles of ``SIDE`` x
 ``SIDE`` ranks: a tile that holds many pairs of a buffer (those of frequent words) is counted in a dense array by bincount,
 the others together as sorted coordinates. Partial counts are added up by Spark. Frequent pairs are ranked again, and a pair
 with the word behind it is a pair of ranks once more: so phrases of three words (and more, for larger ``longest``) are
-counted in the same way. Frequent phrases that a table of that size can't hold, and all that are built on them, are
-counted by their text instead: exact too, only slower. A phrase is looked at only if both its parts without the last and
-without the first word may be frequent, as a rarer part can't make a frequent phrase.
+counted in the same way. A phrase is looked at only if both its parts, without the last and without the first word, are
+frequent, as a rarer part can't make a frequent phrase. Tables of ranks have a fixed size. Frequent words and phrases beyond
+them are marked in a bit filter of fixed size (two bits each): what it doesn't know is surely rare; phrases built on what
+it may know are counted by their text instead of by ranks. That is exact too, only slower.
 
 A phrase of k words can be cut after its first 1 to k - 1 words; with a = f(phrase), l and r the counts of both parts, the
 score of a cut is floor(10^6 a a / (l r)), in decimals of 38 digits. The cut with the least score counts, the shortest first
@@ -31,22 +32,24 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import no_collection, slices, small, written
+from .neardup import mixed
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 UNKNOWN = "und"
 LEAST, LONGEST, COVER, TOP = 10, 3, 50, 2000
-#: Entries of a table of ranked words or phrases, over all languages.
-TABLE = 1 << 18
+#: Entries of the tables of ranked words and of ranked phrases of one length, over all languages, and bits of a filter.
+WORDS, PHRASES, FILTER_BITS = 1 << 18, 1 << 20, 1 << 27
 #: Ranks along a side of a tile, and pairs of a buffer from which a tile is counted densely.
 SIDE, DENSE = 1024, 1 << 16
 #: Pairs, or different words or phrases, that a task holds before it counts them or hands them on.
-BUFFER, TEXTS = 1 << 21, 1 << 18
+BUFFER, TEXTS = 1 << 20, 1 << 17
 PARTS, BATCH = 16, 1 << 16
 SHIFT = 32
 END = b"\n"
@@ -67,13 +70,12 @@ def tokens(text: str | None) -> list[bytes]:
 class Ranks:
     """Frequent words and phrases of one language by rank, at most frequent first.
 
-    levels[0] numbers words; levels[k] are sorted pairs (rank one level below << SHIFT | rank of the last word) with their
-    ranks, and ``pairs[k]`` the pairs by rank. ``whole[k]``: all frequent phrases of that level have a rank.
+    ``words`` numbers words, ``texts`` has them by rank. For phrases of two words, three and so on, ``sorted`` holds sorted
+    pairs (rank one level below << SHIFT | rank of the last word) with their ranks, and ``pairs`` the pairs by rank.
     """
 
     words: dict[bytes, int]
     texts: pa.Array
-    whole: list[bool]
     sorted: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     pairs: list[np.ndarray] = field(default_factory=list)
 
@@ -91,18 +93,19 @@ def tiled(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(pairs, counts) of pairs of ranks: dense arrays for full tiles, sorted coordinates for all others."""
     if not len(left):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    tile = (left // SIDE << SHIFT) | (right // SIDE)
-    tiles, where, n = np.unique(tile, return_inverse=True, return_counts=True)
+    width = int(right.max()) // SIDE + 1
+    tile = left // SIDE * width + right // SIDE
+    full = np.bincount(tile) >= DENSE
+    dense = full[tile]
     pair = (left << SHIFT) | right
-    full = n >= DENSE
     found = []
-    for t in np.flatnonzero(full):
-        own = where == t
-        i, j = int(tiles[t] >> SHIFT) * SIDE, int(tiles[t] & ((1 << SHIFT) - 1)) * SIDE
+    for t in np.flatnonzero(full).tolist():
+        own = tile == t
+        i, j = t // width * SIDE, t % width * SIDE
         cells = np.bincount((left[own] - i) * SIDE + (right[own] - j), minlength=SIDE * SIDE)
         at = np.flatnonzero(cells)
         found.append(((at // SIDE + i << SHIFT) | (at % SIDE + j), cells[at]))
-    found.append(np.unique(pair[~full[where]], return_counts=True))
+    found.append(np.unique(pair[~dense], return_counts=True))
     return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
 
@@ -163,51 +166,98 @@ def word_counts(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, SCHEMA).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
-def _ranked(rows: DataFrame, size: int) -> tuple[pd.DataFrame, bool]:
-    """The most frequent rows, as many as fit, and whether these are all.
+def _ranked(rows: DataFrame, size: int) -> tuple[pd.DataFrame, DataFrame | None]:
+    """The most frequent rows, as many as fit, and the others (None if there are none).
 
     Where not all fit, the limit comes from a histogram in steps of a 32nd of a power of two, so that no task sorts all rows.
     """
-    total = rows.count()
-    if total > size:
-        steps = rows.groupBy(F.floor(F.log2("n") * 32).alias("s")).agg(F.count("*").alias("c")).collect()  # some 2000 rows at most
-        limit, held = None, 0
-        for s, c in sorted(steps, reverse=True):
+    rest = None
+    if rows.count() > size:
+        step = F.floor(F.log2("n") * 32)
+        limit, held = 1 << 30, 0
+        for s, c in sorted(rows.groupBy(step.alias("s")).agg(F.count("*").alias("c")).collect(), reverse=True):  # some 2000 rows at most
             held += c
             if held > size:
                 break
             limit = s
-        rows = rows.filter(F.floor(F.log2("n") * 32) >= limit) if limit is not None else rows.limit(0)
-    found = rows.toArrow().to_pandas()  # at most ``size`` rows
-    return found, len(found) == total
+        rows, rest = rows.filter(step >= limit), rows.filter(step < limit)
+    return rows.toArrow().to_pandas(), rest  # at most ``size`` rows
 
 
-def _pairs(df: DataFrame, ranks: dict[str, Ranks], known: list[bool], length: int) -> DataFrame:
-    """(lang, pair or phrase, n) of phrases of ``length`` words that may be frequent; pairs of ranks where there are some."""
-    model = df.sparkSession.sparkContext.broadcast(ranks)
+def _text_hash(lang: str, text: bytes) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(lang.encode() + b"\0" + text)], np.uint64)
 
-    def numbers(own: Ranks | None, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(id of each word, rank of the phrase of length - 1 words that starts there): -1 unranked, -2 over an end."""
+
+def _pair_hashes(lang: str, pairs: np.ndarray) -> np.ndarray:
+    return mixed(pairs.astype(np.uint64) ^ np.uint64(xxhash.xxh64_intdigest(lang.encode())))
+
+
+def _bits(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    size = np.uint64(FILTER_BITS - 1)
+    return (hashes & size).astype(np.int64), ((hashes >> np.uint64(32)) & size).astype(np.int64)
+
+
+def _hit(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    a, b = _bits(hashes)
+    return ((bits[a >> 6] >> (a & 63).astype(np.uint64)) & (bits[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+
+
+def _filter(rows: DataFrame | None) -> np.ndarray | None:
+    """A bit filter of (lang, pair or phrase): FILTER_BITS bits, whatever the number of rows."""
+    if rows is None or rows.isEmpty():
+        return None
+
+    def run(batches):
+        own = np.zeros(FILTER_BITS >> 6, np.uint64)
+        for batch in batches:
+            for lang, pair, phrase in zip(*(batch.column(c).to_pylist() for c in ("lang", "pair", "phrase")), strict=True):
+                for (at,) in _bits(_text_hash(lang, phrase.encode()) if pair is None else _pair_hashes(lang, np.array([pair]))):
+                    own[at >> 6] |= np.uint64(1) << np.uint64(at & 63)
+        some = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(own[some].view(np.int64))], names=["at", "bits"])
+
+    found = written(rows.select("lang", "pair", "phrase").mapInArrow(run, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")), "filter").toArrow()
+    out = np.zeros(FILTER_BITS >> 6, np.uint64)
+    out[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _counted(df: DataFrame, ranks: dict[str, Ranks], filters: list[np.ndarray | None], length: int) -> DataFrame:
+    """(lang, pair or phrase, n) of phrases of ``length`` words that may be frequent; pairs of ranks where both parts have one."""
+    model = df.sparkSession.sparkContext.broadcast((ranks, filters))
+
+    def numbers(own: Ranks | None, filters: list, lang: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(rank of each word, rank of the phrase of length - 1 words that starts there): -1 rare, -2 over an end, -3 unranked."""
         lookup = own.words if own else {END: -2}
         ids = np.fromiter((lookup.get(w, -1) for w in words), np.int64, len(words))
+        if filters[0] is not None:
+            for t in np.flatnonzero(ids == -1).tolist():
+                if _hit(filters[0], _text_hash(lang, words[t]))[0]:
+                    ids[t] = -3
         at = ids
         for k in range(1, length - 1):
             if len(at) < 2:
                 return ids, at[:0]
             left, last = at[:-1], ids[k:]
-            ended = (left == -2) | (last == -2)
-            pairs = np.where((left < 0) | (last < 0), -1, (left << SHIFT) | last)
+            ended, ranked = (left == -2) | (last == -2), (left >= 0) & (last >= 0)
+            pairs = np.where(ranked, (left << SHIFT) | last, -1)
             found = np.full(len(pairs), -1)
-            if own and len(own.sorted) >= k and len(own.sorted[k - 1][0]):
+            if own and len(own.sorted[k - 1][0]):
                 keys, rank = own.sorted[k - 1]
                 place = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
-                found = np.where((keys[place] == pairs) & (pairs >= 0), rank[place], -1)
+                found = np.where((keys[place] == pairs) & ranked, rank[place], -1)
+            if filters[k] is not None:
+                beyond = np.flatnonzero(ranked & (found == -1))
+                found[beyond[_hit(filters[k], _pair_hashes(lang, pairs[beyond]))]] = -3
+                for t in np.flatnonzero(~ended & ~ranked & (left != -1) & (last != -1)).tolist():
+                    if _hit(filters[k], _text_hash(lang, b" ".join(words[t : t + k + 1])))[0]:
+                        found[t] = -3
             at = np.where(ended, -2, found)
         return ids, at
 
     def run(batches):
         with no_collection():
-            ranks, held = model.value, Texts()
+            (ranks, filters), held = model.value, Texts()
             lists: dict[str, list] = {}
             size = 0
 
@@ -218,9 +268,9 @@ def _pairs(df: DataFrame, ranks: dict[str, Ranks], known: list[bool], length: in
 
             for lang, words in _by_language(batches):
                 own = ranks.get(lang)
-                if own is None and all(known):
+                if own is None and all(f is None for f in filters):
                     continue  # no frequent word
-                ids, at = numbers(own, words)
+                ids, at = numbers(own, filters, lang, words)
                 if len(at) < 2:
                     continue
                 left, right, last = at[:-1], at[1:], ids[length - 1 :]
@@ -228,10 +278,9 @@ def _pairs(df: DataFrame, ranks: dict[str, Ranks], known: list[bool], length: in
                 if fine.any():
                     lists.setdefault(lang, []).append((left[fine], last[fine]))
                     size += int(fine.sum())
-                if not all(known):
-                    for t in np.flatnonzero(~fine & (left != -2) & (right != -2)).tolist():
-                        # Without a rank, a phrase may still be frequent where tables can't hold all.
-                        yield from held.add(lang, [b" ".join(words[t : t + length])])
+                rest = np.flatnonzero(~fine & (left != -1) & (left != -2) & (right != -1) & (right != -2))
+                if len(rest):
+                    yield from held.add(lang, [b" ".join(words[t : t + length]) for t in rest.tolist()])
                 if size >= BUFFER:
                     yield from count()
                     lists, size = {}, 0
@@ -263,27 +312,28 @@ def _texts(rows: DataFrame, ranks: dict[str, Ranks]) -> DataFrame:
     return rows.mapInArrow(run, SCHEMA)
 
 
-def frequent(df: DataFrame, least: int = LEAST, longest: int = LONGEST, table: int = TABLE) -> tuple[DataFrame, DataFrame]:
+def frequent(df: DataFrame, least: int = LEAST, longest: int = LONGEST, tables: tuple[int, int] = (WORDS, PHRASES)) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, k, n) of all phrases of 1 to ``longest`` words with n >= least, (lang, n) with all words of each language)."""
     counts = word_counts(df)
     counts = written(counts.filter(F.col("phrase").isNull() | (F.col("n") >= least)), "words")
     totals = counts.filter(F.col("phrase").isNull()).select("lang", "n")
-    level = counts.filter(F.col("phrase").isNotNull())
+    level = counts.filter(F.col("phrase").isNotNull()).select("lang", F.lit(None).cast("bigint").alias("pair"), "phrase", "n")
     out = level.select("lang", "phrase", F.lit(1).alias("k"), "n")
-    found, whole = _ranked(level, table)
-    known = [whole]
+    found, rest = _ranked(level, tables[0])
+    filters = [_filter(rest)]
     ranks: dict[str, Ranks] = {}
     for lang, own in found.sort_values(["n", "phrase"], ascending=[False, True]).groupby("lang"):
         words = own["phrase"].tolist()
-        ranks[lang] = Ranks({w.encode(): i for i, w in enumerate(words)} | {END: -2}, pa.array(words, pa.string()), [whole])
+        ranks[lang] = Ranks({w.encode(): i for i, w in enumerate(words)} | {END: -2}, pa.array(words, pa.string()))
     for k in range(2, longest + 1):
-        level = _pairs(df, ranks, known, k).filter(F.col("n") >= least)
+        level = _counted(df, ranks, filters, k).filter(F.col("n") >= least)
         level = written(_texts(level, ranks), "phrases")
         out = out.union(level.select("lang", "phrase", F.lit(k).alias("k"), "n"))
         if k < longest:
-            found, whole = _ranked(level.filter(F.col("pair").isNotNull()).select("lang", "pair", "n"), table)
-            # Phrases known by their text alone have no rank.
-            known.append(whole and level.filter(F.col("pair").isNull()).isEmpty())
+            found, rest = _ranked(level.filter(F.col("pair").isNotNull()).select("lang", "pair", F.lit(None).cast("string").alias("phrase"), "n"), tables[1])
+            # Phrases that are known by their text alone have no rank.
+            texts = level.filter(F.col("pair").isNull()).select("lang", "pair", "phrase", "n")
+            filters.append(_filter(texts if rest is None else rest.union(texts)))
             some = dict(iter(found.sort_values(["n", "pair"], ascending=[False, True]).groupby("lang")))
             for lang, own in ranks.items():
                 pairs = some[lang]["pair"].to_numpy(np.int64) if lang in some else np.zeros(0, np.int64)
@@ -293,10 +343,10 @@ def frequent(df: DataFrame, least: int = LEAST, longest: int = LONGEST, table: i
     return out, totals
 
 
-def collocations(df: DataFrame, least: int = LEAST, longest: int = LONGEST, cover: int = COVER, top: int = TOP, lang: str = "lang", text: str = "text", table: int = TABLE) -> DataFrame:
+def collocations(df: DataFrame, least: int = LEAST, longest: int = LONGEST, cover: int = COVER, top: int = TOP, lang: str = "lang", text: str = "text", tables: tuple[int, int] = (WORDS, PHRASES)) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the first ``top`` phrases of each language."""
     slim = df.select(F.coalesce(F.col(lang), F.lit(UNKNOWN)).alias("lang"), F.col(text).alias("text"))
-    counted, totals = frequent(slim, least, longest, table)
+    counted, totals = frequent(slim, least, longest, tables)
     every = written(counted, "frequent")
     parts = F.split("phrase", " ")
     many = every.filter("k > 1").select("lang", "phrase", "k", F.col("n").alias("a"), parts.alias("w"))
