@@ -30,7 +30,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_ROWS, hot_keys, no_collection, per_worker, salted_join, slices, small, with_python_columns, written
+from .common import BROADCAST_KEYS, HOT_ROWS, hot_keys, no_collection, per_worker, salted_join, slices, small, with_python_columns, written
 from .neardup import IN_BLOCK, WordHashes, components, in_blocks, linked, mixed, named, same_id, shingle_set, shingles, with_both
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -98,16 +98,15 @@ def prefixes(df: DataFrame, words: int, percent: int, counts: np.ndarray) -> Dat
 
 
 def _classes(sk: DataFrame) -> DataFrame:
-    """One row for each distinct set: its number ``cid``, digest, size, prefixes, number of documents, smallest id and a row with its text."""
+    """One narrow row for each distinct set: its number ``cid``, digest, number of documents, smallest id and a row with its text."""
     some = sk.filter(F.col("digest").isNotNull() & F.col("id").isNotNull())
-    kept = F.struct("n_shingles", "one", "two", "three")
-    of = some.groupBy("digest").agg(F.min_by(kept, F.struct("id", "mark")).alias("r"), F.min(F.struct("id", "mark")).alias("at"), F.count("*").alias("n"))
-    return written(of.select(F.monotonically_increasing_id().alias("cid"), "digest", "n", "at.id", "at.mark", "r.*"), "classes")
+    first = some.groupBy("digest").agg(F.min(F.struct("id", "mark", "cid")).alias("at"), F.count("*").alias("n"))
+    return written(first.select("at.cid", "digest", "n", "at.id", "at.mark"), "classes")
 
 
-def _checked(pairs: DataFrame, reps: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _checked(pairs: DataFrame, wide: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of the written, distinct pairs (a, b) that are linked: sizes, then both other orders, then full sets."""
-    side = lambda x: reps.select(F.col("cid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n_shingles", "two", "three")])
+    side = lambda x: wide.select(F.col("cid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n_shingles", "two", "three")])
     both = with_both(pairs, side).filter(100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b"))
     likely = written(both.filter(F.arrays_overlap("two_a", "two_b") & F.arrays_overlap("three_a", "three_b")).select("a", "b"), "likely")
     full = with_both(likely, lambda x: texts.select(F.col("cid").alias(x), F.col("text").alias(f"t{x}")))
@@ -146,10 +145,10 @@ def _near_sizes(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum.outer(a, b) >= percent * np.maximum.outer(a, b)
 
 
-def _blocks(rows: DataFrame, reps: DataFrame) -> DataFrame:
+def _blocks(rows: DataFrame, wide: DataFrame) -> DataFrame:
     """Blocks of large buckets with sizes and the prefixes of the other orders."""
     blocks = written(in_blocks(rows, BLOCK), "blocks")
-    return salted_join(blocks, reps.select("cid", "n_shingles", "two", "three"), "cid", "y", hot_keys(blocks, "cid"))
+    return salted_join(blocks, wide, "cid", "y", hot_keys(blocks, "cid"))
 
 
 def _block_links(blocks: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -193,35 +192,39 @@ def _block_links(blocks: DataFrame, texts: DataFrame, words: int, percent: int)
 def jaccard_components(df: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row; kept marks the smallest id of each component."""
     slim = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
-    sk = written(prefixes(slim, words, percent, slot_counts(slim, words)).drop("text"), "prefixes")
+    sk = written(prefixes(slim, words, percent, slot_counts(slim, words)).drop("text").withColumn("cid", F.monotonically_increasing_id()), "prefixes")
     reps = _classes(sk)
-    buckets = reps.select("cid", "id", F.explode("one").alias("token"))
+    kept = sk.join(small(reps.select("cid")), "cid", "left_semi")
+    # Hardly any shingle of a prefix stands in several sets: these are found by themselves, then their members.
+    often = written(kept.select(F.explode("one").alias("token")).groupBy("token").agg(F.count("*").alias("m")).filter("m > 1"), "tokens")
+    hot = small(written(often.filter(F.col("m") > HOT_ROWS).select("token", F.ceil(F.col("m") / HOT_ROWS).alias("_parts")), "hot"))
+    buckets = kept.select("cid", "id", F.explode("one").alias("token"))
+    multi = written(buckets.join(F.broadcast(often), "token") if often.count() <= BROADCAST_KEYS else salted_join(buckets, often, "token", "cid", hot), "members")
     # The first document of a bucket: copies are more like what they were made from than like each other.
-    centres = buckets.groupBy("token").agg(F.count("*").alias("m"), F.min_by("cid", "id").alias("centre")).filter("m > 1")
-    centres = written(centres, "centres")
-    hot = small(written(centres.filter(F.col("m") > HOT_ROWS).select("token", F.ceil(F.col("m") / HOT_ROWS).alias("_parts")), "hot"))
-    multi = written(salted_join(buckets.drop("id"), centres, "token", "cid", hot), "buckets")
+    centres = written(multi.groupBy("token").agg(F.min_by("cid", "id").alias("centre")), "centres")
+    multi = written(salted_join(multi.drop("id"), centres, "token", "cid", hot), "buckets")
     found = written(multi.select("cid").distinct().join(reps.select("cid", "id", "mark"), "cid"), "candidates")
+    wide = written(sk.select("cid", "n_shingles", "two", "three").join(small(found.select("cid")), "cid", "left_semi"), "candidate-prefixes")
     ids = sk.filter(F.col("id").isNotNull()).groupBy("id").agg(F.count("*").alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high"))
     repeated = written(ids.filter("n > 1"), "repeated")
     texts = slim.join(small(found), ["id", "mark"]).select("cid", "text")
     texts = written(texts if repeated.isEmpty() else texts.groupBy("cid").agg(F.min("text").alias("text")), "texts")
     pairs = multi.filter("cid <> centre").select(F.least("centre", "cid").alias("a"), F.greatest("centre", "cid").alias("b"))
     tried = written(pairs.distinct(), "pairs")
-    links = written(_checked(tried, reps, texts, words, percent).union(same_id(sk, reps, repeated)), "links")
+    links = written(_checked(tried, wide, texts, words, percent).union(same_id(sk, reps, repeated)), "links")
     labels = components(links)
     # Buckets of several components.
     at = multi.select("token", "m", "cid").join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     at = written(at, "named-buckets")
     split = at.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token")
     opened = written(salted_join(at, split, "token", "cid", hot), "open")
-    sized = opened.filter(F.col("m") <= SMALL).join(reps.select("cid", "n_shingles"), "cid")
+    sized = opened.filter(F.col("m") <= SMALL).join(wide.select("cid", "n_shingles"), "cid")
     one, two = (sized.select("token", F.col("cid").alias(x), F.col("comp").alias(f"c{x}"), F.col("n_shingles").alias(f"n{x}")) for x in "ab")
     near = one.join(two, "token").filter(f"a < b AND ca <> cb AND 100 * least(na, nb) >= {percent} * greatest(na, nb)")
     near = written(near.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-    more = _checked(near, reps, texts, words, percent)
+    more = _checked(near, wide, texts, words, percent)
     large = opened.filter(F.col("m") > SMALL).withColumnRenamed("token", "key")
     if not large.isEmpty():
-        more = more.union(_block_links(_blocks(large, reps), texts, words, percent))
+        more = more.union(_block_links(_blocks(large, wide), texts, words, percent))
     more = written(more.distinct(), "links")
     return named(sk, reps, labels if more.isEmpty() else components(links.union(more)))

@@ -161,14 +161,14 @@ def test_op13_brute_force(spark):
 
 @pytest.mark.parametrize("table,longest", [(1 << 18, 4), (5, 4), (12, 3), (1, 2)])
 def test_phrases_beyond_the_tables_count_too(spark, monkeypatch, table, longest):
-    for name, value in (("SIDE", 4), ("DENSE", 3), ("BUFFER", 40), ("TEXTS", 30), ("BATCH", 7)):
+    for name, value in (("SIDE", 4), ("DENSE", 3), ("BUFFER", 40), ("TEXTS", 30), ("BATCH", 7), ("FILTER_BITS", 128)):
         monkeypatch.setattr(collocations, name, value)
     rng = random.Random(table)
     words = ["the", "The", "of", "é", "ﬁn", "a", "b", "c", "d", "e\tf", "g;h", "", "x,y", "z\x1c"]
     rows = [(rng.choice(["en", "en", None, "fr"]), rng.choice([" ", "\t", "\n", "  ", ". "]).join(rng.choices(words, weights=range(14, 0, -1), k=rng.randrange(30)))) for _ in range(80)]
     rows += [("en", None), (None, ""), ("de", "one two"), ("und", "the of")]
     df = spark.createDataFrame(rows, "lang string, text string").withColumn("phrase", F.lit(1)).repartition(3)
-    assert mined(df, least=2, longest=longest, cover=60, top=25, table=table) == brute_collocations(rows, 2, longest, 60, 25)
+    assert mined(df, least=2, longest=longest, cover=60, top=25, tables=(table, table)) == brute_collocations(rows, 2, longest, 60, 25)
 
 
 def test_collocation_edges(spark):
