@@ -5,6 +5,8 @@ total order of all shingles. Three orders are used. The first is by rarity: ``SL
 all documents fall into each slot of the hash; slots are ranked by count, so what is common in the corpus comes last (any
 order is right, so counters may mix rare shingles). The other two are hash orders of their own. The first order's prefixes
 propose candidates by joins; a candidate must share prefix shingles under both other orders too, then full sets decide.
+Before texts move, a bitmap of each full set, about a bit for each shingle, rules pairs out: a bit is the parity of the
+shingles that fall on it, so the bits in which two sets differ are at most as many as the shingles that only one of them has.
 
 No group is expanded into pairs. Equal sets are one class first. In each bucket (a prefix shingle) members are compared with
 the first document there, and links give components. Only buckets that still hold several components go on: small ones
@@ -27,7 +29,7 @@ import sys
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_KEYS, HOT_ROWS, hot_keys, no_collection, per_worker, salted_join, slices, small, with_python_columns, written
@@ -50,6 +52,23 @@ def first(keys: np.ndarray, k: int) -> np.ndarray:
     return np.sort(np.partition(keys, k - 1)[:k] if k < len(keys) else keys)
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """The bitmap of a set as 64-bit words: a power of two of bits, at least one for each shingle, each the parity of those that fall on it."""
+    bits = max(64, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((mixed(s) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def may_link(percent: int) -> Column:
+    """Whether sets (n_shingles_a, bits_a) and (n_shingles_b, bits_b) may be linked by their bitmaps; never false for linked ones."""
+    size = F.least(F.size("bits_a"), F.size("bits_b"))
+    # The longer bitmap, folded once, is that of the shorter size.
+    half = lambda c: F.when(F.size(c) == size, F.col(c)).otherwise(F.zip_with(F.slice(c, F.lit(1), size), F.slice(c, size + 1, size), lambda x, y: x.bitwiseXOR(y)))
+    differ = F.aggregate(F.zip_with(half("bits_a"), half("bits_b"), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("bigint")), F.lit(0).cast("bigint"), lambda x, y: x + y)
+    unlike = differ * (100 + percent) > (F.col("n_shingles_a") + F.col("n_shingles_b")) * (100 - percent)
+    return (F.greatest(F.size("bits_a"), F.size("bits_b")) > 2 * size) | ~unlike
+
+
 def slot_counts(df: DataFrame, words: int) -> np.ndarray:
     """How many shingles of all texts fall into each slot of the hash: an array of fixed size, added up by Spark."""
 
@@ -73,7 +92,7 @@ def slot_counts(df: DataFrame, words: int) -> np.ndarray:
 
 
 def prefixes(df: DataFrame, words: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """Add ``n_shingles``, ``digest`` of the set, and its first shingles by rarity (``one``) and two hash orders (``two``, ``three``)."""
+    """Add ``n_shingles``, ``digest`` and bitmap (``bits``) of the set, and its first shingles by rarity (``one``) and two hash orders (``two``, ``three``)."""
     rank = np.zeros(1 << SLOT_BITS, np.uint64)
     rank[np.argsort(counts, kind="stable")] = np.arange(1 << SLOT_BITS, dtype=np.uint64)
     ranks = df.sparkSession.sparkContext.broadcast(rank.astype(np.uint32))
@@ -84,16 +103,16 @@ def prefixes(df: DataFrame, words: int, percent: int, counts: np.ndarray) -> Dat
         def one(text):
             s = shingle_set(text, words, hashes)
             if not len(s):
-                return 0, None, None, None, None
+                return 0, None, None, None, None, None
             k = prefix_length(len(s), percent)
             # A bijection of the hash: the rank of its slot, then the rest.
             rare = (rank[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(64 - SLOT_BITS)) | (s & low)
             two, three = ((first(mixed(s ^ np.uint64(salt)), k) >> np.uint64(33)).astype(np.int32) for salt in SALTS)
-            return len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), first(rare, k).view(np.int64), two, three
+            return len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), parities(s), first(rare, k).view(np.int64), two, three
 
         return lambda texts: zip(*map(one, texts), strict=True)
 
-    kinds = {"n_shingles": "bigint", "digest": "binary", "one": "array<bigint>", "two": "array<int>", "three": "array<int>"}
+    kinds = {"n_shingles": "bigint", "digest": "binary", "bits": "array<bigint>", "one": "array<bigint>", "two": "array<int>", "three": "array<int>"}
     return with_python_columns(df, ["text"], kinds, make)
 
 
@@ -105,9 +124,11 @@ def _classes(sk: DataFrame) -> DataFrame:
 
 
 def _checked(pairs: DataFrame, wide: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of the written, distinct pairs (a, b) that are linked: sizes, then both other orders, then full sets."""
-    side = lambda x: wide.select(F.col("cid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n_shingles", "two", "three")])
-    both = with_both(pairs, side).filter(100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b"))
+    """Those of the written, distinct pairs (a, b) that are linked: sizes and bitmaps, then both other orders, then full sets."""
+    side = lambda *some: lambda x: wide.select(F.col("cid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in some])
+    sized = with_both(pairs, side("n_shingles", "bits")).filter(100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b"))
+    able = written(sized.filter(may_link(percent)).select("a", "b"), "able")
+    both = with_both(able, side("two", "three"))
     likely = written(both.filter(F.arrays_overlap("two_a", "two_b") & F.arrays_overlap("three_a", "three_b")).select("a", "b"), "likely")
     full = with_both(likely, lambda x: texts.select(F.col("cid").alias(x), F.col("text").alias(f"t{x}")))
 
@@ -148,7 +169,7 @@ def _near_sizes(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 def _blocks(rows: DataFrame, wide: DataFrame) -> DataFrame:
     """Blocks of large buckets with sizes and the prefixes of the other orders."""
     blocks = written(in_blocks(rows, BLOCK), "blocks")
-    return salted_join(blocks, wide, "cid", "y", hot_keys(blocks, "cid"))
+    return salted_join(blocks, wide.drop("bits"), "cid", "y", hot_keys(blocks, "cid"))
 
 
 def _block_links(blocks: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -204,7 +225,7 @@ def jaccard_components(df: DataFrame, words: int = 5, percent: int = 80, doc_id:
     centres = written(multi.groupBy("token").agg(F.min_by("cid", "id").alias("centre")), "centres")
     multi = written(salted_join(multi.drop("id"), centres, "token", "cid", hot), "buckets")
     found = written(multi.select("cid").distinct().join(reps.select("cid", "id", "mark"), "cid"), "candidates")
-    wide = written(sk.select("cid", "n_shingles", "two", "three").join(small(found.select("cid")), "cid", "left_semi"), "candidate-prefixes")
+    wide = written(sk.select("cid", "n_shingles", "bits", "two", "three").join(small(found.select("cid")), "cid", "left_semi"), "candidate-prefixes")
     ids = sk.filter(F.col("id").isNotNull()).groupBy("id").agg(F.count("*").alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high"))
     repeated = written(ids.filter("n > 1"), "repeated")
     texts = slim.join(small(found), ["id", "mark"]).select("cid", "text")

@@ -115,6 +115,25 @@ def test_prefixes_of_linked_sets_meet():
                     assert len(np.intersect1d(ngram_join.first(a, k), ngram_join.first(b, k)))
 
 
+def test_bitmaps_keep_all_links(spark):
+    rng = np.random.default_rng(11)
+    rows, differ = [], []
+    for n in (1, 2, 63, 64, 65, 128, 129, 600):
+        for cut in (0, 1, n // 20, n // 4, n // 2, n):
+            for more in (0, 1, n // 10, n):
+                pool = rng.integers(0, 1 << 63, 3 * n + 2, dtype=np.int64).view(np.uint64)
+                a, b = pool[:n], pool[cut : cut + n + more]
+                rows.append((len(rows), n, ngram_join.parities(a).tolist(), n + more, ngram_join.parities(b).tolist()))
+                both = len(np.intersect1d(a, b))
+                differ.append((both, 2 * n + more - both))
+    df = spark.createDataFrame(rows, "at int, n_shingles_a bigint, bits_a array<bigint>, n_shingles_b bigint, bits_b array<bigint>")
+    for percent in (50, 90, 100):
+        got = {r["at"]: r["may"] for r in df.select("at", ngram_join.may_link(percent).alias("may")).collect()}
+        links = {at for at, (both, union) in enumerate(differ) if 100 * both >= percent * union}
+        assert all(got[at] for at in links) and links
+        assert sum(map(bool, got.values())) < len(links) + len(rows) // 3
+
+
 def test_join_edges(spark):
     long = " ".join(f"v{i % 7919}" for i in range(60_000))
     rows = [(1, None), (2, ""), (3, " \n"), (4, "one"), (5, "ONE"), (6, "a b"), (7, "a  b"), (8, long), (9, long + " end"), (9, long + " end"), (None, "a b"), (10, "p q r s"), (10, "k l m n"), (11, "k l m n")]
