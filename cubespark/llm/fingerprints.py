@@ -102,7 +102,7 @@ def with_next(df: DataFrame, id_col: str, text: str, extra: dict[str, Column]) -
     # The smallest ids of n ranges: one array of at most n elements, in which each row finds its range by bisection.
     least = ids.repartitionByRange(n, "id").groupBy(F.spark_partition_id().alias("p")).agg(F.min("id").alias("least"))
     bounds = written(least.filter(F.col("least").isNotNull()).agg(F.sort_array(F.collect_set("least")).alias("bounds")), "bounds")
-    dealt = lambda rows: rows.crossJoin(F.broadcast(bounds)).withColumn("at", F.greatest(F.lit(0), count_upto(F.col("bounds"), F.col("id"), n) - 1)).drop("bounds")
+    dealt = lambda rows: rows.crossJoin(F.broadcast(bounds)).withColumn("at", F.greatest(F.lit(0), count_upto(F.col("bounds"), F.col("id")) - 1)).drop("bounds")
     firsts = dealt(ids).groupBy("at").agg(F.min(F.struct("id")).alias("f"))
     order = Window.orderBy("at")  # one row for each range
     first = F.first("f").over(order.rowsBetween(Window.unboundedPreceding, 0))

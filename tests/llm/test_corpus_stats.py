@@ -183,6 +183,16 @@ def test_next_edges(spark):
     assert {r["name"]: r["next_text"] for r in out.collect()} == {f"d{k}": v for k, v in got.items()}
 
 
+def test_next_over_many_ranges(spark):
+    """More rows than ranges, repeated ids, empty ranges: every row is followed by the next one by id."""
+    ids = [i * i for i in range(300)] + [49, 100, 100]
+    df = spark.createDataFrame([(d, f"t{d}-{i}") for i, d in enumerate(ids)], "doc_id bigint, text string")
+    rows = sorted((r["doc_id"], r["text"]) for r in df.collect())
+    after = {t: rows[(i + 1) % len(rows)][1] for i, (_, t) in enumerate(rows)}
+    got = fingerprints.with_next(df, "doc_id", "text", {"n": F.length}).collect()
+    assert len(got) == len(rows) and all(r["next_text"] == after[r["text"]] and r["next_n"] == len(r["next_text"]) for r in got)
+
+
 def brute_counts(text):
     words = WORD.findall(text or "")
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]
