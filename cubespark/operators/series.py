@@ -17,8 +17,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Central differences step by this share of the larger of 1 and the value.
 STEP = 1e-4
-#: Numbers that a block of contexts may hold.
-BLOCK = 1 << 21
+#: Numbers that a block of contexts may hold; a few blocks of them fit a processor's cache.
+BLOCK = 1 << 17
 
 
 def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.Table]]:
@@ -108,14 +108,15 @@ def attribute_contexts(days: DataFrame, score: Callable, features: list[str], st
     daily means over the hours; ``attr_<static>``; ``delta``, the score less that of the base; ``hours``).
 
     Series are dealt by cell once and sorted; a task holds one cell's series and a block of contexts at a time, so a context
-    is never copied through a shuffle.
+    is never copied through a shuffle. Contexts of short series share a block: the score is called for a block, not for a cell.
     """
     names = [*features, *[f"{f}_base" for f in features], *statics, *[f"{s}_base" for s in statics]]
     wanted = F.lit(True) if target is None else F.coalesce(F.col(target), F.lit(False))
     there = F.col("date").isNotNull() & F.col("lat_idx").isNotNull() & F.col("lon_idx").isNotNull()
     rows = days.filter(there).select(*CELL, "date", wanted.alias("_target"), *names).repartition(*CELL).sortWithinPartitions(*CELL, "date")
 
-    def run(batches):
+    def contexts(batches):
+        """Keys, contexts and statics of the targets of one cell after the other, at most a block at a time."""
         for lat, lon, table in cells(batches):
             parts = [matrix(table.column(f)) for f in features]
             hours = max([1, *(p.shape[1] for p in parts)])
@@ -132,13 +133,27 @@ def attribute_contexts(days: DataFrame, score: Callable, features: list[str], st
             for begin in range(0, len(end), size):
                 some = end[begin : begin + size]
                 context = some[:, None] + np.arange(-k + 1, 1)
-                xs, x0s, ss, s0s = x[context], x0[context], s[some], s0[some]
-                ax, as_ = path_integral(score, gradient, xs, ss, x0s, s0s, n_steps)
-                delta = score(xs, ss) - score(x0s, s0s)
                 n = len(some)
-                columns = [pa.array([lat] * n, pa.int32()), pa.array([lon] * n, pa.int32()), pa.array(date[some].astype("datetime64[D]"))]
-                columns += [nested(ax[..., i].mean(axis=2)) for i in range(len(features))] + [pa.array(as_[:, i]) for i in range(len(statics))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(delta, pa.float64()), pa.array([hours] * n, pa.int32())], names=out)
+                yield size, hours, (np.full(n, lat, np.int32), np.full(n, lon, np.int32), date[some], x[context], x0[context], s[some], s0[some])
+
+    def attributed(hours, held):
+        lat, lon, date, xs, x0s, ss, s0s = (np.concatenate(c) for c in zip(*held, strict=True))
+        ax, as_ = path_integral(score, gradient, xs, ss, x0s, s0s, n_steps)
+        delta = score(xs, ss) - score(x0s, s0s)
+        columns = [pa.array(lat), pa.array(lon), pa.array(date.astype("datetime64[D]"))]
+        columns += [nested(ax[..., i].mean(axis=2)) for i in range(len(features))] + [pa.array(as_[:, i]) for i in range(len(statics))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(delta, pa.float64()), pa.array(np.full(len(date), hours, np.int32))], names=out)
+
+    def run(batches):
+        held, count, shape = [], 0, 0
+        for size, hours, part in contexts(batches):
+            if held and (hours != shape or count + len(part[2]) > size):
+                yield attributed(shape, held)
+                held, count = [], 0
+            held.append(part)
+            count, shape = count + len(part[2]), hours
+        if held:
+            yield attributed(shape, held)
 
     out = [*CELL, "time", *[f"attr_{f}" for f in features], *[f"attr_{s}" for s in statics], "delta", "hours"]
     kinds = ["int", "int", "date", *["array<double>"] * len(features), *["double"] * len(statics), "double", "int"]

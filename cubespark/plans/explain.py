@@ -44,14 +44,24 @@ def j6(spark, sf_dir):
 
 
 def decayed(rate: float, weights: list[float], static: float):
-    """A score that couples all days of a context: the square of a decayed sum of daily means, with a static beside it."""
+    """A score that couples all days of a context, the square of a decayed sum of daily means with a static beside it, and
+    its derivatives."""
 
-    def score(x, s):
+    def linear(x, s):
         k = x.shape[1]
         total = (x.mean(axis=2) * np.array(weights)).sum(axis=2) @ rate ** np.arange(k - 1, -1, -1.0)
-        return (total + static * s[:, 0]) ** 2
+        return total + static * s[:, 0]
+
+    def score(x, s):
+        return linear(x, s) ** 2
+
+    def gradient(x, s):
+        _, k, hours, _ = x.shape
+        outer = 2 * linear(x, s)
+        inner = rate ** np.arange(k - 1, -1, -1.0)[:, None, None] * np.array(weights) / hours
+        return outer[:, None, None, None] * np.broadcast_to(inner, x.shape[1:]), static * outer[:, None]
 
-    return score
+    return score, gradient
 
 
 def unsigned(name: str, digits: int):
@@ -76,7 +86,8 @@ def day_contexts(spark, sf_dir):
     found = inputs(spark, sf_dir).select(*CELL, "date", "a", "b").withColumn("target", F.lit(True))
     rows = with_size(every_day(found).join(found, [*CELL, "date"], "left"), spark, sf_dir)
     rows = rows.withColumns({"a_base": F.lit(0.51234567), "b_base": F.lit(1.01234567)})
-    return series.attribute_contexts(rows, decayed(0.5, [1.0, 0.3], 0.1), ["a", "b"], ["size"], 7, 8, target="target")
+    score, gradient = decayed(0.5, [1.0, 0.3], 0.1)
+    return series.attribute_contexts(rows, score, ["a", "b"], ["size"], 7, 8, gradient, target="target")
 
 
 # With a linear sum u inside the square, the integral for an element is its difference times its weight times u(x) + u(b).
@@ -110,7 +121,8 @@ def hour_contexts(spark, sf_dir):
     of = lambda values: F.transform(F.sequence(F.lit(0), F.lit(23)), values)
     rows = every_day(days).join(days, [*CELL, "date"], "left").withColumn("v", of(lambda h: F.element_at("_h", h))).drop("_h")
     rows = with_size(rows.withColumn("v_base", of(lambda h: F.lit(0.5))), spark, sf_dir)
-    return series.attribute_contexts(rows, decayed(0.7, [1.0], 0.2), ["v"], ["size"], 5, 8)
+    score, gradient = decayed(0.7, [1.0], 0.2)
+    return series.attribute_contexts(rows, score, ["v"], ["size"], 5, 8, gradient)
 
 
 HOURS = f"""WITH e AS (SELECT *, min(date) OVER () AS lo FROM cell_hourly), g AS (SELECT lat_idx, lon_idx, CAST(lo + CAST(i AS INTEGER) AS DATE) AS date FROM (SELECT DISTINCT lat_idx, lon_idx FROM e) CROSS JOIN (SELECT min(date) AS lo, unnest(range(0, max(date) - min(date) + 1)) AS i FROM e)),

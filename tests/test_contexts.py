@@ -5,8 +5,10 @@ from __future__ import annotations
 import datetime as dt
 import itertools
 import math
+import os
 import random
 import sys
+import tempfile
 from pathlib import Path
 
 import numpy as np
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 from cubespark.functions import grid
 from cubespark.operators import maps, masks, samples, season, series
+from cubespark.plans import explain
 from cubespark.sources import files
 from cubespark.streaming import streams
 
@@ -77,6 +80,29 @@ def test_a_block_is_a_part_of_a_series(spark, monkeypatch):
     assert series.attribute_contexts(df.limit(0), score, ["a", "b"], ["s"], 2, 4).count() == 0
 
 
+def test_short_series_share_a_block(spark, tmp_path):
+    rows = [(lat, 0, d, float(lat + d), 0.0, 1.0, 0.0) for lat in range(40) for d in range(3)]
+    df = spark.createDataFrame(days(rows), CUBE + "a double, a_base double, s double, s_base double")
+    at = str(tmp_path)
+
+    def counted(x, s):
+        tempfile.mkstemp(dir=at)
+        return score(x, s)
+
+    out = series.attribute_contexts(df, counted, ["a"], ["s"], 2, 4, gradient).collect()
+    want = series.attribute_contexts(df, score, ["a"], ["s"], 2, 4, gradient).collect()
+    assert len(out) == 80 and sorted(out) == sorted(want)
+    assert len(os.listdir(at)) <= 8  # two for each of at most four tasks
+
+
+def test_gradient_of_the_decayed_score():
+    score, gradient = explain.decayed(0.7, [1.0, 0.3], 0.2)
+    rng = np.random.default_rng(3)
+    x, s = rng.random((4, 5, 24, 2)), rng.random((4, 1))
+    for exact, near in zip(gradient(x, s), series.slopes(score, x, s), strict=True):
+        assert exact.shape == near.shape and np.allclose(exact, near, atol=1e-6)
+
+
 def test_full_samples(spark, tmp_path):
     hourly = spark.createDataFrame([(21, 3, DAY, 0, 4.0, 2.0), (21, 3, DAY, 23, None, 3.0), (21, 3, DAY + dt.timedelta(days=400), 1, 8.0, 0.0)], "lat_idx int, lon_idx int, date date, hour int, v double, tp double")
     daily = spark.createDataFrame([(21, 3, DAY, 5.0)], CUBE + "d double")
