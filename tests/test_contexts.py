@@ -211,6 +211,28 @@ def test_dense_squares_are_cut(spark, monkeypatch):
     assert got == want
 
 
+def test_points_of_one_place(spark, monkeypatch):
+    """Many points on few places, some on one: pairs and sums equal those of all pairs, z may be missing."""
+    monkeypatch.setattr(maps, "BUNDLE", 7)
+    monkeypatch.setattr(maps, "SQUARE", 20)
+    rng = random.Random(5)
+    places = [(rng.randrange(-6, 6) / 2, rng.randrange(-6, 6) / 2) for _ in range(12)]
+    points = [(i, *places[0 if i % 3 else rng.randrange(12)], None if i % 11 == 0 else 1e6 + rng.random()) for i in range(200)]
+    df = spark.createDataFrame([*points, (900, None, 1.0, 2.0)], "id bigint, lat double, lon double, z double")
+    pairs = [(a[0], b[0], math.dist(a[1:3], b[1:3]), None if None in (a[3], b[3]) else (a[3] - b[3]) ** 2) for a, b in itertools.combinations(points, 2)]
+    pairs = [p for p in pairs if p[2] <= 1.5]
+    got = maps.pairs_within(df, 1.5, digits=3).collect()
+    assert sorted((r["a"], r["b"], r["dist"]) for r in got) == sorted((a, b, round(d, 3)) for a, b, d, _ in pairs)
+    near = lambda x: None if x is None else round(x, 9)
+    assert {(r["a"], r["b"]): near(r["sq"]) for r in got} == {(a, b): near(sq) for a, b, _, sq in pairs}
+    lag = lambda d: max(math.ceil(d / 1.5 * 6), 1)
+    found = {r["lag"]: r for r in maps.empirical_variogram(df, 6, 1.5).collect()}
+    assert set(found) == {lag(p[2]) for p in pairs}
+    for k, r in found.items():
+        sq = [p[3] for p in pairs if lag(p[2]) == k]
+        assert r["pairs"] == len(sq) and math.isclose(r["gamma"], np.mean([x for x in sq if x is not None]) / 2, rel_tol=1e-6)
+
+
 def rolling(sizes, order, buffer):
     """Positions (chunk, number in chunk) dealt one by one."""
     queue, left, out = list(order), dict(sizes), []
