@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -175,7 +176,13 @@ SAMPLE = (
 )
 
 
-def full_samples(
+#: Members of a sample, in the order of SAMPLE.
+MEMBERS = ("f_hourly", "f_static", "f_hourly_bl", "f_static_bl", "t_hourly_ts", "t_hourly_msc", "t_hourly_ano", "t_daily_ts", "t_daily_msc", "t_daily_ano")
+#: Rows of a batch of the long form; no date or hour there.
+ROWS, NONE = 20_000, -(1 << 40)
+
+
+def _samples(
     hourly: DataFrame,
     daily: DataFrame | None,
     msc_hourly: DataFrame,
@@ -190,18 +197,9 @@ def full_samples(
     size: int = 20,
     precip_zero: bool = False,
     baseline: bool = True,
-) -> DataFrame:
-    """One row of schema SAMPLE for each cell with a row and each window: hourly features [day][hour][feature], statics,
-    the baselines of both, hourly and daily targets as series, seasonal cycle and anomaly, and coordinates.
-
-    hourly: (cell, date, hour, features and target_hourly); msc_hourly: (cell, doy, hour, ``<name>_msc``); daily, msc_daily
-    likewise without hours. Baselines are the seasonal cycle of each feature (0 for tp if ``precip_zero``) and the mean of each
-    static. ``stats`` maps variables to (mean, standard deviation); all is scaled, anomalies by the deviation alone. Days run
-    from the start of the context to the end of the window. What is missing is null; members that aren't asked for are null. A cell with statics or
-    seasonal cycles only gives samples too (null series). Of rows that repeat a step of a cell, one counts.
-
-    All tables are dealt by cell together, in one exchange, and sorted; a task holds the series of one cell.
-    """
+) -> tuple[DataFrame, Callable]:
+    """The rows of all tables dealt by cell, and a function from a partition of them to what ``full_samples`` returns, as
+    (lat_idx, lon_idx, window_start, window_end, num_days, days, doy, arrays of the members in the order of MEMBERS)."""
     names = [*dict.fromkeys([*features, *([target_hourly] if target_hourly else [])])]
 
     def tagged(df: DataFrame, kind: int, at, hour, values: list) -> DataFrame:
@@ -226,7 +224,7 @@ def full_samples(
     goal = stats.get(target_daily, (0.0, 1.0))
     dry = [i for i, f in enumerate(features) if f == "tp" and precip_zero]
 
-    def run(batches):
+    def samples(batches):
         for lat, lon, table in cells(batches):
             kind, at, hour = (table.column(c).to_numpy() for c in ("kind", "at", "hour"))
             lists = table.column("v").combine_chunks()
@@ -264,16 +262,97 @@ def full_samples(
                     ts = (dense(4, len(days), 1, 1, start)[:, 0, 0] - goal[0]) / goal[1]
                     ms = (cycle_daily[doy][:, 0, 0] - goal[0]) / goal[1]
                     daily_targets = [ts, ms, ts - ms]
-                coords = {"lat_idx": lat, "lon_idx": lon, "chunk_lat": lat // size, "chunk_lon": lon // size, "window_start": begin, "window_end": end, "num_days": num_days, "dayofyear": doy.tolist()}
                 members = [x[..., :n], scaled, base if baseline else None, np.zeros(len(statics)) if baseline else None, *hourly_targets, *daily_targets]
-                made = [pa.nulls(1, f.type) if v is None else nested(v[None]).cast(f.type) for v, f in zip(members, list(arrow)[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([coords], arrow[0].type), *made], schema=arrow)
+                yield lat, lon, begin, end, num_days, days, doy, members
+
+    return rows, samples
+
+
+def full_samples(
+    hourly: DataFrame,
+    daily: DataFrame | None,
+    msc_hourly: DataFrame,
+    msc_daily: DataFrame | None,
+    static: DataFrame,
+    windows: DataFrame,
+    stats: dict[str, tuple[float, float]],
+    features: list[str],
+    statics: list[str],
+    target_hourly: str | None = None,
+    target_daily: str | None = None,
+    size: int = 20,
+    precip_zero: bool = False,
+    baseline: bool = True,
+) -> DataFrame:
+    """One row of schema SAMPLE for each cell with a row and each window: hourly features [day][hour][feature], statics,
+    the baselines of both, hourly and daily targets as series, seasonal cycle and anomaly, and coordinates.
+
+    hourly: (cell, date, hour, features and target_hourly); msc_hourly: (cell, doy, hour, ``<name>_msc``); daily, msc_daily
+    likewise without hours. Baselines are the seasonal cycle of each feature (0 for tp if ``precip_zero``) and the mean of each
+    static. ``stats`` maps variables to (mean, standard deviation); all is scaled, anomalies by the deviation alone. Days run
+    from the start of the context to the end of the window. What is missing is null; members that aren't asked for are null. A cell with statics or
+    seasonal cycles only gives samples too (null series). Of rows that repeat a step of a cell, one counts.
+
+    All tables are dealt by cell together, in one exchange, and sorted; a task holds the series of one cell.
+    """
+    rows, samples = _samples(hourly, daily, msc_hourly, msc_daily, static, windows, stats, features, statics, target_hourly, target_daily, size, precip_zero, baseline)
+
+    def run(batches):
+        for lat, lon, begin, end, num_days, _, doy, members in samples(batches):
+            coords = {"lat_idx": lat, "lon_idx": lon, "chunk_lat": lat // size, "chunk_lon": lon // size, "window_start": begin, "window_end": end, "num_days": num_days, "dayofyear": doy.tolist()}
+            made = [pa.nulls(1, f.type) if v is None else nested(v[None]).cast(f.type) for v, f in zip(members, list(arrow)[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([coords], arrow[0].type), *made], schema=arrow)
 
     number = pa.float64()
     one_deep, two_deep = pa.list_(number), pa.list_(pa.list_(number))
     three_deep = pa.list_(two_deep)
     where = pa.struct([(c, pa.int32()) for c in ("lat_idx", "lon_idx", "chunk_lat", "chunk_lon")] + [("window_start", pa.date32()), ("window_end", pa.date32()), ("num_days", pa.int32()), ("dayofyear", pa.list_(pa.int32()))])
     kinds = [where, three_deep, one_deep, three_deep, one_deep, two_deep, two_deep, two_deep, one_deep, one_deep, one_deep]
-    arrow = pa.schema(list(zip(("coords", "f_hourly", "f_static", "f_hourly_bl", "f_static_bl", "t_hourly_ts", "t_hourly_msc", "t_hourly_ano", "t_daily_ts", "t_daily_msc", "t_daily_ano"), kinds, strict=True)))
+    arrow = pa.schema(list(zip(("coords", *MEMBERS), kinds, strict=True)))
     return rows.mapInArrow(run, SAMPLE)
 
+
+def sample_rows(hourly: DataFrame, daily: DataFrame | None, msc_hourly: DataFrame, msc_daily: DataFrame | None, static: DataFrame, windows: DataFrame, stats: dict[str, tuple[float, float]], features: list[str], statics: list[str], **more) -> DataFrame:
+    """X12, long form: what ``full_samples`` (same arguments) holds that isn't null, a row for each value.
+
+    (lat_idx, lon_idx, window_start, date, hour, member, place, x): date is null for statics, hour for statics and daily
+    members; place is the position in ``features`` or ``statics``, 0 for targets. Tasks hand on no nulls, so what moves grows
+    with the values of a cell, not with the steps of its windows.
+    """
+    rows, samples = _samples(hourly, daily, msc_hourly, msc_daily, static, windows, stats, features, statics, **more)
+    kinds = [pa.int32(), pa.int32(), pa.date32(), pa.date32(), pa.int32(), pa.string(), pa.int32(), pa.float64()]
+    arrow = pa.schema(list(zip((*CELL, "window_start", "date", "hour", "member", "place", "x"), kinds, strict=True)))
+    words = pa.array(MEMBERS)
+
+    def packed(parts):
+        lat, lon, begin, day, hour, member, place, x = (np.concatenate(c) for c in zip(*parts, strict=True))
+        dates = [pa.array(d.astype(np.int32), pa.int32()).cast(pa.date32()) for d in (begin, np.where(day == NONE, 0, day))]
+        dates[1] = pc.if_else(pa.array(day != NONE), dates[1], None)
+        hours = pa.array(hour.astype(np.int32), mask=hour == NONE)
+        return pa.RecordBatch.from_arrays([pa.array(lat), pa.array(lon), *dates, hours, words.take(pa.array(member)), pa.array(place.astype(np.int32)), pa.array(x)], schema=arrow)
+
+    def run(batches):
+        held, count = [], 0
+        for lat, lon, begin, _, _, days, _, members in samples(batches):
+            first, start = days[0].astype(np.int64), np.datetime64(begin, "D").astype(np.int64)
+            for i, values in enumerate(members):
+                if values is None:
+                    continue
+                at = np.nonzero(~np.isnan(values))
+                n = len(at[0])
+                if not n:
+                    continue
+                none = np.full(n, NONE)
+                fixed, hourly_ = MEMBERS[i].startswith("f_static"), "hourly" in MEMBERS[i]
+                day = none if fixed else first + at[0]
+                hour = at[1] if hourly_ else none
+                place = at[-1] if MEMBERS[i].startswith("f_") else np.zeros(n, np.int64)
+                held.append((np.full(n, lat, np.int32), np.full(n, lon, np.int32), np.full(n, start), day, hour, np.full(n, i), place, values[at]))
+                count += n
+            if count >= ROWS:
+                yield packed(held)
+                held, count = [], 0
+        if held:
+            yield packed(held)
+
+    return rows.mapInArrow(run, "lat_idx int, lon_idx int, window_start date, date date, hour int, member string, place int, x double")

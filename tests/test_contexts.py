@@ -211,6 +211,30 @@ def test_dense_squares_are_cut(spark, monkeypatch):
     assert got == want
 
 
+def test_sample_rows_are_the_values_of_full_samples(spark, monkeypatch):
+    monkeypatch.setattr(series, "ROWS", 5)
+    rng = random.Random(6)
+    at = lambda: (rng.randrange(3), 0, DAY + dt.timedelta(days=rng.randrange(1096)))
+    hourly = spark.createDataFrame([(*at(), rng.randrange(24), rng.random(), None if i % 3 == 0 else 1.0) for i in range(30)], CUBE + "hour int, v double, tp double").dropDuplicates(["lat_idx", "date", "hour"])
+    daily = spark.createDataFrame([(*at(), rng.random()) for _ in range(20)], CUBE + "d double").dropDuplicates(["lat_idx", "date"])
+    cycle = spark.createDataFrame([(0, 0, 60, 5, 3.0, None), (2, 0, 366, 0, 1.0, 2.0)], "lat_idx int, lon_idx int, doy int, hour int, v_msc double, tp_msc double")
+    cycle_daily = spark.createDataFrame([(1, 0, 59, 4.5)], "lat_idx int, lon_idx int, doy int, d_msc double")
+    static = spark.createDataFrame([(0, 0, 10.0, None), (7, 0, None, 2.0)], "lat_idx int, lon_idx int, s double, t double")
+    windows = samples.date_windows(spark.createDataFrame([(y,) for y in range(2001, 2004)], "year int"), 1, 2)
+    tables = (hourly, daily, cycle, cycle_daily, static, windows, {"v": (1.0, 2.0), "d": (3.0, 4.0)}, ["v", "tp"], ["s", "t"])
+    want = set()
+    for r in series.full_samples(*tables, "v", "d").collect():
+        c = r["coords"]
+        first = c["window_end"] - dt.timedelta(days=len(c["dayofyear"]) - 1)
+        for name in series.MEMBERS:
+            for i, x in enumerate(r[name]):
+                day = None if "static" in name else first + dt.timedelta(days=i)
+                flat = [(None, i, x)] if day is None else [(None, 0, x)] if "daily" in name else [(h, f, y) for h, z in enumerate(x) for f, y in enumerate(z if name[0] == "f" else [z])]
+                want |= {(c["lat_idx"], c["lon_idx"], c["window_start"], day, h, name, f, y) for h, f, y in flat if y is not None}
+    got = series.sample_rows(*tables, target_hourly="v", target_daily="d").collect()
+    assert len(got) == len(want) > 100 and {tuple(r) for r in got} == want
+
+
 def test_points_of_one_place(spark, monkeypatch):
     """Many points on few places, some on one: pairs and sums equal those of all pairs, z may be missing."""
     monkeypatch.setattr(maps, "BUNDLE", 7)
