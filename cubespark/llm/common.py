@@ -54,6 +54,16 @@ def per_worker(make: Callable, *args):
     return kept["value"]
 
 
+def per_task(make: Callable, *args):
+    """``make(*args)`` for one task; what ``per_worker`` keeps goes, so that a worker between tasks holds neither.
+
+    For what is quickly filled again: Spark keeps idle workers beside tasks that run no Python, and both share an executor.
+    """
+    sys.modules.setdefault("cubespark_worker", ModuleType("cubespark_worker")).__dict__.pop("key", None)
+    sys.modules["cubespark_worker"].__dict__.pop("value", None)
+    return make(*args)
+
+
 @contextmanager
 def no_collection():
     """Collect what earlier tasks of this worker left, then hold collection off: a task's own tables have no cycles."""
@@ -108,6 +118,7 @@ def with_python_columns(
                     got = fn(*(part.column(c).to_pylist() for c in inputs))
                     made = [pa.array(v, type=t) for v, t in zip(got, kinds, strict=True)]
                     yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + made, names=[*keep, *new])
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

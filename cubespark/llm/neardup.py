@@ -33,7 +33,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_ROWS, hot_keys, per_worker, salted_join, small, with_python_columns, written
+from .common import HOT_ROWS, hot_keys, per_task, salted_join, small, with_python_columns, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -42,7 +42,7 @@ BUCKETS, BANDS, ROWS, MANTISSA = 256, 42, 6, 10
 MARGIN = 5.0
 #: Members of a band bucket that are compared pair by pair; beyond, in blocks of BLOCK.
 SMALL, BLOCK = 32, 256
-#: Hashes of words of up to 64 bytes that a worker remembers.
+#: Hashes of words of up to 64 bytes that a task remembers.
 MEMORY, MEMORY_LENGTH = 250_000, 64
 
 
@@ -138,7 +138,7 @@ def sketches(df: DataFrame, words: int, text: str = "text") -> DataFrame:
     """Add ``n_shingles``, ``digest`` of the set, ``bands`` and ``regs`` (null where there are no shingles)."""
 
     def make():
-        hashes, sketcher = per_worker(WordHashes), Sketcher()
+        hashes, sketcher = per_task(WordHashes), Sketcher()
 
         def one(t):
             s = shingle_set(t, words, hashes)
@@ -195,7 +195,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
     """Those of the written, distinct pairs (a, b) whose full sets are linked."""
 
     def confirm():
-        hashes = per_worker(WordHashes)
+        hashes = per_task(WordHashes)
 
         def run(ta, tb):
             return [[linked(shingle_set(x, words, hashes), shingle_set(y, words, hashes), percent) for x, y in zip(ta, tb, strict=True)]]
@@ -294,7 +294,7 @@ def _rest(blocks: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
     full = written(blocks.groupBy(*IN_BLOCK).applyInArrow(able, kinds), "able").join(texts, "cid")
 
     def run(table: pa.Table) -> pa.Table:
-        hashes, sketcher = per_worker(WordHashes), Sketcher()
+        hashes, sketcher = per_task(WordHashes), Sketcher()
         cids, comps = (table.column(c).to_pylist() for c in ("cid", "comp"))
         sets = [shingle_set(t.as_py(), words, hashes) for t in table.column("text")]
         regs = pa.array([sketcher.registers(s).tobytes() for s in sets], pa.binary())

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import sys
 from collections import Counter
 from fractions import Fraction
 
@@ -12,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cubespark.llm import collocations, ngram_join, queries, whitening
+from cubespark.llm import collocations, common, neardup, ngram_join, queries, whitening
 
 from test_corpus_stats import SF, brute_components, near_rows
 
@@ -201,3 +202,11 @@ def test_tiles():
     left, right = (rng.zipf(1.3, 300_000) % 5000).astype(np.int64), (rng.zipf(1.3, 300_000) % 5000).astype(np.int64)
     pairs, n = collocations.tiled(left, right)
     assert dict(zip(pairs.tolist(), n.tolist(), strict=True)) == Counter(((left << 32) | right).tolist())
+
+
+def test_a_task_leaves_nothing_in_its_worker():
+    kept = common.per_worker(neardup.WordHashes)
+    assert common.per_worker(neardup.WordHashes) is kept
+    own = common.per_task(neardup.WordHashes)
+    assert own is not kept and not own and not {"key", "value"} & set(vars(sys.modules["cubespark_worker"]))
+    assert common.per_worker(neardup.WordHashes) is not kept
