@@ -204,6 +204,33 @@ def test_tiles():
     assert dict(zip(pairs.tolist(), n.tolist(), strict=True)) == Counter(((left << 32) | right).tolist())
 
 
+@pytest.mark.parametrize("tables", [(1 << 18, 8), (6, 8), (6, 1 << 20)])
+def test_phrases_without_rank_are_found_in_filters_of_their_real_size(spark, tables):
+    rng = random.Random(3)
+    rows = [(rng.choice(["en", "fr"]), " ".join(rng.choices("the of a b c d é f g h".split(), weights=range(10, 0, -1), k=rng.randrange(30))) + ". x") for _ in range(120)]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    assert mined(df, least=2, longest=4, cover=60, top=200, tables=tables) == brute_collocations(rows, 2, 4, 60, 200)
+
+
+def test_texts_are_turned_into_numbers_once(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "ROW", 4)
+    rows = [("en", "A b c. rare a, b  a rare rare c b"), ("en", None), ("en", "a"), ("en", "b\tc"), ("fr", "x rare")]
+    found = collocations._numbered(spark.createDataFrame(rows, "lang string, text string").coalesce(1), {"en": {b"a": 0, b"b": 1, b"c": 2}, "fr": {b"x": 3}}, None).collect()
+    assert [(r["lang"], np.frombuffer(r["ids"], np.int32).tolist(), r["rest"]) for r in found] == [("en", [0, 1, 2, -1], None), ("en", [1, 0, -1, 2, 1, -1], None), ("en", [1, 2, -1], None)]
+    reads = []
+    monkeypatch.setattr(collocations, "_numbered", lambda *a, f=collocations._numbered: reads.append(1) or f(*a))
+    assert mined(spark.createDataFrame(rows, "lang string, text string"), least=1, longest=4) and reads == [1]
+
+
+def test_slots():
+    rng = np.random.default_rng(7)
+    pairs = rng.permutation(np.unique(rng.integers(0, 1 << 50, 20_000)))
+    slots, asked = collocations.Slots(pairs), np.concatenate([pairs[::-1], rng.integers(0, 1 << 50, 1000)])
+    rank = {p: i for i, p in enumerate(pairs.tolist())}
+    assert slots.find(asked).tolist() == [rank.get(p, -1) for p in asked.tolist()]
+    assert collocations.Slots(pairs[:0]).find(asked[:3]).tolist() == [-1, -1, -1]
+
+
 def test_a_task_leaves_nothing_in_its_worker():
     kept = common.per_worker(neardup.WordHashes)
     assert common.per_worker(neardup.WordHashes) is kept
