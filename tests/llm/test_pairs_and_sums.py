@@ -8,6 +8,7 @@ import re
 import sys
 from collections import Counter
 from fractions import Fraction
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -135,6 +136,48 @@ def test_bitmaps_keep_all_links(spark):
         assert sum(map(bool, got.values())) < len(links) + len(rows) // 3
 
 
+@pytest.mark.parametrize("bitmaps", [0, 16_384])
+def test_members_of_shared_prefix_shingles(spark, monkeypatch, bitmaps):
+    for name, value in (("RANGE", 40), ("PACKED", 30), ("LOW", 3), ("BITMAPS", bitmaps)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(5)
+    rows = [(7 + at * 3 + ((at % 4) << 33), [rng.randrange(-60, 60) << 50 for _ in range(rng.randrange(1, 12))]) for at in range(200)]
+    rows = [(cid, sorted(set(one))) for cid, one in rows] + [(9, None), (10, [1, 1 << 62]), (1 << 40, [1, -5])]
+    sk = spark.createDataFrame([(cid, len(one) * 10 if one else 0, one) for cid, one in rows], "cid bigint, n_shingles bigint, one array<bigint>")
+    kept = {cid for cid, one in rows if one and cid % 5}
+    reps = spark.createDataFrame([(cid,) for cid in sorted(kept)], "cid bigint")
+    n = Counter(x for cid, one in rows if cid in kept for x in one)
+    got = [(r["cid"], r["m"]) for r in ngram_join._members(sk, reps, 90).collect()]
+    assert sorted(got) == sorted((cid, n[x]) for cid, one in rows if cid in kept for x in one if n[x] > 1)
+    tokens = [r["n"] for r in ngram_join._members(sk, reps, 90).groupBy("token", "m").count().withColumnRenamed("count", "n").collect()]
+    assert sorted(tokens) == sorted(x for x in n.values() if x > 1)
+
+
+def test_texts_of_candidates_that_bitmaps_rule_out_stay_where_they_are(spark, monkeypatch):
+    written = []
+
+    def kept(df, name, real=ngram_join.written):
+        written.append(real(df, name))
+        return written[-1]
+
+    for module in (common, ngram_join, neardup):
+        monkeypatch.setattr(module, "written", kept)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5))
+    rows = []
+    for _ in range(150):  # 228 of 246 shingles are shared: too few for a link, too many for disjoint prefixes
+        passage = [word() for _ in range(230)]
+        rows += [" ".join([word() for _ in range(18)] + passage) for _ in range(2)]
+    rows.append(rows[0] + " end")
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    links = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(df, 3, 90).collect()}
+    assert links == {at: 0 if at == len(rows) - 1 else at for at in range(len(rows))}
+    texts = [w for w in written if "text" in w.columns]
+    assert 2 <= sum(t.count() for t in texts) <= 30
+    size = sum(Path(f.removeprefix("file://")).stat().st_size for w in written for f in w.inputFiles())
+    assert size < 1.2 * sum(map(len, rows))
+
+
 def test_join_edges(spark):
     long = " ".join(f"v{i % 7919}" for i in range(60_000))
     rows = [(1, None), (2, ""), (3, " \n"), (4, "one"), (5, "ONE"), (6, "a b"), (7, "a  b"), (8, long), (9, long + " end"), (9, long + " end"), (None, "a b"), (10, "p q r s"), (10, "k l m n"), (11, "k l m n")]
