@@ -257,6 +257,12 @@ def test_points_of_one_place(spark, monkeypatch):
         assert r["pairs"] == len(sq) and math.isclose(r["gamma"], np.mean([x for x in sq if x is not None]) / 2, rel_tol=1e-6)
 
 
+def test_pairs_of_two_rows_are_few(spark):
+    df = spark.range(5000).selectExpr("id", "cast(id % 3 as double) AS lat", "1.0D AS lon", "2.0D AS z")
+    n = sorted(r["n"] for r in maps._bundles(df, "id").collect())
+    assert sum(n) == 5000 and n[-1] ** 2 < 10_000
+
+
 def rolling(sizes, order, buffer):
     """Positions (chunk, number in chunk) dealt one by one."""
     queue, left, out = list(order), dict(sizes), []
